@@ -110,8 +110,8 @@ def shingles(hashes: np.ndarray, k: int) -> np.ndarray:
 
 def runs(hashes: np.ndarray, k: int) -> np.ndarray:
     """A hash of each run of k words, by position of the first."""
-    n = len(hashes) - k + 1
-    h = np.full(max(n, 0), k, np.uint64)
+    n = max(0, len(hashes) - k + 1)
+    h = np.full(n, k, np.uint64)
     for j in range(k):
         h = mix(h + hashes[j : j + n] * np.uint64(0x9E3779B97F4A7C15))
     return h

@@ -1,0 +1,50 @@
+"""Connected components of an edge table by hooking to smaller neighbours and contracting, with written tables between rounds."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import Scratch
+
+
+def _hook(edges: DataFrame) -> DataFrame:
+    """(x, p): every vertex of the edges and the smallest of itself and its neighbours."""
+    both = edges.select(F.col("a").alias("x"), F.col("b").alias("y")).unionByName(edges.select(F.col("b").alias("x"), F.col("a").alias("y")))
+    return both.groupBy("x").agg(F.min("y").alias("y")).select("x", F.least("x", "y").alias("p"))
+
+
+def _jump(parent: DataFrame) -> DataFrame:
+    up = parent.select(F.col("x").alias("p"), F.col("p").alias("up")).where("p <> up")
+    return parent.join(up, "p", "left").select("x", F.coalesce("up", "p").alias("p"))
+
+
+def components(edges: DataFrame, scratch: Scratch, name: str = "components", rounds: int | None = None) -> DataFrame | None:
+    """(x, p) for every vertex of edges (a, b), p the smallest vertex of its component; None without edges.
+
+    With `rounds` the work stops early, and p is then some smaller vertex of the same component. A round maps every vertex
+    to the smallest around it and keeps the edges between what they were mapped to, of which there are far fewer.
+    """
+    levels = []
+    k = 0
+    edges = scratch.write(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), f"{name}-edges")
+    while not edges.isEmpty() and (rounds is None or k < rounds):
+        parent = scratch.write(_jump(_hook(edges)), f"{name}-parent-{k}")
+        a, b = parent.select(F.col("x").alias("a"), F.col("p").alias("pa")), parent.select(F.col("x").alias("b"), F.col("p").alias("pb"))
+        between = edges.join(a, "a").join(b, "b").select("pa", "pb")
+        chains = parent.select(F.col("p").alias("b")).join(b, "b").select(F.col("b").alias("pa"), "pb")  # from what was not yet a root
+        left = between.unionByName(chains).where("pa <> pb").select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct()
+        edges = scratch.write(left, f"{name}-left-{k}")
+        levels.append(parent)
+        k += 1
+    if not levels:
+        return None
+    out = levels[0]
+    for level in levels[1:]:
+        out = _follow(out, level)
+    return scratch.write(out, f"{name}-labels")
+
+
+def _follow(labels: DataFrame, level: DataFrame) -> DataFrame:
+    up = level.select(F.col("x").alias("p"), F.col("p").alias("up")).where("p <> up")
+    return labels.join(up, "p", "left").select("x", F.coalesce("up", "p").alias("p"))

@@ -6,8 +6,11 @@ import importlib
 
 #: Module, query.
 OPERATORS = [
+    ("topk", "op1_segment_topk"),
+    ("substring_dedup", "op2_substring_dedup"),
     ("bpe", "op3_byte_bpe"),
     ("packing", "op6_best_fit_packing"),
+    ("neardup", "op7_odd_sketch_neardup"),
     ("langid", "op8_rank_order_langid"),
     ("sharding", "op9_rendezvous_sharding"),
     ("quality", "op10_compression_bands"),
