@@ -9,6 +9,7 @@ OPERATORS = [
     ("topk", "op1_segment_topk"),
     ("substring_dedup", "op2_substring_dedup"),
     ("bpe", "op3_byte_bpe"),
+    ("html", "op4_html_main_text"),
     ("packing", "op6_best_fit_packing"),
     ("neardup", "op7_odd_sketch_neardup"),
     ("langid", "op8_rank_order_langid"),
