@@ -10,6 +10,7 @@ OPERATORS = [
     ("substring_dedup", "op2_substring_dedup"),
     ("bpe", "op3_byte_bpe"),
     ("html", "op4_html_main_text"),
+    ("pii", "op5_pii_bootstrap"),
     ("packing", "op6_best_fit_packing"),
     ("neardup", "op7_odd_sketch_neardup"),
     ("langid", "op8_rank_order_langid"),
