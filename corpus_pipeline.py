@@ -1,10 +1,15 @@
-"""A corpus pipeline over `documents`: every stage works on all that the one before it kept."""
+"""A corpus pipeline over `documents`: every stage works on all that the one before it kept.
+
+Language ID, near-duplicates, repeated passages, personal data, packing. All stages but the last return the columns that
+they were given; columns text and n_chars change where a stage takes something out of a text.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from terraloom.llm import langid, packing
+from terraloom.llm import langid, neardup, packing, pii, substring_dedup
 from terraloom.llm.common import Scratch, table
 
 #: A document whose distance from the nearest language is beyond this share of the largest is in none of them.
@@ -17,12 +22,48 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return found.where((found["lang_pred"] != langid.UNKNOWN) & (found["distance"] <= FARTHEST)).select(*docs.columns)
 
 
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates by five-word shingles, that with the smallest id; a null id stays."""
+    found = neardup.near_duplicates(docs, words=5, percent=80)
+    kept = found.where("kept and doc_id is not null").select("doc_id").distinct()
+    one = docs.where("doc_id is not null").dropDuplicates(["doc_id"]).join(kept, "doc_id", "left_semi")
+    return one.unionByName(docs.where("doc_id is null")).select(*docs.columns)
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document without the 13-word windows that an earlier one has; all documents stay, if only with what is left."""
+    left = substring_dedup.remove_repeats(docs).where("n_removed > 0").select("doc_id", F.col("text").alias("_text"))
+    joined = docs.join(left, "doc_id", "left")
+    return joined.select(*[new_text(c, F.col("_text"), docs) for c in docs.columns])
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document with personal data replaced by its kind in brackets."""
+    masked = pii.mask(docs)
+    return masked.select(*[F.length("text").cast("long").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
+
+
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents in sequences of at most 2048 tokens."""
     return packing.pack(docs)
 
 
-STAGES = [("language ID", language), ("best-fit packing", packed)]
+def new_text(column: str, text, docs: DataFrame):
+    """text, or n_chars of it, where there is one; the column as it was otherwise."""
+    if column == "text":
+        return F.coalesce(text, F.col("text")).alias("text")
+    if column == "n_chars":
+        return F.when(text.isNotNull(), F.length(text).cast("long")).otherwise(F.col("n_chars")).alias("n_chars")
+    return F.col(column)
+
+
+STAGES = [
+    ("language ID", language),
+    ("MinHash near-dedup", near_duplicates),
+    ("substring dedup", repeated_passages),
+    ("PII", personal_data),
+    ("best-fit packing", packed),
+]
 
 #: Language profiles and tokens are beyond SQL; tests/llm holds the pipeline against a brute-force version.
 ORACLE_SQL = None
