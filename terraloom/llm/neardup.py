@@ -3,6 +3,10 @@
 An odd sketch is a bitmap of parities: every MinHash sample flips one bit. Two sketches differ in about as many bits as
 samples differ, so the number of ones in their XOR estimates high similarities well and costs a few machine words.
 
+The sketch of the samples is coarse: 4.5 standard errors below the threshold must still pass. Nodes whose buckets stay open
+after the first round get a second sketch that folds the whole set: its XOR has at most as many ones as the sets differ in
+items, so it never loses a pair and, with four bits an item, keeps few others.
+
 Rows with the same set are one node. In a bucket (nodes with the same samples in a band) not all pairs are made: of those
 whose sketches are near enough, a first round confirms a spanning forest of the most similar ones, and a second round only
 pairs between what the first left apart. A bucket larger than a block is dealt to blocks; if its nodes are still apart
@@ -128,6 +132,56 @@ def _near(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return sum(np.bitwise_count(x[:, None, j] ^ y[None, :, j]).astype(np.int32) for j in range(x.shape[1]))
 
 
+def folded_sets(sets: DataFrame) -> DataFrame:
+    """id and fine, the parity bitmap of all items: a power of two of bits, four an item at least."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for raw in batch.column(1).to_pylist():
+                items = np.frombuffer(raw, np.uint64)
+                bits = max(64, 1 << (4 * len(items) - 1).bit_length())
+                place = (mix(items + np.uint64(0x5BD1E995)) & np.uint64(bits - 1)).astype(np.int64)
+                out.append(np.packbits((np.bincount(place, minlength=bits) & 1).astype(np.uint8), bitorder="little").tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["id", "fine"])
+
+    return sets.select("id", "items").mapInArrow(run, "id long, fine binary")
+
+
+class Fine:
+    """Bitmaps as integers, and folded to fewer bits as they are asked for: the upper half is XORed into the lower."""
+
+    def __init__(self, raw: np.ndarray):
+        self.raw = raw
+        self.held: dict[tuple[int, int], int] = {}
+
+    def bits(self, i: int) -> int:
+        return 8 * len(self.raw[i])
+
+    def at(self, i: int, bits: int) -> int:
+        value = self.held.get((i, bits))
+        if value is None:
+            own = self.bits(i)
+            if own == bits:
+                value = int.from_bytes(self.raw[i], "little")
+            else:
+                value = self.at(i, 2 * bits)
+                value = (value >> bits) ^ (value & ((1 << bits) - 1))
+            self.held[i, bits] = value
+        return value
+
+
+def _apart(i: np.ndarray, j: np.ndarray, n, other_n, fine, other_fine, percent: int) -> np.ndarray:
+    """Of pairs, those that may differ in no more items than the threshold allows."""
+    x = Fine(fine)
+    y = x if other_fine is fine else Fine(other_fine)
+    keep = np.empty(len(i), bool)
+    for k, (p, q) in enumerate(zip(i.tolist(), j.tolist())):
+        bits = min(x.bits(p), y.bits(q))
+        keep[k] = (x.at(p, bits) ^ y.at(q, bits)).bit_count() * (100 + percent) <= (int(n[p]) + int(other_n[q])) * (100 - percent)
+    return keep
+
+
 def _pairs(label, n, sketch, other_label, other_n, other_sketch, percent: int, most: int, upper: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     ones = _near(sketch, other_sketch)
     fits = (ones <= most) & (label[:, None] != other_label[None, :]) & (100 * np.minimum(n[:, None], other_n[None, :]) >= percent * np.maximum(n[:, None], other_n[None, :]))
@@ -145,10 +199,13 @@ def _within(percent: int, most: int, forest: bool):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         left, right, size = [], [], 0
-        for ids, label, n, sketch in _groups(batches, 2):
+        for ids, label, n, sketch, *fine in _groups(batches, 2):
             if len(ids) < 2 or (label == label[0]).all():
                 continue
             i, j, ones = _pairs(label, n, sketch, label, n, sketch, percent, most, True)
+            if fine and len(i):
+                keep = _apart(i, j, n, n, fine[0], fine[0], percent)
+                i, j, ones = i[keep], j[keep], ones[keep]
             if forest and len(i) > 1:
                 order = np.lexsort((np.maximum(ids[i], ids[j]), np.minimum(ids[i], ids[j]), ones))
                 root = {x: x for x in set(label.tolist())}
@@ -179,12 +236,13 @@ def _across(percent: int, most: int):
     """Candidate pairs between a block's members (side 0) and a chunk of those outside the largest component (side 1)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for side, ids, label, n, sketch in _groups(batches, 3):
+        for side, ids, label, n, sketch, fine in _groups(batches, 3):
             x, y = side == 0, side == 1
             if x.any() and y.any():
                 i, j, _ = _pairs(label[x], n[x], sketch[x], label[y], n[y], sketch[y], percent, most, False)
-                if len(i):
-                    yield _edges([ids[x][i]], [ids[y][j]])
+                keep = _apart(i, j, n[x], n[y], fine[x], fine[y], percent)
+                if keep.any():
+                    yield _edges([ids[x][i[keep]]], [ids[y][j[keep]]])
 
     return run
 
@@ -253,7 +311,8 @@ def _links(docs: DataFrame, nodes: DataFrame, scratch: Scratch, words: int, perc
         return scratch.write(both.mapInArrow(_confirm(percent), "a long, b long, same boolean"), name)
 
     def candidates(labelled: DataFrame, forest: bool) -> DataFrame:
-        dealt = labelled.select("key", place.alias("place"), "id", "label", "n", "sketch").repartition("key", "place").sortWithinPartitions("key", "place")
+        more = () if forest else ("fine",)
+        dealt = labelled.select("key", place.alias("place"), "id", "label", "n", "sketch", *more).repartition("key", "place").sortWithinPartitions("key", "place")
         return dealt.mapInArrow(_within(percent, most, forest), "a long, b long").distinct()
 
     known = buckets.join(facts, "id")
@@ -268,7 +327,9 @@ def _links(docs: DataFrame, nodes: DataFrame, scratch: Scratch, words: int, perc
 
     state = scratch.write(labelled(labels).select("key", "id", "blocks", "label", "n", "sketch"), "state")
     apart = state.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key")
-    open_state = state.join(apart, "key", "left_semi")
+    open_state = scratch.write(state.join(apart, "key", "left_semi"), "open")
+    fine = scratch.write(folded_sets(sets.join(open_state.select("id").distinct(), "id", "left_semi")), "fine")
+    open_state = open_state.join(fine, "id")
     second = confirmed(candidates(open_state, False).join(first.select("a", "b"), ["a", "b"], "left_anti"), "second")
     links = scratch.write(links.unionByName(second.where("same").select("a", "b")), "links")
     large = open_state.where("blocks > 1")
@@ -278,13 +339,13 @@ def _links(docs: DataFrame, nodes: DataFrame, scratch: Scratch, words: int, perc
     labels = components(links, scratch, "second-components")
     now = large.drop("label")
     now = (now.join(labels.withColumnRenamed("x", "id"), "id", "left").withColumn("label", F.coalesce("p", "id")).drop("p") if labels is not None else now.withColumn("label", F.col("id")))
-    now = scratch.write(now.select("key", "id", "blocks", "label", "n", "sketch"), "large")
+    now = scratch.write(now.select("key", "id", "blocks", "label", "n", "sketch", "fine"), "large")
     sizes = now.groupBy("key", "label").agg(F.count(F.lit(1)).alias("own"))
     largest = sizes.groupBy("key").agg(F.max_by("label", "own").alias("main"), F.sum("own").alias("all"), F.max("own").alias("own"))
     largest = largest.where("all > own").select("key", "main", F.ceil((F.col("all") - F.col("own")) / F.lit(block)).cast("int").alias("chunks"))
     split = now.join(largest, "key")
-    rest = split.where("label <> main").select("key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("place"), F.pmod(F.xxhash64("id", F.lit(1)), F.col("chunks")).cast("int").alias("chunk"), F.lit(1).alias("side"), "id", "label", "n", "sketch")
-    whole = split.select("key", place.alias("place"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.lit(0).alias("side"), "id", "label", "n", "sketch")
+    rest = split.where("label <> main").select("key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("place"), F.pmod(F.xxhash64("id", F.lit(1)), F.col("chunks")).cast("int").alias("chunk"), F.lit(1).alias("side"), "id", "label", "n", "sketch", "fine")
+    whole = split.select("key", place.alias("place"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.lit(0).alias("side"), "id", "label", "n", "sketch", "fine")
     met = whole.unionByName(rest).repartition("key", "place", "chunk").sortWithinPartitions("key", "place", "chunk").mapInArrow(_across(percent, most), "a long, b long").distinct()
     third = confirmed(met.join(tested, ["a", "b"], "left_anti"), "third")
     return scratch.write(links.unionByName(third.where("same").select("a", "b")), "all-links")
