@@ -25,10 +25,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, WordHash, runs, small_batches, table, texts, words_of
+from .common import Scratch, WordHash, mix, small_batches, table, texts, words_of
 
 LENGTH = 13
 GRAM = 5
+#: Odd factors of a run's words, and bases of the two hashes of a passage.
+FACTORS = mix(np.arange(1, 65, dtype=np.uint64)) | np.uint64(1)
+BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 #: A shard with more passages than this is compared window by window.
 SHARD = 64
 
@@ -85,13 +88,36 @@ class SuffixAutomaton:
             yield matched
 
 
-def owners(hashes: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
-    """The hashes of runs of `gram` words, and for every window the place of its anchor, the leftmost smallest of them."""
-    own = runs(hashes, gram)
+def rolled(hashes: np.ndarray, k: int) -> np.ndarray:
+    """A hash of each run of k words: word hashes are random, so a sum with odd factors and a final mix is enough."""
+    n = max(0, len(hashes) - k + 1)
+    out = np.zeros(n, np.uint64)
+    for j in range(k):
+        out += hashes[j : j + n] * FACTORS[j]
+    return mix(out)
+
+
+def owners(hashes: np.ndarray, sizes: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For a batch of texts, one after the other: the run hashes, the first words of all windows, and the place of the anchor
+    of each, the leftmost smallest run in it."""
+    own = rolled(hashes, gram)
     wide = length - gram + 1
-    if len(own) < wide:
-        return own, np.empty(0, np.int64)
-    return own, np.lib.stride_tricks.sliding_window_view(own, wide).argmin(1) + np.arange(len(own) - wide + 1)
+    starts = np.cumsum(sizes) - sizes
+    windows = np.concatenate([np.empty(0, np.int64), *(np.arange(s, s + n - length + 1) for s, n in zip(starts.tolist(), sizes.tolist()) if n >= length)])
+    if not len(windows):
+        return own, windows, windows
+    return own, windows, (np.lib.stride_tricks.sliding_window_view(own, wide).argmin(1)[windows] + windows)
+
+
+def _batch(batch: pa.RecordBatch, hashes: WordHash) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
+    """All words of a batch of texts, their hashes, the number of words of each text, and its id."""
+    words: list[bytes] = []
+    sizes = []
+    for text in texts(batch, "text"):
+        own = words_of(text)
+        words += own
+        sizes.append(len(own))
+    return words, hashes(words), np.array(sizes, np.int64), batch.column(0).to_numpy()
 
 
 def anchors(docs: DataFrame, length: int, gram: int) -> DataFrame:
@@ -100,46 +126,78 @@ def anchors(docs: DataFrame, length: int, gram: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHash()
         for batch in batches:
-            ids, found = [], []
-            for i, text in zip(batch.column(0).to_pylist(), texts(batch, "text")):
-                own, at = owners(hashes(words_of(text)), length, gram)
-                if len(at):
-                    distinct = np.unique(own[at[np.append(True, at[1:] != at[:-1])]])
-                    found.append(distinct), ids.append(np.full(len(distinct), i))
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64)), pa.array(np.concatenate(ids))], names=["anchor", "id"])
+            words, hashed, sizes, ids = _batch(batch, hashes)
+            own, windows, at = owners(hashed, sizes, length, gram)
+            if len(at):
+                at = at[np.append(True, at[1:] != at[:-1])]
+                row = np.searchsorted(np.cumsum(sizes), at, side="right")
+                anchor = own[at]
+                order = np.lexsort((anchor, row))
+                anchor, row = anchor[order], row[order]
+                first = np.append(True, (anchor[1:] != anchor[:-1]) | (row[1:] != row[:-1]))
+                yield pa.RecordBatch.from_arrays([pa.array(anchor[first].view(np.int64)), pa.array(ids[row[first]])], names=["anchor", "id"])
 
     return docs.select("id", "text").mapInArrow(run, "anchor long, id long")
 
 
+def range_hash(hashes: np.ndarray, start: np.ndarray, end: np.ndarray, base: int) -> np.ndarray:
+    """A polynomial hash of words start to end (exclusive) for many ranges at once, by differences of prefix sums."""
+    up, down = np.uint64(base), np.uint64(pow(base, -1, 2**64))
+    n = len(hashes) + 1
+    powers = np.ones(n, np.uint64)
+    np.multiply.accumulate(np.full(n - 1, up, np.uint64), out=powers[1:])
+    back = np.ones(n, np.uint64)
+    np.multiply.accumulate(np.full(n - 1, down, np.uint64), out=back[1:])
+    sums = np.zeros(n, np.uint64)
+    np.cumsum(hashes * powers[:-1], out=sums[1:])
+    return mix((sums[end] - sums[start]) * back[start] + (end - start).astype(np.uint64))
+
+
 def passages(docs: DataFrame, length: int, gram: int) -> DataFrame:
     """anchor, c1 and c2 (a digest of the words), id, start, windows and words of every passage at an anchor of column `shared`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
-
         hashes = WordHash()
         names = ["anchor", "c1", "c2", "id", "start", "windows", "words"]
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.string()]
         for batch in batches:
-            rows: list[tuple] = []
-            for i, text, shared in zip(batch.column(0).to_pylist(), texts(batch, "text"), batch.column(2).to_numpy(zero_copy_only=False)):
-                words = words_of(text)
-                own, at = owners(hashes(words), length, gram)
-                if not len(at):
-                    continue
-                starts = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
-                ends = np.append(starts[1:], len(at))
-                key = own[at[starts]].view(np.int64)
-                keep = np.isin(key, shared)
-                for a, s, e in zip(key[keep].tolist(), starts[keep].tolist(), ends[keep].tolist()):
-                    passage = b" ".join(words[s : e + length - 1])
-                    digest = xxhash.xxh3_128_intdigest(passage)
-                    rows.append((a, (digest >> 64) - 2**63, (digest & (2**64 - 1)) - 2**63, i, s, e - s, passage.decode("utf-8", "surrogatepass")))
-            columns = list(zip(*rows)) or [()] * len(names)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=names)
-
-    return docs.select("id", "text", "shared").mapInArrow(run, "anchor long, c1 long, c2 long, id long, start int, windows int, words string")
+            words, hashed, sizes, ids = _batch(batch, hashes)
+            own, windows, at = owners(hashed, sizes, length, gram)
+            if not len(at):
+                continue
+            begin = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
+            count = np.diff(np.append(begin, len(at)))
+            start, anchor = windows[begin], own[at[begin]].view(np.int64)
+            row = np.searchsorted(np.cumsum(sizes), start, side="right")
+            # Which anchors are shared, by row: all pairs of row and anchor, sorted once.
+            lists = batch.column(2)
+            shared = lists.flatten().to_numpy()
+            owner = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
+            order = np.lexsort((shared, owner))
+            keep = _among(row, anchor, owner[order], shared[order])
+            start, count, anchor, row = start[keep], count[keep], anchor[keep], row[keep]
+            end = start + count + length - 1
+            text = b" ".join(words)
+            offset = np.concatenate([[0], np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)])
+            pieces = [text[a:b] for a, b in zip(offset[start].tolist(), (offset[end] - 1).tolist())]
+            c1, c2 = (range_hash(hashed, start, end, base).view(np.int64) for base in BASES)
+            within = start - (np.cumsum(sizes) - sizes)[row]
+            columns = [pa.array(anchor), pa.array(c1), pa.array(c2), pa.array(ids[row]), pa.array(within.astype(np.int32)), pa.array(count.astype(np.int32)), pa.array(pieces, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    return docs.select("id", "text", "shared").mapInArrow(run, "anchor long, c1 long, c2 long, id long, start int, windows int, words binary")
+
+
+def _among(row: np.ndarray, value: np.ndarray, rows: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Whether pairs of row and value are among others, which are sorted."""
+    keep = np.zeros(len(row), bool)
+    starts = np.searchsorted(rows, np.arange(int(row.max(initial=-1)) + 2))
+    own = np.searchsorted(row, np.arange(len(starts)))
+    for r in range(len(starts) - 1):
+        a, b = own[r], own[r + 1]
+        held = values[starts[r] : starts[r + 1]]
+        if b > a and len(held):
+            keep[a:b] = held[np.minimum(np.searchsorted(held, value[a:b]), len(held) - 1)] == value[a:b]
+    return keep
 
 
 def _stream(length: int):
@@ -159,7 +217,7 @@ def _stream(length: int):
         for _, shard in groupby(rows(batches), key=lambda r: r[0]):
             automaton = SuffixAutomaton()
             for _, same in groupby(shard, key=lambda r: r[1]):
-                split = [(c1, c2, words.split(" ")) for _, _, c1, c2, words in same]
+                split = [(c1, c2, words.split(b" ")) for _, _, c1, c2, words in same]
                 for c1, c2, words in split:
                     mask = 0
                     for end, n in enumerate(automaton.matches(words)):
@@ -201,19 +259,20 @@ def repeated_spans(docs: DataFrame, scratch: Scratch, length: int = LENGTH, gram
     sized = scratch.write(first.join(sizes, "anchor"), "sized")
     small = sized.where(F.col("n") <= shard).select("anchor", "first", "c1", "c2", "words").repartition("anchor").sortWithinPartitions("anchor", "first")
     masks = small.mapInArrow(_stream(length), "c1 long, c2 long, mask long")
-    split = F.split("words", " ")
+    split = F.split(F.col("words").cast("string"), " ")
     texts_of = F.transform(F.sequence(F.lit(1), F.size(split) - (length - 1)), lambda i: F.array_join(F.slice(split, i, length), " "))
     windows = sized.where(F.col("n") > shard).select("c1", "c2", "first", F.posexplode(texts_of).alias("k", "window"))
     windows = scratch.write(windows.select("c1", "c2", "first", "k", F.xxhash64("window").alias("w1"), F.xxhash64(F.lit(7), "window").alias("w2")), "windows")
     least = windows.groupBy("w1", "w2").agg(F.min("first").alias("low"), F.max("first").alias("high")).where("low < high")
     crowded = windows.join(least, ["w1", "w2"]).where("low < first").groupBy("c1", "c2").agg(F.bit_or(F.expr("shiftleft(1L, k)")).alias("mask"))
     masks = scratch.write(masks.unionByName(crowded), "masks")
-    # A later row repeats all windows of a passage; the first one those of its mask.
-    places = held.select("c1", "c2", "id", "start", "windows").join(first.select("c1", "c2", "first"), ["c1", "c2"]).join(masks, ["c1", "c2"], "left")
+    known = scratch.write(first.select("c1", "c2", "first").join(masks, ["c1", "c2"], "left"), "known")
+    # A later row repeats all windows of a passage; the first one those of its mask. One join alone, so that Spark can split it.
+    places = held.select("c1", "c2", "id", "start", "windows").join(known, ["c1", "c2"])
     mask = F.when(F.col("id") > F.col("first"), F.expr("shiftleft(1L, windows) - 1")).otherwise(F.coalesce("mask", F.lit(0)))
     hits = places.select("id", "start", mask.alias("mask")).where("mask <> 0").groupBy("id").agg(F.collect_list(F.struct("start", "mask")).alias("hits"))
     out = scratch.write(hits, "hits")
-    for name in ("passages", "first", "sized", "windows"):
+    for name in ("passages", "first", "sized", "windows", "known"):
         scratch.drop(name)
     release(spark)
     return out
