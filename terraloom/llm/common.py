@@ -51,7 +51,7 @@ class Scratch:
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+def small_batches(spark: SparkSession, rows: int = 250) -> None:
     """Arrow batches of at most so many rows, as texts can be long; the rows of a batch are all that a worker holds."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
@@ -65,28 +65,31 @@ def texts(batch: pa.RecordBatch, column: str = "text") -> list[str | None]:
     return batch.column(batch.schema.get_field_index(column)).to_pylist()
 
 
+class _Known(dict):
+    """Hashes by word, made where they are missed."""
+
+    def __init__(self, digest):
+        super().__init__()
+        self.digest = digest
+
+    def __missing__(self, word: bytes) -> int:
+        value = self[word] = self.digest(word)
+        return value
+
+
 class WordHash:
     """64-bit hashes of words, kept in a table of bounded size; the bound changes only the speed."""
 
-    def __init__(self, limit: int = 400_000):
+    def __init__(self, limit: int = 100_000):
         import xxhash
 
-        self.hash = xxhash.xxh3_64_intdigest
         self.limit = limit
-        self.known: dict[bytes, int] = {}
+        self.known = _Known(xxhash.xxh3_64_intdigest)
 
     def __call__(self, words: list[bytes]) -> np.ndarray:
-        known = self.known
-        if len(known) > self.limit:
-            known.clear()
-        try:
-            return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-        except KeyError:
-            digest = self.hash
-            for w in words:
-                if w not in known:
-                    known[w] = digest(w)
-            return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+        if len(self.known) > self.limit:
+            self.known.clear()
+        return np.fromiter(map(self.known.__getitem__, words), np.uint64, len(words))
 
 
 def mix(x: np.ndarray) -> np.ndarray:
