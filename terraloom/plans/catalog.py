@@ -1,11 +1,834 @@
-"""The queries of this library over the test tables and the SQL that they are compared with."""
+"""The queries of this library over the test tables, each with the SQL that it is compared with where SQL can express it."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import mathx, robust, shapes, text, transform, vectors
+from ..functions.types import box, point, point3, polygon, ring, segment, triangle
+from ..operators import aggs, circuit, graph, grid, joins, mesh, polygons, series
+from ..sources import wkt
+from . import boolexpr, mapreduce, taskflow
+
+_queries: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_sql: dict[str, str] = {}
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(_queries)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_sql)
+
+
+def query(sql: str | None = None):
+    def add(f):
+        _queries[f.__name__] = f
+        if sql:
+            _sql[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+# Views of the tables as geometry, in Spark and in SQL.
+
+
+def hours(ts: str = "ts") -> Column:
+    return F.expr(f"timestampdiff(MICROSECOND, timestamp_ntz'2024-01-01 00:00:00', {ts})") / 3.6e9
+
+
+HOURS = "(epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-01 00:00:00')) / 3.6e9"
+
+
+def events_points(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "events").select(F.col("event_id").alias("id"), point(hours(), F.col("value")).alias("p"), "event_type", "user_id", "ts")
+
+
+def part_boxes(spark: SparkSession, d: str) -> DataFrame:
+    side = 1 + F.col("p_partkey") % 5
+    x, y = F.col("p_size").cast("double"), F.col("p_retailprice") - 900
+    return table(spark, d, "part").select(F.col("p_partkey").alias("id"), box(x, y, x + side, y + side).alias("box"), F.col("p_brand").alias("prop"))
+
+
+BOXES = "boxes AS (SELECT p_partkey AS id, p_size::DOUBLE AS xmin, p_retailprice - 900 AS ymin, p_size::DOUBLE + (1 + p_partkey % 5) AS xmax, p_retailprice - 900 + (1 + p_partkey % 5) AS ymax, p_brand AS prop FROM part)"
+
+
+def user_segments(spark: SparkSession, d: str) -> DataFrame:
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    e = table(spark, d, "events").select("event_id", "user_id", "ts", hours().alias("x"), F.col("value").alias("y"))
+    e = e.withColumns({"x2": F.lead("x").over(w), "y2": F.lead("y").over(w)}).where("x2 is not null")
+    return e.select(F.col("event_id").alias("id"), segment(point("x", "y"), point("x2", "y2")).alias("seg"))
+
+
+SEGMENTS = f"""segs AS (SELECT * FROM (SELECT event_id AS id, {HOURS} AS x1, value AS y1, lead({HOURS}) OVER w AS x2, lead(value) OVER w AS y2
+FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) WHERE x2 IS NOT NULL)"""
+
+
+def series_rows(spark: SparkSession, d: str) -> DataFrame:
+    w = Window.partitionBy("event_type").orderBy("ts", "event_id")
+    e = table(spark, d, "events").where("value is not null")
+    return e.select(F.col("event_type").alias("key"), (F.row_number().over(w) - 1).alias("pos"), hours().alias("x"), F.col("value").alias("v"))
+
+
+SERIES = f"series AS (SELECT event_type AS key, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) - 1 AS pos, {HOURS} AS x, value AS v FROM events WHERE value IS NOT NULL)"
+
+
+def user_rings(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "events").select("user_id", F.struct("ts", "event_id", point(hours(), F.col("value")).alias("p")).alias("e"))
+    held = e.groupBy("user_id").agg(F.array_sort(F.collect_list("e")).alias("es"))
+    return held.select("user_id", F.transform("es", lambda s: s["p"]).alias("ring"))
+
+
+def r(c: Column, digits: int = 4) -> Column:
+    """Rounded, with a negative zero as zero."""
+    return F.round(c, digits) + 0.0
+
+
+# Boxes and points.
+
+
+@query("SELECT l_returnflag AS flag, min(l_quantity) AS xmin, min(l_extendedprice) AS ymin, max(l_quantity) AS xmax, max(l_extendedprice) AS ymax FROM lineitem GROUP BY 1")
+def extent_by_flag(spark, d):
+    e = table(spark, d, "lineitem").groupBy(F.col("l_returnflag").alias("flag")).agg(aggs.point_extent("l_quantity", "l_extendedprice").alias("b"))
+    return e.select("flag", "b.*")
+
+
+@query(f"WITH {BOXES} SELECT e.event_id AS id, b.id AS box_id FROM events e JOIN boxes b ON {HOURS} BETWEEN xmin AND xmax AND value BETWEEN ymin AND ymax")
+def point_in_box(spark, d):
+    return joins.point_in_box(events_points(spark, d).select("id", "p"), part_boxes(spark, d).select(F.col("id").alias("box_id"), "box"), 5.0)
+
+
+@query(f"WITH {BOXES} SELECT a.id AS a_id, b.id AS b_id FROM boxes a JOIN boxes b ON a.id < b.id AND a.xmin < b.xmax AND b.xmin < a.xmax AND a.ymin < b.ymax AND b.ymin < a.ymax")
+def box_overlap_self_join(spark, d):
+    b = part_boxes(spark, d)
+    return joins.box_join(b, b, 5.0, self_join=True)
+
+
+@query(
+    """WITH b AS (SELECT p_partkey AS id, p_size::DOUBLE AS x, p_retailprice - 900 AS y, (p_partkey % 7)::DOUBLE AS z, 1 + p_partkey % 3 AS s FROM part)
+SELECT a.id AS a_id, b.id AS b_id FROM b a JOIN b ON a.id < b.id AND a.x < b.x + b.s AND b.x < a.x + a.s AND a.y < b.y + b.s AND b.y < a.y + a.s AND a.z < b.z + b.s AND b.z < a.z + a.s"""
+)
+def box_collision_3d(spark, d):
+    from ..functions.types import box3
+
+    s = 1 + F.col("p_partkey") % 3
+    x, y, z = F.col("p_size").cast("double"), F.col("p_retailprice") - 900, (F.col("p_partkey") % 7).cast("double")
+    b = table(spark, d, "part").select(F.col("p_partkey").alias("id"), box3(x, y, z, x + s, y + s, z + s).alias("box"))
+    return joins.box_join_3d(b, b, 3.0, self_join=True)
+
+
+@query(
+    f"""WITH {BOXES} SELECT id, round((xmin + xmax) / 2, 4) AS cx, round((ymin + ymax) / 2, 4) AS cy, round((xmax - xmin) * (ymax - ymin), 4) AS area,
+xmin <= 10 AND 10 <= xmax AND ymin <= 10 AND 10 <= ymax AS holds, round(greatest(xmin, 20), 4) AS near_x, round(greatest(0, least(xmax, 25) - greatest(xmin, 20)), 4) AS overlap FROM boxes"""
+)
+def box_measures(spark, d):
+    b = F.col("box")
+    c = shapes.box_center(b)
+    overlap = F.greatest(F.lit(0.0), F.least(b["xmax"], F.lit(25.0)) - F.greatest(b["xmin"], F.lit(20.0)))
+    return part_boxes(spark, d).select("id", r(c["x"]).alias("cx"), r(c["y"]).alias("cy"), r(shapes.box_area(b)).alias("area"), shapes.box_contains_point(b, point(10, 10)).alias("holds"), r(F.greatest(b["xmin"], F.lit(20.0))).alias("near_x"), r(overlap).alias("overlap"))
+
+
+@query(
+    f"""WITH {BOXES}, q AS (SELECT *, (SELECT struct_pack(xmin := 10.0, ymin := 10.0, xmax := 30.0, ymax := 60.0)) AS o FROM boxes)
+SELECT id, round(least(xmin, 10), 4) AS ux0, round(least(ymin, 10), 4) AS uy0, round(greatest(xmax, 30), 4) AS ux1, round(greatest(ymax, 60), 4) AS uy1,
+CASE WHEN xmin <= 30 AND 10 <= xmax AND ymin <= 60 AND 10 <= ymax THEN round((least(xmax, 30) - greatest(xmin, 10)) * (least(ymax, 60) - greatest(ymin, 10)), 4) END AS common,
+10 <= xmin AND xmax <= 30 AND 10 <= ymin AND ymax <= 60 AS inside FROM q"""
+)
+def box_algebra(spark, d):
+    b, o = F.col("box"), box(10, 10, 30, 60)
+    u, i = shapes.box_union(b, o), shapes.box_intersection(b, o)
+    return part_boxes(spark, d).select("id", r(u["xmin"]).alias("ux0"), r(u["ymin"]).alias("uy0"), r(u["xmax"]).alias("ux1"), r(u["ymax"]).alias("uy1"), r(shapes.box_area(i)).alias("common"), shapes.box_contains(o, b).alias("inside"))
+
+
+@query(
+    """SELECT c.c_custkey AS a_id, s.s_suppkey AS b_id, round((c_acctbal - s_acctbal) * (c_acctbal - s_acctbal) + (c_nationkey - s_nationkey) * (c_nationkey - s_nationkey), 4) AS d2
+FROM customer c JOIN supplier s ON (c_acctbal - s_acctbal) * (c_acctbal - s_acctbal) + (c_nationkey - s_nationkey) * (c_nationkey - s_nationkey) <= 400"""
+)
+def radius_join_2d(spark, d):
+    c = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), point("c_acctbal", "c_nationkey").alias("p"))
+    s = table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), point("s_acctbal", "s_nationkey").alias("p"))
+    return joins.radius_join(c, s, 20.0).select("a_id", "b_id", r(F.col("d2")).alias("d2"))
+
+
+VECS = "v AS (SELECT vec_id AS id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings)"
+D2 = "list_sum(list_transform(list_zip(a.v, b.v), lambda t: (t[1] - t[2]) * (t[1] - t[2])))"
+
+
+def vecs(spark, d) -> DataFrame:
+    return table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("v"))
+
+
+@query(f"WITH {VECS} SELECT a_id, b_id, round(d2, 6) AS d2 FROM (SELECT a.id AS a_id, b.id AS b_id, {D2} AS d2 FROM v a JOIN v b ON a.id < b.id) WHERE d2 <= 1.2769")
+def radius_join_vec(spark, d):
+    v = vecs(spark, d)
+    return joins.radius_vectors(v, v, 1.13).select("a_id", "b_id", r(F.col("d2"), 6).alias("d2"))
+
+
+@query(
+    f"""WITH {VECS} SELECT q_id, rank::INTEGER AS rank, id, round(d2, 6) AS d2 FROM (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY d2, id) AS rank FROM (
+SELECT a.id AS q_id, b.id AS id, {D2} AS d2 FROM v a JOIN v b ON a.id <> b.id WHERE a.id % 50 = 0)) WHERE rank <= 7"""
+)
+def knn_vec(spark, d):
+    v = vecs(spark, d)
+    return joins.knn_vectors(v.where("id % 50 = 0").select(F.col("id").alias("q_id"), F.col("v").alias("q")), v, 7).select("q_id", "rank", "id", r(F.col("d2"), 6).alias("d2"))
+
+
+@query(
+    """SELECT q_id, rank::INTEGER AS rank, id, round(d2, 4) AS d2 FROM (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY d2, id) AS rank FROM (
+SELECT s_suppkey AS q_id, c_custkey AS id, (c_acctbal - s_acctbal) * (c_acctbal - s_acctbal) + 10000.0 * (c_nationkey - s_nationkey) * (c_nationkey - s_nationkey) AS d2 FROM supplier, customer)) WHERE rank <= 5"""
+)
+def knn_2d(spark, d):
+    s = table(spark, d, "supplier").select(F.col("s_suppkey").alias("q_id"), point("s_acctbal", F.col("s_nationkey") * 100.0).alias("q"))
+    c = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), point("c_acctbal", F.col("c_nationkey") * 100.0).alias("p"))
+    return joins.knn_2d(s, c, 5, 200.0).select("q_id", "rank", "id", r(F.col("d2")).alias("d2"))
+
+
+# Grids.
+
+
+@query("SELECT floor(l_quantity / 5)::BIGINT AS gx, floor((l_extendedprice - 1000) / 2500)::BIGINT AS gy, count(*) AS n FROM lineitem GROUP BY 1, 2")
+def rasterize_points(spark, d):
+    cell = grid.rasterize_point(point("l_quantity", "l_extendedprice"), 5.0, 2500.0, (0.0, 1000.0))
+    return table(spark, d, "lineitem").select(cell.alias("c")).groupBy("c.gx", "c.gy").agg(F.count(F.lit(1)).alias("n"))
+
+
+DENSITY = f"""{BOXES}, cells AS (SELECT id, gx, gy, greatest(0, least(xmax, gx * 10 + 10) - greatest(xmin, gx * 10)) * greatest(0, least(ymax, gy * 10 + 10) - greatest(ymin, gy * 10)) / 100 AS ratio
+FROM boxes, range(0, 7) t(gx), range(0, 12) u(gy)), density AS (SELECT gx, gy, sum(ratio) AS value FROM cells WHERE ratio > 0 GROUP BY gx, gy)"""
+
+
+@query(f"WITH {DENSITY} SELECT gx::BIGINT AS gx, gy::BIGINT AS gy, round(value, 4) AS value FROM density")
+def grid_density(spark, d):
+    g = grid.box_density(part_boxes(spark, d), F.col("box"), 10.0, 10.0)
+    return g.where("value > 0").select("gx", "gy", r(F.col("value")).alias("value"))
+
+
+@query(f"WITH {DENSITY} SELECT gx::BIGINT AS gx, gy::BIGINT AS gy, round(value, 4) AS value FROM density ORDER BY round(value, 6) DESC, gx, gy LIMIT 1")
+def argmax_cell(spark, d):
+    g = grid.box_density(part_boxes(spark, d), F.col("box"), 10.0, 10.0).withColumn("value", F.round("value", 6))
+    return grid.peak(g).select("gx", "gy", r(F.col("value")).alias("value"))
+
+
+@query(f"WITH {BOXES}, t AS (SELECT id, (xmax - xmin) * (ymax - ymin) / 2 AS area FROM boxes) SELECT id, round(area / 4, 4) AS ratio FROM t")
+def triangle_cells(spark, d):
+    """The shares of a triangle's cells add up to its area in cells."""
+    b = F.col("box")
+    t = part_boxes(spark, d).withColumn("tri", ring(point(b["xmin"], b["ymin"]), point(b["xmax"], b["ymin"]), point(b["xmax"], b["ymax"])))
+    return grid.ring_cells(t, F.col("tri"), 2.0, 2.0).groupBy("id").agg(r(F.sum("ratio")).alias("ratio"))
+
+
+@query(
+    f"""WITH {BOXES}, c AS (SELECT gx, gy, sum((greatest(0, least(xmax, gx * 4 + 4) - greatest(xmin, gx * 4)) * greatest(0, least(ymax, gy * 4 + 4) - greatest(ymin, gy * 4))
+ - greatest(0, least(xmax - 0.25, gx * 4 + 4) - greatest(xmin + 0.25, gx * 4)) * greatest(0, least(ymax - 0.25, gy * 4 + 4) - greatest(ymin + 0.25, gy * 4))) / 16) AS value FROM boxes, range(0, 16) t(gx), range(0, 28) u(gy) GROUP BY 1, 2)
+SELECT gx::BIGINT AS gx, gy::BIGINT AS gy, round(value + 1e-7, 3) AS value FROM c WHERE value > 0.01"""
+)
+def hole_density(spark, d):
+    """Frames: boxes with a hole take the hole's share off."""
+    b = F.col("box")
+    q = 0.25
+    hole = box(b["xmin"] + q, b["ymin"] + q, b["xmax"] - q, b["ymax"] - q)
+    rows = part_boxes(spark, d).select(F.explode(F.array(F.struct(shapes.box_ring(b).alias("ring"), F.lit(False).alias("hole")), F.struct(shapes.box_ring(hole).alias("ring"), F.lit(True).alias("hole")))).alias("s")).select("s.*")
+    g = grid.density(rows, F.col("ring"), F.col("hole"), 4.0, 4.0)
+    return g.where("value > 0.01").select("gx", "gy", r(F.col("value") + 1e-7, 3).alias("value"))
+
+
+@query(
+    f"""WITH {SEGMENTS}, c AS (SELECT id, trunc(x1 / 6)::BIGINT AS a, trunc(y1 / 4)::BIGINT AS b, trunc(x2 / 6)::BIGINT - trunc(x1 / 6)::BIGINT AS dx, trunc(y2 / 4)::BIGINT - trunc(y1 / 4)::BIGINT AS dy FROM segs),
+n AS (SELECT *, greatest(abs(dx), abs(dy)) AS n FROM c), s AS (SELECT *, unnest(range(n)) AS i FROM n WHERE n > 0)
+SELECT a + sign(dx)::BIGINT * ceil((2 * i * abs(dx) - n)::DOUBLE / (2 * n))::BIGINT AS gx, b + sign(dy)::BIGINT * ceil((2 * i * abs(dy) - n)::DOUBLE / (2 * n))::BIGINT AS gy, count(*) AS n FROM s GROUP BY 1, 2"""
+)
+def rasterize_segments(spark, d):
+    cells = grid.rasterize_segment(F.col("seg.s"), F.col("seg.e"), 6.0, 4.0)
+    return user_segments(spark, d).select(F.explode(cells).alias("c")).groupBy("c.gx", "c.gy").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    """WITH q AS (SELECT greatest(0, least(7, ceil(l_quantity / 51 * 8)::BIGINT - 1)) AS gx, greatest(0, least(7, ceil(l_extendedprice / 120000 * 8)::BIGINT - 1)) AS gy FROM lineitem),
+b AS (SELECT *, unnest([2, 1, 0]) AS k FROM q), d AS (SELECT gx, gy, k, (gx >> k) & 1 AS x, (gy >> k) & 1 AS y FROM b)
+SELECT key, count(*) AS n FROM (SELECT (CASE WHEN (gx >> 2) & 1 = 0 AND (gy >> 2) & 1 = 0 THEN '0' WHEN (gx >> 2) & 1 = 1 AND (gy >> 2) & 1 = 0 THEN '1' WHEN (gx >> 2) & 1 = 1 THEN '2' ELSE '3' END)
+ || (CASE WHEN (gx >> 1) & 1 = 0 AND (gy >> 1) & 1 = 0 THEN '0' WHEN (gx >> 1) & 1 = 1 AND (gy >> 1) & 1 = 0 THEN '1' WHEN (gx >> 1) & 1 = 1 THEN '2' ELSE '3' END)
+ || (CASE WHEN gx & 1 = 0 AND gy & 1 = 0 THEN '0' WHEN gx & 1 = 1 AND gy & 1 = 0 THEN '1' WHEN gx & 1 = 1 THEN '2' ELSE '3' END) AS key FROM q) GROUP BY key"""
+)
+def quad_keys(spark, d):
+    key = grid.quad_key(F.col("l_quantity"), F.col("l_extendedprice"), 0.0, 0.0, 51.0, 120000.0, 3)
+    return table(spark, d, "lineitem").groupBy(key.alias("key")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query()
+def quad_tree(spark, d):
+    """Leaves of a quadtree over events, with the number of objects in each."""
+    t = grid.quad_tree(events_points(spark, d).select("id", "p"), (0.0, 0.0, 9000.0, 500.0), 50, 8)
+    return t.groupBy("leaf").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query()
+def str_tiles(spark, d):
+    return grid.str_tiles(part_boxes(spark, d), 16).groupBy("tile").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    f"""WITH {SEGMENTS}, l AS (SELECT id, sqrt((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1)) AS d FROM segs)
+SELECT id, CASE WHEN d > 100 THEN pow(2, ceil(log2(d / 100))) ELSE 1 END::BIGINT AS parts, round(d, 4) AS total FROM l"""
+)
+def split_edges(spark, d):
+    s = grid.split_long_edges(user_segments(spark, d), 100.0)
+    return s.groupBy("id").agg(F.count(F.lit(1)).alias("parts"), r(F.sum(vectors.distance(F.col("seg.s"), F.col("seg.e")))).alias("total"))
+
+
+# Duplicates, topology, graphs.
+
+
+@query(
+    f"""WITH c AS (SELECT event_id AS id, floor({HOURS} / 24) AS cx, floor(value / 10) AS cy FROM events)
+SELECT id, min(id) OVER (PARTITION BY cx, cy) AS keep FROM c"""
+)
+def dedup_points(spark, d):
+    p = table(spark, d, "events").select(F.col("event_id").alias("id"), point(hours() / 2.4, F.col("value")).alias("p"))
+    return aggs.find_duplicates(p, 10.0)
+
+
+@query(
+    f"""WITH c AS (SELECT event_id AS id, user_id, ts, floor({HOURS} / 24) AS cx, floor(value / 10) AS cy FROM events), k AS (SELECT *, min(id) OVER (PARTITION BY cx, cy) AS keep FROM c),
+e AS (SELECT keep AS s, lead(keep) OVER (PARTITION BY user_id ORDER BY ts, id) AS d FROM k) SELECT least(s, d) AS src, greatest(s, d) AS dst, count(*) AS n FROM e WHERE d IS NOT NULL AND s <> d GROUP BY 1, 2"""
+)
+def remap_edges(spark, d):
+    p = table(spark, d, "events").select(F.col("event_id").alias("id"), point(hours() / 2.4, F.col("value")).alias("p"))
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    e = table(spark, d, "events").select(F.col("event_id").alias("src"), F.lead("event_id").over(w).alias("dst")).where("dst is not null")
+    return aggs.remap_edges(e, aggs.find_duplicates(p, 10.0)).groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT DISTINCT least(l_suppkey, l_partkey) AS src, greatest(l_suppkey, l_partkey) AS dst FROM lineitem")
+def topology_edges(spark, d):
+    return aggs.edge_set(table(spark, d, "lineitem").select(F.col("l_suppkey").alias("src"), F.col("l_partkey").alias("dst")))
+
+
+@query(f"WITH {SEGMENTS}, p AS (SELECT x1 AS x, y1 AS y FROM segs UNION SELECT x2, y2 FROM segs) SELECT (SELECT count(*) FROM p) AS points, (SELECT count(*) FROM (SELECT DISTINCT least((x1, y1), (x2, y2)), greatest((x1, y1), (x2, y2)) FROM segs WHERE (x1, y1) <> (x2, y2))) AS edges")
+def extract_topology(spark, d):
+    points, edges = aggs.extract_topology(user_segments(spark, d))
+    return points.agg(F.count(F.lit(1)).alias("points")).crossJoin(edges.agg(F.count(F.lit(1)).alias("edges")))
+
+
+EDGES = f"{VECS}, edges AS (SELECT src, dst FROM (SELECT a.id AS src, b.id AS dst, {D2} AS d2 FROM v a JOIN v b ON a.id < b.id) WHERE d2 <= 1.2769)"
+
+
+@query(
+    f"""WITH RECURSIVE {EDGES}, both_ways AS MATERIALIZED (SELECT src, dst FROM edges UNION SELECT dst, src FROM edges),
+reach AS (SELECT id, id AS other FROM v UNION SELECT reach.id, dst FROM reach JOIN both_ways ON src = other) SELECT id, min(other) AS component FROM reach GROUP BY id"""
+)
+def connected_components(spark, d):
+    v = vecs(spark, d)
+    e = joins.radius_vectors(v, v, 1.13).select(F.col("a_id").alias("src"), F.col("b_id").alias("dst"))
+    return graph.connected_components(v.select("id"), e)
+
+
+@query(f"WITH RECURSIVE {EDGES}, both_ways AS MATERIALIZED (SELECT src, dst FROM edges UNION SELECT dst, src FROM edges), reach AS (SELECT 0::BIGINT AS id UNION SELECT dst FROM reach JOIN both_ways ON src = id) SELECT id FROM reach")
+def reachable(spark, d):
+    v = vecs(spark, d)
+    e = joins.radius_vectors(v, v, 1.13).select(F.col("a_id").alias("src"), F.col("b_id").alias("dst"))
+    return graph.reachable(e, spark.range(1).select("id"))
+
+
+@query("SELECT id, count(*) AS degree FROM (SELECT l_suppkey AS id FROM lineitem UNION ALL SELECT l_partkey + 1000000 FROM lineitem) GROUP BY id")
+def degrees(spark, d):
+    return graph.degrees(table(spark, d, "lineitem").select(F.col("l_suppkey").alias("src"), (F.col("l_partkey") + 1000000).alias("dst")))
+
+
+@query("SELECT o_orderkey AS edge_id, o_custkey AS src, o_custkey % 97 AS dst FROM orders WHERE o_custkey <> 7 AND o_custkey % 97 <> 7")
+def remove_node(spark, d):
+    e = table(spark, d, "orders").select(F.col("o_orderkey").alias("edge_id"), F.col("o_custkey").alias("src"), (F.col("o_custkey") % 97).alias("dst"))
+    return graph.remove_node(e.select(F.col("src").alias("id")), e, 7)[1]
+
+
+# Segments and polygons.
+
+
+@query(
+    f"""WITH {SEGMENTS}, o AS (SELECT a.id AS a_id, b.id AS b_id, (a.x2 - a.x1) * (b.y1 - a.y1) - (a.y2 - a.y1) * (b.x1 - a.x1) AS o1, (a.x2 - a.x1) * (b.y2 - a.y1) - (a.y2 - a.y1) * (b.x2 - a.x1) AS o2,
+(b.x2 - b.x1) * (a.y1 - b.y1) - (b.y2 - b.y1) * (a.x1 - b.x1) AS o3, (b.x2 - b.x1) * (a.y2 - b.y1) - (b.y2 - b.y1) * (a.x2 - b.x1) AS o4
+FROM segs a JOIN segs b ON a.id < b.id AND least(a.x1, a.x2) <= greatest(b.x1, b.x2) AND least(b.x1, b.x2) <= greatest(a.x1, a.x2) AND least(a.y1, a.y2) <= greatest(b.y1, b.y2) AND least(b.y1, b.y2) <= greatest(a.y1, a.y2))
+SELECT a_id, b_id FROM o WHERE sign(o1) * sign(o2) < 0 AND sign(o3) * sign(o4) < 0"""
+)
+def segment_crossings(spark, d):
+    return joins.segment_crossings(user_segments(spark, d), 100.0, touch=False).select("a_id", "b_id")
+
+
+@query(f"WITH {SEGMENTS} SELECT id, round(sqrt((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1)), 4) AS length FROM segs")
+def segment_lengths(spark, d):
+    return user_segments(spark, d).select("id", r(vectors.distance(F.col("seg.s"), F.col("seg.e"))).alias("length"))
+
+
+@query(
+    f"""WITH e AS (SELECT user_id, {HOURS} AS x, value AS y, row_number() OVER w AS k, lead({HOURS}) OVER w AS x2, lead(value) OVER w AS y2, first_value({HOURS}) OVER w AS fx, first_value(value) OVER w AS fy
+FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))
+SELECT user_id, CASE WHEN count(*) < 3 THEN 0 ELSE round(sum(x * coalesce(y2, fy) - coalesce(x2, fx) * y) / 2, 3) END AS area FROM e GROUP BY user_id"""
+)
+def polygon_area(spark, d):
+    return user_rings(spark, d).select("user_id", r(shapes.signed_area(F.col("ring")), 3).alias("area"))
+
+
+POLYS = [(0, [(0, 0), (2000, 0), (2000, 60), (1000, 20), (0, 60)], [[(200, 5), (400, 5), (400, 15), (200, 15)]]), (1, [(1500, 10), (6000, 10), (4000, 90)], []), (2, [(3000, 0), (9000, 0), (9000, 40), (3000, 40)], [[(5000, 10), (7000, 10), (7000, 30), (5000, 30)]])]
+
+
+def _poly_rows(spark) -> DataFrame:
+    rows = [(k, ([{"x": float(x), "y": float(y)} for x, y in o], [[{"x": float(x), "y": float(y)} for x, y in h] for h in hs])) for k, o, hs in POLYS]
+    return spark.createDataFrame(rows, "poly_id int, polygon struct<outline:array<struct<x:double,y:double>>,holes:array<array<struct<x:double,y:double>>>>")
+
+
+def _poly_edges() -> str:
+    rows = []
+    for k, o, hs in POLYS:
+        for j, rg in enumerate([o, *hs]):
+            rows += [f"({k}, {j}, {a}::DOUBLE, {b}::DOUBLE, {c}::DOUBLE, {e}::DOUBLE)" for (a, b), (c, e) in zip(rg, rg[1:] + rg[:1])]
+    return "edge(poly_id, ring, x1, y1, x2, y2) AS (VALUES " + ", ".join(rows) + ")"
+
+
+@query(
+    f"""WITH {_poly_edges()}, pts AS (SELECT event_id AS id, {HOURS} AS x, value AS y FROM events),
+odd AS (SELECT id, poly_id, ring, sum(CASE WHEN (y1 > y) <> (y2 > y) AND x < (x2 - x1) * (y - y1) / (CASE WHEN y2 = y1 THEN 1 ELSE y2 - y1 END) + x1 THEN 1 ELSE 0 END) % 2 AS inside,
+max(CASE WHEN (x2 - x1) * (y - y1) - (y2 - y1) * (x - x1) = 0 AND x BETWEEN least(x1, x2) AND greatest(x1, x2) AND y BETWEEN least(y1, y2) AND greatest(y1, y2) THEN 1 ELSE 0 END) AS edge FROM pts, edge GROUP BY 1, 2, 3)
+SELECT id, poly_id::INTEGER AS poly_id FROM odd GROUP BY 1, 2 HAVING max(CASE WHEN ring = 0 THEN greatest(inside, edge) ELSE 0 END) = 1 AND max(CASE WHEN ring > 0 AND edge = 0 THEN inside ELSE 0 END) = 0"""
+)
+def point_in_polygon(spark, d):
+    return joins.point_in_polygon(events_points(spark, d).select("id", "p"), _poly_rows(spark), 500.0)
+
+
+@query(
+    f"""WITH {BOXES}, c AS (SELECT *, id % 4 AS layer FROM boxes WHERE id <= 400)
+SELECT a.id AS a_id, b.id AS b_id FROM c a JOIN c b ON a.id < b.id AND (a.layer = b.layer OR abs(a.layer - b.layer) = 1) AND a.xmin <= b.xmax AND b.xmin <= a.xmax AND a.ymin <= b.ymax AND b.ymin <= a.ymax"""
+)
+def layered_connectivity(spark, d):
+    o = part_boxes(spark, d).where("id <= 400").select("id", (F.col("id") % 4).alias("layer"), polygon(shapes.box_ring(F.col("box"))).alias("polygon"))
+    layers = spark.createDataFrame([(0, 1), (1, 2), (2, 3)], "layer1 long, layer2 long")
+    return joins.layered_connectivity(o, layers, 5.0)
+
+
+@query(
+    f"""WITH {BOXES}, c AS (SELECT *, id % 2 AS layer FROM boxes), w AS (SELECT s_suppkey AS wire, 1 + s_suppkey % 50 AS x, 50.0 AS y1, 60.0 AS y2 FROM supplier),
+e AS (SELECT wire, x, y1 AS y, 0 AS layer FROM w UNION ALL SELECT wire, x, y2, 1 FROM w),
+h AS (SELECT DISTINCT wire, id FROM e JOIN c ON e.layer = c.layer AND x BETWEEN xmin AND xmax AND y BETWEEN ymin AND ymax),
+p AS (SELECT id AS a_id, lead(id) OVER (PARTITION BY x ORDER BY id) AS b_id FROM (SELECT DISTINCT x, id FROM h JOIN w USING (wire)))
+SELECT a_id, b_id FROM p WHERE b_id IS NOT NULL GROUP BY 1, 2"""
+)
+def jumpwire_connect(spark, d):
+    o = part_boxes(spark, d).select("id", (F.col("id") % 2).alias("layer"), polygon(shapes.box_ring(F.col("box"))).alias("polygon"))
+    x = 1 + F.col("s_suppkey") % 50
+    w = table(spark, d, "supplier").select(F.lit(0).cast("long").alias("layer1"), F.lit(1).cast("long").alias("layer2"), segment(point(x, 50.0), point(x, 60.0)).alias("segment")).distinct()
+    return joins.jumpwire_edges(o, w, 5.0).distinct()
+
+
+UNION_AREA = f"""{BOXES}, xs AS (SELECT prop, x AS s0, lead(x) OVER (PARTITION BY prop ORDER BY x) AS s1 FROM (SELECT prop, xmin AS x FROM boxes UNION SELECT prop, xmax FROM boxes)),
+cut AS (SELECT b.prop, s0, s1, ymin, ymax, max(ymax) OVER (PARTITION BY b.prop, s0 ORDER BY ymin, ymax ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top FROM boxes b JOIN xs ON b.prop = xs.prop AND xmin <= s0 AND xmax >= s1 WHERE s1 IS NOT NULL)
+SELECT prop, round(sum(greatest(0, ymax - greatest(ymin, coalesce(top, '-infinity'::DOUBLE))) * (s1 - s0)), 3) AS area FROM cut GROUP BY prop"""
+
+
+@query(f"WITH {UNION_AREA}")
+def box_union_area(spark, d):
+    return polygons.box_union_area(part_boxes(spark, d), ["prop"]).select("prop", r(F.col("area"), 3).alias("area"))
+
+
+@query(f"WITH {UNION_AREA}")
+def polygon_merge_area(spark, d):
+    """The same by the scan-line clipper: polygons of a property merged by tiles, then as a whole."""
+    p = part_boxes(spark, d).select("prop", polygon(shapes.box_ring(F.col("box"))).alias("polygon"))
+    return polygons.merge_by_property(p, "prop", 20.0).groupBy("prop").agg(r(F.sum(shapes.polygon_area(F.col("polygon"))), 3).alias("area"))
+
+
+def _cells_area(condition: str) -> str:
+    return f"""WITH {BOXES}, s AS (SELECT *, id % 2 AS side FROM boxes), xs AS (SELECT prop, x AS x0, lead(x) OVER (PARTITION BY prop ORDER BY x) AS x1 FROM (SELECT prop, xmin AS x FROM s UNION SELECT prop, xmax FROM s)),
+ys AS (SELECT prop, y AS y0, lead(y) OVER (PARTITION BY prop ORDER BY y) AS y1 FROM (SELECT prop, ymin AS y FROM s UNION SELECT prop, ymax FROM s)),
+c AS (SELECT s.prop, x0, x1, y0, y1, max(CASE WHEN side = 0 THEN 1 ELSE 0 END) AS a, max(CASE WHEN side = 1 THEN 1 ELSE 0 END) AS b FROM s JOIN xs ON s.prop = xs.prop AND xmin <= x0 AND x1 <= xmax JOIN ys ON s.prop = ys.prop AND ymin <= y0 AND y1 <= ymax GROUP BY 1, 2, 3, 4, 5)
+SELECT prop, round(sum((x1 - x0) * (y1 - y0)), 3) AS area FROM c WHERE {condition} GROUP BY prop"""
+
+
+def _boolean_area(spark, d, operation: str) -> DataFrame:
+    p = part_boxes(spark, d).select("prop", (F.col("id") % 2).alias("side"), polygon(shapes.box_ring(F.col("box"))).alias("polygon"))
+    return polygons.boolean(p, ["prop"], operation, side="side").groupBy("prop").agg(r(F.sum(shapes.polygon_area(F.col("polygon"))), 3).alias("area"))
+
+
+@query(_cells_area("a = 1 AND b = 1"))
+def polygon_intersection_area(spark, d):
+    return _boolean_area(spark, d, "intersection")
+
+
+@query(_cells_area("a = 1 AND b = 0"))
+def polygon_difference_area(spark, d):
+    return _boolean_area(spark, d, "difference")
+
+
+@query(_cells_area("a <> b"))
+def polygon_xor_area(spark, d):
+    return _boolean_area(spark, d, "xor")
+
+
+@query()
+def convex_hull_area(spark, d):
+    h = polygons.convex_hull(events_points(spark, d).select("event_type", "p"), ["event_type"])
+    return h.select("event_type", r(shapes.signed_area(F.col("hull")), 3).alias("area"))
+
+
+@query()
+def delaunay_triangles(spark, d):
+    """Customers of a nation by balance and key: how many triangles, and their area."""
+    p = table(spark, d, "customer").select(F.col("c_nationkey").alias("nation"), F.col("c_custkey").alias("id"), point("c_acctbal", F.col("c_custkey") % 1009).alias("p"))
+    p = p.withColumn("tile", F.floor(F.col("p.x") / 500).cast("int"))
+    t = mesh.triangulate(p, ["nation", "tile"])
+    return mesh.triangle_rows(t, p.select("id", "p")).groupBy("nation").agg(F.count(F.lit(1)).alias("n"), r(F.sum(shapes.triangle_area(F.col("tri"))), 2).alias("area"))
+
+
+# Projections.
+
+
+@query("SELECT l_orderkey, l_linenumber, round(0.8 * l_quantity - 0.6 * l_tax * 100 + 3, 4) AS x, round(0.6 * l_quantity + 0.8 * l_tax * 100 - 2, 4) AS y FROM lineitem")
+def affine_transform(spark, d):
+    m = transform.Affine.shift(3.0, -2.0) @ transform.Affine(((0.8, -0.6, 0.0), (0.6, 0.8, 0.0)))
+    p = m.point(point("l_quantity", F.col("l_tax") * 100))
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", r(p["x"]).alias("x"), r(p["y"]).alias("y"))
+
+
+TRI = "t AS (SELECT p_partkey AS id, p_size::DOUBLE AS ax, (p_partkey % 11)::DOUBLE AS ay, p_size + 3.0 + p_partkey % 4 AS bx, (p_partkey % 5)::DOUBLE AS b_y, p_size + 1.0 AS cx, 20.0 + p_partkey % 7 AS cy FROM part)"
+
+
+def part_triangles(spark, d) -> DataFrame:
+    k, s = F.col("p_partkey"), F.col("p_size").cast("double")
+    return table(spark, d, "part").select(k.alias("id"), triangle(point(s, k % 11), point(s + 3 + k % 4, k % 5), point(s + 1, 20 + k % 7)).alias("tri"))
+
+
+@query(
+    f"""WITH {TRI}, q AS (SELECT *, bx - ax AS ux, b_y - ay AS uy, cx - ax AS vx, cy - ay AS vy FROM t), c AS (SELECT *, 2 * (ux * vy - uy * vx) AS det, ux * ux + uy * uy AS u2, vx * vx + vy * vy AS v2 FROM q)
+SELECT id, round(ax + (vy * u2 - uy * v2) / det, 4) AS x, round(ay + (ux * v2 - vx * u2) / det, 4) AS y, round(sqrt(pow((vy * u2 - uy * v2) / det, 2) + pow((ux * v2 - vx * u2) / det, 2)), 4) AS radius FROM c"""
+)
+def circumcircle(spark, d):
+    c = vectors.circumcircle(*[F.col("tri")[k] for k in ("p0", "p1", "p2")])
+    return part_triangles(spark, d).select("id", c.alias("c")).select("id", r(F.col("c.o.x")).alias("x"), r(F.col("c.o.y")).alias("y"), r(F.col("c.r")).alias("radius"))
+
+
+@query(
+    f"""WITH {TRI} SELECT id, round(CASE WHEN atan2(b_y - ay, bx - ax) < 0 THEN atan2(b_y - ay, bx - ax) + 2 * pi() ELSE atan2(b_y - ay, bx - ax) END, 6) AS angle,
+round(acos(((bx - ax) * (cx - ax) + (b_y - ay) * (cy - ay)) / (sqrt((bx - ax) * (bx - ax) + (b_y - ay) * (b_y - ay)) * sqrt((cx - ax) * (cx - ax) + (cy - ay) * (cy - ay)))), 6) AS inner_angle, round(abs((bx - ax) * (cy - ay) - (b_y - ay) * (cx - ax)) / 2, 6) AS area FROM t"""
+)
+def angles(spark, d):
+    t = F.col("tri")
+    u, v = vectors.sub(t["p1"], t["p0"]), vectors.sub(t["p2"], t["p0"])
+    return part_triangles(spark, d).select("id", r(vectors.angle(u), 6).alias("angle"), r(vectors.inner_angle(u, v), 6).alias("inner_angle"), r(shapes.triangle_area(t), 6).alias("area"))
+
+
+@query(
+    f"""WITH {TRI}, a AS (SELECT id, sqrt(pow(bx - cx, 2) + pow(b_y - cy, 2)) AS a, sqrt(pow(ax - cx, 2) + pow(ay - cy, 2)) AS b, sqrt(pow(ax - bx, 2) + pow(ay - b_y, 2)) AS c FROM t),
+m AS (SELECT acos((b * b + c * c - a * a) / (2 * b * c)) AS p, acos((a * a + c * c - b * b) / (2 * a * c)) AS q, acos((a * a + b * b - c * c) / (2 * a * b)) AS s FROM a)
+SELECT least(9, floor(least(p, q, s) / (pi() / 3) * 10))::INTEGER AS bin, count(*) AS n FROM m GROUP BY 1"""
+)
+def angle_histogram(spark, d):
+    return aggs.minimum_angle_histogram(part_triangles(spark, d))
+
+
+@query(
+    f"""WITH {SEGMENTS}, q AS (SELECT *, x2 - x1 AS dx, y2 - y1 AS dy FROM segs), k AS (SELECT *, greatest(0, least(1, ((1000 - x1) * dx + (50 - y1) * dy) / CASE WHEN dx * dx + dy * dy = 0 THEN 1 ELSE dx * dx + dy * dy END)) AS t FROM q)
+SELECT id, round(x1 + t * dx, 4) AS x, round(y1 + t * dy, 4) AS y, CASE WHEN dx * (50 - y1) - dy * (1000 - x1) > 0 THEN 1 WHEN dx * (50 - y1) - dy * (1000 - x1) < 0 THEN 2 ELSE 0 END::INTEGER AS side FROM k"""
+)
+def closest_points(spark, d):
+    p = point(1000, 50)
+    c = vectors.closest_on_segment(p, F.col("seg.s"), F.col("seg.e"))
+    return user_segments(spark, d).select("id", c.alias("c"), shapes.point_line_location(p, F.col("seg.s"), F.col("seg.e")).alias("side")).select("id", r(F.col("c.x")).alias("x"), r(F.col("c.y")).alias("y"), F.col("side").cast("int").alias("side"))
+
+
+@query(f"WITH {TRI} SELECT id, sign((bx - ax) * (cy - ay) - (b_y - ay) * (cx - ax))::INTEGER AS sign FROM t")
+def orientation_sign(spark, d):
+    t = part_triangles(spark, d).select("id", F.col("tri.p0").alias("a"), F.col("tri.p1").alias("b"), F.col("tri.p2").alias("c"))
+    return robust.sign(t, "orient2d", ["a", "b", "c"]).select("id", "sign")
+
+
+@query(f"WITH {TRI} SELECT id, round(cos(0.5) * ax - sin(0.5) * ay, 5) AS x, round(sin(0.5) * ax + cos(0.5) * ay, 5) AS y FROM t")
+def quaternion_rotate(spark, d):
+    q = vectors.quat_by_axis(point3(0, 0, 1), 0.5)
+    v = vectors.quat_rotate(q, point3(F.col("tri.p0.x"), F.col("tri.p0.y"), 0.0))
+    return part_triangles(spark, d).select("id", r(v["x"], 5).alias("x"), r(v["y"], 5).alias("y"))
+
+
+# Aggregates and series.
+
+
+@query("SELECT event_type AS key, round(avg(value), 6) AS mean, round(coalesce(var_samp(value), 0), 6) AS variance FROM events GROUP BY 1")
+def mean_variance(spark, d):
+    e = table(spark, d, "events").groupBy(F.col("event_type").alias("key")).agg(aggs.mean_and_variance("value").alias("m"))
+    return e.select("key", r(F.col("m.mean"), 6).alias("mean"), r(F.col("m.variance"), 6).alias("variance"))
+
+
+@query("SELECT event_type, greatest(0, least(19, floor(value / 100 * 20)))::INTEGER AS bin, count(*) AS n FROM events WHERE value IS NOT NULL GROUP BY 1, 2")
+def histogram_fixed(spark, d):
+    return aggs.histogram(table(spark, d, "events"), F.col("value"), 0.0, 100.0, 20, ["event_type"])
+
+
+@query(f"WITH {SERIES} SELECT key, round(regr_intercept(v, x / 1000), 4) AS c0, round(regr_slope(v, x / 1000), 4) AS c1 FROM series GROUP BY key")
+def polyfit1(spark, d):
+    s = series_rows(spark, d).groupBy("key").agg(aggs.poly_fit_columns(F.col("x") / 1000, F.col("v"), 1).alias("c"))
+    return s.select("key", r(F.col("c")[0]).alias("c0"), r(F.col("c")[1]).alias("c1"))
+
+
+@query(
+    f"""WITH {SERIES}, q AS (SELECT x / 1000 AS x, v FROM series), s AS (SELECT count(*)::DOUBLE AS s0, sum(x) AS s1, sum(x * x) AS s2, sum(x * x * x) AS s3, sum(x * x * x * x) AS s4, sum(v) AS t0, sum(v * x) AS t1, sum(v * x * x) AS t2 FROM q),
+m AS (SELECT *, s0 * (s2 * s4 - s3 * s3) - s1 * (s1 * s4 - s3 * s2) + s2 * (s1 * s3 - s2 * s2) AS det FROM s)
+SELECT round((t0 * (s2 * s4 - s3 * s3) - s1 * (t1 * s4 - s3 * t2) + s2 * (t1 * s3 - s2 * t2)) / det, 4) AS c0, round((s0 * (t1 * s4 - s3 * t2) - t0 * (s1 * s4 - s3 * s2) + s2 * (s1 * t2 - t1 * s2)) / det, 4) AS c1, round((s0 * (s2 * t2 - t1 * s3) - s1 * (s1 * t2 - t1 * s2) + t0 * (s1 * s3 - s2 * s2)) / det, 4) AS c2 FROM m"""
+)
+def polyfit2(spark, d):
+    c = aggs.poly_fit(series_rows(spark, d), F.col("x") / 1000, F.col("v"), 2)
+    return spark.range(1).select(*[r(F.lit(v)).alias(f"c{k}") for k, v in enumerate(c)])
+
+
+@query(
+    f"""WITH {SERIES}, f AS (SELECT *, first_value(v) OVER w AS a, last_value(v) OVER w AS z FROM series WINDOW w AS (PARTITION BY key ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))
+SELECT key, pos::INTEGER AS pos, round((v + coalesce(lag(v, 1) OVER k, a) + coalesce(lead(v, 1) OVER k, z) + coalesce(lag(v, 2) OVER k, a) + coalesce(lead(v, 2) OVER k, z)) / 5, 6) AS sma FROM f WINDOW k AS (PARTITION BY key ORDER BY pos)"""
+)
+def sma_clamped(spark, d):
+    return series.moving_average(series_rows(spark, d), ["key"], ["pos"], "v", 2).select("key", "pos", r(F.col("sma"), 6).alias("sma"))
+
+
+@query(
+    f"""WITH RECURSIVE {SERIES}, n AS (SELECT key, pos, v, coalesce(lead(v, 1) OVER k, z) AS v1, coalesce(lead(v, 2) OVER k, z) AS v2 FROM (SELECT *, last_value(v) OVER w AS z FROM series WINDOW w AS (PARTITION BY key ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) WINDOW k AS (PARTITION BY key ORDER BY pos)),
+m AS MATERIALIZED (SELECT * FROM n), s AS (SELECT key, pos, (3 * v + v1 + v2) / 5 AS s1, (3 * v + v1 + v2) / 5 AS s2 FROM m WHERE pos = 0 UNION ALL SELECT m.key, m.pos, (s1 + s2 + v + v1 + v2) / 5, s1 FROM s JOIN m ON m.key = s.key AND m.pos = s.pos + 1)
+SELECT key, pos::INTEGER AS pos, round(s1, 6) AS sma FROM s"""
+)
+def sma_recursive(spark, d):
+    return series.recursive_average(series_rows(spark, d), ["key"], ["pos"], "v", 2).select("key", "pos", r(F.col("sma"), 6).alias("sma"))
+
+
+@query("SELECT l_orderkey, l_linenumber, round(CASE WHEN q < 10 THEN 1 + (q - 1) * 2.0 / 9 WHEN q < 30 THEN 3 + (q - 10) * 7.0 / 20 ELSE 10 - (q - 30) * 5.0 / 15 END, 6) AS v FROM (SELECT *, greatest(1, least(45, l_quantity)) AS q FROM lineitem)")
+def lut_1d(spark, d):
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", r(series.lookup(F.col("l_quantity"), [1, 10, 30, 45], [1, 3, 10, 5]), 6).alias("v"))
+
+
+@query(
+    """WITH q AS (SELECT l_orderkey, l_linenumber, greatest(0, least(50, l_quantity)) / 50 AS a, greatest(0, least(0.1, l_discount)) / 0.1 AS b FROM lineitem)
+SELECT l_orderkey, l_linenumber, round((1 - a) * ((1 - b) * 1 + b * 2) + a * ((1 - b) * 4 + b * 8), 6) AS v FROM q"""
+)
+def lut_2d(spark, d):
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", r(series.lookup_2d(F.col("l_quantity"), F.col("l_discount"), [0, 50], [0, 0.1], [1, 2, 4, 8]), 6).alias("v"))
+
+
+SAMPLES = f"samples AS (SELECT key, x, v FROM (SELECT *, x <> lag(x, 1, -1) OVER (PARTITION BY key ORDER BY x, pos) AS fresh FROM (SELECT * FROM series WHERE pos % 10 = 0)) WHERE fresh)"
+
+
+def _samples(spark, d) -> DataFrame:
+    s = series_rows(spark, d).where("pos % 10 = 0")
+    w = Window.partitionBy("key").orderBy("x", "pos")
+    return s.withColumn("_before", F.lag("x", 1, -1.0).over(w)).where("x <> _before").select("key", "x", "v")
+
+
+@query(
+    f"""WITH {SERIES}, {SAMPLES}, p AS (SELECT key, x AS x1, v AS y1, lead(x) OVER w AS x2, lead(v) OVER w AS y2, lag(x) OVER w IS NULL AS is_first FROM samples WINDOW w AS (PARTITION BY key ORDER BY x)),
+g AS (SELECT *, CASE WHEN is_first THEN '-infinity'::DOUBLE ELSE x1 END AS at FROM p WHERE x2 IS NOT NULL)
+SELECT s.key, s.pos::INTEGER AS pos, round(y1 + (s.x - x1) * (y2 - y1) / (x2 - x1), 4) AS yq FROM series s ASOF JOIN g ON s.key = g.key AND s.x >= g.at"""
+)
+def interp_linear(spark, d):
+    pieces = series.linear_pieces(_samples(spark, d), ["key"], "x", "v")
+    return series.evaluate(series_rows(spark, d), pieces, ["key"], "x").select("key", "pos", r(F.col("yq")).alias("yq"))
+
+
+@query(
+    f"""WITH {SERIES}, {SAMPLES}, a AS (SELECT key, x, v, lead(x) OVER w - x AS h, (lead(v) OVER w - v) / (lead(x) OVER w - x) AS d FROM samples WINDOW w AS (PARTITION BY key ORDER BY x)),
+b AS (SELECT *, lag(h) OVER w AS h0, lag(d) OVER w AS d0, lead(h) OVER w AS h2, lead(d) OVER w AS d2, lag(h, 2) OVER w AS h00, lag(d, 2) OVER w AS d00 FROM a WINDOW w AS (PARTITION BY key ORDER BY x)),
+e AS (SELECT *, ((2 * h + h2) * d - h * d2) / (h + h2) AS ml, ((2 * h0 + h00) * d0 - h0 * d00) / (h0 + h00) AS mr FROM b),
+m AS (SELECT *, CASE WHEN d0 IS NULL THEN CASE WHEN d2 IS NULL THEN d WHEN sign(ml) <> sign(d) THEN 0 WHEN sign(d) <> sign(d2) AND abs(ml) > 3 * abs(d) THEN 3 * d ELSE ml END
+ WHEN d IS NULL THEN CASE WHEN d00 IS NULL THEN d0 WHEN sign(mr) <> sign(d0) THEN 0 WHEN sign(d0) <> sign(d00) AND abs(mr) > 3 * abs(d0) THEN 3 * d0 ELSE mr END
+ WHEN d0 * d <= 0 THEN 0 ELSE (3 * h + 3 * h0) / ((2 * h + h0) / d0 + (h + 2 * h0) / d) END AS m FROM e),
+p AS (SELECT key, x AS x1, v AS c0, h, d, m, lead(m) OVER w AS m1, lag(x) OVER w IS NULL AS is_first FROM m WINDOW w AS (PARTITION BY key ORDER BY x)),
+g AS (SELECT *, CASE WHEN is_first THEN '-infinity'::DOUBLE ELSE x1 END AS at, (3 * d - 2 * m - m1) / h AS c2, (m + m1 - 2 * d) / (h * h) AS c3 FROM p WHERE h IS NOT NULL)
+SELECT s.key, s.pos::INTEGER AS pos, round(c0 + (s.x - x1) * (m + (s.x - x1) * (c2 + (s.x - x1) * c3)), 3) AS yq FROM series s ASOF JOIN g ON s.key = g.key AND s.x >= g.at"""
+)
+def pchip(spark, d):
+    pieces = series.pchip_pieces(_samples(spark, d), ["key"], "x", "v")
+    return series.evaluate(series_rows(spark, d), pieces, ["key"], "x").select("key", "pos", r(F.col("yq"), 3).alias("yq"))
+
+
+@query()
+def cubic_spline(spark, d):
+    pieces = series.cubic_pieces(_samples(spark, d), ["key"], "x", "v")
+    return series.evaluate(series_rows(spark, d), pieces, ["key"], "x").select("key", "pos", r(F.col("yq"), 3).alias("yq"))
+
+
+@query(
+    """SELECT a.event_id, p.value AS last_value FROM events a ASOF LEFT JOIN (SELECT user_id, ts, value FROM (SELECT user_id, ts, value, row_number() OVER (PARTITION BY user_id, ts ORDER BY event_id DESC) AS k FROM events WHERE event_type = 'purchase') WHERE k = 1) p ON a.user_id = p.user_id AND a.ts >= p.ts"""
+)
+def asof_previous(spark, d):
+    e = table(spark, d, "events")
+    p = e.where("event_type = 'purchase'").select("user_id", "ts", F.col("value").alias("last_value"))
+    return joins.asof_previous(e.select("event_id", "user_id", "ts"), p, "ts", ["user_id"], ["last_value"]).select("event_id", "last_value")
+
+
+@query("SELECT i, j, round(sum(v), 4) AS v FROM (SELECT unnest([struct_pack(i := a, j := a, v := g), struct_pack(i := b, j := b, v := g), struct_pack(i := a, j := b, v := -g), struct_pack(i := b, j := a, v := -g)], recursive := true) FROM (SELECT l_suppkey AS a, l_partkey + 100000 AS b, l_quantity AS g FROM lineitem)) WHERE i <> 0 AND j <> 0 GROUP BY i, j")
+def stamp_matrix(spark, d):
+    dev = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("i"), (F.col("l_partkey") + 100000).alias("j"), F.col("l_quantity").alias("g"))
+    return circuit.stamp(dev).select("i", "j", r(F.col("v")).alias("v"))
+
+
+@query("WITH t AS (SELECT l_suppkey AS i, l_partkey AS j, l_quantity AS v FROM lineitem) SELECT floor(i * 16.0 / 2000)::BIGINT AS gx, floor(j * 16.0 / 30000)::BIGINT AS gy, round(avg(abs(v)), 4) AS value FROM t GROUP BY 1, 2")
+def pattern_view(spark, d):
+    t = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("i"), F.col("l_partkey").alias("j"), F.col("l_quantity").alias("v"))
+    return grid.pattern_view(t, 2000, 30000, 16).select("gx", "gy", r(F.col("value")).alias("value"))
+
+
+# Rays.
+
+RAY_TRI = "tr AS (SELECT p_partkey AS tri_id, p_size::DOUBLE AS ax, p_retailprice - 900 AS ay, (p_partkey % 13)::DOUBLE AS az, p_size + 6.0 AS bx, p_retailprice - 900 AS b_y, (p_partkey % 7)::DOUBLE AS bz, p_size::DOUBLE AS cx, p_retailprice - 894 AS cy, (p_partkey % 5)::DOUBLE AS cz FROM part)"
+
+
+def _rays(spark, d):
+    k, s, y = F.col("p_partkey"), F.col("p_size").cast("double"), F.col("p_retailprice") - 900
+    t = table(spark, d, "part").select(k.alias("tri_id"), triangle(point3(s, y, k % 13), point3(s + 6, y, k % 7), point3(s, F.col("p_retailprice") - 894, k % 5)).alias("tri"))
+    q = table(spark, d, "supplier").select(F.col("s_suppkey").alias("ray_id"), point3(F.col("s_suppkey") % 50 + 0.5, F.col("s_suppkey") % 97 + 0.25, 100.0).alias("o"), point3(0.01, 0.02, -1.0).alias("d"))
+    return q, t
+
+
+RAY_HITS = f"""{RAY_TRI}, ra AS (SELECT s_suppkey AS ray_id, s_suppkey % 50 + 0.5::DOUBLE AS ox, s_suppkey % 97 + 0.25::DOUBLE AS oy, 100.0::DOUBLE AS oz, 0.01::DOUBLE AS dx, 0.02::DOUBLE AS dy, (-1.0)::DOUBLE AS dz FROM supplier),
+e AS (SELECT *, bx - ax AS e1x, b_y - ay AS e1y, bz - az AS e1z, cx - ax AS e2x, cy - ay AS e2y, cz - az AS e2z, ox - ax AS sx, oy - ay AS sy, oz - az AS sz FROM ra, tr),
+h AS (SELECT *, dy * e2z - dz * e2y AS hx, dz * e2x - dx * e2z AS hy, dx * e2y - dy * e2x AS hz, sy * e1z - sz * e1y AS qx, sz * e1x - sx * e1z AS qy, sx * e1y - sy * e1x AS qz FROM e),
+k AS (SELECT *, e1x * hx + e1y * hy + e1z * hz AS det FROM h), m AS (SELECT ray_id, tri_id, (sx * hx + sy * hy + sz * hz) / det AS u, (dx * qx + dy * qy + dz * qz) / det AS v, (e2x * qx + e2y * qy + e2z * qz) / det AS t FROM k WHERE det <> 0),
+hits AS (SELECT * FROM m WHERE u >= 0 AND v >= 0 AND u + v <= 1 AND t >= 0)"""
+
+
+@query(f"WITH {RAY_HITS} SELECT ray_id, tri_id, round(t, 5) AS t FROM (SELECT *, row_number() OVER (PARTITION BY ray_id ORDER BY t, tri_id) AS k FROM hits) WHERE k = 1")
+def ray_first_hit(spark, d):
+    return joins.first_hits(*_rays(spark, d)).select("ray_id", "tri_id", r(F.col("t"), 5).alias("t"))
+
+
+@query(f"WITH {RAY_HITS} SELECT DISTINCT ray_id FROM hits")
+def ray_any_hit(spark, d):
+    return joins.any_hit(*_rays(spark, d)).select("ray_id")
+
+
+# Text, numbers, expressions, map/reduce.
+
+
+@query("SELECT p_partkey, regexp_matches(p_name, '^.*a.*e.*$') AS a, p_name LIKE '_o%' AS b FROM part")
+def wildcard(spark, d):
+    return table(spark, d, "part").select("p_partkey", text.wildcard("p_name", "*a*e*").alias("a"), text.wildcard("p_name", "?o*").alias("b"))
+
+
+@query("SELECT page_id, len(list_filter(string_split_regex(url, '[/?=&.:]'), lambda x: x <> '')) AS n, list_filter(string_split_regex(url, '[/?=&.:]'), lambda x: x <> '')[1] AS first FROM pages")
+def split_tokens(spark, d):
+    t = text.split("url", "/?=&.:")
+    return table(spark, d, "pages").select("page_id", F.size(t).cast("long").alias("n"), F.get(t, F.lit(0)).alias("first"))
+
+
+@query(r"SELECT doc_id, md5(regexp_replace(text, '^\s+|\s+$', '', 'g')) AS h FROM (SELECT doc_id, ' ' || chr(9) || substr(text, 1, 100) || chr(10) AS text FROM documents)")
+def trim_ws(spark, d):
+    t = F.concat(F.lit(" \t"), F.substring("text", 1, 100), F.lit("\n"))
+    return table(spark, d, "documents").select("doc_id", F.md5(text.trim(t)).alias("h"))
+
+
+@query("SELECT page_id, starts_with(url, 'https') AS a, lower(url) LIKE '%html' AS b, contains(lower(url), 'example.com') AS c FROM pages")
+def starts_ends(spark, d):
+    return table(spark, d, "pages").select("page_id", text.starts_with("url", "https").alias("a"), text.ends_with("url", "HTML", case=False).alias("b"), text.contains("url", "Example.COM", case=False).alias("c"))
+
+
+@query("SELECT page_id, regexp_extract(url, '^(.*)/[^/]*$', 1) AS dir, regexp_extract(url, '([^/]*)$', 1) AS file FROM pages")
+def path_parts(spark, d):
+    return table(spark, d, "pages").select("page_id", text.dir_name("url").alias("dir"), text.file_name("url").alias("file"))
+
+
+@query("SELECT doc_id FROM documents WHERE ((contains(text, 'the') AND NOT lang = 'en') <> (n_chars > 2000)) OR source = 'src1'")
+def bool_expr_filter(spark, d):
+    flags = {"the": F.col("text").contains("the"), "en": F.col("lang") == "en", "long": F.col("n_chars") > 2000, "src[1]": F.col("source") == "src1"}
+    return table(spark, d, "documents").where(boolexpr.compile_expression("the & !en ^ long | src[1]", flags.__getitem__)).select("doc_id")
+
+
+@query("WITH n AS (SELECT range AS n FROM range(2, 5000)), d AS (SELECT range AS d FROM range(2, 72)) SELECT n FROM n WHERE NOT EXISTS (SELECT 1 FROM d WHERE d * d <= n AND n % d = 0)")
+def mapreduce_primes(spark, d):
+    return mapreduce.primes(5000, spark)
+
+
+@query(r"SELECT key, count(*) AS n, max(l) AS longest FROM (SELECT lang AS key, len(w) AS l FROM (SELECT lang, unnest(list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS w FROM documents)) GROUP BY key")
+def mapreduce_wordcount(spark, d):
+    words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    emit = F.transform(words, lambda w: F.struct(F.col("lang").alias("key"), F.length(w).cast("long").alias("value")))
+    return mapreduce.map_reduce(table(spark, d, "documents"), emit, {"n": lambda v: F.count(F.lit(1)), "longest": F.max})
+
+
+@query("SELECT o_custkey % 10 AS key, sum(o_orderkey % 7)::BIGINT AS total FROM orders GROUP BY 1")
+def mapreduce_python(spark, d):
+    o = table(spark, d, "orders").select("o_custkey", "o_orderkey")
+    return mapreduce.map_reduce_python(o, lambda row: [(row["o_custkey"] % 10, row["o_orderkey"] % 7)], lambda k, vs: [(k, sum(vs))], ("long", "long"), "key long, total long")
+
+
+@query()
+def xor_hash(spark, d):
+    return table(spark, d, "orders").groupBy("o_orderstatus").agg(aggs.unordered_hash(F.col("o_orderkey")).alias("hash"))
+
+
+@query()
+def ordered_hash(spark, d):
+    return aggs.ordered_hash(table(spark, d, "conversations"), ["conv_id"], "turn", F.col("text"))
+
+
+@query("SELECT p_partkey, (p_size * 100000 + p_partkey % 100 * 1000 + p_partkey % 1000)::INTEGER AS packed, p_size || '.' || p_partkey % 100 || '.' || p_partkey % 1000 AS shown FROM part")
+def version_pack(spark, d):
+    v = text.version_pack("p_size", F.col("p_partkey") % 100, F.col("p_partkey") % 1000)
+    return table(spark, d, "part").select("p_partkey", v.alias("packed"), text.version_text(v).alias("shown"))
+
+
+@query("SELECT p_partkey, round(p_size * CASE p_partkey % 3 WHEN 0 THEN 60.0 WHEN 1 THEN 0.001 ELSE 3600 END, 6) AS seconds, round(p_size + 273.15, 4) AS kelvin FROM part")
+def unit_scale(spark, d):
+    unit = F.when(F.col("p_partkey") % 3 == 0, "minute").when(F.col("p_partkey") % 3 == 1, "millisecond").otherwise("hour")
+    return table(spark, d, "part").select("p_partkey", r(text.to_si("p_size", unit, text.TIME), 6).alias("seconds"), r(text.celsius_to_kelvin("p_size")).alias("kelvin"))
+
+
+@query("SELECT p_partkey, round(p_retailprice * f) / f AS v FROM (SELECT *, pow(10.0, 3 - ceil(log10(abs(p_retailprice)))) AS f FROM part)")
+def round_digits(spark, d):
+    return table(spark, d, "part").select("p_partkey", mathx.round_digits("p_retailprice", 3).alias("v"))
+
+
+@query("SELECT p_partkey, pow(2, ceil(log2(p_size)))::BIGINT AS next, pow(2, floor(log2(p_size)))::BIGINT AS prev, round(2 + p_size * (3 + p_size * 0.5), 4) AS poly FROM part")
+def pow_two(spark, d):
+    return table(spark, d, "part").select("p_partkey", mathx.next_pow_two("p_size").alias("next"), mathx.prev_pow_two("p_size").alias("prev"), r(mathx.poly_val([2.0, 3.0, 0.5], "p_size")).alias("poly"))
+
+
+@query("SELECT p_partkey, (p_size << 16) | ((p_size % 7) << 8) | (p_partkey % 256)::INTEGER AS rgb, round(greatest(0, least(1, 1.5 - abs(4 * (p_size::DOUBLE / 50) - 2))) * 255)::INTEGER AS green FROM part")
+def colours(spark, d):
+    return table(spark, d, "part").select("p_partkey", text.rgb_to_int("p_size", F.col("p_size") % 7, F.col("p_partkey") % 256).alias("rgb"), text.jet(F.col("p_size") / 50.0)["g"].alias("green"))
+
+
+@query("SELECT p_partkey, round(sqrt(p_size), 8) AS root FROM part")
+def root_finding(spark, d):
+    s = F.col("p_size").cast("double")
+    return table(spark, d, "part").select("p_partkey", r(mathx.bisection(lambda x: x * x - s, 0.0, 100.0, 80), 8).alias("root"))
+
+
+@query(f"WITH {BOXES} SELECT id, xmin, ymin, xmax, ymax FROM boxes")
+def wkt_roundtrip(spark, d):
+    t = part_boxes(spark, d).select("id", wkt.box_text(F.col("box")).alias("wkt"))
+    return t.select("id", wkt.parse_box(F.col("wkt")).alias("b")).select("id", "b.*")
+
+
+@query(f"WITH {BOXES} SELECT id, round((xmax - xmin) * (ymax - ymin), 4) AS area FROM boxes")
+def wkt_polygons(spark, d):
+    t = part_boxes(spark, d).select("id", wkt.polygon_text(polygon(shapes.box_ring(F.col("box")))).alias("wkt"))
+    return t.select("id", r(shapes.polygon_area(wkt.parse_polygon(F.col("wkt")))).alias("area"))
+
+
+@query("SELECT o_orderstatus AS status, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders WHERE o_custkey % 2 = 0 GROUP BY 1")
+def task_flow(spark, d):
+    flow = taskflow.TaskFlow()
+    flow.add("read", lambda: table(spark, d, "orders"))
+    flow.add("even", lambda o: o.where("o_custkey % 2 = 0"), ["read"])
+    flow.add("sum", lambda o: o.groupBy(F.col("o_orderstatus").alias("status")).agg(F.count(F.lit(1)).alias("n"), r(F.sum("o_totalprice"), 2).alias("total")), ["even"])
+    flow.run()
+    return flow.results["sum"]
+
+
+@query()
+def circuit_response(spark, d):
+    """A ladder of two resistors and capacitors for each nation, driven by a step."""
+    rows = [(k, kind, i, j, v) for k in range(3) for kind, i, j, v in (("R", 0, 1, 0.01), ("R", 1, 2, 100.0 * (k + 1)), ("C", 1, -1, 1e-12), ("C", 2, -1, 1e-12))]
+    dev = spark.createDataFrame(rows, "net int, kind string, i int, j int, value double")
+    out = circuit.simulate_groups(dev, ["net"], 3, [0], lambda t: [0.88], 1e-14, 200)
+    return out.groupBy("net", "node").agg(r(F.max("v"), 6).alias("peak"))
+
+
