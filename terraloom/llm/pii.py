@@ -67,7 +67,7 @@ def located(text: Column, pattern: str) -> Column:
     """The leftmost non-overlapping matches as structs of start and end in code points, value and the text before (gap)."""
     gaps = F.split(text, pattern, -1)
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    pairs = F.zip_with(found, F.slice(gaps, F.lit(1), F.size(found)), lambda m, g: F.struct(m.alias("value"), g.alias("gap")))
+    pairs = F.filter(F.zip_with(found, gaps, lambda m, g: F.struct(m.alias("value"), g.alias("gap"))), lambda p: p["value"].isNotNull())  # the last gap has no match
     empty = F.expr("struct(0 as at, cast(array() as array<struct<start:int,end:int,value:string,gap:string>>) as spans)")
 
     def add(state: Column, pair: Column) -> Column:
@@ -103,16 +103,17 @@ def tokens(docs: DataFrame) -> DataFrame:
     span goes on into are left out; all others are identifiers without a kind.
     """
     some = docs.where(F.col("text").rlike("[0-9@]")).select("id", "th", "seen", located(F.col("text"), TOKEN).alias("found"))
-    one = some.select("id", "th", "seen", "found", F.posexplode("found").alias("k", "t"))
-    before = F.regexp_extract(F.col("t.gap"), r"([^\x20\x09-\x0D]++)[\x20\x09-\x0D]++\z", 1)
-    previous = F.when(F.col("k") > 0, F.element_at("found", F.col("k"))["value"]).otherwise("")
-    left = F.lower(F.when(before != "", before).otherwise(previous))
-    lead = F.length(F.regexp_extract(F.col("t.value"), r"""^[(\[{<"']+""", 0))
-    bare = F.regexp_replace(F.col("t.value"), EDGE, "")
-    start = F.col("t.start") + lead
-    end = start + F.length(bare)
-    met = F.get(F.filter("seen", lambda s: (s["start"] < F.col("t.end")) & (s["end"] > F.col("t.start"))), F.lit(0))
-    one = one.select("id", "th", F.col("t.start").alias("from"), start.alias("start"), end.alias("end"), left.alias("left"), bare.alias("token"), met.alias("met"))
+
+    def identifier(t: Column, k: Column) -> Column:
+        before = F.regexp_extract(t["gap"], r"([^\x20\x09-\x0D]++)[\x20\x09-\x0D]++\z", 1)
+        left = F.lower(F.when(before != "", before).otherwise(F.coalesce(F.get("found", k - 1)["value"], F.lit(""))))
+        start = t["start"] + F.length(F.regexp_extract(t["value"], r"""^[(\[{<"']+""", 0))
+        bare = F.regexp_replace(t["value"], EDGE, "")
+        met = F.get(F.filter("seen", lambda s: (s["start"] < t["end"]) & (s["end"] > t["start"])), F.lit(0))
+        return F.struct(t["start"].alias("from"), start.alias("start"), (start + F.length(bare)).alias("end"), left.alias("left"), bare.alias("token"), met.alias("met"))
+
+    # All that a token needs is put beside it before they are dealt out, so that no row carries its text.
+    one = some.select("id", "th", F.explode(F.transform("found", identifier)).alias("t")).select("id", "th", "t.*")
     one = one.where("token <> '' and (met is null or met.start >= `from`)")
     return one.select("id", "th", "start", "end", "left", F.coalesce("met.value", "token").alias("token"), F.col("met.kind").alias("known"), F.col("met").isNotNull().alias("taken"))
 
