@@ -86,7 +86,7 @@ class ByteBPE:
         if ids is None:
             if len(self.memo) > MEMO:
                 self.memo.clear()
-            ids = self.whole.encode_ordinary(piece)
+            ids = self.whole._encode_single_piece(piece)  # it is one already; the pattern need not run again
             if len(piece) <= 64:
                 self.memo[piece] = ids
         return ids

@@ -51,6 +51,18 @@ class Scratch:
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names that no column of df has, in any case of letters, from the given ones."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def small_batches(spark: SparkSession, rows: int = 250) -> None:
     """Arrow batches of at most so many rows, as texts can be long; the rows of a batch are all that a worker holds."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches, table, texts
+from .common import fresh, small_batches, table, texts
 
 #: Weights are counted on about so many pages at most.
 LABELLED_PAGES = 2000
@@ -235,8 +235,9 @@ def extract(pages: DataFrame, weights: dict[str, float], html_col: str = "html")
     from pyspark.sql import types as T
 
     small_batches(pages.sparkSession, 200)
-    keep = pages.select(*[pages[c] for c in pages.columns if c not in ("text", "n_chars", html_col)], pages[html_col].alias("_html"))
-    fields = [f for f in keep.schema.fields if f.name != "_html"]
+    (name,) = fresh(pages, "_html")
+    keep = pages.select(*[pages[c] for c in pages.columns if c not in ("text", "n_chars", html_col)], pages[html_col].alias(name))
+    fields = [f for f in keep.schema.fields if f.name != name]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -125,14 +125,14 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     return Profiles(list(ranks), ranks, size)
 
 
-def identify(df: DataFrame, profiles: Profiles, text_col: str = "text") -> DataFrame:
-    """df with lang_pred, score and distance, in place of columns of these names.
+def identify(df: DataFrame, profiles: Profiles, text_col: str = "text", names: tuple[str, str, str] = ("lang_pred", "score", "distance")) -> DataFrame:
+    """df with lang_pred, score and distance, or other names, in place of columns of these names.
 
     A null text or one without a letter is `und` with the score 0 and the distance 1; so is every text if nothing was
     learned. Ties go to the language that sorts first. Repeated rows are judged each; an empty table gives no rows.
     """
     small_batches(df.sparkSession)
-    keep = df.drop("lang_pred", "score", "distance")
+    keep = df.drop(*names)
     schema = keep.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -140,11 +140,11 @@ def identify(df: DataFrame, profiles: Profiles, text_col: str = "text") -> DataF
         for batch in batches:
             out = [judge(t) for t in texts(batch, text_col)]
             cols = list(zip(*out)) or [(), (), ()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cols[0], pa.string()), pa.array(cols[1], pa.float64()), pa.array(cols[2], pa.float64())], names=[*batch.schema.names, "lang_pred", "score", "distance"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cols[0], pa.string()), pa.array(cols[1], pa.float64()), pa.array(cols[2], pa.float64())], names=[*batch.schema.names, *names])
 
     from pyspark.sql import types as T
 
-    full = T.StructType([*schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("distance", T.DoubleType())])
+    full = T.StructType([*schema.fields, *[T.StructField(n, t) for n, t in zip(names, (T.StringType(), T.DoubleType(), T.DoubleType()))]])
     return keep.mapInArrow(run, full)
 
 

@@ -8,7 +8,6 @@ Only counts by length reach the driver: at most as many as the capacity has toke
 
 from __future__ import annotations
 
-import base64
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -18,11 +17,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .bpe import ByteBPE, rank_path
 from .common import Scratch, small_batches, table, texts
 
 CAPACITY = 2048
 ROUNDS = 200
 END = 0
+LONG_TEXT = 500_000
 
 
 def knapsack(lengths: np.ndarray, worth: np.ndarray, capacity: int, most: np.ndarray) -> dict[int, int]:
@@ -142,19 +143,17 @@ def pieces(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", capaci
     A document is its ids and an end; one longer than the capacity is cut into full pieces, of which the first may be
     shorter. A null or empty text is one piece with the end alone.
     """
-    from .bpe import rank_path
-
     small_batches(df.sparkSession)
     path = rank_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import public_tokenizers
-        import tiktoken
         from pyspark import TaskContext
 
-        with open(path, "rb") as f:
-            ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
-        encode = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        bpe = ByteBPE(path)
+
+        def encode(text: str):
+            return bpe.whole.encode_ordinary(text) if len(text) <= LONG_TEXT else bpe.encode(text)  # the pattern's engine gives up on very long runs
+
         task = TaskContext.get().partitionId()
         seen: Counter = Counter()
         for batch in batches:

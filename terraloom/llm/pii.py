@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, table
+from .common import Scratch, fresh, table
 
 KINDS = ("email", "ip", "card", "phone")
 #: What the base looks for, written so that no start inside a run is tried again; leftmost matches are the same.
@@ -158,9 +158,10 @@ def find(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds:
 
 def mask(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """df with every span of its text replaced by its kind in brackets; of spans that overlap the first goes, of those the longest."""
-    spans = find(df, id_col, text_col).select(F.col("id").alias("_id"), F.col("th").alias("_th"), "spans").where(F.size("spans") > 0).dropDuplicates(["_id", "_th"])
-    joined = df.join(spans, df[id_col].eqNullSafe(F.col("_id")) & (F.xxhash64(F.coalesce(df[text_col], F.lit(""))) == F.col("_th")), "left")
-    ordered = F.sort_array(F.transform("spans", lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("last"), s["kind"].alias("kind"))))
+    key, digest, found = fresh(df, "_id", "_th", "_spans")
+    spans = find(df, id_col, text_col).where(F.size("spans") > 0).select(F.col("id").alias(key), F.col("th").alias(digest), F.col("spans").alias(found)).dropDuplicates([key, digest])
+    joined = df.join(spans, df[id_col].eqNullSafe(F.col(key)) & (F.xxhash64(F.coalesce(df[text_col], F.lit(""))) == F.col(digest)), "left")
+    ordered = F.sort_array(F.transform(found, lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("last"), s["kind"].alias("kind"))))
     text = F.col(text_col)
 
     def put(state: Column, s: Column) -> Column:
@@ -169,7 +170,7 @@ def mask(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataF
 
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
     masked = F.aggregate(ordered, start, put, lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.length(text))))
-    return joined.select(*[F.when(F.col("spans").isNull(), text).otherwise(masked).alias(text_col) if c == text_col else df[c] for c in df.columns])
+    return joined.select(*[F.when(F.col(found).isNull(), text).otherwise(masked).alias(text_col) if c == text_col else df[c] for c in df.columns])
 
 
 def op5_pii_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:

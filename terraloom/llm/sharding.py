@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import fresh, table
 
 SHARDS = 40
 
@@ -38,18 +38,21 @@ def shard_rows(df: DataFrame, key: str = "doc_id", weights: Sequence[float] = (1
     number in the shard, gapless from 0, by the first `parts` hexadecimal digits of md5(key) and then the key. Slots are
     counted within 16 ** parts pieces of each shard and moved up by the sizes of the pieces before, so no task sees a
     whole shard. Rows with the same key (a hot key too) go to the same shard and get slots in any order; a null key counts
-    as an empty one; an empty table gives no rows. Columns named _best, _part, _first or _n must not be in df.
+    as an empty one; an empty table gives no rows. Other columns are kept; those named shard, slot or grown_shard give way.
     """
+    df = df.drop("shard", "slot", "grown_shard")
+    best, part, first, count = fresh(df, "_best", "_part", "_first", "_n")
     text = F.coalesce(F.col(key).cast("string"), F.lit(""))
     grown = F.struct((-F.log(draw(text, F.lit(len(weights)))) / F.lit(float(grown_weight))).alias("score"), F.lit(len(weights)).alias("shard"))
-    placed = df.withColumn("_best", best_shard(F.col(key), weights)).withColumns(
-        {"shard": F.col("_best.shard"), "grown_shard": F.when(grown["score"] < F.col("_best.score"), F.lit(len(weights))).otherwise(F.col("_best.shard")), "_part": F.substring(F.md5(text), 1, parts)}
+    won = F.col(best)
+    placed = df.withColumn(best, best_shard(F.col(key), weights)).withColumns(
+        {"shard": won["shard"], "grown_shard": F.when(grown["score"] < won["score"], F.lit(len(weights))).otherwise(won["shard"]), part: F.substring(F.md5(text), 1, parts)}
     )
-    pieces = placed.groupBy("shard", "_part").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy("shard").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    firsts = pieces.select("shard", "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
-    ranked = placed.drop("_best").withColumn("_n", F.row_number().over(Window.partitionBy("shard", "_part").orderBy(key)))
-    return ranked.join(firsts, ["shard", "_part"]).withColumn("slot", F.col("_first") + F.col("_n") - 1).drop("_part", "_first", "_n")
+    pieces = placed.groupBy("shard", part).agg(F.count(F.lit(1)).alias(count))
+    before = Window.partitionBy("shard").orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    firsts = pieces.select("shard", part, F.coalesce(F.sum(count).over(before), F.lit(0)).alias(first))
+    ranked = placed.drop(best).withColumn(count, F.row_number().over(Window.partitionBy("shard", part).orderBy(key)))
+    return ranked.join(firsts, ["shard", part]).withColumn("slot", F.col(first) + F.col(count) - 1).drop(part, first, count)
 
 
 def op9_rendezvous_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
