@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terraloom.llm import langid, neardup, packing, pii, substring_dedup
-from terraloom.llm.common import Scratch, table
+from terraloom.llm.common import Scratch, fresh, table
 
 #: A document whose distance from the nearest language is beyond this share of the largest is in none of them.
 FARTHEST = 0.8
@@ -18,8 +18,9 @@ FARTHEST = 0.8
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in one of the languages that the labelled ones teach; those without a letter or far from all go."""
-    found = langid.identify(docs, langid.fit(docs))
-    return found.where((found["lang_pred"] != langid.UNKNOWN) & (found["distance"] <= FARTHEST)).select(*docs.columns)
+    language_, _, distance = names = fresh(docs, "_lang_pred", "_score", "_distance")
+    found = langid.identify(docs, langid.fit(docs), names=tuple(names))
+    return found.where((F.col(language_) != langid.UNKNOWN) & (F.col(distance) <= FARTHEST)).drop(*names)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,9 +33,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document without the 13-word windows that an earlier one has; all documents stay, if only with what is left."""
-    left = substring_dedup.remove_repeats(docs).where("n_removed > 0").select("doc_id", F.col("text").alias("_text"))
+    (name,) = fresh(docs, "_text")
+    left = substring_dedup.remove_repeats(docs).where("n_removed > 0").select("doc_id", F.col("text").alias(name)).dropDuplicates(["doc_id"])
     joined = docs.join(left, "doc_id", "left")
-    return joined.select(*[new_text(c, F.col("_text"), docs) for c in docs.columns])
+    return joined.select(*[new_text(c, F.col(name)) for c in docs.columns])
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,7 +50,7 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs)
 
 
-def new_text(column: str, text, docs: DataFrame):
+def new_text(column: str, text):
     """text, or n_chars of it, where there is one; the column as it was otherwise."""
     if column == "text":
         return F.coalesce(text, F.col("text")).alias("text")
