@@ -21,6 +21,7 @@ from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -32,6 +33,8 @@ GRAM = 5
 #: Odd factors of a run's words, and bases of the two hashes of a passage.
 FACTORS = mix(np.arange(1, 65, dtype=np.uint64)) | np.uint64(1)
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
+#: The start of a hit that stands for all of a text.
+WHOLE = -1
 #: A shard with more passages than this is compared window by window.
 SHARD = 64
 
@@ -242,12 +245,20 @@ def release(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
+def later_copies(docs: DataFrame) -> DataFrame:
+    """(id) of rows whose whole text a row with a smaller id has too: all their windows are repeats, so they need no search."""
+    keyed = docs.where("text is not null").select("id", F.xxhash64("text").alias("t1"), F.xxhash64(F.lit(7), "text").alias("t2"))
+    groups = keyed.groupBy("t1", "t2").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").drop("last")
+    return keyed.join(groups, ["t1", "t2"]).where("id > first").select("id").distinct()
+
+
 def repeated_spans(docs: DataFrame, scratch: Scratch, length: int = LENGTH, gram: int = GRAM, shard: int = SHARD) -> DataFrame:
-    """(id, spans): for every row with repeats its maximal runs of repeated windows, as start and end word (exclusive)."""
+    """(id, hits): for every row with repeats the starts of its passages and their repeated windows as bits; WHOLE for a copy."""
     spark = docs.sparkSession
+    copies = scratch.write(later_copies(docs), "copies")
     found = scratch.write(anchors(docs, length, gram), "anchors")
     shared = found.groupBy("anchor").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("anchor")
-    by_doc = scratch.write(found.join(shared, "anchor").groupBy("id").agg(F.collect_list("anchor").alias("shared")), "shared")
+    by_doc = scratch.write(found.join(shared, "anchor").groupBy("id").agg(F.collect_list("anchor").alias("shared")).join(copies, "id", "left_anti"), "shared")
     scratch.drop("anchors")
     release(spark)
     held = scratch.write(passages(docs.join(by_doc, "id"), length, gram), "passages")
@@ -271,24 +282,34 @@ def repeated_spans(docs: DataFrame, scratch: Scratch, length: int = LENGTH, gram
     places = held.select("c1", "c2", "id", "start", "windows").join(known, ["c1", "c2"])
     mask = F.when(F.col("id") > F.col("first"), F.expr("shiftleft(1L, windows) - 1")).otherwise(F.coalesce("mask", F.lit(0)))
     hits = places.select("id", "start", mask.alias("mask")).where("mask <> 0").groupBy("id").agg(F.collect_list(F.struct("start", "mask")).alias("hits"))
-    out = scratch.write(hits, "hits")
+    whole = copies.select("id", F.array(F.struct(F.lit(WHOLE).alias("start"), F.lit(0).cast("long").alias("mask"))).alias("hits"))
+    out = scratch.write(hits.unionByName(whole), "hits")
     for name in ("passages", "first", "sized", "windows", "known"):
         scratch.drop(name)
     release(spark)
     return out
 
 
-def _covered(hits, n: int, length: int) -> np.ndarray:
-    """Which of n words are in a repeated window."""
-    steps = np.zeros(n + 1, np.int32)
-    for hit in hits or ():
-        start, mask = hit["start"], hit["mask"]
-        while mask:
-            k = (mask & -mask).bit_length() - 1
-            mask &= mask - 1
-            steps[start + k] += 1
-            steps[start + k + length] -= 1
-    return np.cumsum(steps[:n]) > 0
+def _covered(hits: pa.Array, sizes: np.ndarray, length: int) -> np.ndarray:
+    """Which words of a batch of texts, one after the other, are in a repeated window."""
+    first = np.cumsum(sizes) - sizes
+    row = np.repeat(np.arange(len(hits)), pc.fill_null(pc.list_value_length(hits), 0).to_numpy())
+    flat = hits.flatten()
+    start, mask = flat.field("start").to_numpy().astype(np.int64), flat.field("mask").to_numpy()
+    steps = np.zeros(int(sizes.sum()) + 1, np.int64)
+
+    def mark(at: np.ndarray, rows: np.ndarray, wide) -> None:
+        end = np.minimum(at + wide, sizes[rows])
+        at = np.minimum(at, sizes[rows])
+        steps[:] += np.bincount(first[rows] + at, minlength=len(steps)) - np.bincount(first[rows] + end, minlength=len(steps))
+
+    copy = start == WHOLE
+    rows = row[copy]
+    mark(np.zeros(len(rows), np.int64), rows, np.where(sizes[rows] >= length, sizes[rows], 0))
+    for k in range(int(mask.max(initial=0)).bit_length()):
+        hit = ~copy & ((mask >> k) & 1 == 1)
+        mark(start[hit] + k, row[hit], length)
+    return np.cumsum(steps[:-1]) > 0
 
 
 def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, digest: bool = False) -> DataFrame:
@@ -307,19 +328,23 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            counts, removed, spans, kept = [], [], [], []
-            for text, hit in zip(texts(batch, "text"), texts(batch, "hits")):
-                words = words_of(text)
-                gone = _covered(hit, len(words), length) if hit else None
-                left = [w for w, g in zip(words, gone.tolist()) if not g] if hit else words
-                counts.append(len(words)), removed.append(len(words) - len(left))
+            split = [words_of(t) for t in texts(batch, "text")]
+            sizes = np.array([len(w) for w in split], np.int64)
+            gone = _covered(batch.column(2), sizes, length)
+            ends = np.cumsum(sizes)
+            removed, spans, kept = [], [], []
+            for text, words, end in zip(texts(batch, "text"), split, ends.tolist()):
+                own = gone[end - len(words) : end]
+                n = int(own.sum())
+                left = [w for w, g in zip(words, own.tolist()) if not g] if n else words
+                removed.append(n)
                 if digest:
                     kept.append(hashlib.sha256(b" ".join(left)).hexdigest())
                 else:
-                    edge = np.flatnonzero(np.diff(np.concatenate([[0], gone.astype(np.int8), [0]]))) if hit else np.empty(0, np.int64)
+                    edge = np.flatnonzero(np.diff(np.concatenate([[0], own.astype(np.int8), [0]]))) if n else own[:0]
                     spans.append([{"start": int(s), "end": int(e)} for s, e in zip(edge[::2], edge[1::2])])
-                    kept.append(b" ".join(left).decode("utf-8", "surrogatepass") if hit else text)
-            head = [batch.column(0), pa.array(counts, pa.int64()), pa.array(removed, pa.int64())]
+                    kept.append(b" ".join(left).decode("utf-8", "surrogatepass") if n else text)
+            head = [batch.column(0), pa.array(sizes), pa.array(removed, pa.int64())]
             if digest:
                 yield pa.RecordBatch.from_arrays([*head, pa.array(kept, pa.string())], names=["id", "n_words", "n_removed", "kept_sha256"])
             else:
