@@ -47,7 +47,7 @@ def within(v, low, high, kind: str = "closed", tol: float = 0.0) -> Column:
 def is_negative(v) -> Column:
     """By the sign bit: a negative zero is negative."""
     v = num(v)
-    return (v < 0) | ((v == 0) & (F.atan2(F.lit(0.0), v) > 0))
+    return (v < 0) | ((v == 0) & F.startswith(v.cast("string"), F.lit("-")))
 
 
 def is_positive(v) -> Column:

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .types import RING, box, box3, col, num, point, point3, polygon, ring
+from .types import RING, box, box3, col, let, num, point, point3, polygon, ring
 from .vectors import cross, distance, sub
 
 # Boxes.
@@ -209,19 +209,21 @@ def clean(points: Column, passes: int = 2) -> Column:
     Each pass looks at all points at once; more passes take out what the ones before laid open.
     """
 
-    def once(p: Column) -> Column:
+    def fresh(p: Column) -> Column:
+        n = F.size(p)
+        return F.filter(p, lambda q, i: let(F.element_at(p, F.pmod(i - 1, n) + 1), lambda b: (q["x"] != b["x"]) | (q["y"] != b["y"])))
+
+    def bent(p: Column) -> Column:
         n = F.size(p)
 
         def keep(q: Column, i: Column) -> Column:
-            before, after = F.element_at(p, F.pmod(i - 1, n) + 1), F.element_at(p, F.pmod(i + 1, n) + 1)
-            same = (q["x"] == before["x"]) & (q["y"] == before["y"])
-            flat = ((before["x"] == q["x"]) & (q["x"] == after["x"])) | ((before["y"] == q["y"]) & (q["y"] == after["y"]))
-            return ~(same | flat)
+            around = F.struct(F.element_at(p, F.pmod(i - 1, n) + 1).alias("b"), F.element_at(p, F.pmod(i + 1, n) + 1).alias("a"))
+            return let(around, lambda w: ~(((w["b"]["x"] == q["x"]) & (q["x"] == w["a"]["x"])) | ((w["b"]["y"] == q["y"]) & (q["y"] == w["a"]["y"]))))
 
         return F.when(n >= 3, F.filter(p, keep)).otherwise(p)
 
     for _ in range(passes):
-        points = once(points)
+        points = let(let(points, fresh), bent)
     return points
 
 

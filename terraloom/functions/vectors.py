@@ -75,7 +75,7 @@ def normalize(a: Column, dim: int = 2) -> Column:
 def safe_inv(v) -> Column:
     """1/v, where zero gives +-1/eps by its sign; a negative zero counts as negative."""
     v = num(v)
-    sign = F.when(F.atan2(F.lit(0.0), v) > 0, -1.0).otherwise(1.0)
+    sign = F.when(F.startswith(v.cast("string"), F.lit("-")), -1.0).otherwise(1.0)
     return F.when(F.abs(v) < EPS, sign / EPS).otherwise(1.0 / F.when(F.abs(v) < EPS, 1.0).otherwise(v))
 
 
@@ -144,8 +144,11 @@ def closest_on_segment(p: Column, s: Column, e: Column) -> Column:
 
 
 def closest_on_plane(p: Column, plane: Column) -> Column:
-    k = plane_distance(p, plane)
-    return point3(p["x"] - k * plane["nx"], p["y"] - k * plane["ny"], p["z"] - k * plane["nz"])
+    def foot(m: Column) -> Column:
+        p, plane, k = m["p"], m["plane"], plane_distance(m["p"], m["plane"])
+        return point3(p["x"] - k * plane["nx"], p["y"] - k * plane["ny"], p["z"] - k * plane["nz"])
+
+    return let(F.struct(p.alias("p"), plane.alias("plane")), foot)
 
 
 def closest_in_box(p: Column, b: Column) -> Column:
@@ -174,24 +177,36 @@ def segment_distance(p: Column, q: Column, dim: int = 2) -> Column:
     def lift(v: Column) -> Column:
         return point3(v["x"], v["y"], v["z"] if dim == 3 else z)
 
-    a, b, c, d = (lift(v) for v in (p["s"], p["e"], q["s"], q["e"]))
-    u, v, w = sub(b, a, 3), sub(d, c, 3), sub(a, c, 3)
-    uu, uv, vv, uw, vw = dot(u, u, 3), dot(u, v, 3), dot(v, v, 3), dot(u, w, 3), dot(v, w, 3)
-    det = uu * vv - uv * uv
-    s = (uv * vw - vv * uw) / F.when(det > 0, det).otherwise(1.0)
-    t = (uu * vw - uv * uw) / F.when(det > 0, det).otherwise(1.0)
+    def to_segment(x: Column, lo: Column, direction: Column, size: Column) -> Column:
+        """Squared distance of x from lo + k direction, k in 0 .. 1."""
+        k = F.greatest(z, F.least(F.lit(1.0), dot(sub(x, lo, 3), direction, 3) / F.when(size == 0, 1.0).otherwise(size)))
+        return let(k, lambda k: norm_sq(sub(x, add(lo, scaled(direction, k, 3), 3), 3), 3))
+
+    def least(m: Column) -> Column:
+        s, t, u, v = m["s"], m["t"], m["u"], m["v"]
+        ends = F.least(to_segment(m["a"], m["c"], v, m["vv"]), to_segment(m["b"], m["c"], v, m["vv"]), to_segment(m["c"], m["a"], u, m["uu"]), to_segment(m["d"], m["a"], u, m["uu"]))
+        inside = (m["det"] > 0) & s.between(0, 1) & t.between(0, 1)
+        across = norm_sq(add(m["w"], sub(scaled(u, s, 3), scaled(v, t, 3), 3), 3), 3)
+        return F.sqrt(F.when(inside, F.least(ends, across)).otherwise(ends))
+
+    def parameters(m: Column) -> Column:
+        det = m["uu"] * m["vv"] - m["uv"] * m["uv"]
+        safe = F.when(det > 0, det).otherwise(1.0)
+        s, t = (m["uv"] * m["vw"] - m["vv"] * m["uw"]) / safe, (m["uu"] * m["vw"] - m["uv"] * m["uw"]) / safe
+        kept = [m[k].alias(k) for k in ("a", "b", "c", "d", "u", "v", "w", "uu", "vv")]
+        return let(F.struct(*kept, det.alias("det"), s.alias("s"), t.alias("t")), least)
 
-    def at(s: Column, t: Column) -> Column:
-        return norm_sq(add(w, sub(scaled(u, s, 3), scaled(v, t, 3), 3), 3), 3)
+    def products(m: Column) -> Column:
+        u, v, w = m["u"], m["v"], m["w"]
+        pairs = {"uu": (u, u), "uv": (u, v), "vv": (v, v), "uw": (u, w), "vw": (v, w)}
+        kept = [m[k].alias(k) for k in ("a", "b", "c", "d", "u", "v", "w")]
+        return let(F.struct(*kept, *[dot(x, y, 3).alias(k) for k, (x, y) in pairs.items()]), parameters)
 
-    def on(x: Column, lo: Column, direction: Column, size: Column) -> Column:
-        k = dot(sub(x, lo, 3), direction, 3) / F.when(size == 0, 1.0).otherwise(size)
-        k = F.greatest(z, F.least(F.lit(1.0), k))
-        return norm_sq(sub(x, add(lo, scaled(direction, k, 3), 3), 3), 3)
+    def differences(m: Column) -> Column:
+        kept = [m[k].alias(k) for k in ("a", "b", "c", "d")]
+        return let(F.struct(*kept, sub(m["b"], m["a"], 3).alias("u"), sub(m["d"], m["c"], 3).alias("v"), sub(m["a"], m["c"], 3).alias("w")), products)
 
-    ends = F.least(on(a, c, v, vv), on(b, c, v, vv), on(c, a, u, uu), on(d, a, u, uu))
-    inside = (det > 0) & s.between(0, 1) & t.between(0, 1)
-    return F.sqrt(F.when(inside, F.least(ends, at(s, t))).otherwise(ends))
+    return let(F.struct(lift(p["s"]).alias("a"), lift(p["e"]).alias("b"), lift(q["s"]).alias("c"), lift(q["e"]).alias("d")), differences)
 
 
 def line_by_points(a: Column, b: Column) -> Column:
@@ -225,8 +240,8 @@ def line_intersection(m: Column, n: Column) -> Column:
 
 
 def plane_by_normal(normal: Column, p: Column) -> Column:
-    n = normalize(normal, 3)
-    return F.struct(n["x"].alias("nx"), n["y"].alias("ny"), n["z"].alias("nz"), dot(n, p, 3).alias("d"))
+    unit = let(normal, lambda n: normalize(n, 3))
+    return let(unit, lambda n: F.struct(n["x"].alias("nx"), n["y"].alias("ny"), n["z"].alias("nz"), dot(n, p, 3).alias("d")))
 
 
 def plane_by_points(p1: Column, p2: Column, p3: Column) -> Column:
@@ -269,12 +284,14 @@ def radius_edge_ratio(p1: Column, p2: Column, p3: Column) -> Column:
 
 def inscribed_circle(s: Column, p: Column, e: Column, r) -> Column:
     """The circle of radius r that touches both sides of the corner s-p-e: centre o and its feet fs and fe on the sides."""
-    us, ue = normalize(sub(s, p)), normalize(sub(e, p))
-    half = inner_angle(us, ue) / 2
-    foot = num(r) / F.tan(half)
-    middle = normalize(add(us, ue))
-    reach = num(r) / F.sin(half)
-    return F.struct(add(p, scaled(middle, reach)).alias("o"), add(p, scaled(us, foot)).alias("fs"), add(p, scaled(ue, foot)).alias("fe"))
+
+    def touching(m: Column) -> Column:
+        p, us, ue = m["p"], m["us"], m["ue"]
+        half = inner_angle(us, ue) / 2
+        foot, reach = m["r"] / F.tan(half), m["r"] / F.sin(half)
+        return F.struct(let(normalize(add(us, ue)), lambda middle: add(p, scaled(middle, reach))).alias("o"), add(p, scaled(us, foot)).alias("fs"), add(p, scaled(ue, foot)).alias("fe"))
+
+    return let(F.struct(p.alias("p"), normalize(sub(s, p)).alias("us"), normalize(sub(e, p)).alias("ue"), num(r).alias("r")), touching)
 
 
 def _around(o: Column, rx, ry, div: int, start=0.0, sweep=2 * math.pi, closed: bool = False) -> Column:

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import shapes, vectors
+from ..functions.types import let
 
 
 def cells(low: Column, high: Column, size: float) -> Column:
@@ -201,16 +202,24 @@ def jumpwire_edges(objects: DataFrame, jumpwires: DataFrame, cell: float) -> Dat
 
 def ray_triangle(o: Column, d: Column, t: Column) -> Column:
     """struct(t, u, v) of the hit, NULL without one; t is at least 0."""
-    e1, e2 = vectors.sub(t["p1"], t["p0"], 3), vectors.sub(t["p2"], t["p0"], 3)
-    h = vectors.cross3(d, e2)
-    det = vectors.dot(e1, h, 3)
-    inv = 1.0 / F.when(det == 0, 1.0).otherwise(det)
-    s = vectors.sub(o, t["p0"], 3)
-    u = vectors.dot(s, h, 3) * inv
-    q = vectors.cross3(s, e1)
-    v = vectors.dot(d, q, 3) * inv
-    k = vectors.dot(e2, q, 3) * inv
-    return F.when((det != 0) & (u >= 0) & (v >= 0) & (u + v <= 1) & (k >= 0), F.struct(k.alias("t"), u.alias("u"), v.alias("v")))
+
+    def hit(m: Column) -> Column:
+        inv = 1.0 / F.when(m["det"] == 0, 1.0).otherwise(m["det"])
+        u, v, k = m["su"] * inv, m["sv"] * inv, m["sk"] * inv
+        inside = (m["det"] != 0) & (u >= 0) & (v >= 0) & (u + v <= 1) & (k >= 0)
+        return F.when(inside, F.struct(k.alias("t"), u.alias("u"), v.alias("v")))
+
+    def products(m: Column) -> Column:
+        h, q = m["h"], m["q"]
+        parts = {"det": (m["e1"], h), "su": (m["s"], h), "sv": (m["d"], q), "sk": (m["e2"], q)}
+        return let(F.struct(*[vectors.dot(a, b, 3).alias(k) for k, (a, b) in parts.items()]), hit)
+
+    def crossed(m: Column) -> Column:
+        kept = [m[k].alias(k) for k in ("e1", "e2", "s", "d")]
+        return let(F.struct(*kept, vectors.cross3(m["d"], m["e2"]).alias("h"), vectors.cross3(m["s"], m["e1"]).alias("q")), products)
+
+    sides = F.struct(vectors.sub(t["p1"], t["p0"], 3).alias("e1"), vectors.sub(t["p2"], t["p0"], 3).alias("e2"), vectors.sub(o, t["p0"], 3).alias("s"), d.alias("d"))
+    return let(sides, crossed)
 
 
 def first_hits(rays: DataFrame, triangles: DataFrame) -> DataFrame:
@@ -218,7 +227,7 @@ def first_hits(rays: DataFrame, triangles: DataFrame) -> DataFrame:
 
     Rays are a stated set and meet every triangle.
     """
-    hit = rays.join(triangles, ray_triangle(F.col("o"), F.col("d"), F.col("tri")).isNotNull()).withColumn("hit", ray_triangle(F.col("o"), F.col("d"), F.col("tri")))
+    hit = rays.join(triangles).withColumn("hit", ray_triangle(F.col("o"), F.col("d"), F.col("tri"))).where("hit is not null")
     best = hit.groupBy("ray_id").agg(F.min(F.struct(F.col("hit.t").alias("t"), "tri_id", F.col("hit.u").alias("u"), F.col("hit.v").alias("v"))).alias("m"))
     return best.select("ray_id", "m.tri_id", "m.t", "m.u", "m.v")
 
