@@ -44,7 +44,7 @@ def boolean(df: DataFrame, keys: Sequence[str], operation: str, polygon: str = "
         for polygon_, s in zip(frame["_p"], frame["_s"]):
             (b if s else a).extend(_rings(polygon_))
         out = [_row(*p) for p in clipper.clip(a, b, operation, fill)]
-        return pd.DataFrame({**{k: [frame[k].iloc[0]] * len(out) for k in keys}, "polygon": out})
+        return pd.DataFrame({**{k: pd.Series([frame[k].iloc[0]] * len(out), dtype=frame[k].dtype) for k in keys}, "polygon": pd.Series(out, dtype=object)})
 
     kinds = dict(df.dtypes)
     held = df.select(*keys, F.col(polygon).alias("_p"), (F.col(side).cast("int") if side else F.lit(0)).alias("_s"))
