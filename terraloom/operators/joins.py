@@ -7,7 +7,10 @@ one of them, so no distinct is needed.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -128,17 +131,38 @@ def knn_vectors(queries: DataFrame, rows: DataFrame, k: int) -> DataFrame:
     return top_k(pairs, k)
 
 
-def radius_vectors(left: DataFrame, right: DataFrame, radius: float, self_join: bool = True) -> DataFrame:
-    """(a_id, b_id, d2) of vectors (id, v) within the radius.
+def radius_vectors(left: DataFrame, right: DataFrame, radius: float, self_join: bool = True, block: int = 512) -> DataFrame:
+    """(a_id, b_id, d2) of vectors (id, v) of the same length within the radius.
 
     The norm is a bound: ||a| - |b|| <= |a - b|. Vectors meet only in bands of their norm of the radius' width, those of
-    one side in their own, those of the other in three.
+    one side in their own, those of the other in three. Bands are cut into blocks of about `block` vectors, and pairs of
+    blocks are compared as matrices, so that no task holds a band.
     """
-    norm = F.sqrt(vectors.array_dot(F.col("v"), F.col("v")))
-    a = left.where("v is not null").select(F.col("id").alias("a_id"), F.col("v").alias("a"), F.floor(norm / radius).alias("band"))
-    b = right.where("v is not null").select(F.col("id").alias("b_id"), F.col("v").alias("b"), F.explode(around(F.floor(norm / radius))).alias("band"))
-    on = (F.col("a_id") < F.col("b_id")) if self_join else F.lit(True)
-    return a.join(b, "band").where(on).withColumn("d2", vectors.array_distance_sq(F.col("a"), F.col("b"))).where(F.col("d2") <= radius * radius).select("a_id", "b_id", "d2")
+    norm = F.floor(F.sqrt(vectors.array_dot(F.col("v"), F.col("v"))) / radius)
+
+    def packed(df: DataFrame, bands: Column, ids: str, values: str) -> DataFrame:
+        rows = df.where("v is not null").select("id", F.col("v").cast("array<double>").alias("v"), F.size("v").alias("dim"), F.explode(bands).alias("band"))
+        sizes = rows.groupBy("dim", "band").agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).alias("blocks"))
+        dealt = rows.join(sizes, ["dim", "band"]).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
+        return dealt.groupBy("dim", "band", "block").agg(F.collect_list(F.col("id").cast("long")).alias(ids), F.flatten(F.collect_list("v")).alias(values)).drop("block")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                dim, _, a_ids, a, b_ids, b = (c.slice(k, 1) for c in batch.columns)
+                dim = dim[0].as_py()
+                a_ids, b_ids = a_ids.flatten().to_numpy(), b_ids.flatten().to_numpy()
+                a, b = a.flatten().to_numpy().reshape(len(a_ids), dim), b.flatten().to_numpy().reshape(len(b_ids), dim)
+                for i, v in zip(a_ids, a):
+                    d2 = ((b - v) ** 2).sum(1)
+                    near = d2 <= radius * radius
+                    if self_join:
+                        near &= b_ids > i
+                    if near.any():
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(near.sum(), i)), pa.array(b_ids[near]), pa.array(d2[near])], names=["a_id", "b_id", "d2"])
+
+    pairs = packed(left, F.array(norm), "a_ids", "a").join(packed(right, around(norm), "b_ids", "b"), ["dim", "band"])
+    return pairs.select("dim", "band", "a_ids", "a", "b_ids", "b").mapInArrow(compare, "a_id long, b_id long, d2 double")
 
 
 def point_in_polygon(points: DataFrame, polygons: DataFrame, cell: float, touch: bool = True) -> DataFrame:

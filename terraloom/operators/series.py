@@ -23,23 +23,25 @@ def moving_average(df: DataFrame, keys: Sequence[str], order: Sequence[str], val
 def recursive_average(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, length: int, name: str = "sma") -> DataFrame:
     """(keys, pos, name): as moving_average, but the values on the left are those already averaged, which makes it sequential.
 
-    The value before the first is the first itself as it came. Every series is one array and is folded in a task.
+    The value before the first is the first itself: as it came for the first value, averaged for later ones. A series is
+    one task; different series go side by side.
     """
-    held = df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*order, F.col(value).alias("_v")))).alias("_s"))
-    values = F.transform("_s", lambda s: s["_v"])
-    held = held.select(*keys, values.alias("_v"), F.size("_s").alias("_n"))
-
-    def step(done: Column, i: Column) -> Column:
-        total = F.get("_v", i)
-        for j in range(1, length + 1):
-            # Left of the first there is the first: as it came for the first value, averaged for later ones.
-            left = F.greatest(i - j, F.lit(0))
-            right = F.least(i + j, F.col("_n") - 1)
-            total = total + F.when(left < i, F.get(done, left)).otherwise(F.get("_v", left)) + F.get("_v", right)
-        return F.array_append(done, total / (2 * length + 1))
-
-    out = F.aggregate(F.sequence(F.lit(0), F.col("_n") - 1), F.expr("cast(array() as array<double>)"), step)
-    return held.select(*keys, F.posexplode(out).alias("pos", name))
+    import pandas as pd
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        v = frame.sort_values(list(order))[value].tolist()
+        out: list[float] = []
+        n = len(v)
+        for i in range(n):
+            total = v[i]
+            for j in range(1, length + 1):
+                total += (out[max(i - j, 0)] if i else v[0]) + v[min(i + j, n - 1)]
+            out.append(total / (2 * length + 1))
+        return pd.DataFrame({**{k: [frame[k].iloc[0]] * n for k in keys}, "pos": range(n), name: out})
+
+    kinds = dict(df.dtypes)
+    held = df.select(*keys, *order, F.col(value).cast("double").alias(value))
+    return held.groupBy(*keys).applyInPandas(run, "".join(f"{k} {kinds[k]}, " for k in keys) + f"pos int, {name} double")
 
 
 def lookup(x: Column, breakpoints: Sequence[float], values: Sequence[float], extrapolate: bool = False) -> Column:
