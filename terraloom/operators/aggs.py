@@ -163,3 +163,21 @@ def stamp(devices: DataFrame) -> DataFrame:
     g = F.col("g")
     entries = F.array(*[F.struct(a.alias("i"), b.alias("j"), v.alias("v")) for a, b, v in ((F.col("i"), F.col("i"), g), (F.col("j"), F.col("j"), g), (F.col("i"), F.col("j"), -g), (F.col("j"), F.col("i"), -g))])
     return devices.select(F.explode(entries).alias("e")).select("e.*").where("i <> 0 and j <> 0").groupBy("i", "j").agg(F.sum("v").alias("v"))
+
+
+def median_split(v) -> Column:
+    """The value in the middle of the sorted ones (the lower of two) as an aggregate; a group is one array."""
+    return F.sort_array(F.collect_list(num(v)))[F.floor((F.count(num(v)) - 1) / 2).cast("int")]
+
+
+def split_plane(columns: dict[str, Column], by: str = "range") -> Column:
+    """The name of the widest dimension, by range or by variance, as an aggregate; the first of equal ones."""
+    spread = [(F.max(c) - F.min(c) if by == "range" else F.var_pop(c)) for c in columns.values()]
+    order = F.array(*[F.struct(s.alias("s"), F.lit(-i).alias("i"), F.lit(n).alias("n")) for i, (n, s) in enumerate(zip(columns, spread))])
+    return F.array_max(order)["n"]
+
+
+def boxes_and_centers(objects: DataFrame, box_col: str = "box") -> tuple[DataFrame, DataFrame]:
+    """objects with the middle of their boxes, and one row with the envelope of all."""
+    b = F.col(box_col)
+    return objects.withColumn("center", shapes.box_center(b)), objects.agg(extent_agg(b).alias("extent"))

@@ -199,3 +199,43 @@ def pattern_view(triplets: DataFrame, rows: int, cols: int, width: int, largest:
 def first_in_cell(df: DataFrame, order: str) -> DataFrame:
     w = Window.partitionBy("gx", "gy").orderBy(order)
     return df.withColumn("_k", F.row_number().over(w)).where("_k = 1").drop("_k")
+
+
+def balanced_leaves(leaves: DataFrame, depth: int) -> DataFrame:
+    """(leaf): a quadtree's leaves split until neighbours differ by one level at most, from rows with a leaf key.
+
+    Each round looks for leaves beside ones more than a level deeper and splits them; there are at most `depth` rounds, and
+    the tables are those of leaves, not of objects.
+    """
+    out = leaves.select("leaf").distinct()
+    for _ in range(depth):
+        # Cells of each leaf's own level beside it, as (x, y, level), and the leaves that hold them two levels up or more.
+        keyed = out.select("leaf", F.length("leaf").alias("level"), *_cell(F.col("leaf")))
+        beside = keyed.where("level >= 2").select("level", F.explode(F.array(*[F.struct((F.col("cx") + dx).alias("x"), (F.col("cy") + dy).alias("y")) for dx, dy in ((1, 0), (-1, 0), (0, 1), (0, -1))])).alias("c"))
+        up = beside.select("level", "c.x", "c.y", F.explode(F.sequence(F.lit(2), F.col("level"))).alias("k"))
+        up = up.select((F.col("level") - F.col("k")).alias("level"), F.expr("shiftright(x, k)").alias("cx"), F.expr("shiftright(y, k)").alias("cy")).distinct()
+        coarse = keyed.join(up, ["level", "cx", "cy"], "left_semi").select("leaf")
+        if coarse.isEmpty():
+            break
+        split = coarse.select(F.explode(F.transform(F.array(*map(F.lit, "0123")), lambda q: F.concat("leaf", q))).alias("leaf"))
+        out = out.join(coarse, "leaf", "left_anti").unionByName(split)
+    return out
+
+
+def _cell(key: Column) -> tuple[Column, Column]:
+    """The cell numbers of a quad key at its level: quadrants 1 and 2 lie to the right, 2 and 3 above."""
+
+    def fold(right: str) -> Column:
+        steps = F.transform(F.sequence(F.lit(1), F.length(key)), lambda i: F.when(F.substring(key, i, F.lit(1)).isin(*right), 1).otherwise(0))
+        return F.when(F.length(key) == 0, F.lit(0).cast("long")).otherwise(F.aggregate(steps, F.lit(0).cast("long"), lambda a, b: a * 2 + b))
+
+    return fold("12").alias("cx"), fold("23").alias("cy")
+
+
+def leaf_centers(leaves: DataFrame, bounds: tuple[float, float, float, float]) -> DataFrame:
+    """(leaf, p): the middle of every leaf, for points to be added to a mesh."""
+    xmin, ymin, xmax, ymax = bounds
+    cx, cy = _cell(F.col("leaf"))
+    n = F.pow(F.lit(2.0), F.length("leaf"))
+    at = leaves.select("leaf", cx, cy, n.alias("n"))
+    return at.select("leaf", point(F.lit(xmin) + (F.col("cx") + 0.5) / F.col("n") * (xmax - xmin), F.lit(ymin) + (F.col("cy") + 0.5) / F.col("n") * (ymax - ymin)).alias("p"))

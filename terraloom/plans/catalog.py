@@ -832,3 +832,91 @@ def circuit_response(spark, d):
     return out.groupBy("net", "node").agg(r(F.max("v"), 6).alias("peak"))
 
 
+
+
+# More of the inventory.
+
+
+@query(f"WITH {BOXES} SELECT s_suppkey AS q_id, b.id AS box_id FROM supplier JOIN boxes b ON xmin <= s_suppkey % 50 + 3 AND s_suppkey % 50 <= xmax AND ymin <= s_suppkey % 97 + 2 AND s_suppkey % 97 <= ymax")
+def envelope_query(spark, d):
+    x, y = F.col("s_suppkey") % 50, F.col("s_suppkey") % 97
+    q = table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), box(x, y, x + 3, y + 2).alias("box"))
+    return joins.box_join(q, part_boxes(spark, d), 5.0, touch=True).toDF("q_id", "box_id")
+
+
+@query(
+    """SELECT q_id, id FROM (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY d2, id) AS rank FROM (
+SELECT s_suppkey AS q_id, c_custkey AS id, (c_acctbal - s_acctbal) * (c_acctbal - s_acctbal) + 10000.0 * (c_nationkey - s_nationkey) * (c_nationkey - s_nationkey) AS d2 FROM supplier, customer)) WHERE rank = 1"""
+)
+def nearest_vertex(spark, d):
+    s = table(spark, d, "supplier").select(F.col("s_suppkey").alias("q_id"), point("s_acctbal", F.col("s_nationkey") * 100.0).alias("q"))
+    c = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), point("c_acctbal", F.col("c_nationkey") * 100.0).alias("p"))
+    return joins.knn_2d(s, c, 1, 200.0).select("q_id", "id")
+
+
+@query("WITH t AS (SELECT p_partkey AS a, p_partkey + 1 AS b, p_partkey * 2 AS c FROM part) SELECT DISTINCT least(a, b) AS src, greatest(a, b) AS dst FROM t UNION SELECT least(b, c), greatest(b, c) FROM t UNION SELECT least(a, c), greatest(a, c) FROM t")
+def vertex_graph(spark, d):
+    k = F.col("p_partkey")
+    return graph.vertex_graph(table(spark, d, "part").select(k.alias("a"), (k + 1).alias("b"), (k * 2).alias("c")))
+
+
+@query(
+    f"""WITH {TRI}, e AS (SELECT *, sqrt(pow(ax - bx, 2) + pow(ay - b_y, 2)) AS ab, sqrt(pow(bx - cx, 2) + pow(b_y - cy, 2)) AS bc, sqrt(pow(cx - ax, 2) + pow(cy - ay, 2)) AS ca FROM t)
+SELECT count(*) AS elements, round(min(least(ab, bc, ca)), 5) AS min_edge, round(max(greatest(ab, bc, ca)), 5) AS max_edge, (SELECT count(*) FROM (SELECT ax, ay FROM t UNION SELECT bx, b_y FROM t UNION SELECT cx, cy FROM t)) AS nodes FROM e"""
+)
+def triangle_report(spark, d):
+    return aggs.triangle_report(part_triangles(spark, d).withColumnRenamed("id", "tid")).select("elements", r(F.col("min_edge"), 5).alias("min_edge"), r(F.col("max_edge"), 5).alias("max_edge"), "nodes")
+
+
+@query(
+    f"""WITH {TRI}, e AS (SELECT least((ax, ay), (bx, b_y)) AS p, greatest((ax, ay), (bx, b_y)) AS q FROM t UNION SELECT least((bx, b_y), (cx, cy)), greatest((bx, b_y), (cx, cy)) FROM t UNION SELECT least((cx, cy), (ax, ay)), greatest((cx, cy), (ax, ay)) FROM t)
+SELECT count(*) AS edges, round(sum(sqrt(pow(p[1] - q[1], 2) + pow(p[2] - q[2], 2))), 3) AS total FROM e"""
+)
+def mesh_edges(spark, d):
+    return aggs.mesh_edges(part_triangles(spark, d)).agg(F.count(F.lit(1)).alias("edges"), r(F.sum("length"), 3).alias("total"))
+
+
+@query(
+    f"""WITH {TRI}, pts AS (SELECT s_suppkey AS id, s_suppkey % 50 + 1.25 AS x, 5.0 + s_suppkey % 9 AS y FROM supplier)
+SELECT p.id, min(t.id) AS tid FROM pts p JOIN t ON (bx - ax) * (y - ay) - (b_y - ay) * (x - ax) >= 0 AND (cx - bx) * (y - b_y) - (cy - b_y) * (x - bx) >= 0 AND (ax - cx) * (y - cy) - (ay - cy) * (x - cx) >= 0 GROUP BY p.id"""
+)
+def locate_in_mesh(spark, d):
+    p = table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), point(F.col("s_suppkey") % 50 + 1.25, F.col("s_suppkey") % 9 + 5.0).alias("p"))
+    return mesh.locate(p, part_triangles(spark, d).withColumnRenamed("id", "tid"), 5.0)
+
+
+@query("SELECT l_returnflag AS flag, CASE WHEN max(l_quantity) - min(l_quantity) >= max(l_extendedprice) - min(l_extendedprice) THEN 'q' ELSE 'p' END AS axis FROM lineitem GROUP BY 1")
+def split_plane(spark, d):
+    return table(spark, d, "lineitem").groupBy(F.col("l_returnflag").alias("flag")).agg(aggs.split_plane({"q": F.col("l_quantity"), "p": F.col("l_extendedprice")}).alias("axis"))
+
+
+@query("SELECT o_orderstatus AS status, quantile_disc(o_totalprice, 0.5) AS middle FROM orders GROUP BY 1")
+def median_split(spark, d):
+    return table(spark, d, "orders").groupBy(F.col("o_orderstatus").alias("status")).agg(aggs.median_split("o_totalprice").alias("middle"))
+
+
+@query(f"WITH {BOXES} SELECT round(min(xmin), 4) AS xmin, round(min(ymin), 4) AS ymin, round(max(xmax), 4) AS xmax, round(max(ymax), 4) AS ymax FROM boxes")
+def extent_of_all(spark, d):
+    e = aggs.boxes_and_centers(part_boxes(spark, d))[1].select("extent.*")
+    return e.select(*[r(F.col(c)).alias(c) for c in ("xmin", "ymin", "xmax", "ymax")])
+
+
+@query()
+def balanced_quad_tree(spark, d):
+    """Middles of the leaves of a quadtree whose neighbours differ by one level at most."""
+    bounds = (0.0, 0.0, 9000.0, 500.0)
+    t = grid.quad_tree(events_points(spark, d).select("id", "p"), bounds, 50, 6)
+    return grid.leaf_centers(grid.balanced_leaves(t, 6), bounds).select("leaf", r(F.col("p.x")).alias("x"), r(F.col("p.y")).alias("y"))
+
+
+@query()
+def split_crossing_segments(spark, d):
+    """Consecutive events of few users, cut where they cross."""
+    s = user_segments(spark, d).where("id % 10 = 0")
+    return joins.split_segments(s, 100.0).groupBy("id").agg(F.count(F.lit(1)).alias("parts"))
+
+
+@query("SELECT o_orderkey, strftime(o_orderdate + INTERVAL 1 HOUR, '%Y-%m-%d %H:%M:%S') AS local FROM orders")
+def local_time(spark, d):
+    t = F.date_format(F.from_utc_timestamp(F.col("o_orderdate").cast("timestamp"), "+01:00"), "yyyy-MM-dd HH:mm:ss")
+    return table(spark, d, "orders").select("o_orderkey", t.alias("local"))
