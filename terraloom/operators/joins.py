@@ -79,38 +79,30 @@ def radius_join(left: DataFrame, right: DataFrame, radius: float, left_id: str =
     return pairs.withColumn("d2", d2).where(F.col("d2") <= radius * radius).select("a_id", "b_id", "d2")
 
 
-def knn_2d(queries: DataFrame, points: DataFrame, k: int, cell: float, exclude_same: bool = False, rounds: int = 40) -> DataFrame:
+def knn_2d(queries: DataFrame, points: DataFrame, k: int, cell: float, exclude_same: bool = False, widest: int = 8) -> DataFrame:
     """(q_id, rank, id, d2): the k nearest points of every query, ties to smaller ids; from queries (q_id, q) and points (id, p).
 
-    Counts by cell tell every query how many rings of cells hold k points; it then meets the cells of one ring more than
-    those reach, which hold all the nearest. Only queries and cell counts are exploded, never points.
+    Counts by cell tell every query how many rings of cells hold k points; it then meets the cells that those nearest can
+    lie in. Only queries and cell counts are exploded, never points, and no further than `widest` rings: the few queries
+    that are farther from k points than that meet all points, k of which are kept for each before the shuffle.
     """
     need = k + (1 if exclude_same else 0)
     own = points.where("p is not null").withColumn("cx", F.floor(F.col("p.x") / cell)).withColumn("cy", F.floor(F.col("p.y") / cell))
     counts = own.groupBy("cx", "cy").agg(F.count(F.lit(1)).alias("n"))
     asked = queries.where("q is not null").withColumn("qx", F.floor(F.col("q.x") / cell)).withColumn("qy", F.floor(F.col("q.y") / cell))
-    spots = asked.select("qx", "qy").distinct()
-    # Distance in cells from each asked cell to the counted ones, by rings that double until enough is found.
-    ring, left, done = 1, spots, None
-    bounds = counts.agg(F.min("cx"), F.max("cx"), F.min("cy"), F.max("cy"), F.sum("n")).first()
-    if bounds[0] is None:
-        return queries.sparkSession.createDataFrame([], "q_id long, rank int, id long, d2 double")
-    total = bounds[4]
-    while True:
-        grown = left.select("qx", "qy", F.explode(around(F.col("qx"), ring)).alias("cx")).select("qx", "qy", "cx", F.explode(around(F.col("qy"), ring)).alias("cy"))
-        seen = grown.join(counts, ["cx", "cy"]).groupBy("qx", "qy").agg(F.sum("n").alias("n"))
-        enough = seen.where(F.col("n") >= min(need, total)).select("qx", "qy", F.lit(ring).alias("ring"))
-        done = enough if done is None else done.unionByName(enough)
-        left = spots.join(done.select("qx", "qy"), ["qx", "qy"], "left_anti")
-        if ring >= 2**rounds or left.isEmpty():
-            break
-        ring *= 2
+    grown = asked.select("qx", "qy").distinct().select("qx", "qy", F.explode(around(F.col("qx"), widest)).alias("cx")).select("qx", "qy", "cx", F.explode(around(F.col("qy"), widest)).alias("cy"))
+    apart = F.greatest(F.abs(F.col("cx") - F.col("qx")), F.abs(F.col("cy") - F.col("qy")))
+    steps = [r for r in range(1, widest + 1) if r & (r - 1) == 0]
+    held = grown.join(counts, ["cx", "cy"]).groupBy("qx", "qy").agg(*[F.sum(F.when(apart <= r, F.col("n"))).alias(f"n{r}") for r in steps])
+    ring = F.coalesce(*[F.when(F.col(f"n{r}") >= need, r) for r in steps])
+    rings = asked.join(held.select("qx", "qy", ring.alias("ring")), ["qx", "qy"], "left")
     # A point in the ring may be as far as its corner, so the k nearest may lie that far outside too.
-    wide = F.ceil((F.col("ring") + 1) * math.sqrt(2)).cast("long")
-    met = asked.join(done, ["qx", "qy"]).withColumn("wide", wide)
-    spread = met.select("q_id", "q", F.explode(F.sequence(F.col("qx") - F.col("wide"), F.col("qx") + F.col("wide"))).alias("cx"), "qy", "wide")
-    spread = spread.select("q_id", "q", "cx", F.explode(F.sequence(F.col("qy") - F.col("wide"), F.col("qy") + F.col("wide"))).alias("cy"))
-    pairs = spread.join(own, ["cx", "cy"])
+    reach = F.ceil((F.col("ring") + 1) * math.sqrt(2)).cast("long")
+    near = rings.where("ring is not null").select("q_id", "q", "qy", reach.alias("reach"), F.explode(F.sequence(F.col("qx") - reach, F.col("qx") + reach)).alias("cx"))
+    near = near.select("q_id", "q", "cx", F.explode(F.sequence(F.col("qy") - F.col("reach"), F.col("qy") + F.col("reach"))).alias("cy"))
+    pairs = near.join(own, ["cx", "cy"]).select("q_id", "q", "id", "p")
+    far = rings.where("ring is null").select("q_id", "q").join(own.select("id", "p"))
+    pairs = pairs.unionByName(far)
     if exclude_same:
         pairs = pairs.where("q_id <> id")
     return top_k(pairs.select("q_id", "id", vectors.distance_sq(F.col("q"), F.col("p")).alias("d2")), k)
