@@ -22,6 +22,10 @@ from .common import Scratch, small_batches, table, texts
 
 CAPACITY = 2048
 ROUNDS = 200
+#: Pieces of at most this part of the capacity are kept out of the program, to fill the gaps that its patterns leave.
+SAND = 16
+#: The fractional packing is rounded down at these shares of it, and the rounding with the fewest sequences is taken.
+SHARES = (1.0, 0.6)
 END = 0
 LONG_TEXT = 500_000
 
@@ -55,9 +59,10 @@ def knapsack(lengths: np.ndarray, worth: np.ndarray, capacity: int, most: np.nda
 def configurations(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = ROUNDS) -> list[tuple[int, dict[int, int]]]:
     """(copies, {length: pieces}) of patterns that hold every piece once. Full pieces are patterns of their own."""
     out = [(histogram[capacity], {capacity: 1})] if histogram.get(capacity) else []
-    lengths = np.array(sorted(n for n in histogram if n < capacity and histogram[n]), np.int64)
+    small = {n: k for n, k in histogram.items() if k and n <= capacity // SAND}
+    lengths = np.array(sorted(n for n in histogram if capacity // SAND < n < capacity and histogram[n]), np.int64)
     if not len(lengths):
-        return out
+        return out + best_fit(small, capacity)
     count = np.array([histogram[int(n)] for n in lengths], np.int64)
     total = float((lengths * count).sum())
     sequences = max(1.0, total / capacity)
@@ -79,24 +84,28 @@ def configurations(histogram: dict[int, int], capacity: int = CAPACITY, rounds:
         covered += gain
         top = gain.max()
         log_worth -= eta * gain / top
-    # The mean of the patterns in proportion, as far as there are pieces; then best fit over what is left.
-    left = count.copy()
-    scale = sequences / rounds
-    for key, times in sorted(patterns.items(), key=lambda x: -x[1]):
-        pattern = found[key]
-        copies = min(int(times * scale), *(int(left[i]) // n for i, n in pattern.items()))
-        if copies > 0:
-            out.append((copies, {int(lengths[i]): n for i, n in pattern.items()}))
-            for i, n in pattern.items():
-                left[i] -= copies * n
-    out += best_fit({int(n): int(c) for n, c in zip(lengths, left) if c}, capacity)
-    plain = best_fit(histogram, capacity)
-    return min(out, plain, key=lambda patterns: sum(copies for copies, _ in patterns))
-
-
-def best_fit(histogram: dict[int, int], capacity: int) -> list[tuple[int, dict[int, int]]]:
-    """Best-fit decreasing over a histogram, many equal pieces at a time: open sequences are kept by their free tokens."""
+    # The mean of the patterns in proportion, as far as there are pieces; what is left goes into their gaps and new sequences.
+    rounded = []
+    for share in SHARES:
+        left = count.copy()
+        opened = []
+        for key, times in sorted(patterns.items(), key=lambda x: -x[1]):
+            pattern = found[key]
+            copies = min(int(times * share * sequences / rounds), *(int(left[i]) // n for i, n in pattern.items()))
+            if copies > 0:
+                opened.append((copies, {int(lengths[i]): n for i, n in pattern.items()}))
+                for i, n in pattern.items():
+                    left[i] -= copies * n
+        rounded.append(best_fit(small | {int(n): int(c) for n, c in zip(lengths, left) if c}, capacity, opened))
+    return out + min(rounded, key=lambda patterns: sum(copies for copies, _ in patterns))
+
+
+def best_fit(histogram: dict[int, int], capacity: int, opened: list[tuple[int, dict[int, int]]] = ()) -> list[tuple[int, dict[int, int]]]:
+    """Best-fit decreasing over a histogram, many equal pieces at a time, into opened patterns first: open sequences are kept
+    by their free tokens."""
     kinds: dict[int, Counter] = {}  # free tokens -> pattern -> copies
+    for copies, pattern in opened:
+        kinds.setdefault(capacity - sum(n * k for n, k in pattern.items()), Counter())[tuple(pattern.items())] += copies
     for n in sorted(histogram, reverse=True):
         left = histogram[n]
         while left:
@@ -119,7 +128,14 @@ def best_fit(histogram: dict[int, int], capacity: int) -> list[tuple[int, dict[i
             if used < copies:
                 kinds.setdefault(free, Counter())[pattern] += copies - used
             left -= used * each
-    return [(copies, dict(p)) for _, group in sorted(kinds.items()) for p, copies in sorted(group.items())]
+    out = []
+    for _, group in sorted(kinds.items()):
+        for pattern, copies in sorted(group.items()):
+            whole: Counter = Counter()
+            for n, k in pattern:
+                whole[n] += k
+            out.append((copies, dict(whole)))
+    return out
 
 
 def places(patterns: list[tuple[int, dict[int, int]]]) -> list[tuple[int, int, int, int, int, int]]:
