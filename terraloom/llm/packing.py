@@ -2,7 +2,8 @@
 
 The fractional packing is found by multiplicative weights: lengths that the chosen patterns cover badly weigh more, and a
 knapsack dynamic program over the capacity finds the heaviest pattern. The mean of the patterns is rounded down, what is
-left is packed by best fit over the histogram, and rows take their places by their rank among the rows of their length.
+left is packed by best fit over the histogram, and rows take their places by their rank among the rows of their length. Best
+fit over the whole histogram is taken instead where it needs fewer sequences.
 Only counts by length reach the driver: at most as many as the capacity has tokens.
 """
 
@@ -96,8 +97,10 @@ def configurations(histogram: dict[int, int], capacity: int = CAPACITY, rounds:
                 opened.append((copies, {int(lengths[i]): n for i, n in pattern.items()}))
                 for i, n in pattern.items():
                     left[i] -= copies * n
-        rounded.append(best_fit(small | {int(n): int(c) for n, c in zip(lengths, left) if c}, capacity, opened))
-    return out + min(rounded, key=lambda patterns: sum(copies for copies, _ in patterns))
+        rounded.append(out + best_fit(small | {int(n): int(c) for n, c in zip(lengths, left) if c}, capacity, opened))
+    # Where few rounds meet many lengths the rounding can be worse than best fit over everything, which is taken then.
+    plain = best_fit({n: k for n, k in histogram.items() if k}, capacity)
+    return min(*rounded, plain, key=lambda patterns: sum(copies for copies, _ in patterns))
 
 
 def best_fit(histogram: dict[int, int], capacity: int, opened: list[tuple[int, dict[int, int]]] = ()) -> list[tuple[int, dict[int, int]]]:

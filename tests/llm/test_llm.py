@@ -173,6 +173,22 @@ def test_configurations_are_near_the_bound():
     assert packing.configurations({}) == [] and packing.configurations({2048: 4}) == [(4, {2048: 1})]
 
 
+@pytest.mark.parametrize("hot", [700, 1100])
+def test_configurations_with_a_hot_length_need_no_more_than_best_fit(hot):
+    rnd = np.random.default_rng(hot)
+    rest = np.minimum(2048, rnd.lognormal(6, 1, 20000).astype(int) + 1) if hot == 1100 else rnd.integers(1, 2049, 20000)
+    h = collections.Counter(rest.tolist())
+    h[hot] += 10000
+    found = packing.configurations(h)
+    held = collections.Counter()
+    for copies, pattern in found:
+        assert sum(n * k for n, k in pattern.items()) <= 2048
+        for n, k in pattern.items():
+            held[n] += copies * k
+    assert held == h
+    assert sum(c for c, _ in found) <= sum(c for c, _ in packing.best_fit(h, 2048))
+
+
 # HTML.
 
 
