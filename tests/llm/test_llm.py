@@ -1,3 +1,4 @@
+import base64
 import collections
 import hashlib
 import random
@@ -334,6 +335,11 @@ def test_shards(spark, odd):
     assert sharding.shard_rows(odd).count() == len(ODD) and sharding.shard_rows(odd.where("false")).count() == 0
 
 
+def base_failed(text):
+    c = quality.counts(text)
+    return c[0] < 50 or 100 * c[4] > 50 * c[0]
+
+
 def test_quality(spark, odd, texts):
     for t in [*texts.values(), "", " ", "a\n\na\na b", None]:
         w = words(t)
@@ -354,6 +360,22 @@ def test_quality(spark, odd, texts):
     assert quality.quality_rules(odd.where("false")).count() == 0
 
 
+def test_bands_reject_what_the_base_rule_keeps(texts):
+    rnd = random.Random(3)
+    verdict = quality.Compression()
+    blob = [base64.b64encode(rnd.randbytes(24)).decode() for _ in range(400)]
+    plain = sorted((words(t) for t in texts.values() if not base_failed(t)), key=len)
+    long = [w for t in plain[-12:] for w in t]
+    bad = [" ".join(blob[:n]) for n in (60, 100, 200, 400)] + [" ".join(long[:900] + blob)]
+    for n in (500, 650, 800):
+        own, block = long[: n - n // 2 + 10], long[3000:3020]
+        bad.append(" ".join(own + block * ((n // 2 - 10) // 20)))
+    for t in bad:
+        assert not base_failed(t) and not verdict(t)[2], (t[-60:], verdict(t))
+    for t in (" ".join(long[:n]) for n in (60, 200, 900, 3000)):
+        assert base_failed(t) or verdict(t)[2]
+
+
 # The pipeline.
 
 
