@@ -325,7 +325,9 @@ def segment_intersection(p: Column, q: Column) -> Column:
     single = F.array(point(a["x"] + t * u["x"], a["y"] + t * u["y"]))
     none = F.expr(f"cast(array() as {RING})")
     ends = F.array_distinct(F.concat(*[F.when(on_segment(x, s, e), F.array(x)).otherwise(none) for x, s, e in ((a, c, d), (b, c, d), (c, a, b), (d, a, b))]))
-    return F.when(det == 0, ends).otherwise(F.when(segments_intersect(p, q), single).otherwise(none))
+    # An end on the other segment is the common point as it is; the computed one can miss it by a rounding error.
+    crossing = F.when(F.size(ends) > 0, F.slice(ends, 1, 1)).otherwise(single)
+    return F.when(det == 0, ends).otherwise(F.when(segments_intersect(p, q), crossing).otherwise(none))
 
 
 def segment_line_intersection(s: Column, line: Column) -> Column:

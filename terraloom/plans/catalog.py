@@ -911,9 +911,8 @@ def balanced_quad_tree(spark, d):
 
 @query()
 def split_crossing_segments(spark, d):
-    """Consecutive events of few users, cut where they cross."""
-    s = user_segments(spark, d).where("id % 10 = 0")
-    return joins.split_segments(s, 100.0).groupBy("id").agg(F.count(F.lit(1)).alias("parts"))
+    """Consecutive events of every user, cut where they cross."""
+    return joins.split_segments(user_segments(spark, d), 100.0).groupBy("id").agg(F.count(F.lit(1)).alias("parts"))
 
 
 @query("SELECT o_orderkey, strftime(o_orderdate + INTERVAL 1 HOUR, '%Y-%m-%d %H:%M:%S') AS local FROM orders")

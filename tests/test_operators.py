@@ -226,3 +226,18 @@ def test_stream_density(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted(map(tuple, spark.table("cells").collect())) == [(0, 0, 2), (1, 1, 1)]
+
+
+def test_split_of_all_segments_against_brute_force(spark, data):
+    from terraloom.plans import catalog
+
+    rows = catalog.user_segments(spark, data).select("id", "seg.s.x", "seg.s.y", F.col("seg.e.x").alias("u"), F.col("seg.e.y").alias("v")).toPandas()
+    s, e = rows[["x", "y"]].to_numpy(), rows[["u", "v"]].to_numpy()
+
+    def side(a, b, p):
+        return np.sign((b[:, 0] - a[:, 0]) * (p[1] - a[:, 1]) - (b[:, 1] - a[:, 1]) * (p[0] - a[:, 0]))
+
+    across = np.array([side(s, e, s[k]) * side(s, e, e[k]) < 0 for k in range(len(rows))])
+    want = dict(zip(rows.id, 1 + (across & across.T).sum(axis=1)))  # ends that only touch cut nothing
+    got = {r.id: r.parts for r in catalog.split_crossing_segments(spark, data).collect()}
+    assert got == want
