@@ -25,7 +25,7 @@ WORD, DROPPED_WORD, TAG = 1.0, -1.0, -2.0
 LIGHTEST, HEAVIEST = -0.2, -8.0
 
 #: Elements whose content is not text.
-RAW = ("script", "style", "template", "noscript", "svg", "math", "iframe", "object", "canvas", "head", "title", "textarea", "select", "video", "audio")
+RAW = ("script", "style", "template", "noscript", "svg", "math", "iframe", "object", "canvas", "title", "textarea", "select", "video", "audio")
 #: Elements that are not part of an article.
 DROPPED = frozenset(("nav", "aside", "footer", "form", "button", "menu", "dialog", "fieldset", "label", "header"))
 CONTAINERS = frozenset(("html", "body", "div", "article", "main", "section", "table", "td", "center", "blockquote", "ul", "ol", "dl", "figure", "details"))

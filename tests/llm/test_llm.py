@@ -204,6 +204,12 @@ def test_html():
         html.Page(s, weights).main_text()
 
 
+@pytest.mark.parametrize("end", ["</head><body>", "<body>", ""])
+def test_html_head_without_end(end):
+    page = f"<html><head><title>Name</title><meta charset=utf-8><style>p {{}}</style>{end}<article><p>First words of it<p>and the rest</article>"
+    assert html.Page(page, {"p": -0.2}).main_text() == "First words of it\n\nand the rest"
+
+
 def test_html_pages(spark, data):
     from html import unescape
 
