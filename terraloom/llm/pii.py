@@ -1,8 +1,8 @@
 """Personal data by bootstrapped contextual extraction, with DataFrame functions only.
 
-What the base patterns find are the seeds. An identifier-like token (one with a digit or @) and the word to its left make an
-edge between an instance and a lexical pattern. A pattern scores by the share of its distinct instances that are known, an
-instance by the patterns that lead to it, in turns; tokens that patterns of high confidence lead to, and that look like the
+What the base patterns find are the seeds. An identifier-like token (one with a digit, an @ or another form that LIKE lists) and
+the word to its left make an edge between an instance and a lexical pattern. A pattern scores by the share that is known of
+its distinct instances that are known or look like the kind, an instance by the patterns that lead to it, in turns; tokens that patterns of high confidence lead to, and that look like the
 pattern's kind, are new spans. The graph is made of distinct tokens and words, aggregated before every shuffle.
 """
 
@@ -23,8 +23,16 @@ BASE = {
 }
 #: Texts without a match of these hold none of the kind; they are cheaper to try.
 HINT = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9]", "phone": r"\+[0-9]"}
-#: Identifier-like tokens: words with a digit or an at sign.
-TOKEN = r"(?:\G|(?<![^\x20\x09-\x0D]))[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+"
+#: What LIKE takes without a digit or an at sign: spelt-out at signs, and hexadecimal groups of letters.
+SPELT = r"\(at\)|\[at\]|\{at\}"
+GROUPS = r"(?:[A-Fa-f]{0,4}:){2,7}[A-Fa-f]{0,4}"
+#: Identifier-like tokens: words with a digit or an at sign, or of such a form.
+TOKEN = (
+    r"(?:\G|(?<![^\x20\x09-\x0D]))(?:[^\x20\x09-\x0D0-9@]*+[0-9@]|[^\x20\x09-\x0D]+?(?:" + SPELT + r")"
+    r"|[(\[{<\"']*+" + GROUPS + r"""(?=[)\]}>"'.,;:!?*%$&#]*+(?:[\x20\x09-\x0D]|\z)))[^\x20\x09-\x0D]*+"""
+)
+#: Texts without a match of this hold no such token.
+ANY_TOKEN = "[0-9@]|" + SPELT + "|(?:[A-Fa-f]{0,4}:){2}"
 EDGE = r"""^[(\[{<"']+|[)\]}>"'.,;:!?*%$&#]+$"""
 #: What a token must look like, without its edge, to be a new span of the kind.
 LIKE = {
@@ -96,13 +104,20 @@ def _joined(spans: Column) -> Column:
     return F.array_join(F.transform(ordered, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
+def _like(kind: Column, token: Column) -> Column:
+    like = F.lit(False)
+    for k in KINDS:
+        like = F.when(kind == k, token.rlike(LIKE[k])).otherwise(like)
+    return like
+
+
 def tokens(docs: DataFrame) -> DataFrame:
     """(id, th, start, end, left, token, known, taken): identifiers and the word before each, in lower case.
 
     Where a base span starts in an identifier-like token, the identifier is the span, and its kind is known; tokens that a
     span goes on into are left out; all others are identifiers without a kind.
     """
-    some = docs.where(F.col("text").rlike("[0-9@]")).select("id", "th", "seen", located(F.col("text"), TOKEN).alias("found"))
+    some = docs.where(F.col("text").rlike(ANY_TOKEN)).select("id", "th", "seen", located(F.col("text"), TOKEN).alias("found"))
 
     def identifier(t: Column, k: Column) -> Column:
         before = F.regexp_extract(t["gap"], r"([^\x20\x09-\x0D]++)[\x20\x09-\x0D]++\z", 1)
@@ -121,14 +136,16 @@ def tokens(docs: DataFrame) -> DataFrame:
 def patterns(found: DataFrame, scratch: Scratch, rounds: int = ROUNDS, confidence: float = CONFIDENCE, support: float = SUPPORT) -> DataFrame:
     """(left, kind): the words that lead to identifiers of a kind with high confidence."""
     edges = scratch.write(found.where("left <> ''").groupBy("left", "token").agg(F.max("known").alias("known")), "edges")
-    sizes = edges.groupBy("left").agg(F.count(F.lit(1)).alias("n"))
+    # Known instances of other kinds count against a pattern, unknown ones only if they look like its kind.
+    counted = [F.count(F.when(F.col("known").isNotNull() | F.col("token").rlike(LIKE[kind]), 1)).alias(kind) for kind in KINDS]
+    sizes = edges.groupBy("left").agg(*counted).select("left", F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).alias("n")) for k in KINDS])).alias("s")).select("left", "s.*")
     known = edges.where("known is not null").select("token", F.col("known").alias("kind"), F.lit(1.0).alias("score")).distinct()
     scored = None
     for k in range(rounds):
         held = edges.select("left", "token").join(known, "token").groupBy("left", "kind").agg(F.sum("score").alias("weight"))
-        scored = scratch.write(held.join(sizes, "left").select("left", "kind", "weight", (F.col("weight") / F.col("n")).alias("share")).where((F.col("weight") >= support) & (F.col("share") >= confidence)), f"patterns-{k}")
+        scored = scratch.write(held.join(sizes, ["left", "kind"]).select("left", "kind", "weight", (F.col("weight") / F.col("n")).alias("share")).where((F.col("weight") >= support) & (F.col("share") >= confidence)), f"patterns-{k}")
         if k + 1 < rounds:
-            led = edges.where("known is null").select("left", "token").join(scored, "left").groupBy("token", "kind").agg(F.max("share").alias("score"))
+            led = edges.where("known is null").select("left", "token").join(scored, "left").where(_like(F.col("kind"), F.col("token"))).groupBy("token", "kind").agg(F.max("share").alias("score"))
             seeds = edges.where("known is not null").select("token", F.col("known").alias("kind"), F.lit(1.0).alias("score")).distinct()
             known = seeds.unionByName(led)
     return scored.select("left", "kind")
@@ -146,10 +163,7 @@ def find(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds:
     docs = df.select(F.col(id_col).alias("id"), text.alias("text"), F.xxhash64(text).alias("th")).withColumn("seen", F.concat(*[base_spans(F.col("text"), kind) for kind in KINDS]))
     found = scratch.write(tokens(docs), "tokens")
     led = found.where("not taken").join(patterns(found, scratch, rounds, confidence, support), "left")
-    like = F.lit(False)
-    for kind in KINDS:
-        like = F.when(F.col("kind") == kind, F.col("token").rlike(LIKE[kind])).otherwise(like)
-    new = scratch.write(led.where(like).groupBy("id", "th").agg(F.collect_set(F.struct("kind", "start", "end")).alias("more")), "new")
+    new = scratch.write(led.where(_like(F.col("kind"), F.col("token"))).groupBy("id", "th").agg(F.collect_set(F.struct("kind", "start", "end")).alias("more")), "new")
     none = F.expr("cast(array() as array<struct<kind:string,start:int,end:int>>)")
     base = docs.select("id", "th", F.transform("seen", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"))).alias("base"))
     same = base["id"].eqNullSafe(new["id"]) & (base["th"] == new["th"])

@@ -263,6 +263,15 @@ def test_patterns_find_what_the_base_misses(spark, odd):
     assert pii.mask(odd).count() == len(ODD) and pii.mask(odd.where("false")).count() == 0
 
 
+def test_patterns_find_spelt_out_identifiers_among_others(spark):
+    rows = [(i, f"Mail-To: user{i}@example.com now") for i in range(8)] + [(20 + i, f"Mail-To: room-{i} now") for i in range(8)]
+    rows += [(50, "Mail-To: jane.doe(at)example.com now"), (51, "mail-to: (joe[at]example.org) now"), (52, "say jane.doe(at)example.com now")]
+    rows += [(60 + i, f"Host-Ip: 10.0.0.{i} up") for i in range(8)] + [(70, "Host-Ip: fe::ab:cd up")]
+    got = {r.doc_id: r.text for r in pii.mask(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[50] == "Mail-To: [EMAIL] now" and got[51] == "mail-to: ([EMAIL]) now" and got[70] == "Host-Ip: [IP] up"
+    assert all(got[k] == t for k, t in rows if 20 <= k < 50 or k == 52)
+
+
 # Near-duplicates.
 
 
