@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import small_batches, table, texts
+from .common import sliced, table, texts
 
 CHUNK, OVERLAP = 16_384, 256
 #: A pre-token is settled once so many characters after its end are known: contractions look two ahead.
@@ -119,12 +119,11 @@ def encode_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def _encode(df: DataFrame, id_col: str, text_col: str, path: str | None, chunk: int, overlap: int, digests: bool) -> DataFrame:
-    small_batches(df.sparkSession)
     path = path or rank_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = ByteBPE(path, chunk, overlap)
-        for batch in batches:
+        for batch in sliced(batches):
             counts, first, second = [], [], []
             for text in texts(batch, "text"):
                 ids = bpe.encode(text or "")

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh, small_batches, table, texts
+from .common import fresh, sliced, table, texts
 
 #: Weights are counted on about so many pages at most.
 LABELLED_PAGES = 2000
@@ -201,14 +201,13 @@ _INLINE = frozenset("a abbr b bdi bdo cite code data del dfn em font i ins kbd m
 def fit(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", most: int = LABELLED_PAGES) -> dict[str, float]:
     """Weights of tags from pages that mark their article; of more than `most` pages, those whose hash of the id is below the share."""
     spark = pages.sparkSession
-    small_batches(spark, 200)
     total = pages.count()
     chance = F.pmod(F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit(""))), F.lit(1_000_003)) / F.lit(1_000_003.0)
     taken = pages.where(chance < min(1.0, most / max(1, total))).select(F.col(html_col).alias("html"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter = Counter()
-        for batch in batches:
+        for batch in sliced(batches):
             for html in texts(batch, "html"):
                 if html:
                     counts.update(tag_counts(html))
@@ -234,13 +233,12 @@ def extract(pages: DataFrame, weights: dict[str, float], html_col: str = "html")
     """
     from pyspark.sql import types as T
 
-    small_batches(pages.sparkSession, 200)
     (name,) = fresh(pages, "_html")
     keep = pages.select(*[pages[c] for c in pages.columns if c not in ("text", "n_chars", html_col)], pages[html_col].alias(name))
     fields = [f for f in keep.schema.fields if f.name != name]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             out = [Page(h, weights).main_text() if h else "" for h in batch.column(batch.num_columns - 1).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(out, pa.string()), pa.array(map(len, out), pa.int64())], names=[*batch.schema.names[:-1], "text", "n_chars"])
 

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import small_batches, table, texts
+from .common import sliced, table, texts
 
 UNKNOWN = "und"
 PROFILE = 300
@@ -93,7 +93,6 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     the same rows at every run. What reaches the driver is `size` n-grams a language.
     """
     spark = labelled.sparkSession
-    small_batches(spark)
     rows = labelled.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("lang is not null and text is not null")
     shares = {r["lang"]: docs_per_language / r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not shares:
@@ -107,7 +106,7 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals: dict[str, Counter] = {}
-        for batch in batches:
+        for batch in sliced(batches):
             for text, name in zip(texts(batch, "text"), texts(batch, "lang")):
                 keys, counts = grams(text)
                 total = totals.setdefault(name, Counter())
@@ -131,13 +130,12 @@ def identify(df: DataFrame, profiles: Profiles, text_col: str = "text", names: t
     A null text or one without a letter is `und` with the score 0 and the distance 1; so is every text if nothing was
     learned. Ties go to the language that sorts first. Repeated rows are judged each; an empty table gives no rows.
     """
-    small_batches(df.sparkSession)
     keep = df.drop(*names)
     schema = keep.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         judge = Judge(profiles)
-        for batch in batches:
+        for batch in sliced(batches):
             out = [judge(t) for t in texts(batch, text_col)]
             cols = list(zip(*out)) or [(), (), ()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cols[0], pa.string()), pa.array(cols[1], pa.float64()), pa.array(cols[2], pa.float64())], names=[*batch.schema.names, *names])

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, WordHash, mix, shingles, small_batches, table, texts
+from .common import Scratch, WordHash, mix, shingles, sliced, table, texts
 from .components import components
 
 BANDS, ROWS = 24, 4
@@ -75,7 +75,7 @@ def signatures(docs: DataFrame, words: int) -> DataFrame:
         import xxhash
 
         hashes, samples = WordHash(), Samples()
-        for batch in batches:
+        for batch in sliced(batches):
             n, k1, k2, bands, sketches = [], [], [], [], []
             for items in _sets(batch, hashes, words):
                 digest = np.frombuffer(xxhash.xxh3_128_digest(items.tobytes()), np.int64)
@@ -93,7 +93,7 @@ def full_sets(docs: DataFrame, words: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHash()
-        for batch in batches:
+        for batch in sliced(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in _sets(batch, hashes, words)], pa.binary())], names=["id", "items"])
 
     return docs.select("id", "text").mapInArrow(run, "id long, items binary")
@@ -136,7 +136,7 @@ def folded_sets(sets: DataFrame) -> DataFrame:
     """id and fine, the parity bitmap of all items: a power of two of bits, four an item at least."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             out = []
             for raw in batch.column(1).to_pylist():
                 items = np.frombuffer(raw, np.uint64)
@@ -249,7 +249,7 @@ def _across(percent: int, most: int):
 
 def _confirm(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             same = []
             for p, q in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
                 x, y = np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)
@@ -272,7 +272,6 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     nearly always; all that bands and sketches let through is confirmed on full sets.
     """
     spark = df.sparkSession
-    small_batches(spark)
     scratch = Scratch(spark, "neardup")
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     signed = scratch.write(signatures(docs, words), "signed")

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bpe import ByteBPE, rank_path
-from .common import Scratch, small_batches, table, texts
+from .common import Scratch, sliced, table, texts
 
 CAPACITY = 2048
 ROUNDS = 200
@@ -162,7 +162,6 @@ def pieces(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", capaci
     A document is its ids and an end; one longer than the capacity is cut into full pieces, of which the first may be
     shorter. A null or empty text is one piece with the end alone.
     """
-    small_batches(df.sparkSession)
     path = rank_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,7 +174,7 @@ def pieces(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", capaci
 
         task = TaskContext.get().partitionId()
         seen: Counter = Counter()
-        for batch in batches:
+        for batch in sliced(batches):
             rows: list[list] = [[] for _ in range(7)]
             for row, text in enumerate(texts(batch, "text")):
                 ids = np.array([*(encode(text) if text else ()), END], "<u4")

@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import WHITE, small_batches, table, texts
+from .common import WHITE, sliced, table, texts
 
 SYMBOLS = "#*$%&|<>"
 
@@ -111,12 +111,11 @@ def quality_rules(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     A null or empty text has no words and fails the base rule; repeated rows are judged one by one; extra columns are
     not carried on; an empty table gives no rows. Texts are read whole, however long; one batch of them is held at a time.
     """
-    small_batches(df.sparkSession)
     id_type = dict(df.dtypes)[id_col]
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         verdict = Compression(bands)
-        for batch in batches:
+        for batch in sliced(batches):
             rows = [(*(c := counts(t)), *verdict(t), c[0] < min_words or 100 * c[4] > max_repeat_percent * c[0]) for t in texts(batch, "text")]
             cols = list(zip(*rows)) or [()] * 9
             yield pa.RecordBatch.from_arrays(

@@ -1,20 +1,22 @@
 """Substring dedup: suffix automata over shards of reference passages, and matching statistics of what streams past them.
 
 A window of `length` words is a repeat if it also starts in a row with a smaller id. To compare only what can match, every
-window is owned by an anchor: the run of GRAM words in it with the smallest hash. Equal windows have equal anchors, so only
-anchors found in two rows matter, and a passage (the windows of one anchor at one place, with their words) needs to meet
-only passages of the same anchor. Those are a reference shard. Equal passages are first reduced to the one with the smallest
-id. In a shard the passages then stream, by growing id, past a suffix automaton of those before: where the longest match
-that ends at a word has the window's length, the window is a repeat. Shards with many passages (the anchors beside a
-passage that everyone quotes) are compared window by window in an aggregation instead, which no single task has to hold.
-
-An automaton of all references would have to be broadcast and grows with the corpus; shards by anchor go to the tasks that
-need them and stay small.
+window is owned by an anchor: the run of `gram` words in it with the smallest hash. Equal windows have equal anchors, so only
+anchors found under two ids matter, and a passage (the windows of one anchor at one place, with their words) needs to meet
+only passages of the same anchor. Hashes say no more than what meets what: every window is judged by an automaton, word by
+word, and where the longest match that ends at a word has the window's length, the window is a repeat.
+
+The passages of an anchor are a reference shard. They stream, by growing id, past the automaton of those before, which takes
+in a passage if a window of it is new. An anchor with more than PLACES passages (a passage that everyone quotes) has its
+references picked first: the windows that two ids hold, with the smallest of these. They are cut into shards of at most about
+WINDOWS windows, a shard is sent to as many tasks as its passages need, PLACES to a task, and these stream past its
+automaton; so neither a shard nor what streams past it in one task grows with the table.
+
+An automaton of all references would have to be broadcast and grows with the corpus; shards go to the tasks that need them.
 """
 
 from __future__ import annotations
 
-import gc
 import hashlib
 from collections.abc import Iterator
 from itertools import groupby
@@ -24,41 +26,48 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .common import Scratch, WordHash, mix, small_batches, table, texts, words_of
+from .common import Scratch, WordHash, mix, sliced, table, texts, words_of
 
 LENGTH = 13
 GRAM = 5
-#: Odd factors of a run's words, and bases of the two hashes of a passage.
+#: Odd factors of a run's words.
 FACTORS = mix(np.arange(1, 65, dtype=np.uint64)) | np.uint64(1)
-BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
-#: The start of a hit that stands for all of a text.
-WHOLE = -1
-#: A shard with more passages than this is compared window by window.
-SHARD = 64
+#: Passages of an anchor that one task streams; more are dealt to several.
+PLACES = 1000
+#: Windows of a reference shard of such an anchor, about 100 bytes each.
+WINDOWS = 4000
+#: Anchors with more passages are few; so many of them may be broadcast.
+BROADCAST_ROWS = 100_000
 
 
 class SuffixAutomaton:
-    """A suffix automaton of several word sequences; no match runs from one to the next."""
+    """A suffix automaton of several word sequences, each under an id; no match runs from one to the next.
+
+    `owner` holds the smallest id that a state's words were added under, once `settle` has carried ids to shorter matches.
+    """
 
     def __init__(self):
         self.next: list[dict] = [{}]
         self.link = [-1]
         self.size = [0]
+        self.owner: list[int | None] = [None]
 
-    def add(self, words: list) -> None:
+    def add(self, words: list, owner: int = 0) -> None:
         last = 0
         for w in words:
-            last = self._extend(last, w)
+            last = self._extend(last, w, owner)
 
-    def _extend(self, last: int, w) -> int:
+    def _extend(self, last: int, w, owner: int) -> int:
         nxt, link, size = self.next, self.link, self.size
         if w in nxt[last]:  # the sequence so far was seen before
             q = nxt[last][w]
-            return q if size[q] == size[last] + 1 else self._clone(last, w, q)
+            if size[q] != size[last] + 1:
+                q = self._clone(last, w, q)
+            self.owner[q] = owner if self.owner[q] is None else min(owner, self.owner[q])
+            return q
         cur = len(nxt)
-        nxt.append({}), link.append(0), size.append(size[last] + 1)
+        nxt.append({}), link.append(0), size.append(size[last] + 1), self.owner.append(owner)
         p = last
         while p >= 0 and w not in nxt[p]:
             nxt[p][w] = cur
@@ -71,24 +80,54 @@ class SuffixAutomaton:
     def _clone(self, p: int, w, q: int) -> int:
         nxt, link, size = self.next, self.link, self.size
         clone = len(nxt)
-        nxt.append(nxt[q].copy()), link.append(link[q]), size.append(size[p] + 1)
+        nxt.append(nxt[q].copy()), link.append(link[q]), size.append(size[p] + 1), self.owner.append(self.owner[q])
         link[q] = clone
         while p >= 0 and nxt[p].get(w) == q:
             nxt[p][w] = clone
             p = link[p]
         return clone
 
-    def matches(self, words: list) -> Iterator[int]:
-        """Matching statistics: for each word the length of the longest match that ends there."""
+    def settle(self) -> None:
+        """What a state's words are under holds for its shorter suffixes too."""
+        owner, link = self.owner, self.link
+        for state in sorted(range(1, len(link)), key=self.size.__getitem__, reverse=True):
+            up = link[state]
+            if up > 0 and (owner[up] is None or (owner[state] is not None and owner[state] < owner[up])):
+                owner[up] = owner[state]
+
+    def matches(self, words: list) -> Iterator[tuple[int, int]]:
+        """Matching statistics: for each word the length of the longest match that ends there, and its state."""
+        nxt, link, size = self.next, self.link, self.size
         state = matched = 0
         for w in words:
-            while state and w not in self.next[state]:
-                state = self.link[state]
-                matched = self.size[state]
-            if w in self.next[state]:
-                state = self.next[state][w]
+            to = nxt[state].get(w)
+            while to is None and state:
+                state = link[state]
+                matched = size[state]
+                to = nxt[state].get(w)
+            if to is not None:
+                state = to
                 matched += 1
-            yield matched
+            yield matched, state
+
+    def repeated(self, words: list, length: int) -> int:
+        """The windows of `length` words that some sequence holds, as bits by the place of the first word."""
+        mask = 0
+        for end, (n, _) in enumerate(self.matches(words), 1 - length):
+            if n >= length:
+                mask |= 1 << end
+        return mask
+
+    def repeated_before(self, words: list, length: int, before: int) -> int:
+        """The same for sequences under an id smaller than `before`; after `settle`."""
+        mask = 0
+        for end, (n, state) in enumerate(self.matches(words), 1 - length):
+            if n >= length:
+                while self.size[self.link[state]] >= length:
+                    state = self.link[state]
+                if self.owner[state] < before:
+                    mask |= 1 << end
+        return mask
 
 
 def rolled(hashes: np.ndarray, k: int) -> np.ndarray:
@@ -112,24 +151,24 @@ def owners(hashes: np.ndarray, sizes: np.ndarray, length: int, gram: int) -> tup
     return own, windows, (np.lib.stride_tricks.sliding_window_view(own, wide).argmin(1)[windows] + windows)
 
 
-def _batch(batch: pa.RecordBatch, hashes: WordHash) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
-    """All words of a batch of texts, their hashes, the number of words of each text, and its id."""
+def _batch(batch: pa.RecordBatch, hashes: WordHash) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """All words of a batch of texts, their hashes, and the number of words of each text."""
     words: list[bytes] = []
     sizes = []
     for text in texts(batch, "text"):
         own = words_of(text)
         words += own
         sizes.append(len(own))
-    return words, hashes(words), np.array(sizes, np.int64), batch.column(0).to_numpy()
+    return words, hashes(words), np.array(sizes, np.int64)
 
 
 def anchors(docs: DataFrame, length: int, gram: int) -> DataFrame:
-    """(anchor, id): the distinct anchors of every row."""
+    """(anchor, id, th): the distinct anchors of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHash()
-        for batch in batches:
-            words, hashed, sizes, ids = _batch(batch, hashes)
+        for batch in sliced(batches):
+            words, hashed, sizes = _batch(batch, hashes)
             own, windows, at = owners(hashed, sizes, length, gram)
             if len(at):
                 at = at[np.append(True, at[1:] != at[:-1])]
@@ -138,32 +177,19 @@ def anchors(docs: DataFrame, length: int, gram: int) -> DataFrame:
                 order = np.lexsort((anchor, row))
                 anchor, row = anchor[order], row[order]
                 first = np.append(True, (anchor[1:] != anchor[:-1]) | (row[1:] != row[:-1]))
-                yield pa.RecordBatch.from_arrays([pa.array(anchor[first].view(np.int64)), pa.array(ids[row[first]])], names=["anchor", "id"])
-
-    return docs.select("id", "text").mapInArrow(run, "anchor long, id long")
-
+                taken = pa.array(row[first])
+                yield pa.RecordBatch.from_arrays([pa.array(anchor[first].view(np.int64)), batch.column(0).take(taken), batch.column(1).take(taken)], names=["anchor", "id", "th"])
 
-def range_hash(hashes: np.ndarray, start: np.ndarray, end: np.ndarray, base: int) -> np.ndarray:
-    """A polynomial hash of words start to end (exclusive) for many ranges at once, by differences of prefix sums."""
-    up, down = np.uint64(base), np.uint64(pow(base, -1, 2**64))
-    n = len(hashes) + 1
-    powers = np.ones(n, np.uint64)
-    np.multiply.accumulate(np.full(n - 1, up, np.uint64), out=powers[1:])
-    back = np.ones(n, np.uint64)
-    np.multiply.accumulate(np.full(n - 1, down, np.uint64), out=back[1:])
-    sums = np.zeros(n, np.uint64)
-    np.cumsum(hashes * powers[:-1], out=sums[1:])
-    return mix((sums[end] - sums[start]) * back[start] + (end - start).astype(np.uint64))
+    return docs.select("id", "th", "text").mapInArrow(run, "anchor long, id long, th long")
 
 
 def passages(docs: DataFrame, length: int, gram: int) -> DataFrame:
-    """anchor, c1 and c2 (a digest of the words), id, start, windows and words of every passage at an anchor of column `shared`."""
+    """anchor, id, th, start and words of every passage at an anchor of column `shared`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHash()
-        names = ["anchor", "c1", "c2", "id", "start", "windows", "words"]
-        for batch in batches:
-            words, hashed, sizes, ids = _batch(batch, hashes)
+        for batch in sliced(batches):
+            words, hashed, sizes = _batch(batch, hashes)
             own, windows, at = owners(hashed, sizes, length, gram)
             if not len(at):
                 continue
@@ -172,7 +198,7 @@ def passages(docs: DataFrame, length: int, gram: int) -> DataFrame:
             start, anchor = windows[begin], own[at[begin]].view(np.int64)
             row = np.searchsorted(np.cumsum(sizes), start, side="right")
             # Which anchors are shared, by row: all pairs of row and anchor, sorted once.
-            lists = batch.column(2)
+            lists = batch.column(3)
             shared = lists.flatten().to_numpy()
             owner = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
             order = np.lexsort((shared, owner))
@@ -182,12 +208,12 @@ def passages(docs: DataFrame, length: int, gram: int) -> DataFrame:
             text = b" ".join(words)
             offset = np.concatenate([[0], np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)])
             pieces = [text[a:b] for a, b in zip(offset[start].tolist(), (offset[end] - 1).tolist())]
-            c1, c2 = (range_hash(hashed, start, end, base).view(np.int64) for base in BASES)
             within = start - (np.cumsum(sizes) - sizes)[row]
-            columns = [pa.array(anchor), pa.array(c1), pa.array(c2), pa.array(ids[row]), pa.array(within.astype(np.int32)), pa.array(count.astype(np.int32)), pa.array(pieces, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names=names)
+            taken = pa.array(row)
+            columns = [pa.array(anchor), batch.column(0).take(taken), batch.column(1).take(taken), pa.array(within.astype(np.int32)), pa.array(pieces, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["anchor", "id", "th", "start", "words"])
 
-    return docs.select("id", "text", "shared").mapInArrow(run, "anchor long, c1 long, c2 long, id long, start int, windows int, words binary")
+    return docs.select("id", "th", "text", "shared").mapInArrow(run, "anchor long, id long, th long, start int, words binary")
 
 
 def _among(row: np.ndarray, value: np.ndarray, rows: np.ndarray, values: np.ndarray) -> np.ndarray:
@@ -203,90 +229,123 @@ def _among(row: np.ndarray, value: np.ndarray, rows: np.ndarray, values: np.ndar
     return keep
 
 
-def _stream(length: int):
-    """The repeated windows, as bits, of passages in rows sorted by anchor and id."""
+HIT = "id long, th long, start int, mask long"
 
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-        for batch in batches:
-            yield from zip(*(c.to_pylist() for c in batch.columns))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: list[tuple] = []
+class _Hits:
+    """Hits on their way out, some thousands at a time."""
+
+    def __init__(self):
+        self.held: list[tuple] = []
+
+    def sent(self, least: int) -> Iterator[pa.RecordBatch]:
+        if len(self.held) > least:
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*self.held), kinds)], names=["id", "th", "start", "mask"])
+            self.held = []
+
 
-        def sent():
-            c1, c2, mask = zip(*out)
-            return pa.RecordBatch.from_arrays([pa.array(c1, pa.int64()), pa.array(c2, pa.int64()), pa.array(mask, pa.int64())], names=["c1", "c2", "mask"])
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    for batch in batches:
+        yield from zip(*(c.to_pylist() for c in batch.columns))
 
-        for _, shard in groupby(rows(batches), key=lambda r: r[0]):
+
+def _grown(length: int):
+    """The repeated windows of passages (anchor, id, th, start, words) sorted by anchor and id."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hits = _Hits()
+        for _, shard in groupby(_rows(batches), key=lambda r: r[0]):
             automaton = SuffixAutomaton()
             for _, same in groupby(shard, key=lambda r: r[1]):
-                split = [(c1, c2, words.split(b" ")) for _, _, c1, c2, words in same]
-                for c1, c2, words in split:
-                    mask = 0
-                    for end, n in enumerate(automaton.matches(words)):
-                        if n >= length:
-                            mask |= 1 << (end - length + 1)
+                new = []
+                for _, id_, th, start, raw in same:
+                    words = raw.split(b" ")
+                    mask = automaton.repeated(words, length)
                     if mask:
-                        out.append((c1, c2, mask))
-                for _, _, words in split:
+                        hits.held.append((id_, th, start, mask))
+                    if mask + 1 != 1 << (len(words) - length + 1):
+                        new.append(words)
+                for words in new:
                     automaton.add(words)
-            if len(out) > 20_000:
-                yield sent()
-                out = []
-        if out:
-            yield sent()
+            yield from hits.sent(20_000)
+        yield from hits.sent(0)
 
     return run
 
 
-def release(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of phases that are over and written."""
-    gc.collect()
-    spark._jvm.System.gc()
+def _met(length: int):
+    """The repeated windows of rows (anchor, part, task, side, id, th, start, words) sorted by the first four: references of a
+    shard are side 0, what streams past their automaton is side 1."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hits = _Hits()
+        for _, shard in groupby(_rows(batches), key=lambda r: r[:3]):
+            automaton = SuffixAutomaton()
+            settled = False
+            for _, _, _, side, id_, th, start, raw in shard:
+                words = raw.split(b" ")
+                if side == 0:
+                    automaton.add(words, id_)
+                    continue
+                if not settled:
+                    automaton.settle()
+                    settled = True
+                mask = automaton.repeated_before(words, length, id_)
+                if mask:
+                    hits.held.append((id_, th, start, mask))
+            yield from hits.sent(20_000)
+        yield from hits.sent(0)
 
-def later_copies(docs: DataFrame) -> DataFrame:
-    """(id) of rows whose whole text a row with a smaller id has too: all their windows are repeats, so they need no search."""
-    keyed = docs.where("text is not null").select("id", F.xxhash64("text").alias("t1"), F.xxhash64(F.lit(7), "text").alias("t2"))
-    groups = keyed.groupBy("t1", "t2").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").drop("last")
-    return keyed.join(groups, ["t1", "t2"]).where("id > first").select("id").distinct()
+    return run
 
 
-def repeated_spans(docs: DataFrame, scratch: Scratch, length: int = LENGTH, gram: int = GRAM, shard: int = SHARD) -> DataFrame:
-    """(id, hits): for every row with repeats the starts of its passages and their repeated windows as bits; WHOLE for a copy."""
-    spark = docs.sparkSession
-    copies = scratch.write(later_copies(docs), "copies")
-    found = scratch.write(anchors(docs, length, gram), "anchors")
-    shared = found.groupBy("anchor").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("anchor")
-    by_doc = scratch.write(found.join(shared, "anchor").groupBy("id").agg(F.collect_list("anchor").alias("shared")).join(copies, "id", "left_anti"), "shared")
-    scratch.drop("anchors")
-    release(spark)
-    held = scratch.write(passages(docs.join(by_doc, "id"), length, gram), "passages")
-    release(spark)
-    first = held.groupBy("c1", "c2").agg(F.min("anchor").alias("anchor"), F.min("id").alias("first"), F.min("words").alias("words"))
-    first = scratch.write(first, "first")
-    release(spark)
-    sizes = first.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    sized = scratch.write(first.join(sizes, "anchor"), "sized")
-    small = sized.where(F.col("n") <= shard).select("anchor", "first", "c1", "c2", "words").repartition("anchor").sortWithinPartitions("anchor", "first")
-    masks = small.mapInArrow(_stream(length), "c1 long, c2 long, mask long")
+def dealt(held: DataFrame, crowded: DataFrame, scratch: Scratch, length: int, places: int, windows: int) -> DataFrame:
+    """References and passages of the anchors of `crowded`, by shard and task."""
+    own = scratch.write(held.join(crowded.select("anchor"), "anchor"), "crowded-passages")
     split = F.split(F.col("words").cast("string"), " ")
-    texts_of = F.transform(F.sequence(F.lit(1), F.size(split) - (length - 1)), lambda i: F.array_join(F.slice(split, i, length), " "))
-    windows = sized.where(F.col("n") > shard).select("c1", "c2", "first", F.posexplode(texts_of).alias("k", "window"))
-    windows = scratch.write(windows.select("c1", "c2", "first", "k", F.xxhash64("window").alias("w1"), F.xxhash64(F.lit(7), "window").alias("w2")), "windows")
-    least = windows.groupBy("w1", "w2").agg(F.min("first").alias("low"), F.max("first").alias("high")).where("low < high")
-    crowded = windows.join(least, ["w1", "w2"]).where("low < first").groupBy("c1", "c2").agg(F.bit_or(F.expr("shiftleft(1L, k)")).alias("mask"))
-    masks = scratch.write(masks.unionByName(crowded), "masks")
-    known = scratch.write(first.select("c1", "c2", "first").join(masks, ["c1", "c2"], "left"), "known")
-    # A later row repeats all windows of a passage; the first one those of its mask. One join alone, so that Spark can split it.
-    places = held.select("c1", "c2", "id", "start", "windows").join(known, ["c1", "c2"])
-    mask = F.when(F.col("id") > F.col("first"), F.expr("shiftleft(1L, windows) - 1")).otherwise(F.coalesce("mask", F.lit(0)))
-    hits = places.select("id", "start", mask.alias("mask")).where("mask <> 0").groupBy("id").agg(F.collect_list(F.struct("start", "mask")).alias("hits"))
-    whole = copies.select("id", F.array(F.struct(F.lit(WHOLE).alias("start"), F.lit(0).cast("long").alias("mask"))).alias("hits"))
-    out = scratch.write(hits.unionByName(whole), "hits")
-    for name in ("passages", "first", "sized", "windows", "known"):
-        scratch.drop(name)
-    release(spark)
+    windows_of = F.transform(F.sequence(F.lit(0), F.size(split) - length), lambda i: F.struct(i.cast("int").alias("k"), F.array_join(F.slice(split, i + 1, length), " ").alias("window")))
+    low = own.select("anchor", "id", F.explode(windows_of).alias("w")).groupBy("anchor", F.col("w.window").alias("window")).agg(F.min("id").alias("low"), F.max("id").alias("high"))
+    references = scratch.write(low.where("low < high").select("anchor", "window", F.col("low").alias("id")), "references")
+    parts = scratch.write(references.groupBy("anchor").agg(F.ceil(F.count(F.lit(1)) / F.lit(windows)).cast("int").alias("parts")), "parts")
+    part = F.pmod(F.xxhash64("window"), F.col("parts")).cast("int")
+    # With one shard a passage streams whole, else each of its windows past the shard that would hold it.
+    met = own.join(parts, "anchor")
+    whole = met.where("parts = 1").select("anchor", F.lit(0).alias("part"), "id", "th", "start", "words")
+    single = met.where("parts > 1").select("anchor", "parts", "id", "th", "start", F.explode(windows_of).alias("w")).select(
+        "anchor", "parts", "id", "th", (F.col("start") + F.col("w.k")).alias("start"), F.col("w.window").alias("window")
+    )
+    streams = scratch.write(whole.unionByName(single.select("anchor", part.alias("part"), "id", "th", "start", F.col("window").cast("binary").alias("words"))), "streams")
+    tasks = scratch.write(streams.groupBy("anchor", "part").agg(F.ceil(F.count(F.lit(1)) / F.lit(places)).cast("int").alias("tasks")), "tasks")
+    sent = references.join(parts, "anchor").select("anchor", part.alias("part"), "id", F.col("window").cast("binary").alias("words")).join(tasks, ["anchor", "part"])
+    sent = sent.select("anchor", "part", F.explode(F.sequence(F.lit(0), F.col("tasks") - 1)).alias("task"), F.lit(0).alias("side"), "id", F.lit(0).cast("long").alias("th"), F.lit(0).alias("start"), "words")
+    past = streams.join(tasks, ["anchor", "part"]).select("anchor", "part", F.pmod(F.xxhash64("id", "th", "start"), F.col("tasks")).cast("int").alias("task"), F.lit(1).alias("side"), "id", "th", "start", "words")
+    return sent.unionByName(past)
+
+
+def repeated_spans(docs: DataFrame, scratch: Scratch, length: int = LENGTH, gram: int = GRAM, places: int = PLACES, windows: int = WINDOWS) -> DataFrame:
+    """(id, th, hits): for every row (id, th, text) with repeats the starts of its passages and their repeated windows as bits.
+
+    th is a hash of the text: rows are told apart by it and the id, so rows that share an id are judged each by its own text.
+    """
+    found = scratch.write(anchors(docs, length, gram), "anchors")
+    shared = scratch.write(found.groupBy("anchor").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("anchor"), "shared")
+    by_text = scratch.write(found.select("anchor", "th").join(shared, "anchor").groupBy("th").agg(F.collect_set("anchor").alias("shared")), "by-text")
+    scratch.drop("anchors", "shared")
+    held = scratch.write(passages(docs.join(by_text, "th"), length, gram), "passages")
+    scratch.drop("by-text")
+    crowded = scratch.write(held.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > places).select("anchor"), "crowded-anchors")
+    few = crowded.count() <= BROADCAST_ROWS
+    names = F.broadcast(crowded) if few else crowded.hint("merge")
+    rest = held.join(names, "anchor", "left_anti").select("anchor", "id", "th", "start", "words").repartition("anchor").sortWithinPartitions("anchor", "id")
+    hits = rest.mapInArrow(_grown(length), HIT)
+    if not crowded.isEmpty():
+        keys = ["anchor", "part", "task"]
+        hits = scratch.write(hits, "rest-hits")
+        met = scratch.write(dealt(held, names, scratch, length, places, windows).repartition(*keys).sortWithinPartitions(*keys, "side").mapInArrow(_met(length), HIT), "crowded-hits")
+        hits = hits.unionByName(met)
+    out = scratch.write(hits.groupBy("id", "th").agg(F.collect_set(F.struct("start", "mask")).alias("hits")), "hits")
+    scratch.drop_all_but("hits")
     return out
 
 
@@ -297,40 +356,31 @@ def _covered(hits: pa.Array, sizes: np.ndarray, length: int) -> np.ndarray:
     flat = hits.flatten()
     start, mask = flat.field("start").to_numpy().astype(np.int64), flat.field("mask").to_numpy()
     steps = np.zeros(int(sizes.sum()) + 1, np.int64)
-
-    def mark(at: np.ndarray, rows: np.ndarray, wide) -> None:
-        end = np.minimum(at + wide, sizes[rows])
-        at = np.minimum(at, sizes[rows])
-        steps[:] += np.bincount(first[rows] + at, minlength=len(steps)) - np.bincount(first[rows] + end, minlength=len(steps))
-
-    copy = start == WHOLE
-    rows = row[copy]
-    mark(np.zeros(len(rows), np.int64), rows, np.where(sizes[rows] >= length, sizes[rows], 0))
     for k in range(int(mask.max(initial=0)).bit_length()):
-        hit = ~copy & ((mask >> k) & 1 == 1)
-        mark(start[hit] + k, row[hit], length)
+        hit = (mask >> k) & 1 == 1
+        at = first[row[hit]] + start[hit] + k
+        steps += np.bincount(at, minlength=len(steps)) - np.bincount(at + length, minlength=len(steps))
     return np.cumsum(steps[:-1]) > 0
 
 
 def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, digest: bool = False) -> DataFrame:
-    """id, n_words, n_removed, spans (word ranges removed, maximal) and text (the words kept, joined by one space).
+    """id, n_words, n_removed, spans (word ranges removed, maximal), text (the words kept, joined by one space) and text_hash
+    (xxhash64 of the text as it was).
 
     Windows are judged on the input. Every row comes back: a null or empty text or one with fewer words than the window
     keeps all; a row with a null id is never a repeat nor a reference; rows with the same id do not repeat each other, and
-    one of them is judged for all; the text of a row without repeats is as it was. With `digest`, kept_sha256 takes the place of spans
-    and text. An empty table gives no rows.
+    each is judged by its own text; the text of a row without repeats is as it was. With `digest`, kept_sha256 takes the
+    place of spans, text and text_hash. An empty table gives no rows.
     """
-    spark = df.sparkSession
-    small_batches(spark)
-    scratch = Scratch(spark, "substring")
-    docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    scratch = Scratch(df.sparkSession, "substring")
+    docs = df.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text"))
     hits = repeated_spans(docs.where("id is not null"), scratch, length)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             split = [words_of(t) for t in texts(batch, "text")]
             sizes = np.array([len(w) for w in split], np.int64)
-            gone = _covered(batch.column(2), sizes, length)
+            gone = _covered(batch.column(3), sizes, length)
             ends = np.cumsum(sizes)
             removed, spans, kept = [], [], []
             for text, words, end in zip(texts(batch, "text"), split, ends.tolist()):
@@ -349,11 +399,11 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 yield pa.RecordBatch.from_arrays([*head, pa.array(kept, pa.string())], names=["id", "n_words", "n_removed", "kept_sha256"])
             else:
                 kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-                yield pa.RecordBatch.from_arrays([*head, pa.array(spans, kind), pa.array(kept, pa.string())], names=["id", "n_words", "n_removed", "spans", "text"])
+                yield pa.RecordBatch.from_arrays([*head, pa.array(spans, kind), pa.array(kept, pa.string()), batch.column(1)], names=["id", "n_words", "n_removed", "spans", "text", "text_hash"])
 
-    tail = "kept_sha256 string" if digest else "spans array<struct<start:int,end:int>>, text string"
-    joined = docs.join(hits, "id", "left").select("id", "text", "hits")
-    return joined.mapInArrow(run, T._parse_datatype_string(f"id long, n_words long, n_removed long, {tail}")).withColumnRenamed("id", id_col)
+    tail = "kept_sha256 string" if digest else "spans array<struct<start:int,end:int>>, text string, text_hash long"
+    joined = docs.join(hits, ["id", "th"], "left").select("id", "th", "text", "hits")
+    return joined.mapInArrow(run, f"id long, n_words long, n_removed long, {tail}").withColumnRenamed("id", id_col)
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, small_batches, table
+from .common import Scratch, sliced, table
 
 LEVELS = (1, 4, 16)
 #: Bytes of queries that are broadcast at a time; more queries take more passes over the rows.
@@ -109,7 +109,6 @@ def top_k(df: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id",
     table gives no rows; extra columns are not read. Queries are taken in blocks of bounded size, each against all rows.
     """
     spark = df.sparkSession
-    small_batches(spark, 4096)
     rows = df.where(usable(F.col(vector_col)) & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("vector"), is_query.alias("is_query"))
     queries = rows.where("is_query").groupBy("id").agg(F.min("vector").alias("vector"))
     total = queries.agg(F.count(F.lit(1)), F.max(F.size("vector"))).first()
@@ -141,7 +140,7 @@ def _first(found: DataFrame, k: int) -> DataFrame:
 def _search(sent, k: int, levels: tuple[int, ...]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best = Best(*sent.value, k, levels)
-        for batch in batches:
+        for batch in sliced(batches, 4096):
             if batch.num_rows:
                 best.add(batch.column(0).to_numpy(), matrix(batch.column(1)))
         sizes = [len(x) for x in best.found]

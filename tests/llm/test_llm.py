@@ -85,25 +85,79 @@ def brute_repeats(rows, length=13):
     return out
 
 
-@pytest.mark.parametrize("shard", [1, 64])
-def test_substring_against_brute_force(spark, shard, monkeypatch):
-    monkeypatch.setattr(substring_dedup.repeated_spans, "__defaults__", (13, 5, shard))
-    rnd = random.Random(shard)
+def passages_of(rnd, n):
     vocabulary = ["ab", "b", "cé", "d"]
     passages = [[rnd.choice(vocabulary) for _ in range(rnd.randrange(13, 40))] for _ in range(12)]
-    rows = []
-    for i in range(80):
+    for i in range(n):
         w = [rnd.choice(vocabulary + ["x%d" % rnd.randrange(50)]) for _ in range(rnd.randrange(0, 30))]
         for _ in range(rnd.randrange(0, 3)):
             at = rnd.randrange(len(w) + 1)
             p = passages[rnd.randrange(12)]
             w[at:at] = p[rnd.randrange(3) : len(p) - rnd.randrange(3)]
-        rows.append((i, " ".join(w)))
-    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
-    got = {r.doc_id: r for r in substring_dedup.remove_repeats(df).collect()}
-    for i, left in brute_repeats(rows).items():
-        assert words(got[i].text) == left and got[i].n_removed == len(words(rows[i][1])) - len(left)
-        assert sum(s.end - s.start for s in got[i].spans) == got[i].n_removed
+        yield i, " ".join(w)
+
+
+def repeats(df, places, windows):
+    defaults = substring_dedup.repeated_spans.__defaults__
+    substring_dedup.repeated_spans.__defaults__ = (13, 5, places, windows)
+    try:
+        return substring_dedup.remove_repeats(df).collect()
+    finally:
+        substring_dedup.repeated_spans.__defaults__ = defaults
+
+
+@pytest.mark.parametrize("places, windows", [(1, 1), (2, 1000), (3, 5), (1000, 4000)])
+def test_substring_against_brute_force(spark, places, windows):
+    rows = list(passages_of(random.Random(places), 80))
+    rows += [(200 + k, rows[k][1]) for k in range(0, 40, 3)] * 2
+    got = repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), places, windows)
+    left = brute_repeats(rows)
+    assert len(got) == len(rows)
+    for r in got:
+        own = dict(rows)[r.doc_id]
+        assert words(r.text) == left[r.doc_id] and r.n_removed == len(words(own)) - len(left[r.doc_id])
+        assert sum(s.end - s.start for s in r.spans) == r.n_removed
+
+
+def brute_rows(rows, length=13):
+    """What is left of each row, where ids may repeat: a window goes if it starts in a row with a smaller id."""
+    first = {}
+    split = [(i, words(t)) for i, t in rows]
+    for i, w in split:
+        for k in range(len(w) - length + 1):
+            first[tuple(w[k : k + length])] = min(first.get(tuple(w[k : k + length]), i), i)
+    out = []
+    for i, w in split:
+        gone = {j for k in range(len(w) - length + 1) if first[tuple(w[k : k + length])] < i for j in range(k, k + length)}
+        out.append((i, " ".join(x for k, x in enumerate(w) if k not in gone)))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("parts", [1, 2, 7])
+def test_substring_with_repeated_ids(spark, parts):
+    c, u = [f"c{k}" for k in range(40)], [f"u{k}" for k in range(40)]
+    z = ["z0", "z1", "z2"]
+    rows = [(3, c), (5, c), (5, u), (7, c + u[:5]), (7, z + c), (6, c), (7, z + c), (8, u[:20])]
+    rows = [(i, " ".join(w)) for i, w in rows] + [(i // 3, t) for i, t in passages_of(random.Random(parts), 60)]
+    for places in (1, 1000):
+        got = repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(parts), places, 4)
+        assert sorted((r.doc_id, " ".join(words(r.text))) for r in got) == brute_rows(rows)
+
+
+def test_automaton_statistics():
+    rnd = random.Random(1)
+    for _ in range(200):
+        a = substring_dedup.SuffixAutomaton()
+        held = [([rnd.choice("abc") for _ in range(rnd.randrange(12))], rnd.randrange(5)) for _ in range(rnd.randrange(5))]
+        for w, owner in held:
+            a.add(w, owner)
+        a.settle()
+        t = [rnd.choice("abc") for _ in range(15)]
+        best = [max((n for n in range(e + 1) if n == 0 or any("".join(t[e - n : e]) in "".join(w) for w, _ in held)), default=0) for e in range(1, 16)]
+        assert [n for n, _ in a.matches(t)] == best
+        for before in range(6):
+            want = sum(1 << k for k in range(13) if any("".join(t[k : k + 3]) in "".join(w) for w, o in held if o < before))
+            assert a.repeated_before(t, 3, before) == want
 
 
 def test_substring_odd_rows(spark, odd):
