@@ -2,68 +2,73 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_own: dict[str, str] = {}
+from .scratch import Scratch
 
 
-def _folder(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir; under a temporary one only where that is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        app = spark.sparkContext.applicationId
-        if app not in _own:
-            _own[app] = tempfile.mkdtemp(prefix="terraloom-")
-        root = _own[app]
-    return f"{root.rstrip('/')}/graph-{uuid.uuid4().hex[:12]}"
+def _hook(edges: DataFrame) -> DataFrame:
+    """(x, p): every vertex of the edges and the smallest of itself and its neighbours."""
+    both = edges.select(F.col("a").alias("x"), F.col("b").alias("y")).unionByName(edges.select(F.col("b").alias("x"), F.col("a").alias("y")))
+    return both.groupBy("x").agg(F.min("y").alias("y")).select("x", F.least("x", "y").alias("p"))
 
 
-def _written(df: DataFrame, path: str) -> DataFrame:
-    df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def _jump(parent: DataFrame) -> DataFrame:
+    up = parent.select(F.col("x").alias("p"), F.col("p").alias("up")).where("p <> up")
+    return parent.join(up, "p", "left").select("x", F.coalesce("up", "p").alias("p"))
 
 
-def connected_components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
-    """(id, component): the smallest id of each vertex's component; vertices (id) without edges are their own.
+def components(edges: DataFrame, scratch: Scratch, name: str = "components", rounds: int | None = None) -> DataFrame | None:
+    """(x, p) for every vertex of edges (a, b), p the smallest vertex of its component; None without edges.
 
-    Every round maps each vertex to the smallest around it, follows that once more, and goes on with the edges between what
-    they were mapped to. Rounds are written to the shared folder, so lineage stays short and lost executors cost one round.
+    With `rounds` the work stops early, and p is then some smaller vertex of the same component. A round maps every vertex
+    to the smallest around it and keeps the edges between what they were mapped to, of which there are far fewer.
     """
-    spark = edges.sparkSession
-    folder = _folder(spark)
-    left = _written(edges.where("src <> dst").select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct(), f"{folder}/edges")
-    out = vertices.select("id", F.col("id").alias("component"))
+    levels = []
     k = 0
-    while not left.isEmpty():
-        both = left.select(F.col("a").alias("x"), F.col("b").alias("y")).unionByName(left.select(F.col("b").alias("x"), F.col("a").alias("y")))
-        hook = both.groupBy("x").agg(F.min("y").alias("y")).select("x", F.least("x", "y").alias("p"))
-        up = hook.select(F.col("x").alias("p"), F.col("p").alias("up")).where("p <> up")
-        parent = _written(hook.join(up, "p", "left").select("x", F.coalesce("up", "p").alias("p")), f"{folder}/parent-{k}")
+    edges = scratch.write(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), f"{name}-edges")
+    while not edges.isEmpty() and (rounds is None or k < rounds):
+        parent = scratch.write(_jump(_hook(edges)), f"{name}-parent-{k}")
         a, b = parent.select(F.col("x").alias("a"), F.col("p").alias("pa")), parent.select(F.col("x").alias("b"), F.col("p").alias("pb"))
-        between = left.join(a, "a").join(b, "b").select("pa", "pb")
-        chains = parent.select(F.col("p").alias("b")).join(b, "b").select(F.col("b").alias("pa"), "pb")
-        left = _written(between.unionByName(chains).where("pa <> pb").select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct(), f"{folder}/left-{k}")
-        step = parent.select(F.col("x").alias("component"), F.col("p").alias("_p"))
-        out = out.join(step, "component", "left").select("id", F.coalesce("_p", "component").alias("component"))
+        between = edges.join(a, "a").join(b, "b").select("pa", "pb")
+        chains = parent.select(F.col("p").alias("b")).join(b, "b").select(F.col("b").alias("pa"), "pb")  # from what was not yet a root
+        left = between.unionByName(chains).where("pa <> pb").select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct()
+        edges = scratch.write(left, f"{name}-left-{k}")
+        levels.append(parent)
         k += 1
-    return out
+    if not levels:
+        return None
+    out = levels[0]
+    for level in levels[1:]:
+        out = _follow(out, level)
+    return scratch.write(out, f"{name}-labels")
+
+
+def _follow(labels: DataFrame, level: DataFrame) -> DataFrame:
+    up = level.select(F.col("x").alias("p"), F.col("p").alias("up")).where("p <> up")
+    return labels.join(up, "p", "left").select("x", F.coalesce("up", "p").alias("p"))
+
+
+def connected_components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
+    """(id, component): the smallest id of each vertex's component; vertices (id) without edges are their own."""
+    labels = components(edges.select(F.col("src").alias("a"), F.col("dst").alias("b")), Scratch(edges.sparkSession, "graph"))
+    if labels is None:
+        return vertices.select("id", F.col("id").alias("component"))
+    return vertices.select("id").join(labels.withColumnRenamed("x", "id"), "id", "left").select("id", F.coalesce("p", "id").alias("component"))
 
 
 def reachable(edges: DataFrame, start: DataFrame, directed: bool = False) -> DataFrame:
     """(id): all vertices reachable from those of start (id), themselves included."""
-    folder = _folder(edges.sparkSession)
+    scratch = Scratch(edges.sparkSession, "reachable")
     step = edges.select("src", "dst")
     if not directed:
         step = step.unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-    seen = front = _written(start.select("id").distinct(), f"{folder}/seen-0")
+    seen = front = scratch.write(start.select("id").distinct(), "seen-0")
     k = 0
     while not front.isEmpty():
         k += 1
-        front = _written(step.join(front.withColumnRenamed("id", "src"), "src").select(F.col("dst").alias("id")).distinct().join(seen, "id", "left_anti"), f"{folder}/front-{k}")
+        front = scratch.write(step.join(front.withColumnRenamed("id", "src"), "src").select(F.col("dst").alias("id")).distinct().join(seen, "id", "left_anti"), f"front-{k}")
         seen = seen.unionByName(front)
     return seen
 
