@@ -7,7 +7,7 @@ The sketch of the samples is coarse: 4.5 standard errors below the threshold mus
 after the first round get a second sketch that folds the whole set: its XOR has at most as many ones as the sets differ in
 items, so it never loses a pair and, with four bits an item, keeps few others.
 
-Rows with the same set are one node. In a bucket (nodes with the same samples in a band) not all pairs are made: of those
+Rows with the same set are one node, whatever their ids; ids that several sets share link these. In a bucket (nodes with the same samples in a band) not all pairs are made: of those
 whose sketches are near enough, a first round confirms a spanning forest of the most similar ones, and a second round only
 pairs between what the first left apart. A bucket larger than a block is dealt to blocks; if its nodes are still apart
 afterwards, those outside its largest component are compared with all the rest, a block at a time.
@@ -23,8 +23,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from terraloom.operators.graph import components
+
 from .common import Scratch, WordHash, mix, shingles, sliced, table, texts
-from .components import components
 
 BANDS, ROWS = 24, 4
 SKETCH_BITS = 512
@@ -69,7 +70,7 @@ def _sets(batch: pa.RecordBatch, hashes: WordHash, words: int) -> Iterator[np.nd
 
 
 def signatures(docs: DataFrame, words: int) -> DataFrame:
-    """id, n (size of the set), k1 and k2 (a digest of the set), bands and sketch; from columns id and text."""
+    """id, th, n (size of the set), k1 and k2 (a digest of the set), bands and sketch; from columns id, th and text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -82,10 +83,10 @@ def signatures(docs: DataFrame, words: int) -> DataFrame:
                 keys, sketch = samples(items) if len(items) else (np.empty(0, np.int64), b"")
                 n.append(len(items)), k1.append(digest[0]), k2.append(digest[1]), bands.append(keys), sketches.append(sketch)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(sketches, pa.binary())], names=["id", "n", "k1", "k2", "bands", "sketch"]
+                [batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(sketches, pa.binary())], names=["id", "th", "n", "k1", "k2", "bands", "sketch"]
             )
 
-    return docs.select("id", "text").mapInArrow(run, "id long, n long, k1 long, k2 long, bands array<long>, sketch binary")
+    return docs.select("id", "th", "text").mapInArrow(run, "id long, th long, n long, k1 long, k2 long, bands array<long>, sketch binary")
 
 
 def full_sets(docs: DataFrame, words: int) -> DataFrame:
@@ -262,45 +263,73 @@ def _confirm(percent: int):
     return run
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, block: int = BLOCK) -> DataFrame:
-    """id, n_shingles, component_id (the smallest id reachable over links) and kept (whether that is the row's own).
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, block: int = BLOCK, by_id: bool = True) -> DataFrame:
+    """id, n_shingles, component_id (the smallest id reachable over links), kept and text_hash (xxhash64 of the text).
 
     Texts are linked if 100 * intersection >= percent * union of their sets of distinct runs of `words` words, lower-cased
     for A to Z. A text with fewer words is one shingle; a null one or one without words has none and is linked with
     nothing. Every row of df comes back: repeated rows each, a null id as a component of its own (null). An empty table
     gives no rows; extra columns are not carried on. Bands find a pair at the threshold with 1 - 3e-6, more similar ones
     nearly always; all that bands and sketches let through is confirmed on full sets.
+
+    With by_id rows that share an id are one document: what their texts are linked with is one component, and kept says
+    whether the row's id is that of its component. Without, links are between texts alone, and kept are the rows of
+    the component's smallest id and, of that id's texts, the one with the smallest hash.
     """
-    spark = df.sparkSession
-    scratch = Scratch(spark, "neardup")
-    docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    scratch = Scratch(df.sparkSession, "neardup")
+    docs = df.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text"))
     signed = scratch.write(signatures(docs, words), "signed")
     full = signed.where("n > 0 and id is not null")
-    same = full.groupBy("k1", "k2").agg(F.min("id").alias("rep"))
-    members = full.select("id", "n", "k1", "k2").join(same, ["k1", "k2"]).select("id", "n", "rep")
-    nodes = scratch.write(full.join(same.select(F.col("rep").alias("id")).distinct(), "id", "left_semi").dropDuplicates(["id"]).select("id", "n", "bands", "sketch"), "nodes")
+    one = scratch.write(full.groupBy("k1", "k2").agg(F.min(F.struct("id", "th")).alias("one")).select("k1", "k2", "one.*"), "sets-found")
+    first = full.join(one, ["k1", "k2", "id", "th"]).dropDuplicates(["k1", "k2", "id", "th"])
+    # A node's number is fixed by being written.
+    nodes = scratch.write(first.select(F.monotonically_increasing_id().alias("node"), "id", "th", "k1", "k2", "n", "bands", "sketch"), "nodes")
     edges = _links(docs, nodes, scratch, words, percent, block)
+    if by_id:
+        shared = _by_id(full, nodes, scratch)
+        edges = edges.unionByName(shared) if edges is not None and shared is not None else edges if shared is None else shared
     labels = components(edges, scratch) if edges is not None else None
-    if labels is not None:
-        members = members.join(labels.withColumnRenamed("x", "rep"), "rep", "left").select("id", "n", F.coalesce("p", "rep").alias("component"))
-    else:
-        members = members.select("id", "n", F.col("rep").alias("component"))
-    alone = signed.where("n = 0 or id is null").select("id", "n", F.col("id").alias("component"))
-    return members.unionByName(alone).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.col("id").eqNullSafe(F.col("component")).alias("kept"))
+    named = nodes.select("node", "id", "th", "k1", "k2")
+    named = named.join(labels.withColumnRenamed("x", "node"), "node", "left").withColumn("root", F.coalesce("p", "node")) if labels is not None else named.withColumn("root", F.col("node"))
+    low = named.groupBy("root").agg(F.min(F.struct("id", "th")).alias("low"))
+    named = scratch.write(named.join(low, "root").select("k1", "k2", F.col("low.id").alias("component"), F.col("low.th").alias("first")), "named")
+    members = full.select("id", "th", "n", "k1", "k2").join(named, ["k1", "k2"]).select("id", "th", "n", "component", "first")
+    alone = signed.where("n = 0 or id is null").select("id", "th", "n", F.col("id").alias("component"), F.col("th").alias("first"))
+    kept = F.col("id").eqNullSafe(F.col("component"))
+    if not by_id:
+        kept = kept & (F.col("th") == F.col("first"))
+    scratch.drop_all_but("signed", "named")
+    return members.unionByName(alone).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), kept.alias("kept"), F.col("th").alias("text_hash"))
+
+
+def _by_id(full: DataFrame, nodes: DataFrame, scratch: Scratch) -> DataFrame | None:
+    """Links (a, b) between the nodes that hold rows of the same id; None if no id has two."""
+    several = full.groupBy("id").agg(*[f(k).alias(f"{f.__name__}_{k}") for f in (F.min, F.max) for k in ("k1", "k2")]).where("min_k1 <> max_k1 or min_k2 <> max_k2")
+    several = scratch.write(several.select("id"), "ids-of-several")
+    if several.isEmpty():
+        return None
+    held = full.select("id", "k1", "k2").join(several, "id").distinct().join(nodes.select("node", "k1", "k2"), ["k1", "k2"]).select("id", "node")
+    held = scratch.write(held, "nodes-by-id")
+    first = scratch.write(held.groupBy("id").agg(F.min("node").alias("a")), "first-by-id")
+    return held.join(first, "id").where("a <> node").select("a", F.col("node").alias("b"))
 
 
 def _links(docs: DataFrame, nodes: DataFrame, scratch: Scratch, words: int, percent: int, block: int) -> DataFrame | None:
     """Confirmed links (a, b) between nodes, enough of them for the components of all links; None if no bucket has two nodes."""
     samples = Samples()
     most = samples.most_ones(percent / 100)
+    places = nodes.select(F.col("node").alias("nid"), "id", "th")
+    nodes = nodes.select(F.col("node").alias("id"), "n", "bands", "sketch")
     keyed = nodes.select("id", F.explode("bands").alias("key"))
-    shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    shared = scratch.write(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "shared")
     buckets = scratch.write(keyed.join(shared, "key").select("key", "id", F.ceil(F.col("size") / F.lit(block)).cast("int").alias("blocks")), "buckets")
     if buckets.isEmpty():
         return None
     near = buckets.select("id").distinct()
     facts = nodes.select("id", "n", "sketch")
-    wanted = docs.where("id is not null").join(near, "id", "left_semi").dropDuplicates(["id"])
+    # The text of a node is that of the row it was named after.
+    texts_of = scratch.write(places.join(near.withColumnRenamed("id", "nid"), "nid", "left_semi"), "places")
+    wanted = docs.join(texts_of, ["id", "th"]).dropDuplicates(["id", "th"]).select(F.col("nid").alias("id"), "text")
     sets = scratch.write(full_sets(wanted, words), "sets")
     place = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
 
@@ -352,4 +381,4 @@ def _links(docs: DataFrame, nodes: DataFrame, scratch: Scratch, words: int, perc
 
 def op7_odd_sketch_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's component by sets of two-word shingles and a similarity of 0.8."""
-    return near_duplicates(table(spark, sf_dir, "documents"), words=2, percent=80)
+    return near_duplicates(table(spark, sf_dir, "documents"), words=2, percent=80).drop("text_hash")

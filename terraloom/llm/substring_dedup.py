@@ -7,10 +7,12 @@ only passages of the same anchor. Hashes say no more than what meets what: every
 word, and where the longest match that ends at a word has the window's length, the window is a repeat.
 
 The passages of an anchor are a reference shard. They stream, by growing id, past the automaton of those before, which takes
-in a passage if a window of it is new. An anchor with more than PLACES passages (a passage that everyone quotes) has its
-references picked first: the windows that two ids hold, with the smallest of these. They are cut into shards of at most about
-WINDOWS windows, a shard is sent to as many tasks as its passages need, PLACES to a task, and these stream past its
-automaton; so neither a shard nor what streams past it in one task grows with the table.
+in a passage if a window of it is new. At an anchor that more than PLACES rows hold (in a passage that everyone quotes) every
+window is a passage of its own under its own key, so that what differs around the anchor is dealt apart. Where a shard still
+has more than PLACES passages, its references are picked first: its distinct passages with their smallest ids, which are one
+for a window's key and for others come from at most PLACES rows. They are sent to as many tasks as the passages need, PLACES
+to a task, and the passages stream past an automaton of them that knows the smallest id behind each match. So neither a shard
+nor what streams past it in one task grows with the table.
 
 An automaton of all references would have to be broadcast and grows with the corpus; shards go to the tasks that need them.
 """
@@ -33,11 +35,9 @@ LENGTH = 13
 GRAM = 5
 #: Odd factors of a run's words.
 FACTORS = mix(np.arange(1, 65, dtype=np.uint64)) | np.uint64(1)
-#: Passages of an anchor that one task streams; more are dealt to several.
+#: Passages of a key that one task streams; more are dealt to several.
 PLACES = 1000
-#: Windows of a reference shard of such an anchor, about 100 bytes each.
-WINDOWS = 4000
-#: Anchors with more passages are few; so many of them may be broadcast.
+#: Keys with more passages are few; so many of them may be broadcast.
 BROADCAST_ROWS = 100_000
 
 
@@ -112,10 +112,25 @@ class SuffixAutomaton:
 
     def repeated(self, words: list, length: int) -> int:
         """The windows of `length` words that some sequence holds, as bits by the place of the first word."""
-        mask = 0
-        for end, (n, _) in enumerate(self.matches(words), 1 - length):
-            if n >= length:
-                mask |= 1 << end
+        nxt, link, size = self.next, self.link, self.size
+        state = matched = mask = 0
+        bit = 1
+        skip = length - 1
+        for w in words:
+            to = nxt[state].get(w)
+            while to is None and state:
+                state = link[state]
+                matched = size[state]
+                to = nxt[state].get(w)
+            if to is not None:
+                state = to
+                matched += 1
+            if skip:
+                skip -= 1
+                continue
+            if matched >= length:
+                mask |= bit
+            bit <<= 1
         return mask
 
     def repeated_before(self, words: list, length: int, before: int) -> int:
@@ -184,7 +199,7 @@ def anchors(docs: DataFrame, length: int, gram: int) -> DataFrame:
 
 
 def passages(docs: DataFrame, length: int, gram: int) -> DataFrame:
-    """anchor, id, th, start and words of every passage at an anchor of column `shared`."""
+    """key, id, th, start and words of every passage at an anchor of column `shared`, and of every window at one of `crowded`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHash()
@@ -195,25 +210,36 @@ def passages(docs: DataFrame, length: int, gram: int) -> DataFrame:
                 continue
             begin = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
             count = np.diff(np.append(begin, len(at)))
-            start, anchor = windows[begin], own[at[begin]].view(np.int64)
-            row = np.searchsorted(np.cumsum(sizes), start, side="right")
-            # Which anchors are shared, by row: all pairs of row and anchor, sorted once.
-            lists = batch.column(3)
-            shared = lists.flatten().to_numpy()
-            owner = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
-            order = np.lexsort((shared, owner))
-            keep = _among(row, anchor, owner[order], shared[order])
-            start, count, anchor, row = start[keep], count[keep], anchor[keep], row[keep]
-            end = start + count + length - 1
+            start, key = windows[begin], own[at[begin]].view(np.int64)
+            ends = np.cumsum(sizes)
+            row = np.searchsorted(ends, start, side="right")
+            keep, apart = (_among(row, key, *_pairs(batch.column(c))) for c in (3, 4))
+            keep &= ~apart
+            # Windows of crowded anchors: a passage of `count` windows gives as many rows, each under the hash of its words.
+            n = count[apart]
+            single = np.repeat(start[apart], n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+            under = rolled(hashed, length)[single].view(np.int64) if len(single) else single
+            start = np.concatenate([start[keep], single])
+            key = np.concatenate([key[keep], under])
+            row = np.concatenate([row[keep], np.repeat(row[apart], n)])
+            end = start + np.concatenate([count[keep], np.ones(len(single), np.int64)]) + length - 1
             text = b" ".join(words)
             offset = np.concatenate([[0], np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)])
             pieces = [text[a:b] for a, b in zip(offset[start].tolist(), (offset[end] - 1).tolist())]
-            within = start - (np.cumsum(sizes) - sizes)[row]
+            within = start - (ends - sizes)[row]
             taken = pa.array(row)
-            columns = [pa.array(anchor), batch.column(0).take(taken), batch.column(1).take(taken), pa.array(within.astype(np.int32)), pa.array(pieces, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names=["anchor", "id", "th", "start", "words"])
+            columns = [pa.array(key), batch.column(0).take(taken), batch.column(1).take(taken), pa.array(within.astype(np.int32)), pa.array(pieces, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["key", "id", "th", "start", "words"])
+
+    return docs.select("id", "th", "text", "shared", "crowded").mapInArrow(run, "key long, id long, th long, start int, words binary")
 
-    return docs.select("id", "th", "text", "shared").mapInArrow(run, "anchor long, id long, th long, start int, words binary")
+
+def _pairs(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Row and value of all values of an array of lists, sorted by both."""
+    values = lists.flatten().to_numpy()
+    rows = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
+    order = np.lexsort((values, rows))
+    return rows[order], values[order]
 
 
 def _among(row: np.ndarray, value: np.ndarray, rows: np.ndarray, values: np.ndarray) -> np.ndarray:
@@ -250,48 +276,38 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         yield from zip(*(c.to_pylist() for c in batch.columns))
 
 
-def _grown(length: int):
-    """The repeated windows of passages (anchor, id, th, start, words) sorted by anchor and id."""
+def _streamed(length: int):
+    """The repeated windows of passages (key, task, side, id, th, start, words) sorted by the first four.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hits = _Hits()
-        for _, shard in groupby(_rows(batches), key=lambda r: r[0]):
-            automaton = SuffixAutomaton()
-            for _, same in groupby(shard, key=lambda r: r[1]):
-                new = []
-                for _, id_, th, start, raw in same:
-                    words = raw.split(b" ")
-                    mask = automaton.repeated(words, length)
-                    if mask:
-                        hits.held.append((id_, th, start, mask))
-                    if mask + 1 != 1 << (len(words) - length + 1):
-                        new.append(words)
-                for words in new:
-                    automaton.add(words)
-            yield from hits.sent(20_000)
-        yield from hits.sent(0)
-
-    return run
-
-
-def _met(length: int):
-    """The repeated windows of rows (anchor, part, task, side, id, th, start, words) sorted by the first four: references of a
-    shard are side 0, what streams past their automaton is side 1."""
+    Side 1 are passages. Where references of the shard come first (side 0), passages stream past the automaton of these; else
+    past that of the passages with smaller ids.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hits = _Hits()
-        for _, shard in groupby(_rows(batches), key=lambda r: r[:3]):
+        for _, shard in groupby(_rows(batches), key=lambda r: r[:2]):
             automaton = SuffixAutomaton()
-            settled = False
-            for _, _, _, side, id_, th, start, raw in shard:
+            references, settled = False, False
+            at, new = None, []
+            for _, _, side, id_, th, start, raw in shard:
                 words = raw.split(b" ")
                 if side == 0:
                     automaton.add(words, id_)
+                    references = True
                     continue
-                if not settled:
-                    automaton.settle()
-                    settled = True
-                mask = automaton.repeated_before(words, length, id_)
+                if references:
+                    if not settled:
+                        automaton.settle()
+                        settled = True
+                    mask = automaton.repeated_before(words, length, id_)
+                else:
+                    if id_ != at:
+                        for before in new:
+                            automaton.add(before)
+                        at, new = id_, []
+                    mask = automaton.repeated(words, length)
+                    if mask + 1 != 1 << (len(words) - length + 1):
+                        new.append(words)
                 if mask:
                     hits.held.append((id_, th, start, mask))
             yield from hits.sent(20_000)
@@ -300,50 +316,26 @@ def _met(length: int):
     return run
 
 
-def dealt(held: DataFrame, crowded: DataFrame, scratch: Scratch, length: int, places: int, windows: int) -> DataFrame:
-    """References and passages of the anchors of `crowded`, by shard and task."""
-    own = scratch.write(held.join(crowded.select("anchor"), "anchor"), "crowded-passages")
-    split = F.split(F.col("words").cast("string"), " ")
-    windows_of = F.transform(F.sequence(F.lit(0), F.size(split) - length), lambda i: F.struct(i.cast("int").alias("k"), F.array_join(F.slice(split, i + 1, length), " ").alias("window")))
-    low = own.select("anchor", "id", F.explode(windows_of).alias("w")).groupBy("anchor", F.col("w.window").alias("window")).agg(F.min("id").alias("low"), F.max("id").alias("high"))
-    references = scratch.write(low.where("low < high").select("anchor", "window", F.col("low").alias("id")), "references")
-    parts = scratch.write(references.groupBy("anchor").agg(F.ceil(F.count(F.lit(1)) / F.lit(windows)).cast("int").alias("parts")), "parts")
-    part = F.pmod(F.xxhash64("window"), F.col("parts")).cast("int")
-    # With one shard a passage streams whole, else each of its windows past the shard that would hold it.
-    met = own.join(parts, "anchor")
-    whole = met.where("parts = 1").select("anchor", F.lit(0).alias("part"), "id", "th", "start", "words")
-    single = met.where("parts > 1").select("anchor", "parts", "id", "th", "start", F.explode(windows_of).alias("w")).select(
-        "anchor", "parts", "id", "th", (F.col("start") + F.col("w.k")).alias("start"), F.col("w.window").alias("window")
-    )
-    streams = scratch.write(whole.unionByName(single.select("anchor", part.alias("part"), "id", "th", "start", F.col("window").cast("binary").alias("words"))), "streams")
-    tasks = scratch.write(streams.groupBy("anchor", "part").agg(F.ceil(F.count(F.lit(1)) / F.lit(places)).cast("int").alias("tasks")), "tasks")
-    sent = references.join(parts, "anchor").select("anchor", part.alias("part"), "id", F.col("window").cast("binary").alias("words")).join(tasks, ["anchor", "part"])
-    sent = sent.select("anchor", "part", F.explode(F.sequence(F.lit(0), F.col("tasks") - 1)).alias("task"), F.lit(0).alias("side"), "id", F.lit(0).cast("long").alias("th"), F.lit(0).alias("start"), "words")
-    past = streams.join(tasks, ["anchor", "part"]).select("anchor", "part", F.pmod(F.xxhash64("id", "th", "start"), F.col("tasks")).cast("int").alias("task"), F.lit(1).alias("side"), "id", "th", "start", "words")
-    return sent.unionByName(past)
-
-
-def repeated_spans(docs: DataFrame, scratch: Scratch, length: int = LENGTH, gram: int = GRAM, places: int = PLACES, windows: int = WINDOWS) -> DataFrame:
+def repeated_spans(docs: DataFrame, scratch: Scratch, length: int = LENGTH, gram: int = GRAM, places: int = PLACES) -> DataFrame:
     """(id, th, hits): for every row (id, th, text) with repeats the starts of its passages and their repeated windows as bits.
 
     th is a hash of the text: rows are told apart by it and the id, so rows that share an id are judged each by its own text.
     """
     found = scratch.write(anchors(docs, length, gram), "anchors")
-    shared = scratch.write(found.groupBy("anchor").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("anchor"), "shared")
-    by_text = scratch.write(found.select("anchor", "th").join(shared, "anchor").groupBy("th").agg(F.collect_set("anchor").alias("shared")), "by-text")
+    shared = found.groupBy("anchor").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count(F.lit(1)).alias("n")).where("low < high")
+    shared = scratch.write(shared.select("anchor", (F.col("n") > places).alias("many")), "shared")
+    lists = [F.collect_set(F.when(F.col("many") == many, F.col("anchor"))).alias(name) for name, many in (("shared", False), ("crowded", True))]
+    by_text = scratch.write(found.select("anchor", "th").join(shared, "anchor").groupBy("th").agg(*lists), "by-text")
     scratch.drop("anchors", "shared")
     held = scratch.write(passages(docs.join(by_text, "th"), length, gram), "passages")
     scratch.drop("by-text")
-    crowded = scratch.write(held.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > places).select("anchor"), "crowded-anchors")
-    few = crowded.count() <= BROADCAST_ROWS
-    names = F.broadcast(crowded) if few else crowded.hint("merge")
-    rest = held.join(names, "anchor", "left_anti").select("anchor", "id", "th", "start", "words").repartition("anchor").sortWithinPartitions("anchor", "id")
-    hits = rest.mapInArrow(_grown(length), HIT)
-    if not crowded.isEmpty():
-        keys = ["anchor", "part", "task"]
-        hits = scratch.write(hits, "rest-hits")
-        met = scratch.write(dealt(held, names, scratch, length, places, windows).repartition(*keys).sortWithinPartitions(*keys, "side").mapInArrow(_met(length), HIT), "crowded-hits")
-        hits = hits.unionByName(met)
+    sizes = scratch.write(held.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > places).select("key", F.ceil(F.col("n") / F.lit(places)).cast("int").alias("tasks")), "sizes")
+    tasks = F.broadcast(sizes) if sizes.count() <= BROADCAST_ROWS else sizes.hint("merge")
+    dealt = held.join(tasks, "key", "left")
+    streams = dealt.select("key", F.coalesce(F.pmod(F.xxhash64("id", "th", "start"), F.col("tasks")).cast("int"), F.lit(0)).alias("task"), F.lit(1).alias("side"), "id", "th", "start", "words")
+    references = dealt.where("tasks is not null").groupBy("key", "words", "tasks").agg(F.min("id").alias("id"))
+    sent = references.select("key", F.explode(F.sequence(F.lit(0), F.col("tasks") - 1)).alias("task"), F.lit(0).alias("side"), "id", F.lit(0).cast("long").alias("th"), F.lit(0).alias("start"), "words")
+    hits = streams.unionByName(sent).repartition("key", "task").sortWithinPartitions("key", "task", "side", "id").mapInArrow(_streamed(length), HIT)
     out = scratch.write(hits.groupBy("id", "th").agg(F.collect_set(F.struct("start", "mask")).alias("hits")), "hits")
     scratch.drop_all_but("hits")
     return out
