@@ -24,19 +24,28 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates by five-word shingles, that with the smallest id; a null id stays."""
-    found = neardup.near_duplicates(docs, words=5, percent=80)
-    kept = found.where("kept and doc_id is not null").select("doc_id").distinct()
-    one = docs.where("doc_id is not null").dropDuplicates(["doc_id"]).join(kept, "doc_id", "left_semi")
-    return one.unionByName(docs.where("doc_id is null")).select(*docs.columns)
+    """One document of each group of near-duplicates by five-word shingles, that with the smallest id; a null id stays.
+
+    Rows that share an id are told apart by their texts: each stands or goes by its own text, and of rows that repeat both
+    one stays.
+    """
+    (name,) = fresh(docs, "_text_hash")
+    found = neardup.near_duplicates(docs, words=5, percent=80, by_id=False)
+    kept = found.where("kept and doc_id is not null").select("doc_id", F.col("text_hash").alias(name)).distinct()
+    own = docs.withColumn(name, F.xxhash64("text"))
+    one = own.where("doc_id is not null").join(kept, ["doc_id", name], "left_semi").dropDuplicates(["doc_id", name])
+    return one.unionByName(own.where("doc_id is null")).select(*docs.columns)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document without the 13-word windows that an earlier one has; all documents stay, if only with what is left."""
-    (name,) = fresh(docs, "_text")
-    left = substring_dedup.remove_repeats(docs).where("n_removed > 0").select("doc_id", F.col("text").alias(name)).dropDuplicates(["doc_id"])
-    joined = docs.join(left, "doc_id", "left")
-    return joined.select(*[new_text(c, F.col(name)) for c in docs.columns])
+    """Every document without the 13-word windows that one with a smaller id has; all documents stay, if only with what is left.
+
+    Rows that share an id are each judged by their own text.
+    """
+    text, digest = fresh(docs, "_text", "_text_hash")
+    left = substring_dedup.remove_repeats(docs).where("n_removed > 0").select("doc_id", F.col("text_hash").alias(digest), F.col("text").alias(text))
+    joined = docs.withColumn(digest, F.xxhash64("text")).join(left.dropDuplicates(["doc_id", digest]), ["doc_id", digest], "left")
+    return joined.select(*[new_text(c, F.col(text)) for c in docs.columns])
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
