@@ -1,9 +1,12 @@
 """Personal data by bootstrapped contextual extraction, with DataFrame functions only.
 
-What the base patterns find are the seeds. An identifier-like token (one with a digit, an @ or another form that LIKE lists) and
-the word to its left make an edge between an instance and a lexical pattern. A pattern scores by the share that is known of
-its distinct instances that are known or look like the kind, an instance by the patterns that lead to it, in turns; tokens that patterns of high confidence lead to, and that look like the
-pattern's kind, are new spans. The graph is made of distinct tokens and words, aggregated before every shuffle.
+What the base patterns find are the seeds. An identifier-like token (one with a digit, an @ or another form that LIKE lists)
+makes an edge with each lexical pattern around it: one to three words to its left, one to three to its right, and one on
+either side. A pattern of a kind scores by what it leads to: known instances of the kind for it, known ones of other kinds
+against it, and those that are unknown but look like the kind against it in part. An instance scores by the best pattern
+that leads to it, in turns; tokens that patterns of high confidence lead to, and that look like the pattern's kind, are new
+spans. The graph is made of distinct tokens and patterns, aggregated before every shuffle. A text is read once, in time that
+grows in proportion to it: places are sums in three levels of blocks, spans at a place are found by halving.
 """
 
 from __future__ import annotations
@@ -45,6 +48,47 @@ ROUNDS = 3
 CONFIDENCE = 0.8
 #: A pattern needs so many distinct known instances of its kind.
 SUPPORT = 5.0
+#: What an unknown token that looks like the kind counts against a pattern; a known one of another kind counts 1.
+DOUBT = 0.25
+#: Words of context are read in so many characters beside a token, and back or forth to the next token.
+BESIDE = 100
+WORDS = 3
+_BITS = 6  # of a place in a block
+_PART = 256  # code points of a part of a text
+
+
+def let(value: Column, body) -> Column:
+    """body of the value, which is evaluated once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _total(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0), lambda a, x: a + x)
+
+
+def _blocks(values: Column) -> Column:
+    """Sums of blocks of 64."""
+    numbers = F.sequence(F.lit(0), F.shiftright(F.greatest(F.size(values) - 1, F.lit(0)), _BITS))
+    return F.transform(numbers, lambda b: _total(F.slice(values, F.shiftleft(b, _BITS) + 1, F.lit(1 << _BITS))))
+
+
+def _before(values: Column, blocks: Column) -> Column:
+    """The sum of all values before each, from the sums before each block."""
+
+    def one(_: Column, i: Column) -> Column:
+        within = i.bitwiseAND((1 << _BITS) - 1)
+        return F.get(blocks, F.shiftright(i, _BITS)) + _total(F.slice(values, i - within + 1, within))
+
+    return F.transform(values, one)
+
+
+def running(values: Column) -> Column:
+    """The sum of all values (int) before each."""
+
+    def nested(v: Column) -> Column:
+        return let(_blocks(v), lambda b: let(_blocks(b), lambda c: let(F.transform(c, lambda _, i: _total(F.slice(c, F.lit(1), i))), lambda cs: let(_before(b, cs), lambda bs: _before(v, bs)))))
+
+    return let(values, nested)
 
 
 def _digits(value: Column) -> Column:
@@ -71,25 +115,23 @@ def _valid(kind: str, value: Column) -> Column:
     return F.lit(True)
 
 
-def located(text: Column, pattern: str) -> Column:
-    """The leftmost non-overlapping matches as structs of start and end in code points, value and the text before (gap)."""
-    gaps = F.split(text, pattern, -1)
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    pairs = F.filter(F.zip_with(found, gaps, lambda m, g: F.struct(m.alias("value"), g.alias("gap"))), lambda p: p["value"].isNotNull())  # the last gap has no match
-    empty = F.expr("struct(0 as at, cast(array() as array<struct<start:int,end:int,value:string,gap:string>>) as spans)")
+def located(text: Column, pattern: str, body) -> Column:
+    """body of each leftmost non-overlapping match: its place among them, value and start in code points, the texts between
+    matches and the matches; as an array."""
 
-    def add(state: Column, pair: Column) -> Column:
-        start = state["at"] + F.length(pair["gap"])
-        end = start + F.length(pair["value"])
-        return F.struct(end.alias("at"), F.array_append(state["spans"], F.struct(start.alias("start"), end.alias("end"), pair["value"].alias("value"), pair["gap"].alias("gap"))).alias("spans"))
+    def spans(found: Column, gaps: Column) -> Column:
+        sizes = F.transform(found, lambda m, i: F.length(m) + F.length(F.get(gaps, i)))
+        return let(running(sizes), lambda at: F.transform(found, lambda m, i: body(i, m, F.get(at, i) + F.length(F.get(gaps, i)), gaps, found)))
 
-    return F.aggregate(pairs, empty, add, lambda s: s["spans"])
+    return let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda found: let(F.split(text, pattern, -1), lambda gaps: spans(found, gaps)))
 
 
 def base_spans(text: Column, kind: str) -> Column:
     """The valid base spans of a kind as structs of kind, start, end and value."""
-    valid = F.filter(located(text, BASE[kind]), lambda s: _valid(kind, s["value"]))
-    spans = F.transform(valid, lambda s: F.struct(F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value")))
+    def span(_i, value: Column, start: Column, _gaps, _found) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), start.alias("start"), (start + F.length(value)).alias("end"), value.alias("value"))
+
+    spans = F.filter(located(text, BASE[kind], span), lambda s: _valid(kind, s["value"]))
     hint = text.contains("@") if kind == "email" else text.rlike(HINT[kind])
     return F.when(hint, spans).otherwise(F.expr("cast(array() as array<struct<kind:string,start:int,end:int,value:string>>)"))
 
@@ -111,79 +153,144 @@ def _like(kind: Column, token: Column) -> Column:
     return like
 
 
-def tokens(docs: DataFrame) -> DataFrame:
-    """(id, th, start, end, left, token, known, taken): identifiers and the word before each, in lower case.
+def _first_after(spans: Column, place: Column) -> Column:
+    """The first of some spans, which are sorted and apart, that ends after a place; null if there is none."""
+    powers = F.transform(F.sequence(F.floor(F.log2(F.size(spans))).cast("int"), F.lit(0), F.lit(-1)), lambda i: F.pow(F.lit(2), i).cast("int"))
+    past = F.aggregate(powers, F.lit(0), lambda n, p: F.when((n + p <= F.size(spans)) & (F.get(spans, n + p - 1)["end"] <= place), n + p).otherwise(n))
+    return F.when(F.size(spans) > 0, F.get(spans, past))
+
+
+def _contexts(left: Column, right: Column) -> Column:
+    """The lexical patterns of the texts on either side of a token."""
+    blank = r"[\x20\x09-\x0D]+"
+    before = F.reverse(F.filter(F.split(F.lower(left), blank), lambda w: w != ""))
+    after = F.filter(F.split(F.lower(right), blank), lambda w: w != "")
+
+    def made(b: Column, a: Column) -> Column:
+        sides = [F.when(F.size(b) >= n, F.concat(F.lit("< "), F.array_join(F.reverse(F.slice(b, 1, n)), " "))) for n in range(1, WORDS + 1)]
+        sides += [F.when(F.size(a) >= n, F.concat(F.lit("> "), F.array_join(F.slice(a, 1, n), " "))) for n in range(1, WORDS + 1)]
+        both = F.when((F.size(b) > 0) & (F.size(a) > 0), F.concat(F.get(b, F.lit(0)), F.lit(" <> "), F.get(a, F.lit(0))))
+        return F.filter(F.array(*sides, both), lambda p: p.isNotNull())
+
+    return let(before, lambda b: let(after, lambda a: made(b, a)))
+
+
+def identifiers(text: Column, base: Column) -> Column:
+    """The identifier-like tokens of a text as structs of start, end, contexts, token, known and taken.
 
-    Where a base span starts in an identifier-like token, the identifier is the span, and its kind is known; tokens that a
-    span goes on into are left out; all others are identifiers without a kind.
+    Where a base span starts in such a token, the identifier is the span, and its kind is known; tokens that a span goes on into
+    are left out; all others are identifiers without a kind.
     """
-    some = docs.where(F.col("text").rlike(ANY_TOKEN)).select("id", "th", "seen", located(F.col("text"), TOKEN).alias("found"))
-
-    def identifier(t: Column, k: Column) -> Column:
-        before = F.regexp_extract(t["gap"], r"([^\x20\x09-\x0D]++)[\x20\x09-\x0D]++\z", 1)
-        left = F.lower(F.when(before != "", before).otherwise(F.coalesce(F.get("found", k - 1)["value"], F.lit(""))))
-        start = t["start"] + F.length(F.regexp_extract(t["value"], r"""^[(\[{<"']+""", 0))
-        bare = F.regexp_replace(t["value"], EDGE, "")
-        met = F.get(F.filter("seen", lambda s: (s["start"] < t["end"]) & (s["end"] > t["start"])), F.lit(0))
-        return F.struct(t["start"].alias("from"), start.alias("start"), (start + F.length(bare)).alias("end"), left.alias("left"), bare.alias("token"), met.alias("met"))
-
-    # All that a token needs is put beside it before they are dealt out, so that no row carries its text.
-    one = some.select("id", "th", F.explode(F.transform("found", identifier)).alias("t")).select("id", "th", "t.*")
-    one = one.where("token <> '' and (met is null or met.start >= `from`)")
-    return one.select("id", "th", "start", "end", "left", F.coalesce("met.value", "token").alias("token"), F.col("met.kind").alias("known"), F.col("met").isNotNull().alias("taken"))
-
-
-def patterns(found: DataFrame, scratch: Scratch, rounds: int = ROUNDS, confidence: float = CONFIDENCE, support: float = SUPPORT) -> DataFrame:
-    """(left, kind): the words that lead to identifiers of a kind with high confidence."""
-    edges = scratch.write(found.where("left <> ''").groupBy("left", "token").agg(F.max("known").alias("known")), "edges")
-    # Known instances of other kinds count against a pattern, unknown ones only if they look like its kind.
-    counted = [F.count(F.when(F.col("known").isNotNull() | F.col("token").rlike(LIKE[kind]), 1)).alias(kind) for kind in KINDS]
-    sizes = edges.groupBy("left").agg(*counted).select("left", F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).alias("n")) for k in KINDS])).alias("s")).select("left", "s.*")
-    known = edges.where("known is not null").select("token", F.col("known").alias("kind"), F.lit(1.0).alias("score")).distinct()
-    scored = None
+
+    def of(spans: list[Column]) -> Column:
+        def one(i: Column, value: Column, start: Column, gaps: Column, found: Column) -> Column:
+            def over(k: int) -> Column:
+                return let(_first_after(spans[k], start), lambda s: F.when(s["start"] < start + F.length(value), s))
+
+            met = F.coalesce(*[over(k) for k in range(len(KINDS))])
+            edge = F.length(F.regexp_extract(value, r"""^[(\[{<"']+""", 0))
+            bare = F.regexp_replace(value, EDGE, "")
+            left = F.concat(F.coalesce(F.get(found, i - 1), F.lit("")), F.right(F.get(gaps, i), F.lit(BESIDE)))
+            right = F.concat(F.left(F.get(gaps, i + 1), F.lit(BESIDE)), F.coalesce(F.get(found, i + 1), F.lit("")))
+
+            def whole(m: Column) -> Column:
+                return F.struct(
+                    start.alias("from"), (start + edge).alias("start"), (start + edge + F.length(bare)).alias("end"), _contexts(left, right).alias("contexts"),
+                    F.coalesce(m["value"], bare).alias("token"), m["kind"].alias("known"), m.isNotNull().alias("taken"), m["start"].alias("met"),
+                )
+
+            return let(met, whole)
+
+        return F.filter(located(text, TOKEN, one), lambda t: (t["end"] > t["start"]) & (t["met"].isNull() | (t["met"] >= t["from"])))
+
+    def nested(spans: list[Column]) -> Column:
+        return of(spans) if len(spans) == len(KINDS) else let(_of(base, KINDS[len(spans)]), lambda s: nested([*spans, s]))
+
+    kind = "array<struct<from:int,start:int,end:int,contexts:array<string>,token:string,known:string,taken:boolean,met:int>>"
+    return F.when(text.rlike(ANY_TOKEN), nested([])).otherwise(F.expr(f"cast(array() as {kind})"))
+
+
+def patterns(found: DataFrame, scratch: Scratch, rounds: int = ROUNDS, confidence: float = CONFIDENCE, support: float = SUPPORT, doubt: float = DOUBT) -> DataFrame:
+    """(context, kind, share): the patterns that lead to identifiers of a kind with high confidence; from (contexts, token, known)."""
+    edges = scratch.write(found.select(F.explode("contexts").alias("context"), "token", "known").groupBy("context", "token").agg(F.max("known").alias("known")), "edges")
+    kinds = F.array(*[F.struct(F.lit(k).alias("kind"), F.count(F.when(F.col("known") == k, 1)).alias("own"), F.count(F.when(F.col("known").isNull() & F.col("token").rlike(LIKE[k]), 1)).alias("like")) for k in KINDS])
+    sizes = edges.groupBy("context").agg(F.count("known").alias("all"), kinds.alias("kinds"))
+    sizes = scratch.write(sizes.select("context", "all", F.explode(F.filter("kinds", lambda k: k["own"] + k["like"] >= support)).alias("k")).select("context", "all", "k.*"), "sizes")
+    led = None
     for k in range(rounds):
-        held = edges.select("left", "token").join(known, "token").groupBy("left", "kind").agg(F.sum("score").alias("weight"))
-        scored = scratch.write(held.join(sizes, ["left", "kind"]).select("left", "kind", "weight", (F.col("weight") / F.col("n")).alias("share")).where((F.col("weight") >= support) & (F.col("share") >= confidence)), f"patterns-{k}")
+        new = F.lit(0.0) if led is None else F.coalesce("new", F.lit(0.0))
+        held = sizes if led is None else sizes.join(edges.where("known is null").select("context", "token").join(led, "token").groupBy("context", "kind").agg(F.sum("score").alias("new")), ["context", "kind"], "left")
+        weight = F.col("own") + new
+        share = weight / (weight + F.col("all") - F.col("own") + doubt * (F.col("like") - new))
+        scored = held.select("context", "kind", weight.alias("weight"), share.alias("share")).where((F.col("weight") >= support) & (F.col("share") >= confidence))
+        scored = scratch.write(scored.select("context", "kind", "share"), f"patterns-{k}")
         if k + 1 < rounds:
-            led = edges.where("known is null").select("left", "token").join(scored, "left").where(_like(F.col("kind"), F.col("token"))).groupBy("token", "kind").agg(F.max("share").alias("score"))
-            seeds = edges.where("known is not null").select("token", F.col("known").alias("kind"), F.lit(1.0).alias("score")).distinct()
-            known = seeds.unionByName(led)
-    return scored.select("left", "kind")
+            led = edges.where("known is null").select("context", "token").join(scored, "context").where(_like(F.col("kind"), F.col("token"))).groupBy("token", "kind").agg(F.max("share").alias("score"))
+            led = scratch.write(led, f"led-{k}")
+    return scored
 
 
-def find(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS, confidence: float = CONFIDENCE, support: float = SUPPORT) -> DataFrame:
+def find(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS, confidence: float = CONFIDENCE, support: float = SUPPORT, doubt: float = DOUBT) -> DataFrame:
     """id, th (a hash of the text), base and spans, arrays of structs of kind, start and end (code points, end exclusive).
 
-    Base spans are always among spans; the method adds those tokens that overlap no base span, follow a pattern of a kind
-    and look like the kind. A null or empty text has none. Rows that repeat id and text get the same spans each; a null id
-    is kept; an empty table gives no rows; extra columns are not carried on. Texts do not travel.
+    Base spans are always among spans; the method adds those tokens that overlap no base span, that a pattern of a kind
+    leads to and that look like the kind. A null or empty text has none. Rows that repeat id and text get the same spans
+    each; a null id is kept; an empty table gives no rows; extra columns are not carried on. Texts do not travel.
     """
     scratch = Scratch(df.sparkSession, "pii")
     text = F.coalesce(F.col(text_col), F.lit(""))
-    docs = df.select(F.col(id_col).alias("id"), text.alias("text"), F.xxhash64(text).alias("th")).withColumn("seen", F.concat(*[base_spans(F.col("text"), kind) for kind in KINDS]))
-    found = scratch.write(tokens(docs), "tokens")
-    led = found.where("not taken").join(patterns(found, scratch, rounds, confidence, support), "left")
-    new = scratch.write(led.where(_like(F.col("kind"), F.col("token"))).groupBy("id", "th").agg(F.collect_set(F.struct("kind", "start", "end")).alias("more")), "new")
+    docs = df.select(F.col(id_col).alias("id"), text.alias("text"), F.xxhash64(text).alias("th")).withColumn("base", F.concat(*[base_spans(F.col("text"), kind) for kind in KINDS]))
+    read = scratch.write(docs.select("id", "th", "base", identifiers(F.col("text"), F.col("base")).alias("found")), "read")
+    read = read.withColumn("base", F.transform("base", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"))))
+    found = read.where(F.size("found") > 0).select("id", "th", F.explode("found").alias("t")).select("id", "th", "t.*")
+    good = patterns(found, scratch, rounds, confidence, support, doubt).select("context", "kind").distinct()
+    open_ = found.where("not taken").select("id", "th", "start", "end", "token", F.explode("contexts").alias("context"))
+    led = open_.join(good, "context").where(_like(F.col("kind"), F.col("token")))
+    new = scratch.write(led.groupBy("id", "th").agg(F.collect_set(F.struct("kind", "start", "end")).alias("more")), "new")
+    scratch.drop_all_but("read", "new")
     none = F.expr("cast(array() as array<struct<kind:string,start:int,end:int>>)")
-    base = docs.select("id", "th", F.transform("seen", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"))).alias("base"))
-    same = base["id"].eqNullSafe(new["id"]) & (base["th"] == new["th"])
-    return base.join(new, same, "left").select(base["id"], base["th"], "base", F.concat("base", F.coalesce("more", none)).alias("spans"))
+    same = read["id"].eqNullSafe(new["id"]) & (read["th"] == new["th"])
+    return read.join(new, same, "left").select(read["id"], read["th"], "base", F.concat("base", F.coalesce("more", none)).alias("spans"))
+
+
+def _cut(parts: Column, start: Column, end: Column) -> Column:
+    """The text from start to end of a text in parts of _PART code points."""
+    first = F.shiftright(start, 8)
+    joined = F.array_join(F.slice(parts, first + 1, F.shiftright(end - 1, 8) - first + 1), "")
+    return F.when(end > start, F.substring(joined, start.bitwiseAND(_PART - 1) + 1, end - start)).otherwise("")
+
+
+def _masked(text: Column, ordered: Column) -> Column:
+    """The text with spans (start, last = -end, kind), sorted, replaced; a span that starts in one before it is left out."""
+
+    def put(parts: Column):
+        def one(state: Column, s: Column) -> Column:
+            piece = F.concat(state["out"], _cut(parts, state["at"], s["start"]), F.lit("["), F.upper(s["kind"]), F.lit("]"))
+            return F.when(s["start"] < state["at"], state).otherwise(F.struct((-s["last"]).alias("at"), piece.alias("out")))
+
+        def block(state: Column, b: Column) -> Column:
+            own = F.aggregate(F.slice(ordered, F.shiftleft(b, _BITS) + 1, F.lit(1 << _BITS)), F.struct(state["at"].alias("at"), F.lit("").alias("out")), one)
+            return let(own, lambda o: F.struct(o["at"].alias("at"), F.array_append(state["out"], o["out"]).alias("out")))
+
+        blocks = F.sequence(F.lit(0), F.shiftright(F.greatest(F.size(ordered) - 1, F.lit(0)), _BITS))
+        start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<string>)").alias("out"))
+        return F.aggregate(blocks, start, block, lambda s: F.concat(F.array_join(s["out"], ""), _cut(parts, s["at"], F.length(text))))
+
+    return let(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{_PART}}}"), F.lit(0)), put)
 
 
 def mask(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """df with every span of its text replaced by its kind in brackets; of spans that overlap the first goes, of those the longest."""
+    """df with every span of its text replaced by its kind in brackets; of spans that overlap the first goes, of those the longest.
+
+    Every row comes back with its other columns: a null or empty text as it is, a null id too, repeated rows each. An empty
+    table gives no rows.
+    """
     key, digest, found = fresh(df, "_id", "_th", "_spans")
     spans = find(df, id_col, text_col).where(F.size("spans") > 0).select(F.col("id").alias(key), F.col("th").alias(digest), F.col("spans").alias(found)).dropDuplicates([key, digest])
     joined = df.join(spans, df[id_col].eqNullSafe(F.col(key)) & (F.xxhash64(F.coalesce(df[text_col], F.lit(""))) == F.col(digest)), "left")
     ordered = F.sort_array(F.transform(found, lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("last"), s["kind"].alias("kind"))))
     text = F.col(text_col)
-
-    def put(state: Column, s: Column) -> Column:
-        piece = F.concat(state["out"], F.substring(text, state["at"] + 1, s["start"] - state["at"]), F.lit("["), F.upper(s["kind"]), F.lit("]"))
-        return F.when(s["start"] < state["at"], state).otherwise(F.struct((-s["last"]).alias("at"), piece.alias("out")))
-
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    masked = F.aggregate(ordered, start, put, lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.length(text))))
+    masked = let(ordered, lambda o: _masked(text, o))
     return joined.select(*[F.when(F.col(found).isNull(), text).otherwise(masked).alias(text_col) if c == text_col else df[c] for c in df.columns])
 
 

@@ -333,7 +333,9 @@ def repeated_spans(docs: DataFrame, scratch: Scratch, length: int = LENGTH, gram
     tasks = F.broadcast(sizes) if sizes.count() <= BROADCAST_ROWS else sizes.hint("merge")
     dealt = held.join(tasks, "key", "left")
     streams = dealt.select("key", F.coalesce(F.pmod(F.xxhash64("id", "th", "start"), F.col("tasks")).cast("int"), F.lit(0)).alias("task"), F.lit(1).alias("side"), "id", "th", "start", "words")
-    references = dealt.where("tasks is not null").groupBy("key", "words", "tasks").agg(F.min("id").alias("id"))
+    # All other passages meet in one group, which map-side aggregation makes a row a task.
+    mine = [F.when(F.col("tasks").isNotNull(), F.col(c)).alias(c) for c in ("key", "words")]
+    references = dealt.groupBy(*mine).agg(F.min("id").alias("id"), F.max("tasks").alias("tasks")).where("tasks is not null")
     sent = references.select("key", F.explode(F.sequence(F.lit(0), F.col("tasks") - 1)).alias("task"), F.lit(0).alias("side"), "id", F.lit(0).cast("long").alias("th"), F.lit(0).alias("start"), "words")
     hits = streams.unionByName(sent).repartition("key", "task").sortWithinPartitions("key", "task", "side", "id").mapInArrow(_streamed(length), HIT)
     out = scratch.write(hits.groupBy("id", "th").agg(F.collect_set(F.struct("start", "mask")).alias("hits")), "hits")
