@@ -83,29 +83,46 @@ def knn_2d(queries: DataFrame, points: DataFrame, k: int, cell: float, exclude_s
     """(q_id, rank, id, d2): the k nearest points of every query, ties to smaller ids; from queries (q_id, q) and points (id, p).
 
     Counts by cell tell every query how many rings of cells hold k points; it then meets the cells that those nearest can
-    lie in. Only queries and cell counts are exploded, never points, and no further than `widest` rings: the few queries
-    that are farther from k points than that meet all points, k of which are kept for each before the shuffle.
+    lie in. Only queries and cell counts are exploded, never points, and no further than `widest` rings: queries that are
+    farther from k points than that look again in cells `widest` times as wide, until a ring holds all points.
     """
     need = k + (1 if exclude_same else 0)
-    own = points.where("p is not null").withColumn("cx", F.floor(F.col("p.x") / cell)).withColumn("cy", F.floor(F.col("p.y") / cell))
+    held = points.where("p is not null").select("id", "p")
+    asked = queries.where("q is not null").select("q_id", "q")
+    sides = [held.agg(*[f(F.col("p")[c]) for c in "xy" for f in (F.min, F.max)]).first(), asked.agg(*[f(F.col("q")[c]) for c in "xy" for f in (F.min, F.max)]).first()]
+    none = points.sparkSession.createDataFrame([], f"q_id {dict(asked.dtypes)['q_id']}, rank int, id {dict(held.dtypes)['id']}, d2 double")
+    if any(v is None for side in sides for v in side):
+        return none
+    span = max(max(s[1] for s in sides) - min(s[0] for s in sides), max(s[3] for s in sides) - min(s[2] for s in sides))
+    found = None
+    while True:
+        last = span < cell * widest
+        pairs, asked = _ringed(asked, held, need, cell, widest, last)
+        found = pairs if found is None else found.unionByName(pairs)
+        if last:
+            break
+        cell *= widest
+    if exclude_same:
+        found = found.where("q_id <> id")
+    return top_k(found.select("q_id", "id", vectors.distance_sq(F.col("q"), F.col("p")).alias("d2")), k)
+
+
+def _ringed(asked: DataFrame, points: DataFrame, need: int, cell: float, widest: int, last: bool) -> tuple[DataFrame, DataFrame]:
+    """Queries with the points of the cells that their nearest can lie in, and those that no ring holds enough points for."""
+    own = points.withColumn("cx", F.floor(F.col("p.x") / cell)).withColumn("cy", F.floor(F.col("p.y") / cell))
     counts = own.groupBy("cx", "cy").agg(F.count(F.lit(1)).alias("n"))
-    asked = queries.where("q is not null").withColumn("qx", F.floor(F.col("q.x") / cell)).withColumn("qy", F.floor(F.col("q.y") / cell))
+    asked = asked.withColumn("qx", F.floor(F.col("q.x") / cell)).withColumn("qy", F.floor(F.col("q.y") / cell))
     grown = asked.select("qx", "qy").distinct().select("qx", "qy", F.explode(around(F.col("qx"), widest)).alias("cx")).select("qx", "qy", "cx", F.explode(around(F.col("qy"), widest)).alias("cy"))
     apart = F.greatest(F.abs(F.col("cx") - F.col("qx")), F.abs(F.col("cy") - F.col("qy")))
     steps = [r for r in range(1, widest + 1) if r & (r - 1) == 0]
     held = grown.join(counts, ["cx", "cy"]).groupBy("qx", "qy").agg(*[F.sum(F.when(apart <= r, F.col("n"))).alias(f"n{r}") for r in steps])
-    ring = F.coalesce(*[F.when(F.col(f"n{r}") >= need, r) for r in steps])
+    ring = F.coalesce(*[F.when(F.col(f"n{r}") >= need, r) for r in steps], F.lit(widest if last else None))
     rings = asked.join(held.select("qx", "qy", ring.alias("ring")), ["qx", "qy"], "left")
     # A point in the ring may be as far as its corner, so the k nearest may lie that far outside too.
     reach = F.ceil((F.col("ring") + 1) * math.sqrt(2)).cast("long")
     near = rings.where("ring is not null").select("q_id", "q", "qy", reach.alias("reach"), F.explode(F.sequence(F.col("qx") - reach, F.col("qx") + reach)).alias("cx"))
     near = near.select("q_id", "q", "cx", F.explode(F.sequence(F.col("qy") - F.col("reach"), F.col("qy") + F.col("reach"))).alias("cy"))
-    pairs = near.join(own, ["cx", "cy"]).select("q_id", "q", "id", "p")
-    far = rings.where("ring is null").select("q_id", "q").join(own.select("id", "p"))
-    pairs = pairs.unionByName(far)
-    if exclude_same:
-        pairs = pairs.where("q_id <> id")
-    return top_k(pairs.select("q_id", "id", vectors.distance_sq(F.col("q"), F.col("p")).alias("d2")), k)
+    return near.join(own, ["cx", "cy"]).select("q_id", "q", "id", "p"), rings.where("ring is null").select("q_id", "q")
 
 
 def top_k(pairs: DataFrame, k: int, by: str = "q_id", order: str = "d2", tie: str = "id") -> DataFrame:
@@ -114,13 +131,47 @@ def top_k(pairs: DataFrame, k: int, by: str = "q_id", order: str = "d2", tie: st
     return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select(by, F.col("rank").cast("int").alias("rank"), tie, order)
 
 
-def knn_vectors(queries: DataFrame, rows: DataFrame, k: int) -> DataFrame:
+def knn_vectors(queries: DataFrame, rows: DataFrame, k: int, block: int = 512, spread: int = 64) -> DataFrame:
     """(q_id, rank, id, d2) for vectors as arrays: every query of a stated set (q_id, q) against all rows (id, v) but its own.
 
-    The grid is of no use in many dimensions; groups are limited to k before the shuffle.
+    The grid is of no use in many dimensions. Rows are packed in blocks as they are read, queries in blocks that go to all of
+    `spread` groups of row blocks; a block of queries and one of rows meet as matrices and give k rows a query at most.
+    Vectors of another length than a query's are not compared with it; null ones and ids take no part.
     """
-    pairs = queries.join(rows.where("v is not null"), F.col("q_id") != F.col("id")).select("q_id", "id", vectors.array_distance_sq(F.col("q"), F.col("v")).alias("d2"))
-    return top_k(pairs, k)
+    kinds = dict(queries.dtypes)["q_id"], dict(rows.dtypes)["id"]
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            dims = np.diff(batch.column(1).offsets.to_numpy())
+            for dim in np.unique(dims).tolist():
+                at = np.flatnonzero(dims == dim)
+                for begin in range(0, len(at), block):
+                    own = batch.take(pa.array(at[begin : begin + block]))
+                    group = int(own.column(0)[0].as_py()) % spread
+                    yield pa.RecordBatch.from_arrays([pa.array([dim], pa.int32()), pa.array([group], pa.int32()), pa.array([own.column(0).cast(pa.int64()).to_pylist()]), pa.array([own.column(1).flatten().to_numpy().tobytes()])], names=["dim", "group", "ids", "data"])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for q_ids, q, ids, v in zip(*(c.to_pylist() for c in batch.columns)):
+                q, v = np.frombuffer(q).reshape(len(q_ids), -1), np.frombuffer(v).reshape(len(ids), -1)
+                ids = np.array(ids, np.int64)
+                out: list[list] = [[], [], []]
+                for i, x in zip(q_ids, q):
+                    d2 = ((v - x) ** 2).sum(1)
+                    d2[ids == i] = np.inf
+                    at = np.lexsort((ids, d2))[:k] if len(ids) <= 4 * k else (near := np.flatnonzero(d2 <= np.partition(d2, k - 1)[k - 1]))[np.lexsort((ids[near], d2[near]))][:k]
+                    at = at[d2[at] < np.inf]
+                    out[0].append(np.full(len(at), i)), out[1].append(ids[at]), out[2].append(d2[at])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], names=["q_id", "id", "d2"])
+
+    def blocks(df: DataFrame, names: list[str]) -> DataFrame:
+        return df.mapInArrow(packed, "dim int, group int, ids array<long>, data binary").toDF("dim", "group", *names)
+
+    asked = blocks(queries.where("q_id is not null and q is not null").select("q_id", F.col("q").cast("array<double>")), ["q_ids", "q"])
+    asked = asked.drop("group").withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(spread - 1))))
+    met = asked.join(blocks(rows.where("id is not null and v is not null").select("id", F.col("v").cast("array<double>")), ["ids", "v"]), ["dim", "group"])
+    pairs = met.select("q_ids", "q", "ids", "v").mapInArrow(compare, "q_id long, id long, d2 double")
+    return top_k(pairs, k).select(F.col("q_id").cast(kinds[0]).alias("q_id"), "rank", F.col("id").cast(kinds[1]).alias("id"), "d2")
 
 
 def radius_vectors(left: DataFrame, right: DataFrame, radius: float, self_join: bool = True, block: int = 512) -> DataFrame:
@@ -238,28 +289,76 @@ def ray_triangle(o: Column, d: Column, t: Column) -> Column:
     return let(sides, crossed)
 
 
-def first_hits(rays: DataFrame, triangles: DataFrame) -> DataFrame:
+def line_cells(x0: Column, y0: Column, x1: Column, y1: Column, cell: float) -> Column:
+    """The cells that a straight line touches, as structs of cx and cy: column by column, those between its heights there."""
+    low, high = F.least(x0, x1), F.greatest(x0, x1)
+    slope = F.when(high > low, (y1 - y0) / F.when(high > low, x1 - x0))
+    margin = 1e-6 * cell  # so that rounding loses no cell
+
+    def column(cx: Column) -> Column:
+        left, right = F.greatest(low, cx * cell - margin), F.least(high, (cx + 1) * cell + margin)
+        a, b = (F.when(slope.isNull(), y).otherwise(y0 + slope * (x - x0)) for x, y in ((left, y0), (right, y1)))
+        ys = F.sequence(F.floor((F.least(a, b) - margin) / cell), F.floor((F.greatest(a, b) + margin) / cell))
+        return F.transform(ys, lambda cy: F.struct(cx.alias("cx"), cy.alias("cy")))
+
+    return F.flatten(F.transform(F.sequence(F.floor((low - margin) / cell), F.floor((high + margin) / cell)), column))
+
+
+def _ray_hits(rays: DataFrame, triangles: DataFrame, cell: float | None) -> DataFrame:
+    """(ray_id, tri_id, hit): rays walk the cells below them in x and y, as far as the envelope of all triangles goes, and meet the
+    triangles that lie over these. A pair that shares several cells comes several times."""
+    box = shapes.extent(F.array(*[F.struct(F.col("tri")[p]["x"].alias("x"), F.col("tri")[p]["y"].alias("y")) for p in ("p0", "p1", "p2")]))
+    own = triangles.select("tri_id", "tri", box.alias("box")).where("box is not null")
+    side = F.greatest(F.col("box.xmax") - F.col("box.xmin"), F.col("box.ymax") - F.col("box.ymin"))
+    edge = own.agg(F.min("box.xmin"), F.max("box.xmax"), F.min("box.ymin"), F.max("box.ymax"), F.avg(side)).first()
+    rows = rays.where("o is not null and d is not null")
+    if edge[0] is None:
+        edge = (0.0, 0.0, 0.0, 0.0, 1.0)
+    cell = cell or max(2 * edge[4], max(edge[1] - edge[0], edge[3] - edge[2]) / 4096) or 1.0
+    # The stretch of parameters t from 0 on in which the ray is over the envelope.
+    low, high = [F.lit(0.0)], []
+    for c, a, b in (("x", edge[0], edge[1]), ("y", edge[2], edge[3])):
+        o, d = F.col("o")[c], F.col("d")[c]
+        step = F.when(d != 0, d)
+        low.append(F.when(d != 0, F.least((a - o) / step, (b - o) / step)).when(o.between(a, b), 0.0).otherwise(float("inf")))
+        high.append(F.when(d != 0, F.greatest((a - o) / step, (b - o) / step)).otherwise(float("inf")))
+    rows = rows.withColumns({"t0": F.greatest(*low), "t1": F.least(*high)}).where("t0 <= t1 and t0 < double('inf')")
+    t1 = F.when(F.col("t1") < float("inf"), F.col("t1")).otherwise(F.col("t0"))  # straight down: one place
+    (x0, x1), (y0, y1) = ((F.col("o")[c] + F.col("d")[c] * F.col("t0"), F.col("o")[c] + F.col("d")[c] * t1) for c in "xy")
+    walked = rows.select("ray_id", "o", "d", F.explode(line_cells(x0, y0, x1, y1, cell)).alias("c")).select("ray_id", "o", "d", "c.*")
+    over = _with_cells(own, F.col("box"), cell, "c").select("tri_id", "tri", "cx", "cy")
+    return walked.join(over, ["cx", "cy"]).select("ray_id", "tri_id", ray_triangle(F.col("o"), F.col("d"), F.col("tri")).alias("hit")).where("hit is not null")
+
+
+def first_hits(rays: DataFrame, triangles: DataFrame, cell: float | None = None) -> DataFrame:
     """(ray_id, tri_id, t, u, v) of the nearest hit of every ray (ray_id, o, d) that hits; ties to smaller ids.
 
-    Rays are a stated set and meet every triangle.
+    Rays and triangles meet in cells of the plane, by default twice as wide as triangles are on average.
     """
-    hit = rays.join(triangles).withColumn("hit", ray_triangle(F.col("o"), F.col("d"), F.col("tri"))).where("hit is not null")
-    best = hit.groupBy("ray_id").agg(F.min(F.struct(F.col("hit.t").alias("t"), "tri_id", F.col("hit.u").alias("u"), F.col("hit.v").alias("v"))).alias("m"))
+    best = _ray_hits(rays, triangles, cell).groupBy("ray_id").agg(F.min(F.struct(F.col("hit.t").alias("t"), "tri_id", F.col("hit.u").alias("u"), F.col("hit.v").alias("v"))).alias("m"))
     return best.select("ray_id", "m.tri_id", "m.t", "m.u", "m.v")
 
 
-def any_hit(rays: DataFrame, triangles: DataFrame) -> DataFrame:
+def any_hit(rays: DataFrame, triangles: DataFrame, cell: float | None = None) -> DataFrame:
     """The rays that hit any triangle."""
-    return rays.join(triangles, ray_triangle(F.col("o"), F.col("d"), F.col("tri")).isNotNull(), "left_semi")
+    return rays.join(_ray_hits(rays, triangles, cell).select("ray_id").distinct(), "ray_id", "left_semi")
 
 
 def segment_crossings(segments: DataFrame, cell: float, touch: bool = True) -> DataFrame:
-    """(a_id, b_id, points) of segments (id, seg) that meet, a_id < b_id."""
-    boxes = segments.select("id", "seg", shapes.segment_extent(F.col("seg")).alias("box"))
-    near = box_join(boxes, boxes, cell, touch=True, self_join=True)
-    a, b = segments.select(F.col("id").alias("a_id"), F.col("seg").alias("a")), segments.select(F.col("id").alias("b_id"), F.col("seg").alias("b"))
-    met = near.join(a, "a_id").join(b, "b_id").where(shapes.segments_intersect(F.col("a"), F.col("b"), touch))
-    return met.select("a_id", "b_id", shapes.segment_intersection(F.col("a"), F.col("b")).alias("points"))
+    """(a_id, b_id, points) of segments (id, seg) that meet, a_id < b_id.
+
+    A segment goes to the cells that it runs through, not to all of its box; a pair counts in the cell of its first common point.
+    """
+    s = F.col("seg")
+    own = segments.select("id", "seg", F.explode(line_cells(s["s"]["x"], s["s"]["y"], s["e"]["x"], s["e"]["y"], cell)).alias("c")).select("id", "seg", "c.*")
+    a, b = own.select(F.col("id").alias("a_id"), F.col("seg").alias("a"), "cx", "cy"), own.select(F.col("id").alias("b_id"), F.col("seg").alias("b"), "cx", "cy")
+    x, y = F.col("a"), F.col("b")
+    apart = [F.greatest(p["s"][c], p["e"][c]) < F.least(q["s"][c], q["e"][c]) for p, q in ((x, y), (y, x)) for c in "xy"]
+    met = a.join(b, ["cx", "cy"]).where(F.col("a_id") < F.col("b_id")).where(~(apart[0] | apart[1] | apart[2] | apart[3]) & shapes.segments_intersect(x, y, touch))
+    met = met.withColumn("points", shapes.segment_intersection(x, y))
+    first = F.get("points", F.lit(0))
+    home = (F.floor(first["x"] / cell) == F.col("cx")) & (F.floor(first["y"] / cell) == F.col("cy"))
+    return met.where(home).select("a_id", "b_id", "points")
 
 
 def split_segments(segments: DataFrame, cell: float) -> DataFrame:
@@ -289,14 +388,22 @@ def asof_previous(left: DataFrame, right: DataFrame, on: str, by: list[str], val
 def bracket_join(left: DataFrame, breakpoints: DataFrame, x: str) -> DataFrame:
     """left with x1, q1, x2, q2 of the interval that holds x; the end intervals hold what is outside. breakpoints has (bx, q).
 
-    The breakpoints are a table that the caller keeps; Spark broadcasts it where it is small.
+    A null or NaN x has NULLs, as has all of left with fewer than two breakpoints. Breakpoints are a table that the caller
+    keeps; as an array of their pairs, which an aggregate makes, they go to every row, which finds its interval by halving.
     """
-    w = Window.orderBy("bx")
-    last = breakpoints.agg(F.max("bx")).first()[0]
-    spans = breakpoints.select(F.col("bx").alias("x1"), F.col("q").alias("q1"), F.lead("bx").over(w).alias("x2"), F.lead("q").over(w).alias("q2"), F.row_number().over(w).alias("k")).where("x2 is not null")
-    low = F.when(F.col("k") == 1, F.lit(float("-inf"))).otherwise(F.col("x1"))
-    high = F.when(F.col("x2") == last, F.lit(float("inf"))).otherwise(F.col("x2"))
-    return left.join(spans, (F.col(x) >= low) & ((F.col(x) < high) | (high == float("inf"))), "left").drop("k")
+    pairs = breakpoints.where("bx is not null").select(F.struct(F.col("bx").cast("double").alias("bx"), "q").alias("p"))
+    table = pairs.agg(F.array_sort(F.collect_list("p")).alias("_bp"))
+
+    def interval(bp: Column) -> Column:
+        # The last of all but the last breakpoint that is not beyond x; the first if all are.
+        inner = F.size(bp) - 1
+        powers = F.transform(F.sequence(F.floor(F.log2(F.greatest(inner, F.lit(1)))).cast("int"), F.lit(0), F.lit(-1)), lambda i: F.pow(F.lit(2), i).cast("int"))
+        at = F.aggregate(powers, F.lit(0), lambda n, p: F.when((n + p < inner) & (F.get(bp, n + p)["bx"] <= F.col(x)), n + p).otherwise(n))
+        return F.when((inner > 0) & F.col(x).isNotNull() & ~F.isnan(F.col(x).cast("double")), at)
+
+    both = left.crossJoin(F.broadcast(table)).withColumn("_at", interval(F.col("_bp")))  # one row
+    low, high = F.get("_bp", F.col("_at")), F.get("_bp", F.col("_at") + 1)
+    return both.select(*left.columns, low["bx"].alias("x1"), low["q"].alias("q1"), high["bx"].alias("x2"), high["q"].alias("q2"))
 
 
 def zip_rows(left: DataFrame, right: DataFrame, key: str) -> DataFrame:

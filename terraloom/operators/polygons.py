@@ -97,15 +97,23 @@ def convex_hull(points: DataFrame, keys: Sequence[str], spread: int = 32) -> Dat
     return grouped.applyInPandas(whole, f"{head}hull array<struct<x:double,y:double>>")
 
 
-def box_union_area(boxes: DataFrame, keys: Sequence[str], box: str = "box") -> DataFrame:
-    """(keys, area) of the union of boxes, without Python: slabs between all x, and united intervals of y in each."""
+def box_union_area(boxes: DataFrame, keys: Sequence[str], box: str = "box", cell: float = 16.0) -> DataFrame:
+    """(keys, area) of the union of boxes, without Python: slabs between all x, and united intervals of y in each.
+
+    Boxes are cut at the edges of square cells, and every cell of a group is added up by itself, so that no group, however
+    large, meets in one task.
+    """
     from pyspark.sql import Window
 
-    b = boxes.select(*keys, F.col(f"{box}.xmin").alias("x0"), F.col(f"{box}.xmax").alias("x1"), F.col(f"{box}.ymin").alias("y0"), F.col(f"{box}.ymax").alias("y1")).where("x0 < x1 and y0 < y1")
-    order = Window.partitionBy(*keys).orderBy("s0")
-    slabs = b.select(*keys, F.explode(F.array("x0", "x1")).alias("s0")).distinct().withColumn("s1", F.lead("s0").over(order)).where("s1 is not null")
-    cut = b.join(slabs, list(keys)).where("x0 <= s0 and x1 >= s1")
-    up = Window.partitionBy(*keys, "s0").orderBy("y0", "y1").rowsBetween(Window.unboundedPreceding, -1)
+    b = boxes.select(*keys, *[F.col(f"{box}.{c}").alias(c) for c in ("xmin", "xmax", "ymin", "ymax")]).where("xmin < xmax and ymin < ymax")
+    b = b.withColumn("_cx", F.explode(F.sequence(F.floor(F.col("xmin") / cell), F.floor(F.col("xmax") / cell)))).withColumn("_cy", F.explode(F.sequence(F.floor(F.col("ymin") / cell), F.floor(F.col("ymax") / cell))))
+    own = [*keys, "_cx", "_cy"]
+    low, high = (lambda c, at: F.greatest(F.col(c), F.col(at) * cell)), (lambda c, at: F.least(F.col(c), (F.col(at) + 1) * cell))
+    b = b.select(*own, low("xmin", "_cx").alias("x0"), high("xmax", "_cx").alias("x1"), low("ymin", "_cy").alias("y0"), high("ymax", "_cy").alias("y1")).where("x0 < x1 and y0 < y1")
+    order = Window.partitionBy(*own).orderBy("s0")
+    slabs = b.select(*own, F.explode(F.array("x0", "x1")).alias("s0")).distinct().withColumn("s1", F.lead("s0").over(order)).where("s1 is not null")
+    cut = b.join(slabs, own).where("x0 <= s0 and x1 >= s1")
+    up = Window.partitionBy(*own, "s0").orderBy("y0", "y1").rowsBetween(Window.unboundedPreceding, -1)
     top = F.coalesce(F.max("y1").over(up), F.lit(float("-inf")))
     fresh = F.greatest(F.lit(0.0), F.col("y1") - F.greatest("y0", top))
     return cut.withColumn("fresh", fresh * (F.col("s1") - F.col("s0"))).groupBy(*keys).agg(F.sum("fresh").alias("area"))

@@ -402,11 +402,11 @@ def point_in_polygon(spark, d):
 
 
 @query(
-    f"""WITH {BOXES}, c AS (SELECT *, id % 4 AS layer FROM boxes WHERE id <= 400)
+    f"""WITH {BOXES}, c AS (SELECT *, id % 4 AS layer FROM boxes)
 SELECT a.id AS a_id, b.id AS b_id FROM c a JOIN c b ON a.id < b.id AND (a.layer = b.layer OR abs(a.layer - b.layer) = 1) AND a.xmin <= b.xmax AND b.xmin <= a.xmax AND a.ymin <= b.ymax AND b.ymin <= a.ymax"""
 )
 def layered_connectivity(spark, d):
-    o = part_boxes(spark, d).where("id <= 400").select("id", (F.col("id") % 4).alias("layer"), polygon(shapes.box_ring(F.col("box"))).alias("polygon"))
+    o = part_boxes(spark, d).select("id", (F.col("id") % 4).alias("layer"), polygon(shapes.box_ring(F.col("box"))).alias("polygon"))
     layers = spark.createDataFrame([(0, 1), (1, 2), (2, 3)], "layer1 long, layer2 long")
     return joins.layered_connectivity(o, layers, 5.0)
 
@@ -718,9 +718,9 @@ def split_tokens(spark, d):
     return table(spark, d, "pages").select("page_id", F.size(t).cast("long").alias("n"), F.get(t, F.lit(0)).alias("first"))
 
 
-@query(r"SELECT doc_id, md5(regexp_replace(text, '^\s+|\s+$', '', 'g')) AS h FROM (SELECT doc_id, ' ' || chr(9) || substr(text, 1, 100) || chr(10) AS text FROM documents)")
+@query(r"SELECT doc_id, md5(regexp_replace(text, '^\s+|\s+$', '', 'g')) AS h FROM (SELECT doc_id, ' ' || chr(9) || text || chr(10) AS text FROM documents)")
 def trim_ws(spark, d):
-    t = F.concat(F.lit(" \t"), F.substring("text", 1, 100), F.lit("\n"))
+    t = F.concat(F.lit(" \t"), F.col("text"), F.lit("\n"))
     return table(spark, d, "documents").select("doc_id", F.md5(text.trim(t)).alias("h"))
 
 
