@@ -5,7 +5,7 @@ A missing geometry is NULL. Coordinates are doubles. Rings are open (the first p
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 POINT = "struct<x:double,y:double>"
@@ -72,3 +72,15 @@ def ring(*points) -> Column:
 def polygon(outline, holes=None) -> Column:
     none = F.expr(f"cast(array() as array<{RING}>)")
     return F.struct(col(outline).alias("outline"), (none if holes is None else col(holes)).alias("holes"))
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names that no column of df has, in any case of letters, from the given ones."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out

@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import shapes
-from ..functions.types import box, num, point
+from ..functions.types import box, fresh, num, point
+from .ranges import numbered
 
 
 def extent_agg(b: Column) -> Column:
@@ -76,10 +77,12 @@ def unordered_hash(v: Column) -> Column:
     return F.bit_xor(F.xxhash64(v))
 
 
-def ordered_hash(df: DataFrame, keys: Sequence[str], order: str, value: Column, buckets: int = 1) -> DataFrame:
-    """(keys, hash): a fold over the group's values in order. A group is one array; for sequences that fit a task."""
-    held = df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), value.alias("v")))).alias("vs"))
-    return held.select(*keys, F.aggregate("vs", F.lit(0).cast("long"), lambda h, s: F.xxhash64(h, s["v"])).alias("hash"))
+def ordered_hash(df: DataFrame, keys: Sequence[str], order: str, value: Column, ranges: int | None = None) -> DataFrame:
+    """(keys, hash): of the group's values in order, each hashed with its place; the XOR of these is taken partly before the
+    shuffle, and places are numbered range by range, so that a group may be of any length. Nulls count as values."""
+    (place,) = fresh(df, "place")
+    at = numbered(df, keys, [order], place, ranges)
+    return at.groupBy(*keys).agg(F.bit_xor(F.xxhash64(F.col(place).cast("long"), value)).alias("hash"))
 
 
 def find_duplicates(points: DataFrame, tol: float) -> DataFrame:
@@ -116,13 +119,38 @@ def edge_set(edges: DataFrame) -> DataFrame:
 
 
 def triangle_report(triangles: DataFrame, bins: int = 10) -> DataFrame:
-    """One row: nodes, elements, least and largest angle and edge, and both histograms as shares; from (tid, tri)."""
+    """One row: nodes, elements, least and largest angle and edge, and both histograms as shares; from (tid, tri).
+
+    angle_shares are of the triangles' smallest angles from 0 to 60 degrees, edge_shares of the lengths of the mesh's edges,
+    each counted once, from the least to the largest. Without triangles there is one row of NULLs and zeros.
+    """
+    import math
+
     from ..functions.vectors import interior_angles
 
     t = triangles.select(interior_angles(F.col("tri.p0"), F.col("tri.p1"), F.col("tri.p2")).alias("angles"), shapes.triangle_edges(F.col("tri")).alias("lengths"), F.array("tri.p0", "tri.p1", "tri.p2").alias("ps"))
     nodes = t.select(F.explode("ps").alias("p")).select("p.x", "p.y").distinct().agg(F.count(F.lit(1)).alias("nodes"))
-    sums = t.agg(F.count(F.lit(1)).alias("elements"), F.min(F.array_min("angles")).alias("min_angle"), F.max(F.array_max("angles")).alias("max_angle"), F.min(F.array_min("lengths")).alias("min_edge"), F.max(F.array_max("lengths")).alias("max_edge"))
-    return sums.crossJoin(nodes)  # one row each
+
+    def counts(bin_: Column) -> list[Column]:
+        at = F.greatest(F.lit(0), F.least(F.lit(bins - 1), F.floor(bin_)))
+        return [F.count(F.when(at == k, 1)) for k in range(bins)]
+
+    def shares(found: list[Column]) -> Column:
+        total = F.lit(0)
+        for n in found:
+            total = total + n
+        return F.when(total > 0, F.array(*[n / total for n in found]))
+
+    least = F.array_min("angles")
+    sums = t.agg(
+        F.count(F.lit(1)).alias("elements"), F.min(least).alias("min_angle"), F.max(F.array_max("angles")).alias("max_angle"),
+        F.min(F.array_min("lengths")).alias("min_edge"), F.max(F.array_max("lengths")).alias("max_edge"), shares(counts(least / (math.pi / 3) * bins)).alias("angle_shares"),
+    )
+    bounds = sums.select("min_edge", "max_edge")
+    edges = mesh_edges(triangles).crossJoin(F.broadcast(bounds))  # one row
+    wide = F.when(F.col("max_edge") > F.col("min_edge"), F.col("max_edge") - F.col("min_edge")).otherwise(1.0)
+    lengths = edges.agg(shares(counts((F.col("length") - F.col("min_edge")) / wide * bins)).alias("edge_shares"))
+    return sums.crossJoin(nodes).crossJoin(lengths)  # one row each
 
 
 def minimum_angle_histogram(triangles: DataFrame, bins: int = 10) -> DataFrame:
@@ -165,9 +193,10 @@ def stamp(devices: DataFrame) -> DataFrame:
     return devices.select(F.explode(entries).alias("e")).select("e.*").where("i <> 0 and j <> 0").groupBy("i", "j").agg(F.sum("v").alias("v"))
 
 
-def median_split(v) -> Column:
-    """The value in the middle of the sorted ones (the lower of two) as an aggregate; a group is one array."""
-    return F.sort_array(F.collect_list(num(v)))[F.floor((F.count(num(v)) - 1) / 2).cast("int")]
+def median_split(v: str) -> Column:
+    """The value in the middle of the sorted ones (the lower of two) as an aggregate of counts by value, partly done before the
+    shuffle. NULLs are left out."""
+    return F.expr(f"percentile_disc(0.5) within group (order by cast(`{v}` as double))")
 
 
 def split_plane(columns: dict[str, Column], by: str = "range") -> Column:

@@ -15,7 +15,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import shapes, vectors
-from ..functions.types import let
+from ..functions.types import fresh, let
+from .ranges import carried
 
 
 def cells(low: Column, high: Column, size: float) -> Column:
@@ -372,17 +373,20 @@ def split_segments(segments: DataFrame, cell: float) -> DataFrame:
     return segments.join(cuts, "id", "left").withColumn("pts", points).select("id", F.posexplode(F.zip_with(F.slice("pts", F.lit(1), F.size("pts") - 1), F.slice("pts", F.lit(2), F.size("pts") - 1), lambda p, q: F.struct(p.alias("s"), q.alias("e")))).alias("part", "seg"))
 
 
-def asof_previous(left: DataFrame, right: DataFrame, on: str, by: list[str], values: list[str], tie: str | None = None) -> DataFrame:
+def asof_previous(left: DataFrame, right: DataFrame, on: str, by: list[str], values: list[str], tie: str | None = None, ranges: int | None = None) -> DataFrame:
     """left with `values` of the last right row with the same `by` whose `on` isn't later; NULL where there is none.
 
-    Both sides are put together and a window carries the values on, so one shuffle by `by` does it.
+    Of right rows with the same `on` the one with the largest `tie` counts, or the largest values. Both sides are put
+    together and the values are carried on, range by range where there are many rows. Null `by` are equal to each other.
     """
     held = F.struct(*[F.col(v) for v in values])
-    a = left.withColumn("_side", F.lit(1)).withColumn("_held", F.lit(None).cast(right.select(held.alias("h")).schema["h"].dataType))
-    b = right.select(*by, on, held.alias("_held")).withColumn("_side", F.lit(0))
-    w = Window.partitionBy(*by).orderBy(on, "_side").rowsBetween(Window.unboundedPreceding, 0)
-    both = a.unionByName(b, allowMissingColumns=True).withColumn("_held", F.last("_held", ignorenulls=True).over(w)).where("_side = 1")
-    return both.select(*left.columns, *[F.col("_held")[v].alias(v) for v in values])
+    side, kept, order = fresh(left, "side", "held", "order")
+    a = left.withColumn(side, F.lit(1)).withColumn(kept, F.lit(None).cast(right.select(held.alias("h")).schema["h"].dataType))
+    last = F.struct(*([F.col(tie)] if tie else []), held)
+    b = right.select(*by, on, last.alias(order), held.alias(kept)).withColumn(side, F.lit(0))
+    both = a.unionByName(b, allowMissingColumns=True)
+    found = carried(both, by, [on, side, order], kept, ranges).where(F.col(side) == 1)
+    return found.select(*left.columns, *[F.col(kept)[v].alias(v) for v in values])
 
 
 def bracket_join(left: DataFrame, breakpoints: DataFrame, x: str) -> DataFrame:
@@ -392,7 +396,8 @@ def bracket_join(left: DataFrame, breakpoints: DataFrame, x: str) -> DataFrame:
     keeps; as an array of their pairs, which an aggregate makes, they go to every row, which finds its interval by halving.
     """
     pairs = breakpoints.where("bx is not null").select(F.struct(F.col("bx").cast("double").alias("bx"), "q").alias("p"))
-    table = pairs.agg(F.array_sort(F.collect_list("p")).alias("_bp"))
+    bps, place = fresh(left, "breakpoints", "place")
+    table = pairs.agg(F.array_sort(F.collect_list("p")).alias(bps))
 
     def interval(bp: Column) -> Column:
         # The last of all but the last breakpoint that is not beyond x; the first if all are.
@@ -401,14 +406,14 @@ def bracket_join(left: DataFrame, breakpoints: DataFrame, x: str) -> DataFrame:
         at = F.aggregate(powers, F.lit(0), lambda n, p: F.when((n + p < inner) & (F.get(bp, n + p)["bx"] <= F.col(x)), n + p).otherwise(n))
         return F.when((inner > 0) & F.col(x).isNotNull() & ~F.isnan(F.col(x).cast("double")), at)
 
-    both = left.crossJoin(F.broadcast(table)).withColumn("_at", interval(F.col("_bp")))  # one row
-    low, high = F.get("_bp", F.col("_at")), F.get("_bp", F.col("_at") + 1)
+    both = left.crossJoin(F.broadcast(table)).withColumn(place, interval(F.col(bps)))  # one row
+    low, high = F.get(bps, F.col(place)), F.get(bps, F.col(place) + 1)
     return both.select(*left.columns, low["bx"].alias("x1"), low["q"].alias("q1"), high["bx"].alias("x2"), high["q"].alias("q2"))
 
 
 def zip_rows(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     """Rows put side by side by a position that both carry; a position that only one side has raises an error."""
-    a, b = left.withColumn("_a", F.lit(True)), right.withColumn("_b", F.lit(True))
-    both = a.join(b, key, "full")
-    whole = F.when(F.col("_a").isNull() | F.col("_b").isNull(), F.raise_error(F.lit("the sides have different lengths"))).otherwise(F.col(key))
-    return both.withColumn(key, whole).drop("_a", "_b")
+    one, other = fresh(left.join(right, key), "a", "b")
+    both = left.withColumn(one, F.lit(True)).join(right.withColumn(other, F.lit(True)), key, "full")
+    whole = F.when(F.col(one).isNull() | F.col(other).isNull(), F.raise_error(F.lit("the sides have different lengths"))).otherwise(F.col(key))
+    return both.withColumn(key, whole).drop(one, other)

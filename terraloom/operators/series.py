@@ -8,16 +8,21 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.types import fresh
+from . import ranges as ranges_
 
-def moving_average(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, length: int, name: str = "sma") -> DataFrame:
+
+def moving_average(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, length: int, name: str = "sma", ranges: int | None = None) -> DataFrame:
     """Over the value and `length` on either side; past the ends the end value counts again, and the divisor is always 2 length + 1."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    first, last = F.first(value).over(whole), F.last(value).over(whole)
+    first, last = fresh(df, "first", "last")
+    ends = df.groupBy(*keys).agg(F.min_by(value, F.struct(*order)).alias(first), F.max_by(value, F.struct(*order)).alias(last))
+    own, block, home = ranges_.in_blocks(df, keys, order, length, ranges)
+    own = ranges_.meet(own, ends, keys)
+    w = Window.partitionBy(*block).orderBy(*order)
     total = F.col(value)
     for j in range(1, length + 1):
-        total = total + F.coalesce(F.lag(value, j).over(w), first) + F.coalesce(F.lead(value, j).over(w), last)
-    return df.withColumn(name, total / (2 * length + 1))
+        total = total + F.coalesce(F.lag(value, j).over(w), F.col(first)) + F.coalesce(F.lead(value, j).over(w), F.col(last))
+    return own.withColumn(name, total / (2 * length + 1)).where(home).select(*[c for c in df.columns if c != name], name)
 
 
 def recursive_average(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, length: int, name: str = "sma") -> DataFrame:
@@ -79,16 +84,16 @@ def lookup_index(sizes: Sequence[int], indices: Sequence[Column]) -> Column:
     return out
 
 
-def pchip_pieces(samples: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFrame:
+def pchip_pieces(samples: DataFrame, keys: Sequence[str], x: str, y: str, ranges: int | None = None) -> DataFrame:
     """(keys, x1, x2, c0..c3, is_first, is_last): a monotone cubic for every interval, by lag and lead.
 
     Inner slopes are weighted harmonic means of the neighbouring secants, or 0 where those change sign; end slopes are
     one-sided and cut so that the curve stays monotone. y = c0 + c1 t + c2 t^2 + c3 t^3 with t = x - x1.
     """
-    w = Window.partitionBy(*keys).orderBy(x)
     s = samples.select(*keys, F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
-    s = s.withColumn("h", F.lead("x").over(Window.partitionBy(*keys).orderBy("x")) - F.col("x")).withColumn("d", (F.lead("y").over(Window.partitionBy(*keys).orderBy("x")) - F.col("y")) / F.col("h"))
-    w = Window.partitionBy(*keys).orderBy("x")
+    s, block, home = ranges_.in_blocks(s, keys, ["x"], 4, ranges)
+    w = Window.partitionBy(*block).orderBy("x")
+    s = s.withColumn("h", F.lead("x").over(w) - F.col("x")).withColumn("d", (F.lead("y").over(w) - F.col("y")) / F.col("h"))
     h0, d0, h1, d1 = F.lag("h").over(w), F.lag("d").over(w), F.col("h"), F.col("d")
     s = s.withColumns({"h0": h0, "d0": d0, "h2": F.lead("h").over(w), "d2": F.lead("d").over(w), "h00": F.lag("h", 2).over(w), "d00": F.lag("d", 2).over(w)})
     h0, d0 = F.col("h0"), F.col("d0")
@@ -103,20 +108,35 @@ def pchip_pieces(samples: DataFrame, keys: Sequence[str], x: str, y: str) -> Dat
     inner = F.when(d0 * d1 <= 0, 0.0).otherwise((w1 + w2) / (w1 / safe0 + w2 / safe1))
     slope = F.when(d0.isNull(), end(h1, d1, F.col("h2"), F.col("d2"))).when(d1.isNull(), end(h0, d0, F.col("h00"), F.col("d00"))).otherwise(inner)
     s = s.withColumn("m", slope)
-    s = s.withColumns({"m1": F.lead("m").over(w), "x2": F.lead("x").over(w), "is_first": F.lag("x").over(w).isNull(), "is_last": F.lead("x", 2).over(w).isNull()}).where("h is not null")
+    s = s.withColumns({"m1": F.lead("m").over(w), "x2": F.lead("x").over(w), "is_first": F.lag("x").over(w).isNull(), "is_last": F.lead("x", 2).over(w).isNull()}).where(home & F.col("h").isNotNull())
     c2 = (3 * F.col("d") - 2 * F.col("m") - F.col("m1")) / F.col("h")
     c3 = (F.col("m") + F.col("m1") - 2 * F.col("d")) / (F.col("h") * F.col("h"))
     return s.select(*keys, F.col("x").alias("x1"), "x2", F.col("y").alias("c0"), F.col("m").alias("c1"), c2.alias("c2"), c3.alias("c3"), "is_first", "is_last")
 
 
-def linear_pieces(samples: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFrame:
+def linear_pieces(samples: DataFrame, keys: Sequence[str], x: str, y: str, ranges: int | None = None) -> DataFrame:
     """Pieces as of pchip_pieces, of straight lines."""
-    w = Window.partitionBy(*keys).orderBy("x")
     s = samples.select(*keys, F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
-    s = s.withColumns({"x2": F.lead("x").over(w), "y2": F.lead("y").over(w), "is_first": F.lag("x").over(w).isNull(), "is_last": F.lead("x", 2).over(w).isNull()}).where("x2 is not null")
+    s, block, home = ranges_.in_blocks(s, keys, ["x"], 2, ranges)
+    w = Window.partitionBy(*block).orderBy("x")
+    s = s.withColumns({"x2": F.lead("x").over(w), "y2": F.lead("y").over(w), "is_first": F.lag("x").over(w).isNull(), "is_last": F.lead("x", 2).over(w).isNull()}).where(home & F.col("x2").isNotNull())
     return s.select(*keys, F.col("x").alias("x1"), "x2", F.col("y").alias("c0"), ((F.col("y2") - F.col("y")) / (F.col("x2") - F.col("x"))).alias("c1"), F.lit(0.0).alias("c2"), F.lit(0.0).alias("c3"), "is_first", "is_last")
 
 
+def three_bands(low: np.ndarray, middle: np.ndarray, high: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """The solution of a system with three bands, by elimination from the top; low[0] and high[-1] are not read."""
+    n = len(middle)
+    up, out = np.zeros(n), np.zeros(n)
+    up[0], out[0] = high[0] / middle[0], right[0] / middle[0]
+    for i in range(1, n):
+        d = middle[i] - low[i] * up[i - 1]
+        up[i] = high[i] / d if i < n - 1 else 0.0
+        out[i] = (right[i] - low[i] * out[i - 1]) / d
+    for i in range(n - 2, -1, -1):
+        out[i] -= up[i] * out[i + 1]
+    return out
+
+
 def cubic_pieces(samples: DataFrame, keys: Sequence[str], x: str, y: str, ends: str = "natural", monotonic: bool = False) -> DataFrame:
     """Pieces of a cubic spline with continuous second derivatives; fewer than three samples give lines.
 
@@ -137,16 +157,15 @@ def cubic_pieces(samples: DataFrame, keys: Sequence[str], x: str, y: str, ends:
         if n == 2:
             m = np.array([d[0], d[0]])
         else:
-            a, b = np.zeros((n, n)), np.zeros(n)
-            for i in range(1, n - 1):
-                a[i, i - 1 : i + 2] = h[i], 2 * (h[i - 1] + h[i]), h[i - 1]
-                b[i] = 3 * (h[i] * d[i - 1] + h[i - 1] * d[i])
+            low, middle, high, b = (np.zeros(n) for _ in range(4))
+            low[1:-1], middle[1:-1], high[1:-1] = h[1:], 2 * (h[:-1] + h[1:]), h[:-1]
+            b[1:-1] = 3 * (h[1:] * d[:-1] + h[:-1] * d[1:])
             if ends == "flat":
-                a[0, 0] = a[-1, -1] = 1
+                middle[0] = middle[-1] = 1
             else:
-                a[0, :2], b[0] = (2, 1), 3 * d[0]
-                a[-1, -2:], b[-1] = (1, 2), 3 * d[-1]
-            m = np.linalg.solve(a, b)
+                middle[0], high[0], b[0] = 2, 1, 3 * d[0]
+                low[-1], middle[-1], b[-1] = 1, 2, 3 * d[-1]
+            m = three_bands(low, middle, high, b)
             if monotonic:
                 for i in range(n):
                     near = [d[j] for j in (i - 1, i) if 0 <= j < n - 1]
@@ -164,18 +183,18 @@ def cubic_pieces(samples: DataFrame, keys: Sequence[str], x: str, y: str, ends:
     return grouped.applyInPandas(solve, f"{head}x1 double, x2 double, c0 double, c1 double, c2 double, c3 double, is_first boolean, is_last boolean")
 
 
-def evaluate(queries: DataFrame, pieces: DataFrame, keys: Sequence[str], xq: str, name: str = "yq") -> DataFrame:
+def evaluate(queries: DataFrame, pieces: DataFrame, keys: Sequence[str], xq: str, name: str = "yq", ranges: int | None = None) -> DataFrame:
     """queries with the value of their series at xq; the end pieces go on outside.
 
-    An as-of join by a window: pieces and queries of a series are put in order and the last piece is carried on. A query
-    before all takes the first piece.
+    Pieces and queries of a series are put in order and the last piece is carried on. A query before all takes the first
+    piece; one of a series without pieces has NULL.
     """
     kinds = "struct<x1:double,c0:double,c1:double,c2:double,c3:double>"
     piece = F.struct("x1", "c0", "c1", "c2", "c3")
-    a = queries.withColumns({"_at": F.col(xq).cast("double"), "_side": F.lit(1), "_piece": F.lit(None).cast(kinds)})
-    b = pieces.select(*keys, F.when(F.col("is_first"), F.lit(float("-inf"))).otherwise(F.col("x1")).alias("_at"), F.lit(0).alias("_side"), piece.cast(kinds).alias("_piece"))
-    w = Window.partitionBy(*keys).orderBy("_at", "_side").rowsBetween(Window.unboundedPreceding, 0)
-    both = a.unionByName(b, allowMissingColumns=True).withColumn("_piece", F.last("_piece", ignorenulls=True).over(w)).where("_side = 1")
-    t = F.col("_at") - F.col("_piece.x1")
-    p = F.col("_piece")
-    return both.withColumn(name, p["c0"] + t * (p["c1"] + t * (p["c2"] + t * p["c3"]))).drop("_at", "_side", "_piece")
+    at, side, held = fresh(queries, "at", "side", "piece")
+    a = queries.withColumns({at: F.col(xq).cast("double"), side: F.lit(1), held: F.lit(None).cast(kinds)})
+    b = pieces.select(*keys, F.when(F.col("is_first"), F.lit(float("-inf"))).otherwise(F.col("x1")).alias(at), F.lit(0).alias(side), piece.cast(kinds).alias(held))
+    both = ranges_.carried(a.unionByName(b, allowMissingColumns=True), keys, [at, side], held, ranges).where(F.col(side) == 1)
+    p = F.col(held)
+    t = F.col(at) - p["x1"]
+    return both.withColumn(name, p["c0"] + t * (p["c1"] + t * (p["c2"] + t * p["c3"]))).drop(at, side, held)
