@@ -203,10 +203,10 @@ def polygon_area(p: Column) -> Column:
     return F.abs(signed_area(p["outline"])) - _sum(F.transform(p["holes"], lambda h: F.abs(signed_area(h))))
 
 
-def clean(points: Column, passes: int = 2) -> Column:
+def clean(points: Column) -> Column:
     """Without points equal to the one before and those on a line parallel to an axis with both neighbours.
 
-    Each pass looks at all points at once; more passes take out what the ones before laid open.
+    Each pass looks at all points at once; passes go on until one takes nothing out.
     """
 
     def fresh(p: Column) -> Column:
@@ -222,9 +222,14 @@ def clean(points: Column, passes: int = 2) -> Column:
 
         return F.when(n >= 3, F.filter(p, keep)).otherwise(p)
 
-    for _ in range(passes):
-        points = let(let(points, fresh), bent)
-    return points
+    def again(state: Column, _: Column) -> Column:
+        def passed(q: Column) -> Column:
+            return F.struct(q.alias("points"), (F.size(q) < F.size(state["points"])).alias("more"))
+
+        return F.when(state["more"], let(let(let(state["points"], fresh), bent), passed)).otherwise(state)
+
+    start = F.struct(points.alias("points"), F.lit(True).alias("more"))
+    return F.when(points.isNotNull(), F.aggregate(F.sequence(F.lit(0), F.size(points)), start, again, lambda s: s["points"]))
 
 
 def insert_at(points: Column, position: int, more: Column) -> Column:

@@ -458,7 +458,7 @@ def triangulate(points: DataFrame, keys: Sequence[str], edges: DataFrame | None
     xy = points.where("p is not null").select(*keys, F.col("id").cast("long").alias("id"), F.col("p.x").alias("x"), F.col("p.y").alias("y"))
     if edges is None:
         return xy.groupBy(*keys).applyInPandas(lambda frame: made(frame, None), schema)
-    return xy.groupBy(*keys).cogroup(edges.select(*keys, "src", "dst").groupBy(*keys)).applyInPandas(made, schema)
+    return xy.groupBy(*keys).cogroup(edges.select(*[F.col(k).alias(k) for k in keys], "src", "dst").groupBy(*keys)).applyInPandas(made, schema)
 
 
 def fan(polygons: DataFrame) -> DataFrame:

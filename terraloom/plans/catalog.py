@@ -919,3 +919,6 @@ def split_crossing_segments(spark, d):
 def local_time(spark, d):
     t = F.date_format(F.from_utc_timestamp(F.col("o_orderdate").cast("timestamp"), "+01:00"), "yyyy-MM-dd HH:mm:ss")
     return table(spark, d, "orders").select("o_orderkey", t.alias("local"))
+
+
+from . import catalog_more  # noqa: E402, F401  registers its queries
