@@ -173,6 +173,45 @@ def str_tiles(boxes: DataFrame, tiles: int) -> DataFrame:
     return sliced.join(rows, "_x").withColumn("tile", F.col("_x") * n + tile).drop("_x", "_c")
 
 
+def rect_tree(boxes: DataFrame, tiles: int) -> DataFrame:
+    """(level, node, parent, box, n): the levels of a sorted tree of rectangles over boxes (id, box), the root at level 0.
+
+    The lowest level are the tiles of str_tiles, four of which at most make a node of the level above.
+    """
+    import math
+
+    n = max(1, math.isqrt(tiles))
+    depth = max(0, (n - 1).bit_length())
+    envelope = [f(f"box.{c}").alias(c) for c, f in (("xmin", F.min), ("ymin", F.min), ("xmax", F.max), ("ymax", F.max))]
+    low = str_tiles(boxes, tiles).groupBy("tile").agg(F.struct(*envelope).alias("box"), F.count(F.lit(1)).alias("n"))
+    low = low.withColumn("x", F.floor(F.col("tile") / n).cast("int")).withColumn("y", (F.col("tile") % n).cast("int"))
+    at = F.explode(F.transform(F.sequence(F.lit(0), F.lit(depth)), lambda k: F.struct(k.alias("level"), *[F.floor(F.col(c) / F.pow(F.lit(2.0), depth - k)).cast("int").alias(c) for c in "xy"])))
+    nodes = low.select("box", "n", at.alias("at")).groupBy("at.level", "at.x", "at.y").agg(F.struct(*envelope).alias("box"), F.sum("n").alias("n"))
+    name = lambda level, x, y: F.concat_ws("-", level.cast("string"), x.cast("string"), y.cast("string"))
+    half = [F.shiftright(F.col(c), 1) for c in "xy"]
+    return nodes.select("level", name(F.col("level"), F.col("x"), F.col("y")).alias("node"), F.when(F.col("level") > 0, name(F.col("level") - 1, *half)).alias("parent"), "box", "n")
+
+
+def top_nodes_below(tree: DataFrame, area: float) -> DataFrame:
+    """The highest nodes of a tree whose boxes are smaller than an area: those of which no node above is."""
+    own = tree.withColumn("small", shapes.box_area(F.col("box")) < area)
+    above = own.select(F.col("node").alias("parent"), F.col("small").alias("above"))
+    # A box holds those below it, so small ones lie below large ones and it is enough to look one level up.
+    return own.join(above, "parent", "left").where("small and not coalesce(above, false)").select(*tree.columns)
+
+
+def beside(leaves: DataFrame, depth: int) -> DataFrame:
+    """(leaf, side, other): leaves of a quad tree that have a border in common, other on the side (E, W, N, S) of leaf."""
+    keyed = leaves.select("leaf").distinct().select("leaf", F.length("leaf").alias("level"), *_cell(F.col("leaf")))
+    steps = F.array(*[F.struct(F.lit(n).alias("side"), (F.col("cx") + dx).alias("x"), (F.col("cy") + dy).alias("y")) for n, dx, dy in (("E", 1, 0), ("W", -1, 0), ("N", 0, 1), ("S", 0, -1))])
+    wanted = keyed.select("leaf", "level", F.explode(steps).alias("c")).select("leaf", "level", "c.*")
+    up = wanted.select("leaf", "side", "level", "x", "y", F.explode(F.sequence(F.lit(0), F.col("level"))).alias("k"))
+    up = up.select("leaf", "side", (F.col("level") - F.col("k")).alias("level"), F.expr("shiftright(x, k)").alias("cx"), F.expr("shiftright(y, k)").alias("cy"))
+    larger = up.join(keyed.withColumnRenamed("leaf", "other"), ["level", "cx", "cy"]).select("leaf", "side", "other")
+    turned = F.translate("side", "EWNS", "WESN")
+    return larger.unionByName(larger.select(F.col("other").alias("leaf"), turned.alias("side"), F.col("leaf").alias("other"))).distinct()
+
+
 def split_long_edges(edges: DataFrame, longest: float) -> DataFrame:
     """(id, part, seg): every segment halved until no piece is longer."""
     d = F.hypot(F.col("seg.e.x") - F.col("seg.s.x"), F.col("seg.e.y") - F.col("seg.s.y"))

@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 
 from ..functions import shapes, vectors
 from ..functions.types import triangle
+from . import aggs, graph, grid, joins
 from .clip import contains
+from .scratch import Scratch
 
 Point = tuple[float, float]
 
@@ -461,6 +463,65 @@ def triangulate(points: DataFrame, keys: Sequence[str], edges: DataFrame | None
     return xy.groupBy(*keys).cogroup(edges.select(*[F.col(k).alias(k) for k in keys], "src", "dst").groupBy(*keys)).applyInPandas(made, schema)
 
 
+def loops_of(edges: Sequence[tuple[int, int]]) -> list[list[int]]:
+    """The closed loops of edges whose ends have two each; other edges are in none."""
+    around: dict[int, list[int]] = defaultdict(list)
+    for a, b in edges:
+        around[a].append(b)
+        around[b].append(a)
+    out, seen = [], set()
+    for start in sorted(around):
+        if start in seen or len(around[start]) != 2:
+            continue
+        loop, before, at = [start], start, around[start][0]
+        while at != start and len(around[at]) == 2 and at not in loop[1:]:
+            loop.append(at)
+            before, at = at, next(k for k in around[at] if k != before)
+        seen.update(loop)
+        if at == start and len(loop) > 2:
+            out.append(loop)
+    return out
+
+
+def refined(points: DataFrame, keys: Sequence[str], edges: DataFrame, min_angle: float | None = None, max_edge: float = math.inf, method: str = "lens") -> DataFrame:
+    """(keys, tri): refined triangles inside the loops that each group's edges (keys, src, dst) make of its points (keys, id, p)."""
+    import pandas as pd
+
+    kinds = dict(points.dtypes)
+    p = "struct<x:double,y:double>"
+
+    def made(frame: pd.DataFrame, lines: pd.DataFrame) -> pd.DataFrame:
+        at = {i: (x, y) for i, x, y in zip(frame["id"], frame["x"], frame["y"])}
+        loops = [[at[i] for i in loop] for loop in loops_of([(a, b) for a, b in zip(lines["src"], lines["dst"]) if a in at and b in at])]
+        pts, tris = refine([q for loop in loops for q in loop], loops, min_angle, max_edge, method=method) if loops else ([], [])
+        rows = [{f"p{k}": {"x": pts[i][0], "y": pts[i][1]} for k, i in enumerate(t)} for t in tris]
+        first = {k: (frame if len(frame) else lines)[k].iloc[0] for k in keys}
+        return pd.DataFrame({**{k: [v] * len(rows) for k, v in first.items()}, "tri": rows})
+
+    xy = points.where("p is not null").select(*keys, F.col("id").cast("long").alias("id"), F.col("p.x").alias("x"), F.col("p.y").alias("y"))
+    held = edges.select(*[F.col(k).alias(k) for k in keys], "src", "dst")
+    return xy.groupBy(*keys).cogroup(held.groupBy(*keys)).applyInPandas(made, "".join(f"{k} {kinds[k]}, " for k in keys) + f"tri struct<p0:{p},p1:{p},p2:{p}>")
+
+
+def mesh_flow(segments: DataFrame, cell: float, tolerance: float, longest: float = math.inf, min_angle: float | None = None, method: str = "lens") -> DataFrame:
+    """(part, tri): segments (id, seg) cut where they meet, joined at common points, those closer than the tolerance made one,
+    pieces longer than `longest` halved, and what closed loops of each connected part hold made into triangles."""
+    pieces = joins.split_segments(segments, cell).select(F.concat_ws("-", F.col("id").cast("string"), F.col("part").cast("string")).alias("id"), "seg")
+    scratch = Scratch(segments.sparkSession, "mesh")
+    if longest < math.inf:
+        pieces = grid.split_long_edges(pieces, longest).select("id", "seg")
+    points, edges = aggs.extract_topology(pieces)
+    points, edges = scratch.write(points.select(F.col("pid").alias("id"), "p"), "points"), scratch.write(edges, "edges")
+    close = scratch.write(aggs.find_duplicates(points, tolerance), "close")
+    own = scratch.write(aggs.remap_edges(edges, close, distinct=True), "own")
+    kept = scratch.write(points.join(close.where("id = keep").select("id"), "id", "left_semi"), "kept")
+    labels = graph.components(own.select(F.col("src").alias("a"), F.col("dst").alias("b")), scratch)
+    if labels is None:
+        return refined(kept.withColumn("part", F.col("id")), ["part"], own.withColumn("part", F.col("src")), min_angle, longest, method)
+    name = labels.withColumnRenamed("p", "part")
+    return refined(kept.join(name, F.col("id") == F.col("x")).select("part", "id", "p"), ["part"], own.join(name, F.col("src") == F.col("x")).select("part", "src", "dst"), min_angle, longest, method)
+
+
 def fan(polygons: DataFrame) -> DataFrame:
     """(id, tri) of convex rings (id, ring), from their first point."""
     r = F.col("ring")

@@ -14,8 +14,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import shapes
-from ..functions.types import POLYGON
+from ..functions.types import POLYGON, fresh
 from . import clip as clipper
+from . import joins
+from .graph import components
+from .scratch import Scratch
 
 
 def _rings(polygon) -> list:
@@ -51,13 +54,62 @@ def boolean(df: DataFrame, keys: Sequence[str], operation: str, polygon: str = "
     return held.groupBy(*keys).applyInPandas(run, "".join(f"{k} {kinds[k]}, " for k in keys) + f"polygon {POLYGON}")
 
 
+def touching(parts: DataFrame, keys: Sequence[str], cell: float) -> DataFrame:
+    """(a, b, a_polygon, b_polygon), a < b, of polygons (keys, id, polygon) with the same keys that touch; null keys are equal."""
+    held = parts.select(F.xxhash64(F.lit(0), *keys).alias("key"), "id", "polygon", shapes.extent(F.col("polygon.outline")).alias("box")).where("box is not null")
+    held = joins._with_cells(held, F.col("box"), cell, "c")
+    a, b = (held.select("key", "cx", "cy", *[F.col(c).alias(f"{side}_{c}") for c in ("id", "polygon", "box")]) for side in "ab")
+    home = [F.floor(F.greatest(f"a_box.{c}min", f"b_box.{c}min") / cell) == F.col(f"c{c}") for c in "xy"]
+    met = a.join(b, ["key", "cx", "cy"]).where((F.col("a_id") < F.col("b_id")) & home[0] & home[1] & shapes.box_collides(F.col("a_box"), F.col("b_box")))
+    return met.where(joins.polygons_touch(F.col("a_polygon"), F.col("b_polygon"))).select(F.col("a_id").alias("a"), F.col("b_id").alias("b"), "a_polygon", "b_polygon")
+
+
 def unite(df: DataFrame, keys: Sequence[str], polygon: str = "polygon", tile: float | None = None) -> DataFrame:
-    """The union of each group. With a tile size, polygons are first united by the tile of their lower left corner."""
-    if tile:
-        corner = shapes.extent(F.col(f"{polygon}.outline"))
-        tiled = df.withColumn("_tx", F.floor(corner["xmin"] / tile)).withColumn("_ty", F.floor(corner["ymin"] / tile))
-        df, polygon = boolean(tiled, [*keys, "_tx", "_ty"], "union", polygon), "polygon"
-    return boolean(df, keys, "union", polygon)
+    """The union of each group. With a tile size, polygons are first united by the tile of their lower left corner; then those
+    that touch others of their group, chain by chain. What touches nothing passes through, so a task holds a chain at most."""
+    if not tile:
+        return boolean(df, keys, "union", polygon)
+    scratch = Scratch(df.sparkSession, "unite")
+    corner = shapes.extent(F.col(f"{polygon}.outline"))
+    tx, ty, number, root = fresh(df, "tx", "ty", "id", "root")
+    tiled = boolean(df.withColumn(tx, F.floor(corner["xmin"] / tile)).withColumn(ty, F.floor(corner["ymin"] / tile)), [*keys, tx, ty], "union", polygon)
+    parts = scratch.write(tiled.select(*keys, "polygon", F.monotonically_increasing_id().alias(number)), "parts")
+    labels = components(touching(parts.withColumnRenamed(number, "id"), keys, tile), scratch)
+    if labels is None:
+        return parts.select(*keys, "polygon")
+    chained = parts.join(labels.select(F.col("x").alias(number), F.col("p").alias(root)), number, "left")
+    united = boolean(chained.where(F.col(root).isNotNull()), [*keys, root], "union").select(*keys, "polygon")
+    return united.unionByName(chained.where(F.col(root).isNull()).select(*keys, "polygon"))
+
+
+def shared_areas(df: DataFrame, prop: str, cell: float) -> DataFrame:
+    """(low, high, polygon): what polygons of two properties have in common, by pair of polygons; low < high are the properties."""
+    ids = Scratch(df.sparkSession, "shared").write(df.select(F.col(prop).alias("prop"), "polygon", F.monotonically_increasing_id().alias("id")), "polygons")
+    kind = dict(ids.dtypes)["prop"]
+    props = [ids.select(F.col("id").alias(c), F.col("prop").alias(f"{c}_prop")) for c in "ab"]
+    pairs = touching(ids, [], cell).join(props[0], "a").join(props[1], "b").where("a_prop <> b_prop")
+
+    def run(frames):
+        for frame in frames:
+            rows = [(low, high, _row(*p)) for low, high, a, b in zip(frame["low"], frame["high"], frame["a_polygon"], frame["b_polygon"]) for p in clipper.clip(_rings(a), _rings(b), "intersection")]
+            yield pd.DataFrame(rows, columns=["low", "high", "polygon"])
+
+    held = pairs.select(F.least("a_prop", "b_prop").alias("low"), F.greatest("a_prop", "b_prop").alias("high"), "a_polygon", "b_polygon")
+    return held.mapInPandas(run, f"low {kind}, high {kind}, polygon {POLYGON}")
+
+
+def smallest_property(df: DataFrame, prop: str, cell: float) -> DataFrame:
+    """df with every property replaced by the smallest of those whose polygons it touches, and so on; null ones stay."""
+    scratch = Scratch(df.sparkSession, "smallest")
+    ids = scratch.write(df.where(F.col(prop).isNotNull()).select(F.col(prop).alias("prop"), "polygon", F.monotonically_increasing_id().alias("id")), "polygons")
+    pairs = touching(ids, [], cell)
+    a, b = ids.select(F.col("id").alias("a"), F.col("prop").alias("x")), ids.select(F.col("id").alias("b"), F.col("prop").alias("y"))
+    edges = pairs.join(a, "a").join(b, "b").where("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    labels = components(edges, scratch, "properties")
+    if labels is None:
+        return df
+    (least,) = fresh(df, "least")
+    return df.join(labels.select(F.col("x").alias(prop), F.col("p").alias(least)), prop, "left").withColumn(prop, F.coalesce(least, prop)).select(*df.columns)
 
 
 def merge_by_property(df: DataFrame, prop: str, cell: float, min_area: float = 0.0, min_hole: float = 0.0, clean_first: bool = True) -> DataFrame:

@@ -12,7 +12,7 @@ from ..functions.types import box, box3, circle, point, point3, polygon, ring, s
 from ..operators import aggs, circuit, graph, grid, joins, mesh, polygons, series
 from ..operators.scratch import Scratch
 from ..sources import config, mesh_files, wkt
-from . import boolexpr
+from . import boolexpr, mapreduce
 from .catalog import BOXES, HOURS, events_points, part_boxes, query, r, table
 
 # Four points of every part, in Spark and in SQL.
@@ -396,6 +396,61 @@ def angle_shares(spark, d):
     return rep.where("share > 0").select("bin", r(F.col("share"), 6).alias("share"))
 
 
+@query("SELECT n_nationkey AS nation, 125.0 AS area, true AS short, true AS wide FROM nation")
+def mesh_flow(spark, d):
+    """For every nation two squares, one within the other but apart from it, one of whose sides is drawn twice."""
+    rows = []
+    for j, box_ in enumerate(((0, 0, 10, 10), (2, 2, 7, 7))):
+        x0, y0, x1, y1 = map(float, box_)
+        rows += [(4 * j + i, *s) for i, s in enumerate(((x0, y0, x1, y0), (x1, y0, x1, y1), (x1, y1, x0, y1), (x0, y1, x0, y0)))]
+    lines = spark.createDataFrame([*rows, (8, 0.0, 0.0, 10.0, 0.0)], "i int, x0 double, y0 double, x1 double, y1 double")
+    n = table(spark, d, "nation").select(F.col("n_nationkey").alias("k")).crossJoin(F.broadcast(lines))  # nine lines
+    s = n.select((F.col("k") * 100 + F.col("i")).alias("id"), segment(point(F.col("x0") + 20 * F.col("k"), "y0"), point(F.col("x1") + 20 * F.col("k"), "y1")).alias("seg"))
+    t = mesh.mesh_flow(s, 5.0, 1e-6, 4.0, 20.0, "ruppert")
+    tri, name = F.col("tri"), F.floor(F.col("tri.p0.x") / 20).cast("int").alias("nation")
+    least = F.degrees(F.array_min(vectors.interior_angles(tri["p0"], tri["p1"], tri["p2"])))
+    return t.groupBy(name).agg(r(F.sum(shapes.triangle_area(tri))).alias("area"), (F.max(F.array_max(shapes.triangle_edges(tri))) <= 4 + 1e-9).alias("short"), (F.min(least) >= 20 - 1e-6).alias("wide"))
+
+
+@query("SELECT count(*) AS objects, 3 AS levels, 21 AS nodes, true AS below, count(*) AS in_small FROM part")
+def rectangle_tree(spark, d):
+    """Levels of a sorted tree, and its highest nodes below an area: the lowest level's, if the area is just above theirs."""
+    t = Scratch(spark, "tree").write(grid.rect_tree(part_boxes(spark, d), 16), "nodes")
+    sizes = t.groupBy("level").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("nodes"))
+    area = t.where("level = 2").agg(F.max(shapes.box_area(F.col("box")))).first()[0]
+    small = grid.top_nodes_below(t, area * (1 + 1e-9))
+    whole = sizes.agg(F.max("n").alias("objects"), F.count(F.lit(1)).cast("int").alias("levels"), F.sum("nodes").cast("int").alias("nodes"))
+    return whole.crossJoin(small.agg((F.max(shapes.box_area(F.col("box"))) <= area).alias("below"), F.sum("n").alias("in_small")))  # one row each
+
+
+@query(f"WITH {TREE}, s AS (SELECT node, length(node) AS l, list_reduce(list_prepend(0, list_transform(string_split(node, ''), lambda c: CASE WHEN c IN ('1', '2') THEN 1 ELSE 0 END)), lambda a, b: 2 * a + b) AS x, list_reduce(list_prepend(0, list_transform(string_split(node, ''), lambda c: CASE WHEN c IN ('2', '3') THEN 1 ELSE 0 END)), lambda a, b: 2 * a + b) AS y FROM leaf), b AS (SELECT node, x / pow(2, l) AS x0, (x + 1) / pow(2, l) AS x1, y / pow(2, l) AS y0, (y + 1) / pow(2, l) AS y1 FROM s) SELECT a.node AS leaf, CASE WHEN a.x1 = o.x0 THEN 'E' WHEN a.x0 = o.x1 THEN 'W' WHEN a.y1 = o.y0 THEN 'N' ELSE 'S' END AS side, o.node AS other FROM b a JOIN b o ON a.node <> o.node AND ((a.x1 = o.x0 OR a.x0 = o.x1) AND a.y0 < o.y1 AND o.y0 < a.y1 OR (a.y1 = o.y0 OR a.y0 = o.y1) AND a.x0 < o.x1 AND o.x0 < a.x1)")
+def quad_tree_neighbours(spark, d):
+    t = grid.quad_tree(events_points(spark, d).select("id", "p"), (0.0, 0.0, 9000.0, 500.0), 50, 8)
+    return grid.beside(t, 8)
+
+
+@query("SELECT lang AS key, count(*) AS n, (SELECT count(*) FROM documents) AS rows, (SELECT count(*) FROM documents) * 2 AS pairs, (SELECT count(DISTINCT lang) + max((lang IS NULL)::INTEGER) + 1 FROM documents) AS keys FROM documents GROUP BY 1 UNION ALL SELECT 'all', count(*), count(*), count(*) * 2, (SELECT count(DISTINCT lang) + max((lang IS NULL)::INTEGER) + 1 FROM documents) FROM documents")
+def job_counters(spark, d):
+    docs = table(spark, d, "documents")
+    pairs = F.array(F.struct(F.col("lang").alias("key"), F.lit(1).alias("value")), F.struct(F.lit("all").alias("key"), F.lit(1).alias("value")))
+    out, done = mapreduce.run_job(docs, pairs, {"n": F.sum})
+    return out.select("key", "n", F.lit(done.rows).cast("long").alias("rows"), F.lit(done.pairs).cast("long").alias("pairs"), F.lit(done.keys).cast("long").alias("keys"))
+
+
+@query(f"WITH {BOXES}, c AS (SELECT *, id % 3 AS p FROM boxes) SELECT least(a.p, b.p)::INTEGER AS low, greatest(a.p, b.p)::INTEGER AS high, round(sum((least(a.xmax, b.xmax) - greatest(a.xmin, b.xmin)) * (least(a.ymax, b.ymax) - greatest(a.ymin, b.ymin))), 3) AS area FROM c a JOIN c b ON a.id < b.id AND a.p <> b.p AND a.xmin < b.xmax AND b.xmin < a.xmax AND a.ymin < b.ymax AND b.ymin < a.ymax GROUP BY 1, 2")
+def shared_areas(spark, d):
+    p = part_boxes(spark, d).select((F.col("id") % 3).cast("int").alias("p"), polygon(shapes.box_ring(F.col("box"))).alias("polygon"))
+    return polygons.shared_areas(p, "p", 5.0).groupBy("low", "high").agg(r(F.sum(shapes.polygon_area(F.col("polygon"))), 3).alias("area"))
+
+
+@query(f"""WITH RECURSIVE {BOXES}, c AS (SELECT *, (id % 40)::BIGINT AS p FROM boxes), e AS MATERIALIZED (SELECT DISTINCT a.p AS x, b.p AS y FROM c a JOIN c b ON a.p <> b.p AND a.xmin <= b.xmax AND b.xmin <= a.xmax AND a.ymin <= b.ymax AND b.ymin <= a.ymax),
+w AS (SELECT DISTINCT p AS x, p AS y FROM c UNION SELECT w.x, e.y FROM w JOIN e ON w.y = e.x) SELECT l.y AS p, count(*) AS n FROM c JOIN (SELECT x, min(y) AS y FROM w GROUP BY x) l ON c.p = l.x GROUP BY 1""")
+def smallest_properties(spark, d):
+    k = F.col("id") % 40
+    p = part_boxes(spark, d).select(k.cast("long").alias("p"), polygon(shapes.box_ring(F.col("box"))).alias("polygon"))
+    return polygons.smallest_property(p, "p", 5.0).groupBy("p").agg(F.count(F.lit(1)).alias("n"))
+
+
 # Numbers, texts, circuits.
 
 

@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
+from ..operators.scratch import Scratch
+
 
 def map_reduce(df: DataFrame, emit: Column, reduce: dict[str, Callable[[Column], Column]], key_order: bool = False) -> DataFrame:
     """key and one column an aggregate.
@@ -20,10 +23,33 @@ def map_reduce(df: DataFrame, emit: Column, reduce: dict[str, Callable[[Column],
     return out.orderBy("key") if key_order else out
 
 
+@dataclass(frozen=True)
+class Results:
+    """What a job did: rows mapped, pairs emitted, keys reduced, and its seconds."""
+
+    rows: int
+    pairs: int
+    keys: int
+    seconds: float
+
+
+def run_job(df: DataFrame, emit: Column, reduce: dict[str, Callable[[Column], Column]]) -> tuple[DataFrame, Results]:
+    """map_reduce run at once: its result, read from a written table, and counters that Spark takes along the way."""
+    import time
+
+    rows, pairs, keys = Observation(), Observation(), Observation()
+    start = time.monotonic()
+    seen = df.observe(rows, F.count(F.lit(1)).alias("n"))
+    emitted = seen.select(F.explode(emit).alias("p")).select("p.key", "p.value").observe(pairs, F.count(F.lit(1)).alias("n"))
+    out = emitted.groupBy("key").agg(*[f(F.col("value")).alias(n) for n, f in reduce.items()]).observe(keys, F.count(F.lit(1)).alias("n"))
+    held = Scratch(df.sparkSession, "job").write(out, "result")
+    return held, Results(rows.get["n"], pairs.get["n"], keys.get["n"], time.monotonic() - start)
+
+
 def map_reduce_python(df: DataFrame, mapper: Callable[[dict], Iterable[tuple]], reducer: Callable[[object, Iterator], Iterable[tuple]], kinds: tuple[str, str], out_schema: str, partitions: int | None = None) -> DataFrame:
     """The general form: mapper gives (key, value) pairs of a row, reducer rows of a key and its values.
 
-    kinds are the SQL types of key and value. Rows are dealt by key and sorted by it, and reducers see the keys of a
+    kinds are the SQL types of key and value; out_schema has plain types, so that no comma stands within one. Rows are dealt by key and sorted by it, and reducers see the keys of a
     partition in order and the values as a stream, so no key's values are held at once.
     """
     from itertools import groupby
@@ -45,9 +71,7 @@ def map_reduce_python(df: DataFrame, mapper: Callable[[dict], Iterable[tuple]],
                 held = []
         yield pd.DataFrame(held, columns=names)
 
-    from pyspark.sql import types as T
-
-    names = T._parse_datatype_string(out_schema).names
+    names = [c.strip().split()[0].strip("`") for c in out_schema.split(",")]
     pairs = df.mapInPandas(run_map, f"key {kinds[0]}, value {kinds[1]}")
     dealt = pairs.repartition(partitions, "key") if partitions else pairs.repartition("key")
     return dealt.sortWithinPartitions("key").mapInPandas(run_reduce, out_schema)
