@@ -262,18 +262,6 @@ def quad_keys(spark, d):
     return table(spark, d, "lineitem").groupBy(key.alias("key")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
-def quad_tree(spark, d):
-    """Leaves of a quadtree over events, with the number of objects in each."""
-    t = grid.quad_tree(events_points(spark, d).select("id", "p"), (0.0, 0.0, 9000.0, 500.0), 50, 8)
-    return t.groupBy("leaf").agg(F.count(F.lit(1)).alias("n"))
-
-
-@query()
-def str_tiles(spark, d):
-    return grid.str_tiles(part_boxes(spark, d), 16).groupBy("tile").agg(F.count(F.lit(1)).alias("n"))
-
-
 @query(
     f"""WITH {SEGMENTS}, l AS (SELECT id, sqrt((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1)) AS d FROM segs)
 SELECT id, CASE WHEN d > 100 THEN pow(2, ceil(log2(d / 100))) ELSE 1 END::BIGINT AS parts, round(d, 4) AS total FROM l"""
@@ -758,16 +746,6 @@ def mapreduce_python(spark, d):
     return mapreduce.map_reduce_python(o, lambda row: [(row["o_custkey"] % 10, row["o_orderkey"] % 7)], lambda k, vs: [(k, sum(vs))], ("long", "long"), "key long, total long")
 
 
-@query()
-def xor_hash(spark, d):
-    return table(spark, d, "orders").groupBy("o_orderstatus").agg(aggs.unordered_hash(F.col("o_orderkey")).alias("hash"))
-
-
-@query()
-def ordered_hash(spark, d):
-    return aggs.ordered_hash(table(spark, d, "conversations"), ["conv_id"], "turn", F.col("text"))
-
-
 @query("SELECT p_partkey, (p_size * 100000 + p_partkey % 100 * 1000 + p_partkey % 1000)::INTEGER AS packed, p_size || '.' || p_partkey % 100 || '.' || p_partkey % 1000 AS shown FROM part")
 def version_pack(spark, d):
     v = text.version_pack("p_size", F.col("p_partkey") % 100, F.col("p_partkey") % 1000)
@@ -909,7 +887,12 @@ def balanced_quad_tree(spark, d):
     return grid.leaf_centers(grid.balanced_leaves(t, 6), bounds).select("leaf", r(F.col("p.x")).alias("x"), r(F.col("p.y")).alias("y"))
 
 
-@query()
+@query(
+    f"""WITH {SEGMENTS}, o AS (SELECT a.id AS a_id, b.id AS b_id, (a.x2 - a.x1) * (b.y1 - a.y1) - (a.y2 - a.y1) * (b.x1 - a.x1) AS o1, (a.x2 - a.x1) * (b.y2 - a.y1) - (a.y2 - a.y1) * (b.x2 - a.x1) AS o2,
+(b.x2 - b.x1) * (a.y1 - b.y1) - (b.y2 - b.y1) * (a.x1 - b.x1) AS o3, (b.x2 - b.x1) * (a.y2 - b.y1) - (b.y2 - b.y1) * (a.x2 - b.x1) AS o4
+FROM segs a JOIN segs b ON a.id < b.id AND least(a.x1, a.x2) <= greatest(b.x1, b.x2) AND least(b.x1, b.x2) <= greatest(a.x1, a.x2) AND least(a.y1, a.y2) <= greatest(b.y1, b.y2) AND least(b.y1, b.y2) <= greatest(a.y1, a.y2)),
+p AS (SELECT a_id, b_id FROM o WHERE sign(o1) * sign(o2) < 0 AND sign(o3) * sign(o4) < 0), m AS (SELECT a_id AS id FROM p UNION ALL SELECT b_id FROM p) SELECT s.id, 1 + count(m.id) AS parts FROM segs s LEFT JOIN m ON s.id = m.id GROUP BY s.id"""
+)
 def split_crossing_segments(spark, d):
     """Consecutive events of every user, cut where they cross."""
     return joins.split_segments(user_segments(spark, d), 100.0).groupBy("id").agg(F.count(F.lit(1)).alias("parts"))

@@ -18,7 +18,10 @@ from .catalog import BOXES, HOURS, events_points, part_boxes, query, r, table
 # Four points of every part, in Spark and in SQL.
 PTS = """q AS (SELECT p_partkey AS id, p_size::DOUBLE AS ax, round(p_retailprice - 900, 3) AS ay, (p_partkey % 7)::DOUBLE AS bx, (p_partkey % 11)::DOUBLE AS b_y,
 20.0 + p_partkey % 13 AS cx, (p_partkey % 5)::DOUBLE AS cy, 3.0 + p_partkey % 3 AS ex, 31.0 + p_partkey % 4 AS ey FROM part)"""
-A, B, C, E = (F.col(n) for n in "abce")
+
+
+def corners() -> tuple:
+    return tuple(F.col(n) for n in "abce")
 
 
 def quads(spark, d) -> DataFrame:
@@ -41,10 +44,11 @@ round(ax * 2.5 / 4, 4) AS part_x, round(ay * 2.5 / 4, 4) AS part_y, round(-ax, 4
 round(CASE WHEN bx = 0 THEN 4503599627370496 ELSE 1 / bx END, 6) AS inv, round(1 / ax, 6) AS inv_x, round(ay)::BIGINT AS whole, round(ay, 1) AS tenths FROM q"""
 )
 def vector_arithmetic(spark, d):
-    unit, inverse = vectors.normalize(A), vectors.inverse(A)
+    pa, pb, _, _ = corners()
+    unit, inverse = vectors.normalize(pa), vectors.inverse(pa)
     return quads(spark, d).select(
-        "id", *xy(vectors.add(A, B), "sum"), *xy(vectors.sub(A, B), "diff"), *xy(vectors.mul(A, B), "prod"), *xy(vectors.div(vectors.scaled(A, 2.5), 4), "part"), *xy(vectors.neg(A), "back"), *xy(unit, "unit"),
-        r(vectors.safe_inv(B["x"]), 6).alias("inv"), r(inverse["x"], 6).alias("inv_x"), vectors.cast_point(A)["y"].alias("whole"), r(vectors.round_half_away(A["y"], 1), 1).alias("tenths"),
+        "id", *xy(vectors.add(pa, pb), "sum"), *xy(vectors.sub(pa, pb), "diff"), *xy(vectors.mul(pa, pb), "prod"), *xy(vectors.div(vectors.scaled(pa, 2.5), 4), "part"), *xy(vectors.neg(pa), "back"), *xy(unit, "unit"),
+        r(vectors.safe_inv(pb["x"]), 6).alias("inv"), r(inverse["x"], 6).alias("inv_x"), vectors.cast_point(pa)["y"].alias("whole"), r(vectors.round_half_away(pa["y"], 1), 1).alias("tenths"),
     )
 
 
@@ -68,10 +72,11 @@ round(sqrt(pow(CASE WHEN {MEET} THEN 0 ELSE least({_to_segment('ax', 'ay', 'cx',
 )
 def vector_products(spark, d):
     """The cross product in space, and distances of segments; those in space lie in planes three apart."""
-    a3, b3 = point3(A["x"], A["y"], 1.0), point3(B["x"], B["y"], 2.0)
+    pa, pb, pc, pe = corners()
+    a3, b3 = point3(pa["x"], pa["y"], 1.0), point3(pb["x"], pb["y"], 2.0)
     k = vectors.cross3(a3, b3)
-    low, high = segment(point3(A["x"], A["y"], 0.0), point3(B["x"], B["y"], 0.0)), segment(point3(C["x"], C["y"], 3.0), point3(E["x"], E["y"], 3.0))
-    return quads(spark, d).select("id", r(-k["z"]).alias("cross_z"), r(k["x"]).alias("cross_x"), r(vectors.segment_distance(segment(A, B), segment(C, E))).alias("apart"), r(vectors.segment_distance(low, high, 3)).alias("apart_3d"))
+    low, high = segment(point3(pa["x"], pa["y"], 0.0), point3(pb["x"], pb["y"], 0.0)), segment(point3(pc["x"], pc["y"], 3.0), point3(pe["x"], pe["y"], 3.0))
+    return quads(spark, d).select("id", r(-k["z"]).alias("cross_z"), r(k["x"]).alias("cross_x"), r(vectors.segment_distance(segment(pa, pb), segment(pc, pe))).alias("apart"), r(vectors.segment_distance(low, high, 3)).alias("apart_3d"))
 
 
 @query(
@@ -131,11 +136,12 @@ SELECT id, round(6 * pow(3 + id % 5, 2) * sin(pi() / 6), 4) AS inner_area, round
 CASE WHEN area > 1 THEN round(ac * ce * ea / (4 * area) / least(ac, ce, ea), 3) END AS ratio, round((3 + id % 5) / tan(pi() / 8), 4) AS foot FROM s"""
 )
 def circle_shapes(spark, d):
+    pa, pb, pc, pe = corners()
     c = circle(point(0.0, 0.0), 3 + F.col("id") % 5)
-    ratio = F.when(F.abs(shapes.orientation(A, C, E)) > 2, r(vectors.radius_edge_ratio(A, C, E), 3))
+    ratio = F.when(F.abs(shapes.orientation(pa, pc, pe)) > 2, r(vectors.radius_edge_ratio(pa, pc, pe), 3))
     touch = vectors.inscribed_circle(point(100.0, 0.0), point(0.0, 0.0), point(100.0, 100.0), 3 + F.col("id") % 5)
     return quads(spark, d).select(
-        "id", r(shapes.signed_area(vectors.inscribed_polygon(c, 12))).alias("inner_area"), r(shapes.signed_area(vectors.circumscribed_polygon(c, 12))).alias("outer_area"), vectors.circle_contains(c, B).alias("holds"),
+        "id", r(shapes.signed_area(vectors.inscribed_polygon(c, 12))).alias("inner_area"), r(shapes.signed_area(vectors.circumscribed_polygon(c, 12))).alias("outer_area"), vectors.circle_contains(c, pb).alias("holds"),
         ratio.alias("ratio"), r(touch["fs"]["x"]).alias("foot"),
     )
 
@@ -147,17 +153,18 @@ round(pow(greatest(0, greatest(5 - ax, ax - 20)), 2) + pow(greatest(0, greatest(
 round((ax + 2 * ay + 2 * 5 - 4) / 3, 4) AS over_plane, round(ay - b_y, 4) AS over_floor, CASE WHEN ay <= 3 THEN round(ax, 4) END AS cut FROM l"""
 )
 def lines_and_planes(spark, d):
-    line = vectors.line_by_points(C, E)
+    pa, pb, pc, pe = corners()
+    line = vectors.line_by_points(pc, pe)
     level = vectors.line_by_normal(point(0.0, 10.0), point(0.0, 2.0))
     plane = vectors.plane_by_normal(point3(1.0, 2.0, 2.0), point3(0.0, 1.0, 1.0))
-    floor = vectors.plane_by_points(point3(0.0, B["y"], 0.0), point3(0.0, B["y"], 1.0), point3(1.0, B["y"], 0.0))
-    post = segment(point3(A["x"], 0.0, 0.0), point3(A["x"], A["y"], 0.0))
+    floor = vectors.plane_by_points(point3(0.0, pb["y"], 0.0), point3(0.0, pb["y"], 1.0), point3(1.0, pb["y"], 0.0))
+    post = segment(point3(pa["x"], 0.0, 0.0), point3(pa["x"], pa["y"], 0.0))
     cut = shapes.segment_plane_intersection(post, vectors.plane_by_points(point3(0.0, 3.0001, 0.0), point3(0.0, 3.0001, 1.0), point3(1.0, 3.0001, 0.0)))
     return quads(spark, d).select(
-        "id", r(vectors.line_distance(line, A), 3).alias("to_line"), r(vectors.point_line_distance_sq(A, C, E), 3).alias("to_line_sq"), r(vectors.point_segment_distance_sq(A, C, E), 3).alias("to_part_sq"),
-        r(vectors.point_box_distance_sq(A, box(5.0, 6.0, 20.0, 30.0)), 3).alias("to_box_sq"), r(vectors.line_intersection(line, level)["x"], 6).alias("at_ten"),
-        r(vectors.plane_distance(point3(A["x"], A["y"], 5.0), plane)).alias("over_plane"), r(vectors.plane_distance(point3(A["x"], A["y"], 9.0), floor)).alias("over_floor"),
-        F.when(cut.isNull(), r(A["x"])).alias("cut"),
+        "id", r(vectors.line_distance(line, pa), 3).alias("to_line"), r(vectors.point_line_distance_sq(pa, pc, pe), 3).alias("to_line_sq"), r(vectors.point_segment_distance_sq(pa, pc, pe), 3).alias("to_part_sq"),
+        r(vectors.point_box_distance_sq(pa, box(5.0, 6.0, 20.0, 30.0)), 3).alias("to_box_sq"), r(vectors.line_intersection(line, level)["x"], 6).alias("at_ten"),
+        r(vectors.plane_distance(point3(pa["x"], pa["y"], 5.0), plane)).alias("over_plane"), r(vectors.plane_distance(point3(pa["x"], pa["y"], 9.0), floor)).alias("over_floor"),
+        F.when(cut.isNull(), r(pa["x"])).alias("cut"),
     )
 
 
@@ -166,12 +173,13 @@ def lines_and_planes(spark, d):
 round(10 * 2 * sqrt(pow(cx - bx, 2) + pow(cy - b_y, 2)) * sin(0.0375), 4) AS length, round(sqrt(pow(cx - bx, 2) + pow(cy - b_y, 2)), 4) AS mag, round(pi() / 2, 4) AS by_three FROM q"""
 )
 def arcs(spark, d):
-    a = vectors.arc(B, C, 0.75)
+    _, pb, pc, _ = corners()
+    a = vectors.arc(pb, pc, 0.75)
     line = vectors.arc_polyline(a, 10)
     length = F.aggregate(F.zip_with(F.slice(line, 1, 10), F.slice(line, 2, 10), lambda p, q: vectors.distance(p, q)), F.lit(0.0), lambda s, v: s + v)
     end = vectors.arc_end(a)
     h = math.sqrt(0.5)
-    three = vectors.arc_by_three_points(point(C["x"], 0.0), point(C["x"] * h, C["x"] * h), point(0.0, C["x"]))
+    three = vectors.arc_by_three_points(point(pc["x"], 0.0), point(pc["x"] * h, pc["x"] * h), point(0.0, pc["x"]))
     return quads(spark, d).select("id", *xy(end, "end"), r(length).alias("length"), r(vectors.arc_start_angle(a)["mag"]).alias("mag"), r(three["radian"]).alias("by_three"))
 
 
@@ -194,8 +202,9 @@ def quaternion_ways(spark, d):
 ax > 5 AND ax < 20 AS open, ax >= 5 AND ax <= 20 AS closed, ax > 5 AND ax <= 20 AS left_open, ax >= 5 AND ax < 20 AS right_open, bx - 3 < 0 AS negative, bx - 3 > 0 AS positive FROM q"""
 )
 def tolerant_comparisons(spark, d):
-    x, y = B["x"], B["y"]
-    kinds = [mathx.within(A["x"], 5.0, 20.0, k).alias(k) for k in ("open", "closed", "left_open", "right_open")]
+    pa, pb, _, _ = corners()
+    x, y = pb["x"], pb["y"]
+    kinds = [mathx.within(pa["x"], 5.0, 20.0, k).alias(k) for k in ("open", "closed", "left_open", "right_open")]
     both = [f(x, y, 1.0).alias(n) for n, f in (("equal", mathx.eq), ("unequal", mathx.ne), ("at_least", mathx.ge), ("at_most", mathx.le), ("over", mathx.gt), ("under", mathx.lt))]
     return quads(spark, d).select("id", *both, *kinds, mathx.is_negative(x - 3).alias("negative"), mathx.is_positive(x - 3).alias("positive"))
 
@@ -209,11 +218,12 @@ k <= 0 AS in_circle, k < 0 AS strictly, sign(8 - x - y)::INTEGER AS side, sign(-
 )
 def point_in_triangle(spark, d):
     """Where points lie to a triangle, its sides and its circle, plainly and by exact signs."""
+    _, pb, _, _ = corners()
     p0, p1, p2 = point(0.0, 0.0), point(8.0, 0.0), point(0.0, 8.0)
     rows = quads(spark, d).select("id", "b", p0.alias("p0"), p1.alias("p1"), p2.alias("p2"))
     rows = robust.sign(robust.sign(rows, "orient2d", ["p1", "p2", "b"], "side"), "in_circle", ["p0", "p1", "p2", "b"], "exact_circle")
     return rows.select(
-        "id", shapes.point_triangle_location(B, triangle(p0, p1, p2)).cast("int").alias("at"), shapes.in_circumcircle(p0, p1, p2, B).alias("in_circle"), shapes.in_circumcircle(p0, p1, p2, B, False).alias("strictly"),
+        "id", shapes.point_triangle_location(pb, triangle(p0, p1, p2)).cast("int").alias("at"), shapes.in_circumcircle(p0, p1, p2, pb).alias("in_circle"), shapes.in_circumcircle(p0, p1, p2, pb, False).alias("strictly"),
         F.col("side").cast("int").alias("side"), F.col("exact_circle").cast("int").alias("exact_circle"),
     )
 
@@ -223,8 +233,9 @@ def point_in_triangle(spark, d):
 SELECT id, round(cx + (ex - cx) * o1 / (o1 - o2), 3) AS x, round(cy + (ey - cy) * o1 / (o1 - o2), 3) AS y FROM m WHERE o1 * o2 < 0 AND o3 * o4 < 0"""
 )
 def segment_meetings(spark, d):
-    at = F.get(shapes.segment_intersection(segment(A, B), segment(C, E)), F.lit(0))
-    return quads(spark, d).where(shapes.segments_cross(A, B, C, E)).select("id", *[r(at[c], 3).alias(c) for c in "xy"])
+    pa, pb, pc, pe = corners()
+    at = F.get(shapes.segment_intersection(segment(pa, pb), segment(pc, pe)), F.lit(0))
+    return quads(spark, d).where(shapes.segments_cross(pa, pb, pc, pe)).select("id", *[r(at[c], 3).alias(c) for c in "xy"])
 
 
 @query("SELECT '((a_[999] & b) ^ ((c & d) | (a & b)))' AS printed, 'Unexpected end of content. expecting \")\" line 1' AS said, count(*) FILTER (p_size > 10 AND p_size < 30 AND p_partkey % 2 = 0) AS every, count(*) FILTER (p_size > 45 OR p_size < 5 OR p_partkey % 10 = 0) AS some FROM part")
@@ -291,13 +302,14 @@ leaf AS (SELECT node, n FROM n x WHERE (n <= 50 OR l = 8) AND (l = 0 OR (SELECT
 
 
 @query(f"WITH {TREE} SELECT node AS leaf, n FROM leaf")
-def quad_tree_leaves(spark, d):
+def quad_tree(spark, d):
+    """Leaves of a quadtree over events, with the number of objects in each."""
     t = grid.quad_tree(events_points(spark, d).select("id", "p"), (0.0, 0.0, 9000.0, 500.0), 50, 8)
     return t.groupBy("leaf").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("SELECT count(*) AS objects, 16 AS tiles, true AS even FROM part")
-def tiles_are_even(spark, d):
+def str_tiles(spark, d):
     """Tiles of a sorted tree: every object is in one, and none has half more or less than its share."""
     t = grid.str_tiles(part_boxes(spark, d), 16).groupBy("tile").agg(F.count(F.lit(1)).alias("n"))
     return t.agg(F.sum("n").alias("objects"), F.count(F.lit(1)).cast("int").alias("tiles"), ((F.max("n") * 16 < 1.5 * F.sum("n")) & (F.min("n") * 16 > 0.5 * F.sum("n"))).alias("even"))

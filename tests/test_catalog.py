@@ -21,3 +21,12 @@ def test_entry(spark):
 
     assert e.entry(spark).count() > 0
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_entry_is_imported_without_a_session():
+    import subprocess
+    import sys
+
+    here = __file__.rsplit("/", 2)[0]
+    found = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()))"], cwd=here, capture_output=True, text=True, timeout=120)
+    assert found.returncode == 0 and int(found.stdout) > 100, found.stderr
