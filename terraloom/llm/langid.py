@@ -17,7 +17,10 @@ UNKNOWN = "und"
 PROFILE = 300
 #: Profiles are counted on about so many labelled documents of each language at most; all of them where there are fewer.
 DOCS_PER_LANGUAGE = 2000
+#: Counts of so many labels may be broadcast.
+BROADCAST_LABELS = 100_000
 _BITS = 21  # of a code point
+_MARK = 1  # not a letter, and not 0, so that a mark and a letter are no letter alone
 _letters: list[np.ndarray] = []
 
 
@@ -34,12 +37,12 @@ def grams(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     letter = letters()[codes]
     if not letter.any():
         return np.empty(0, np.int64), np.empty(0, np.int64)
-    s = np.zeros(len(codes) + 2, np.int64)
-    s[1:-1] = np.where(letter, codes, 0)
-    s = s[np.append(True, (s[1:] != 0) | (s[:-1] != 0))]  # one mark between words
+    s = np.full(len(codes) + 2, _MARK, np.int64)
+    s[1:-1] = np.where(letter, codes, _MARK)
+    s = s[np.append(True, (s[1:] != _MARK) | (s[:-1] != _MARK))]  # one mark between words
     two = (s[:-1] << _BITS) | s[1:]
     three = (two[:-1] << _BITS) | s[2:]
-    keys = np.concatenate([s[s != 0], two, three[s[1:-1] != 0]])
+    keys = np.concatenate([s[s != _MARK], two, three[s[1:-1] != _MARK]])
     return np.unique(keys, return_counts=True)
 
 
@@ -94,15 +97,12 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     """
     spark = labelled.sparkSession
     rows = labelled.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("lang is not null and text is not null")
-    shares = {r["lang"]: docs_per_language / r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if not shares:
+    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    known = counts.count()
+    if not known:
         return Profiles([], {}, size)
-    share = F.lit(1.0)
-    for name, part in shares.items():
-        if part < 1:
-            share = F.when(F.col("lang") == name, F.lit(part)).otherwise(share)
     chance = F.pmod(F.xxhash64(F.coalesce("id", F.lit(""))), F.lit(1_000_003)) / F.lit(1_000_003.0)
-    taken = rows.where(chance < share).select("text", "lang")
+    taken = rows.join(F.broadcast(counts) if known <= BROADCAST_LABELS else counts.hint("merge"), "lang").where(chance < F.lit(float(docs_per_language)) / F.col("n")).select("text", "lang")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals: dict[str, Counter] = {}

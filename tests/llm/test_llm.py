@@ -199,6 +199,29 @@ def test_bpe_chunks_agree_with_the_library():
         assert ids.tolist() == b.whole.encode_ordinary(t) and b.decode(ids) == t.encode()
 
 
+def digests(ids):
+    return hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
+
+
+def test_bpe_query_against_the_library(spark, data, texts):
+    b = bpe.ByteBPE(bpe.rank_path())
+    got = {r.doc_id: r for r in bpe.op3_byte_bpe(spark, data).collect()}
+    assert set(got) == set(texts)
+    for i, t in texts.items():
+        ids = b.whole.encode_ordinary(t or "")
+        assert (got[i].n_tokens, got[i].ids_sha256, got[i].decoded_sha256) == (len(ids), digests(ids), hashlib.sha256((t or "").encode()).hexdigest())
+
+
+def test_bpe_long_texts_by_rows(spark, texts):
+    """Texts of many chunks, with runs longer than an overlap, repeated ids and texts."""
+    b = bpe.ByteBPE(bpe.rank_path())
+    own = [t for t in texts.values() if t]
+    rows = [(1, " ".join(own)[:40_000]), (1, " ".join(own)[:40_000]), (1, "x" * 3000 + " end " + "y1 " * 2000), (None, " \n" * 4000), (2, "short"), (3, None), (4, "漢字'll 😀 " * 900), (5, "a" * 999 + "\ud800" if False else "é" * 2100)]
+    got = bpe.encode_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), chunk=1000, overlap=40).collect()
+    want = sorted((str(i), b.whole.encode_ordinary(t or "")) for i, t in rows)
+    assert sorted((str(r.doc_id), list(r.ids)) for r in got) == want and all(bytes(r.decoded) == b.decode(np.array(r.ids, np.uint32)) and r.n_tokens == len(r.ids) for r in got)
+
+
 def test_bpe_odd_rows(spark, odd):
     got = bpe.encode_documents(odd).collect()
     assert len(got) == len(ODD)
@@ -234,6 +257,37 @@ def test_packing_holds_every_token_once(spark, odd, texts):
     assert packing.pack(df.where("false")).count() == 0
 
 
+def test_packing_query_against_the_library(spark, data, texts):
+    """Every piece of every document of the table, and no more sequences than plain best fit decreasing, piece by piece."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    want, lengths = set(), []
+    for i, text in texts.items():
+        ids = np.array([*t.encode(text or "", add_special_tokens=False).ids, 0], "<u4")
+        first = (len(ids) - 1) % 2048 + 1
+        cuts = [0, *range(first, len(ids) + 1, 2048)]
+        for k, (a, b) in enumerate(zip(cuts, cuts[1:])):
+            want.add((i, k, a, b - a, zlib.crc32(ids[a:b].tobytes())))
+            lengths.append(b - a)
+    got = packing.op6_best_fit_packing(spark, data).collect()
+    assert {(r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in got} == want and len(got) == len(want)
+    free: list[int] = []
+    for n in sorted(lengths, reverse=True):
+        fits = [(f, k) for k, f in enumerate(free) if f >= n]
+        if fits:
+            free[min(fits)[1]] -= n
+        else:
+            free.append(2048 - n)
+    sequences = collections.defaultdict(list)
+    for r in got:
+        sequences[r.sequence_id].append((r.offset, r.length))
+    assert len(sequences) <= len(free)
+    for own in sequences.values():
+        assert [o for o, _ in sorted(own)] == np.cumsum([0, *(n for _, n in sorted(own))])[:-1].tolist() and sum(n for _, n in own) <= 2048
+
+
 def held(patterns):
     out = collections.Counter()
     for copies, pattern in patterns:
@@ -550,6 +604,40 @@ def test_languages(spark, odd):
     assert all(r.lang_pred == "und" for r in langid.identify(odd, langid.fit(odd.where("false"))).collect())
 
 
+def test_languages_against_plain_code(spark, data):
+    """Profiles and out-of-place distances by counters and loops, on the whole small table."""
+    docs = duckdb.sql(f"SELECT doc_id, text, lang FROM '{data}/documents.parquet'").fetchall()
+
+    def grams(text):
+        out = collections.Counter()
+        for word in re.findall(r"[^\W\d_]+", (text or "").lower()):
+            w = "\1" + word + "\1"
+            out.update(word)
+            out.update(w[k : k + 2] for k in range(len(w) - 1))
+            out.update(w[k : k + 3] for k in range(len(w) - 2))
+        return out
+
+    def ranks(counts):
+        code = lambda g: sum(ord(c) << 21 * (len(g) - 1 - k) for k, c in enumerate(g))  # noqa: E731  ties go by the packed code points
+        return [g for g, _ in sorted(counts.items(), key=lambda x: (-x[1], code(x[0])))[:300]]
+
+    held = {i: zlib.crc32(str(i).encode()) % 5 == 0 for i, *_ in docs}
+    totals = collections.defaultdict(collections.Counter)
+    for i, t, lang in docs:
+        if lang is not None and t is not None and not held[i]:
+            totals[lang] += grams(t)
+    profiles = {lang: {g: k for k, g in enumerate(ranks(c))} for lang, c in sorted(totals.items())}
+    got = {r.doc_id: r for r in langid.op8_rank_order_langid(spark, data).collect()}
+    for i, t, _ in docs:
+        own = ranks(grams(t))
+        apart = {lang: sum(abs(p[g] - k) if g in p else 300 for k, g in enumerate(own)) for lang, p in profiles.items()}
+        best = min(apart, key=lambda x: (apart[x], x)) if own else "und"
+        assert got[i].lang_pred == best and got[i].held_out == held[i]
+        if own:
+            rest = min(v for lang, v in apart.items() if lang != best)
+            assert got[i].score == pytest.approx(1 - apart[best] / rest if rest else 0.0)
+
+
 def test_shards(spark, odd):
     n = 4000
     df = spark.range(n).select(F.col("id").alias("doc_id")).withColumn("shard", F.lit("old")).withColumn("_n", F.lit(1)).withColumn("_part", F.lit(1))
@@ -561,6 +649,9 @@ def test_shards(spark, odd):
     assert all(r.grown_shard in (r.shard, 3) for r in rows) and {r["_n"] for r in rows} == {1}
     more = {r.doc_id: r.shard for r in sharding.shard_rows(df, weights=(1.0, 1.0, 2.0, 1.0)).collect()}
     assert all(more[r.doc_id] == r.grown_shard for r in rows)
+    for bad in ((1.0, 0.0), (-1.0,), (), (float("inf"),)):
+        with pytest.raises(ValueError):
+            sharding.shard_rows(df, weights=bad)
     assert sharding.shard_rows(odd).count() == len(ODD) and sharding.shard_rows(odd.where("false")).count() == 0
 
 
