@@ -28,7 +28,9 @@ def best_shard(key: Column, weights: Sequence[float], first: int = 0) -> Column:
     share = F.array(*[F.lit(float(w)) for w in weights])
     text = F.coalesce(key.cast("string"), F.lit(""))
     numbers = F.sequence(F.lit(first), F.lit(first + len(weights) - 1))
-    return F.array_min(F.transform(numbers, lambda s: F.struct((-F.log(draw(text, s)) / F.element_at(share, s - first + 1)).alias("score"), s.alias("shard"))))
+    none = F.struct(F.lit(float("inf")).alias("score"), F.lit(first + len(weights)).alias("shard"))
+    # One draw at a time, so that a row never holds an array of them.
+    return F.aggregate(numbers, none, lambda best, s: F.least(best, F.struct((-F.log(draw(text, s)) / F.element_at(share, s - first + 1)).alias("score"), s.alias("shard"))))
 
 
 def shard_rows(df: DataFrame, key: str = "doc_id", weights: Sequence[float] = (1.0,) * SHARDS, grown_weight: float = 1.0, parts: int = 2) -> DataFrame:
@@ -39,7 +41,10 @@ def shard_rows(df: DataFrame, key: str = "doc_id", weights: Sequence[float] = (1
     counted within 16 ** parts pieces of each shard and moved up by the sizes of the pieces before, so no task sees a
     whole shard. Rows with the same key (a hot key too) go to the same shard and get slots in any order; a null key counts
     as an empty one; an empty table gives no rows. Other columns are kept; those named shard, slot or grown_shard give way.
+    Weights are finite and above 0; others raise.
     """
+    if not weights or not all(0 < w < float("inf") for w in (*weights, grown_weight)):
+        raise ValueError("weights must be finite and above 0, and there must be one")
     df = df.drop("shard", "slot", "grown_shard")
     best, part, first, count = fresh(df, "_best", "_part", "_first", "_n")
     text = F.coalesce(F.col(key).cast("string"), F.lit(""))
