@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -168,3 +169,23 @@ def jet(scalar) -> Column:
 def grey(scalar) -> Column:
     v = F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), num(scalar))) * 255).cast("int")
     return F.struct(v.alias("r"), v.alias("g"), v.alias("b"))
+
+
+def type_name(value) -> Column:
+    """The name of a value's type."""
+    return F.typeof(col(value))
+
+
+def parse(value, parser, kind: str) -> Column:
+    """What a Python function makes of a text, as a SQL type; NULL where it raises ValueError."""
+    @F.pandas_udf(kind)
+    def run(texts: pd.Series) -> pd.Series:
+        def one(s):
+            try:
+                return None if s is None else parser(s)
+            except ValueError:
+                return None
+
+        return pd.Series([one(s) for s in texts], dtype=object)
+
+    return run(col(value))

@@ -84,3 +84,18 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
         taken.add(name.lower())
         out.append(name)
     return out
+
+
+def is_kind(df: DataFrame, column: str, kind: str) -> bool:
+    """Whether a column holds geometry of a kind, by its type: the fields and their order; numbers of any width count as coordinates."""
+    held = df.select(column).schema[0].dataType.simpleString()
+    for number in ("float", "int", "bigint", "smallint", "tinyint"):
+        held = held.replace(f":{number}", ":double")
+    return held == KINDS[kind].replace(" ", "")
+
+
+#: The types of geometry by name.
+KINDS = {
+    "point": POINT, "point3": POINT3, "box": BOX, "box3": BOX3, "ring": RING, "polygon": POLYGON, "segment": f"struct<s:{POINT},e:{POINT}>", "segment3": f"struct<s:{POINT3},e:{POINT3}>",
+    "triangle": f"struct<p0:{POINT},p1:{POINT},p2:{POINT}>", "triangle3": f"struct<p0:{POINT3},p1:{POINT3},p2:{POINT3}>", "circle": f"struct<o:{POINT},r:double>", "ellipse": f"struct<o:{POINT},a:double,b:double>",
+}

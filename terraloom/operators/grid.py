@@ -200,6 +200,17 @@ def top_nodes_below(tree: DataFrame, area: float) -> DataFrame:
     return own.join(above, "parent", "left").where("small and not coalesce(above, false)").select(*tree.columns)
 
 
+def tree_cost(tree: DataFrame, traversal: float = 1.0) -> DataFrame:
+    """(cost): what a look into a tree of rectangles is expected to cost: half of the borders of inner nodes, times `traversal`, and
+    of leaves, times their objects, over that of the root."""
+    b = F.col("box")
+    half = shapes.box_length(b) + shapes.box_width(b)
+    deepest = tree.agg(F.max("level").alias("deepest"))
+    own = tree.crossJoin(F.broadcast(deepest))  # one row
+    part = F.sum(F.when(F.col("level") == F.col("deepest"), half * F.col("n")).otherwise(traversal * half))
+    return own.agg((part / F.max(F.when(F.col("level") == 0, half))).alias("cost"))
+
+
 def beside(leaves: DataFrame, depth: int) -> DataFrame:
     """(leaf, side, other): leaves of a quad tree that have a border in common, other on the side (E, W, N, S) of leaf."""
     keyed = leaves.select("leaf").distinct().select("leaf", F.length("leaf").alias("level"), *_cell(F.col("leaf")))

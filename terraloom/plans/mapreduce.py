@@ -46,6 +46,64 @@ def run_job(df: DataFrame, emit: Column, reduce: dict[str, Callable[[Column], Co
     return held, Results(rows.get["n"], pairs.get["n"], keys.get["n"], time.monotonic() - start)
 
 
+class Timers:
+    """Seconds and counts by group, of work on the driver and in tasks alike: accumulators that Spark adds up."""
+
+    def __init__(self, spark, groups: Iterable[str]):
+        sc = spark.sparkContext
+        self.held = {g: (sc.accumulator(0.0), sc.accumulator(0)) for g in groups}
+
+    def timed(self, group: str):
+        """A context; in tasks too, where it is sent along."""
+        from contextlib import contextmanager
+        from time import monotonic
+
+        seconds, count = self.held[group]
+
+        @contextmanager
+        def run():
+            start = monotonic()
+            try:
+                yield
+            finally:
+                seconds.add(monotonic() - start)
+                count.add(1)
+
+        return run()
+
+    def count(self, group: str) -> tuple[float, int]:
+        return self.held[group][0].value, self.held[group][1].value
+
+
+def write_parts(df: DataFrame, line: Column, path: str, name: str, parts: int, keys: tuple[str, ...] = ()) -> None:
+    """The lines of each of so many parts as one text file, path/<name><i>_of_<parts>, rows dealt by the keys. For a path that all
+    nodes see; a part is written whole under another name first, so that one that runs again leaves one file."""
+    import os
+
+    dealt = df.select(line.alias("line"), *[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)])
+    dealt = dealt.repartition(parts, *[f"k{i}" for i in range(len(keys))]) if keys else dealt.repartition(parts)
+
+    def run(frames):
+        import pandas as pd
+        from pyspark import TaskContext
+
+        context = TaskContext.get()
+        i = context.partitionId()
+        os.makedirs(path, exist_ok=True)
+        target = os.path.join(path, f"{name}{i}_of_{parts}")
+        part = f"{target}.{context.taskAttemptId()}"
+        n = 0
+        with open(part, "w") as f:
+            for frame in frames:
+                n += len(frame)
+                f.writelines(f"{s}\n" for s in frame["line"])
+        os.replace(part, target)
+        yield pd.DataFrame({"part": [i], "n": [n]})
+
+    # Adaptive merging of partitions would leave fewer parts than asked for; a repartition to a number is not merged.
+    dealt.mapInPandas(run, "part int, n long").write.format("noop").mode("overwrite").save()
+
+
 def map_reduce_python(df: DataFrame, mapper: Callable[[dict], Iterable[tuple]], reducer: Callable[[object, Iterator], Iterable[tuple]], kinds: tuple[str, str], out_schema: str, partitions: int | None = None) -> DataFrame:
     """The general form: mapper gives (key, value) pairs of a row, reducer rows of a key and its values.
 

@@ -134,7 +134,7 @@ class MeshSource(DataSource):
         return _Reader(self.options["path"], self.options.get("kind", "node"))
 
     def writer(self, schema, overwrite: bool) -> DataSourceWriter:
-        return _Writer(self.options["path"])
+        return _Writer(self.options["path"], self.options.get("kind", "node"))
 
 
 class _Reader(DataSourceReader):
@@ -154,24 +154,53 @@ class _Reader(DataSourceReader):
                 yield partition.value, table, i, values
 
 
+def ele_text(cells: list[tuple[int, ...]]) -> str:
+    corners = len(cells[0]) if cells else 3
+    return "\n".join([f"{len(cells)} {corners} 0", *(" ".join(map(str, [i, *c])) for i, c in enumerate(cells))]) + "\n"
+
+
 class _Writer(DataSourceWriter):
-    """Rows (file, table, id, values) of nodes: a .node file a partition."""
+    """Rows (file, table, id, values): a file of the kind for every partition, of the rows whose table it holds. A .poly and a .vtk file
+    take node and facet rows; the others the rows of their own table."""
 
-    def __init__(self, path: str):
-        self.path = path
+    def __init__(self, path: str, kind: str):
+        if kind not in ("node", "edge", "ele", "poly", "vtk"):
+            raise ValueError(f"no files of the kind {kind}")
+        self.path, self.kind = path, kind
 
     def write(self, iterator) -> WriterCommitMessage:
         import os
         import uuid
 
-        points = [tuple(row[3]) for row in iterator]
-        if points:
+        rows = sorted((row[1], row[2], tuple(row[3])) for row in iterator)
+        of = lambda table: [v for t, _, v in rows if t == table]
+        whole = lambda table: [tuple(map(int, v)) for v in of(table)]
+        if self.kind in ("poly", "vtk"):
+            facets = [list(f) for f in whole("facet")]
+            text = poly_text(of("node"), [[f] for f in facets], of("hole")) if self.kind == "poly" else vtk_text(of("node"), facets)
+        else:
+            text = {"node": lambda: node_text(of("node")), "edge": lambda: edge_text(whole("edge")), "ele": lambda: ele_text(whole("ele"))}[self.kind]()
+        if rows:
             os.makedirs(self.path, exist_ok=True)
-            with open(os.path.join(self.path, f"part-{uuid.uuid4().hex}.node"), "w") as f:
-                f.write(node_text(points))
+            with open(os.path.join(self.path, f"part-{uuid.uuid4().hex}.{self.kind}"), "w") as f:
+                f.write(text)
         return WriterCommitMessage()
 
 
+def tree_dot(edges: list[tuple[int, int]]) -> str:
+    """A tree (parent, child) in the DOT language."""
+    return "\n".join(["digraph tree {", *(f"  {a} -> {b};" for a, b in edges), "}"]) + "\n"
+
+
+def boxes_vtk(boxes: list[tuple[float, float, float, float, float, float]]) -> str:
+    """Boxes (xmin, ymin, zmin, xmax, ymax, zmax) as cells of eight corners."""
+    points, cells = [], []
+    for x0, y0, z0, x1, y1, z1 in boxes:
+        cells.append(list(range(len(points), len(points) + 8)))
+        points += [(x, y, z) for z in (z0, z1) for x, y in ((x0, y0), (x1, y0), (x1, y1), (x0, y1))]
+    return vtk_text(points, cells, 12)
+
+
 def write_vtk(polygons: DataFrame, ring: str, path: str, most: int = 1_000_000) -> int:
     """All rings of a small result as one file on the driver; returns how many there were. More than `most` raise."""
     rows = polygons.select(ring).limit(most + 1).collect()
