@@ -291,7 +291,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     labels = components(edges, scratch) if edges is not None else None
     named = nodes.select("node", "id", "th", "k1", "k2")
     named = named.join(labels.withColumnRenamed("x", "node"), "node", "left").withColumn("root", F.coalesce("p", "node")) if labels is not None else named.withColumn("root", F.col("node"))
-    low = named.groupBy("root").agg(F.min(F.struct("id", "th")).alias("low"))
+    low = scratch.write(named.groupBy("root").agg(F.min(F.struct("id", "th")).alias("low")), "low")
     named = scratch.write(named.join(low, "root").select("k1", "k2", F.col("low.id").alias("component"), F.col("low.th").alias("first")), "named")
     members = full.select("id", "th", "n", "k1", "k2").join(named, ["k1", "k2"]).select("id", "th", "n", "component", "first")
     alone = signed.where("n = 0 or id is null").select("id", "th", "n", F.col("id").alias("component"), F.col("th").alias("first"))
@@ -329,7 +329,8 @@ def _links(docs: DataFrame, nodes: DataFrame, scratch: Scratch, words: int, perc
     facts = nodes.select("id", "n", "sketch")
     # The text of a node is that of the row it was named after.
     texts_of = scratch.write(places.join(near.withColumnRenamed("id", "nid"), "nid", "left_semi"), "places")
-    wanted = docs.join(texts_of, ["id", "th"]).dropDuplicates(["id", "th"]).select(F.col("nid").alias("id"), "text")
+    # The places grow with the table, so they are not to be broadcast, however few there are now.
+    wanted = docs.join(texts_of.hint("merge"), ["id", "th"]).dropDuplicates(["id", "th"]).select(F.col("nid").alias("id"), "text")
     sets = scratch.write(full_sets(wanted, words), "sets")
     place = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
 
