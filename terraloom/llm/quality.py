@@ -26,7 +26,7 @@ BAD_SHARE = 0.25
 LEVEL = 3
 #: Fences are so many times the distance of the quartiles beyond them, and at least LEAST (of the log ratio) off the median.
 FENCE = 3.0
-LEAST = log(1.3)
+LEAST = log(1.05)
 #: A length class with fewer pieces takes the fences of the nearest class that has them.
 PIECES = 50
 #: Width of the bins in which log ratios are counted.
