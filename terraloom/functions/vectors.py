@@ -327,16 +327,22 @@ def arc_start_angle(a: Column) -> Column:
 
 
 def arc_polyline(a: Column, div: int) -> Column:
-    first = arc_start_angle(a)
-    return _around(a["o"], first["mag"], first["mag"], div, first["alpha"], a["radian"], closed=True)
+    return let(F.struct(a.alias("a"), arc_start_angle(a).alias("first")), lambda m: _around(m["a"]["o"], m["first"]["mag"], m["first"]["mag"], div, m["first"]["alpha"], m["a"]["radian"], closed=True))
 
 
 def arc_by_three_points(s: Column, m: Column, e: Column) -> Column:
     """The arc from s over m to e; positive radians turn left."""
-    o = circumcircle(s, m, e)["o"]
-    turn = angle_between(sub(s, o), sub(e, o))
-    left = cross(sub(m, s), sub(e, s)) < 0
-    return arc(o, s, F.when(left, turn - 2 * math.pi).otherwise(turn))
+
+    def turned(v: Column) -> Column:
+        left = cross(sub(v["m"], v["s"]), sub(v["e"], v["s"])) < 0
+        return arc(v["o"], v["s"], F.when(left, v["turn"] - 2 * math.pi).otherwise(v["turn"]))
+
+    def around(v: Column) -> Column:
+        return F.struct(*[v[c].alias(c) for c in ("s", "m", "e", "o")], angle_between(sub(v["s"], v["o"]), sub(v["e"], v["o"])).alias("turn"))
+
+    points = F.struct(s.alias("s"), m.alias("m"), e.alias("e"))
+    found = let(points, lambda v: F.struct(*[v[c].alias(c) for c in ("s", "m", "e")], circumcircle(v["s"], v["m"], v["e"])["o"].alias("o")))
+    return let(let(found, around), turned)
 
 
 # Quaternions: struct<w,x,y,z>.

@@ -324,15 +324,18 @@ def sparse_edges(spark, d):
     return graph.sparse_graph(e, spark.range(1, 61))
 
 
-@query("SELECT unnest(['chain', 'random', 'silkworm', 'star', 'tall']) AS kind, 999 AS edges, 1 AS components")
+@query("SELECT unnest(['chain', 'random', 'silkworm', 'star', 'tall']) AS kind, 199 AS edges, 1 AS components")
 def random_trees(spark, d):
-    out = None
-    for kind in ("chain", "random", "silkworm", "star", "tall"):
-        t = graph.random_tree(spark, 1000, kind)
-        c = graph.connected_components(spark.range(1000), t)
-        row = t.agg(F.lit(kind).alias("kind"), F.count(F.lit(1)).cast("int").alias("edges")).crossJoin(c.agg(F.countDistinct("component").cast("int").alias("components")))  # one row each
-        out = row if out is None else out.unionByName(row)
-    return out
+    """A tree of every kind, side by side as one graph."""
+    kinds = ("chain", "random", "silkworm", "star", "tall")
+    trees = None
+    for k, kind in enumerate(kinds):
+        t = graph.random_tree(spark, 200, kind).select((F.col("src") + 1000 * k).alias("src"), (F.col("dst") + 1000 * k).alias("dst"))
+        trees = t if trees is None else trees.unionByName(t)
+    nodes = spark.range(1000 * len(kinds)).where("id % 1000 < 200")
+    c = graph.connected_components(nodes, trees).groupBy(F.floor(F.col("id") / 1000).cast("int").alias("k")).agg(F.countDistinct("component").cast("int").alias("components"))
+    e = trees.groupBy(F.floor(F.col("src") / 1000).cast("int").alias("k")).agg(F.count(F.lit(1)).cast("int").alias("edges"))
+    return e.join(c, "k").select(F.get(F.array(*map(F.lit, kinds)), F.col("k")).alias("kind"), "edges", "components")
 
 
 @query("SELECT user_id AS id, count(*) AS edges FROM events GROUP BY 1")
