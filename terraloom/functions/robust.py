@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .types import fresh
+
 #: Error of the plain determinants relative to the sum of their terms' magnitudes, generously rounded up.
 ERROR = {"orient2d": 4e-16, "in_circle": 1.2e-15, "orient3d": 8e-16, "in_sphere": 2e-15}
 POINTS = {"orient2d": (3, 2), "in_circle": (4, 2), "orient3d": (4, 3), "in_sphere": (5, 3)}
@@ -57,8 +59,9 @@ def sign(df: DataFrame, kind: str, points: list[str], name: str = "sign") -> Dat
     Rows beyond the bound never leave the JVM; the others are a branch of their own.
     """
     value, bound = determinant(kind, [F.col(p) for p in points])
-    held = df.withColumns({"_v": value, "_e": bound})
-    sure = held.where(F.abs("_v") > F.col("_e")).withColumn(name, F.signum("_v").cast("int"))
+    v, e = fresh(df, "v", "e")
+    held = df.withColumns({v: value, e: bound})
+    sure = held.where(F.abs(v) > F.col(e)).withColumn(name, F.signum(v).cast("int"))
     axes = "xyz"[: POINTS[kind][1]]
 
     @F.pandas_udf("int")
@@ -67,5 +70,5 @@ def sign(df: DataFrame, kind: str, points: list[str], name: str = "sign") -> Dat
         return pd.Series([exact(kind, [tuple(row[i : i + k]) for i in range(0, len(row), k)]) for row in frame.itertuples(index=False, name=None)])
 
     flat = F.struct(*[F.col(p)[a].alias(f"c{i}{a}") for i, p in enumerate(points) for a in axes])
-    rest = held.where(~(F.abs("_v") > F.col("_e"))).withColumn(name, slow(flat))
-    return sure.unionByName(rest).drop("_v", "_e")
+    rest = held.where(~(F.abs(v) > F.col(e))).withColumn(name, slow(flat))
+    return sure.unionByName(rest).drop(v, e)

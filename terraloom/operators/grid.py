@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import shapes
 from ..functions.mathx import is_negative
-from ..functions.types import num, point
+from ..functions.types import fresh, num, point
 
 
 def cell_of(v, stride: float, ref: float = 0.0, compat: bool = False) -> Column:
@@ -62,10 +62,11 @@ def box_cells(df: DataFrame, box: Column, sx: float, sy: float, ref: tuple[float
     """df with a row a cell that the box covers (more than its border): gx, gy and ratio, the covered share of the cell."""
     x0, x1 = (box["xmin"] - ref[0]) / sx, (box["xmax"] - ref[0]) / sx
     y0, y1 = (box["ymin"] - ref[1]) / sy, (box["ymax"] - ref[1]) / sy
-    held = df.withColumns({"_x0": x0, "_x1": x1, "_y0": y0, "_y1": y1}).where("_x0 < _x1 and _y0 < _y1")
-    wide = held.withColumn("gx", F.explode(F.sequence(F.floor("_x0"), F.ceil("_x1") - 1))).withColumn("gy", F.explode(F.sequence(F.floor("_y0"), F.ceil("_y1") - 1)))
-    over = (F.least("_x1", F.col("gx") + 1.0) - F.greatest(F.col("_x0"), F.col("gx").cast("double"))) * (F.least("_y1", F.col("gy") + 1.0) - F.greatest(F.col("_y0"), F.col("gy").cast("double")))
-    return wide.withColumn("ratio", over).drop("_x0", "_x1", "_y0", "_y1")
+    a, b, c, d = names = fresh(df, "x0", "x1", "y0", "y1")
+    held = df.withColumns({a: x0, b: x1, c: y0, d: y1}).where((F.col(a) < F.col(b)) & (F.col(c) < F.col(d)))
+    wide = held.withColumn("gx", F.explode(F.sequence(F.floor(a), F.ceil(b) - 1))).withColumn("gy", F.explode(F.sequence(F.floor(c), F.ceil(d) - 1)))
+    over = (F.least(b, F.col("gx") + 1.0) - F.greatest(F.col(a), F.col("gx").cast("double"))) * (F.least(d, F.col("gy") + 1.0) - F.greatest(F.col(c), F.col("gy").cast("double")))
+    return wide.withColumn("ratio", over).drop(*names)
 
 
 def clip_half(points: Column, axis: str, bound: Column, upper: bool) -> Column:
@@ -89,18 +90,18 @@ def ring_cells(df: DataFrame, ring: Column, sx: float, sy: float, ref: tuple[flo
 
     Clipping of a concave ring may leave edges along the cell's border, which add no area.
     """
-    b = shapes.extent(ring)
-    held = df.withColumn("_ring", ring).withColumn("_b", b).where("_b is not null")
-    wide = held.withColumn("gx", F.explode(F.sequence(F.floor((F.col("_b.xmin") - ref[0]) / sx), F.floor((F.col("_b.xmax") - ref[0]) / sx))))
+    own, around = fresh(df, "ring", "around")
+    held = df.withColumn(own, ring).withColumn(around, shapes.extent(ring)).where(F.col(around).isNotNull())
+    wide = held.withColumn("gx", F.explode(F.sequence(F.floor((F.col(around)["xmin"] - ref[0]) / sx), F.floor((F.col(around)["xmax"] - ref[0]) / sx))))
     # A column of cells is cut once, and its cells from that.
     for axis, upper, bound in (("x", False, F.col("gx") * sx + ref[0]), ("x", True, (F.col("gx") + 1) * sx + ref[0])):
-        wide = wide.withColumn("_ring", clip_half(F.col("_ring"), axis, bound, upper))
-    wide = wide.withColumn("_b", shapes.extent(F.col("_ring"))).where("_b is not null")
-    wide = wide.withColumn("gy", F.explode(F.sequence(F.floor((F.col("_b.ymin") - ref[1]) / sy), F.floor((F.col("_b.ymax") - ref[1]) / sy))))
+        wide = wide.withColumn(own, clip_half(F.col(own), axis, bound, upper))
+    wide = wide.withColumn(around, shapes.extent(F.col(own))).where(F.col(around).isNotNull())
+    wide = wide.withColumn("gy", F.explode(F.sequence(F.floor((F.col(around)["ymin"] - ref[1]) / sy), F.floor((F.col(around)["ymax"] - ref[1]) / sy))))
     for axis, upper, bound in (("y", False, F.col("gy") * sy + ref[1]), ("y", True, (F.col("gy") + 1) * sy + ref[1])):
-        wide = wide.withColumn("_ring", clip_half(F.col("_ring"), axis, bound, upper))
-    ratio = F.abs(shapes.signed_area(F.col("_ring"))) / (sx * sy)
-    return wide.withColumn("ratio", ratio).drop("_ring", "_b").where("ratio > 0")
+        wide = wide.withColumn(own, clip_half(F.col(own), axis, bound, upper))
+    ratio = F.abs(shapes.signed_area(F.col(own))) / (sx * sy)
+    return wide.withColumn("ratio", ratio).drop(own, around).where("ratio > 0")
 
 
 def grid_size(box: Column, sx: float, sy: float) -> Column:
@@ -116,8 +117,9 @@ def map_to_grid(cells: DataFrame, blend: Column, size: tuple[int, int] | None =
 
 def density(shapes_df: DataFrame, ring: Column, is_hole: Column, sx: float, sy: float, ref: tuple[float, float] = (0.0, 0.0)) -> DataFrame:
     """Solids add the share of a cell they cover and holes take it off; overlaps count twice."""
-    cells = ring_cells(shapes_df.withColumn("_sign", F.when(is_hole, -1.0).otherwise(1.0)), ring, sx, sy, ref)
-    return map_to_grid(cells, F.sum(F.col("_sign") * F.col("ratio")))
+    (sign,) = fresh(shapes_df, "sign")
+    cells = ring_cells(shapes_df.withColumn(sign, F.when(is_hole, -1.0).otherwise(1.0)), ring, sx, sy, ref)
+    return map_to_grid(cells, F.sum(F.col(sign) * F.col("ratio")))
 
 
 def box_density(df: DataFrame, box: Column, sx: float, sy: float, ref: tuple[float, float] = (0.0, 0.0)) -> DataFrame:
@@ -148,13 +150,14 @@ def quad_key(x: Column, y: Column, xmin: float, ymin: float, xmax: float, ymax:
 
 def quad_tree(points: DataFrame, bounds: tuple[float, float, float, float], max_objects: int, depth: int) -> DataFrame:
     """points (id, p) with the key of the leaf that holds each: quadrants split while they hold more than max_objects."""
-    keyed = points.withColumn("_key", quad_key(F.col("p.x"), F.col("p.y"), *bounds, depth))
-    levels = F.transform(F.sequence(F.lit(0), F.lit(depth)), lambda k: F.substring("_key", F.lit(1), k))
-    counts = keyed.groupBy("_key").agg(F.count(F.lit(1)).alias("n")).select(F.explode(levels).alias("node"), "n").groupBy("node").agg(F.sum("n").alias("n"))
+    key, length = fresh(points, "key", "len")
+    keyed = points.withColumn(key, quad_key(F.col("p.x"), F.col("p.y"), *bounds, depth))
+    levels = F.transform(F.sequence(F.lit(0), F.lit(depth)), lambda k: F.substring(key, F.lit(1), k))
+    counts = keyed.groupBy(key).agg(F.count(F.lit(1)).alias("n")).select(F.explode(levels).alias("node"), "n").groupBy("node").agg(F.sum("n").alias("n"))
     # A node is reached where all above it were split; counts fall downwards, so it is enough that its parent was.
     split = counts.where((F.col("n") > max_objects) & (F.length("node") < depth)).select("node")
-    paths = keyed.select("_key").distinct().withColumn("node", F.explode(levels)).join(split, "node").groupBy("_key").agg((F.max(F.length("node")) + 1).alias("len"))
-    return keyed.join(paths, "_key", "left").withColumn("leaf", F.substring("_key", F.lit(1), F.coalesce("len", F.lit(0)))).drop("_key", "len")
+    paths = keyed.select(key).distinct().withColumn("node", F.explode(levels)).join(split, "node").groupBy(key).agg((F.max(F.length("node")) + 1).alias(length))
+    return keyed.join(paths, key, "left").withColumn("leaf", F.substring(key, F.lit(1), F.coalesce(length, F.lit(0)))).drop(key, length)
 
 
 def str_tiles(boxes: DataFrame, tiles: int) -> DataFrame:
@@ -167,10 +170,11 @@ def str_tiles(boxes: DataFrame, tiles: int) -> DataFrame:
     n = max(1, math.isqrt(tiles))
     x, y = (F.col("box.xmin") + F.col("box.xmax")) / 2, (F.col("box.ymin") + F.col("box.ymax")) / 2
     cuts = boxes.agg(F.percentile_approx(x, [i / n for i in range(1, n)] or [0.5], 10_000).alias("c")).first()["c"] if n > 1 else []
-    sliced = boxes.withColumn("_x", sum((F.when(x > c, 1).otherwise(0) for c in cuts or []), F.lit(0)))
-    rows = sliced.groupBy("_x").agg(F.percentile_approx(y, [i / n for i in range(1, n)] or [0.5], 10_000).alias("_c"))
-    tile = F.size(F.filter("_c", lambda c: y > c)) if n > 1 else F.lit(0)
-    return sliced.join(rows, "_x").withColumn("tile", F.col("_x") * n + tile).drop("_x", "_c")
+    slice_, cut = fresh(boxes, "slice", "cut")
+    sliced = boxes.withColumn(slice_, sum((F.when(x > c, 1).otherwise(0) for c in cuts or []), F.lit(0)))
+    rows = sliced.groupBy(slice_).agg(F.percentile_approx(y, [i / n for i in range(1, n)] or [0.5], 10_000).alias(cut))
+    tile = F.size(F.filter(cut, lambda c: y > c)) if n > 1 else F.lit(0)
+    return sliced.join(rows, slice_).withColumn("tile", F.col(slice_) * n + tile).drop(slice_, cut)
 
 
 def rect_tree(boxes: DataFrame, tiles: int) -> DataFrame:
@@ -248,7 +252,8 @@ def pattern_view(triplets: DataFrame, rows: int, cols: int, width: int, largest:
 
 def first_in_cell(df: DataFrame, order: str) -> DataFrame:
     w = Window.partitionBy("gx", "gy").orderBy(order)
-    return df.withColumn("_k", F.row_number().over(w)).where("_k = 1").drop("_k")
+    (k,) = fresh(df, "k")
+    return df.withColumn(k, F.row_number().over(w)).where(F.col(k) == 1).drop(k)
 
 
 def balanced_leaves(leaves: DataFrame, depth: int) -> DataFrame:
