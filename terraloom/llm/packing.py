@@ -34,6 +34,8 @@ TOLERANCE = 0.01
 STEP = 0.2
 #: How often what the rounding leaves is solved again.
 SOLVES = 8
+#: So many patterns of a solution are rounded, the most used ones, so that the plan has a bound.
+PATTERNS = 4096
 #: Patterns of the rounded program may leave at most this share of a sequence free; the rounding with the fewest sequences is taken.
 SLACKS = (0.005, 0.02, 1.0)
 #: Pieces of at most this part of the capacity are kept out of the program, to fill the gaps that its patterns leave.
@@ -123,9 +125,11 @@ def program(histogram: dict[int, int], capacity: int, rounds: int = ROUNDS, solv
         used, live = whole, np.arange(len(lengths))
         for _ in range(solves):
             due, taken = 0.0, 0
-            for key, x in sorted(used.items(), key=lambda p: (-p[1], p[0])):
+            most = sorted(used.items(), key=lambda p: (-p[1], p[0]))[:PATTERNS]
+            scale = sum(used.values()) / sum(x for _, x in most)
+            for key, x in most:
                 # Parts of a copy add up: a pattern is opened when what is due reaches one.
-                due += x
+                due += x * scale
                 copies = min(int(due), *(int(left[live[i]]) // n for i, n in key))
                 if copies > 0 and sum(int(lengths[live[i]]) * n for i, n in key) >= capacity * (1 - slack):
                     opened.append((copies, {int(lengths[live[i]]): n for i, n in key}))
@@ -312,7 +316,7 @@ def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity
 
     Repeated rows are packed each; a null id is kept; extra columns are not carried on; an empty table gives no rows. The
     pieces are written to the shared folder once, since their ranks must not change when a task runs again. What is broadcast
-    is the plan: a row a length and pattern, some ten thousand whatever the table's size.
+    is the plan: a row a length and pattern, of at most SOLVES * PATTERNS patterns and those of best fit.
     """
     spark = df.sparkSession
     scratch = Scratch(spark, "packing")
@@ -330,7 +334,8 @@ def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity
             sequence, offset = spots(length, batch.column(5).to_numpy())
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(length, pa.int64()), batch.column(4), pa.array(sequence), pa.array(offset)], names=["id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
 
-    ranked = cut.join(firsts, ["length", "task"]).select("id", "piece", "start", F.col("length").cast("long").alias("length"), "ids_crc32", (F.col("first") + F.col("rank")).alias("at"))
+    # A row a length and task: more with every task, so not to be broadcast.
+    ranked = cut.join(firsts.hint("merge"), ["length", "task"]).select("id", "piece", "start", F.col("length").cast("long").alias("length"), "ids_crc32", (F.col("first") + F.col("rank")).alias("at"))
     out = ranked.mapInArrow(put, f"id {dict(df.dtypes)[id_col]}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
     return out.withColumnRenamed("id", id_col)
 
