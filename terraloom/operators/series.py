@@ -15,9 +15,14 @@ from . import ranges as ranges_
 def moving_average(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, length: int, name: str = "sma", ranges: int | None = None) -> DataFrame:
     """Over the value and `length` on either side; past the ends the end value counts again, and the divisor is always 2 length + 1."""
     first, last = fresh(df, "first", "last")
-    ends = df.groupBy(*keys).agg(F.min_by(value, F.struct(*order)).alias(first), F.max_by(value, F.struct(*order)).alias(last))
-    own, block, home = ranges_.in_blocks(df, keys, order, length, ranges)
-    own = ranges_.meet(own, ends, keys)
+    ranges = ranges or ranges_.ranges_for(df)
+    if ranges == 1:
+        whole = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        own, block, home = df.withColumns({first: F.first(value).over(whole), last: F.last(value).over(whole)}), list(keys), F.lit(True)
+    else:
+        ends = df.groupBy(*keys).agg(F.min_by(value, F.struct(*order)).alias(first), F.max_by(value, F.struct(*order)).alias(last))
+        own, block, home = ranges_.in_blocks(df, keys, order, length, ranges)
+        own = ranges_.meet(own, ends, keys)
     w = Window.partitionBy(*block).orderBy(*order)
     total = F.col(value)
     for j in range(1, length + 1):

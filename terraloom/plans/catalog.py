@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import mathx, robust, shapes, text, transform, vectors
 from ..functions.types import box, point, point3, polygon, ring, segment, triangle
-from ..operators import aggs, circuit, graph, grid, joins, mesh, polygons, series
+from ..operators import aggs, circuit, graph, grid, joins, mesh, polygons, ranges, series
 from ..sources import wkt
 from . import boolexpr, mapreduce, taskflow
 
@@ -73,10 +73,14 @@ SEGMENTS = f"""segs AS (SELECT * FROM (SELECT event_id AS id, {HOURS} AS x1, val
 FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) WHERE x2 IS NOT NULL)"""
 
 
+def spread(spark: SparkSession, d: str) -> int:
+    """Ranges for ordered work on events: a bound from the table's size, which is in its files' heads."""
+    return ranges.ranges_for(table(spark, d, "events"))
+
+
 def series_rows(spark: SparkSession, d: str) -> DataFrame:
-    w = Window.partitionBy("event_type").orderBy("ts", "event_id")
-    e = table(spark, d, "events").where("value is not null")
-    return e.select(F.col("event_type").alias("key"), (F.row_number().over(w) - 1).alias("pos"), hours().alias("x"), F.col("value").alias("v"))
+    e = table(spark, d, "events").where("value is not null").select(F.col("event_type").alias("key"), "ts", "event_id", hours().alias("x"), F.col("value").alias("v"))
+    return ranges.numbered(e, ["key"], ["ts", "event_id"], "pos", spread(spark, d)).select("key", F.col("pos").cast("int").alias("pos"), "x", "v")
 
 
 SERIES = f"series AS (SELECT event_type AS key, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) - 1 AS pos, {HOURS} AS x, value AS v FROM events WHERE value IS NOT NULL)"
@@ -576,7 +580,7 @@ def polyfit2(spark, d):
 SELECT key, pos::INTEGER AS pos, round((v + coalesce(lag(v, 1) OVER k, a) + coalesce(lead(v, 1) OVER k, z) + coalesce(lag(v, 2) OVER k, a) + coalesce(lead(v, 2) OVER k, z)) / 5, 6) AS sma FROM f WINDOW k AS (PARTITION BY key ORDER BY pos)"""
 )
 def sma_clamped(spark, d):
-    return series.moving_average(series_rows(spark, d), ["key"], ["pos"], "v", 2).select("key", "pos", r(F.col("sma"), 6).alias("sma"))
+    return series.moving_average(series_rows(spark, d), ["key"], ["pos"], "v", 2, ranges=spread(spark, d)).select("key", "pos", r(F.col("sma"), 6).alias("sma"))
 
 
 @query(
@@ -616,8 +620,8 @@ g AS (SELECT *, CASE WHEN is_first THEN '-infinity'::DOUBLE ELSE x1 END AS at FR
 SELECT s.key, s.pos::INTEGER AS pos, round(y1 + (s.x - x1) * (y2 - y1) / (x2 - x1), 4) AS yq FROM series s ASOF JOIN g ON s.key = g.key AND s.x >= g.at"""
 )
 def interp_linear(spark, d):
-    pieces = series.linear_pieces(_samples(spark, d), ["key"], "x", "v")
-    return series.evaluate(series_rows(spark, d), pieces, ["key"], "x").select("key", "pos", r(F.col("yq")).alias("yq"))
+    pieces = series.linear_pieces(_samples(spark, d), ["key"], "x", "v", spread(spark, d))
+    return series.evaluate(series_rows(spark, d), pieces, ["key"], "x", ranges=spread(spark, d)).select("key", "pos", r(F.col("yq")).alias("yq"))
 
 
 @query(
@@ -632,14 +636,14 @@ g AS (SELECT *, CASE WHEN is_first THEN '-infinity'::DOUBLE ELSE x1 END AS at, (
 SELECT s.key, s.pos::INTEGER AS pos, round(c0 + (s.x - x1) * (m + (s.x - x1) * (c2 + (s.x - x1) * c3)), 3) AS yq FROM series s ASOF JOIN g ON s.key = g.key AND s.x >= g.at"""
 )
 def pchip(spark, d):
-    pieces = series.pchip_pieces(_samples(spark, d), ["key"], "x", "v")
-    return series.evaluate(series_rows(spark, d), pieces, ["key"], "x").select("key", "pos", r(F.col("yq"), 3).alias("yq"))
+    pieces = series.pchip_pieces(_samples(spark, d), ["key"], "x", "v", spread(spark, d))
+    return series.evaluate(series_rows(spark, d), pieces, ["key"], "x", ranges=spread(spark, d)).select("key", "pos", r(F.col("yq"), 3).alias("yq"))
 
 
 @query()
 def cubic_spline(spark, d):
     pieces = series.cubic_pieces(_samples(spark, d), ["key"], "x", "v")
-    return series.evaluate(series_rows(spark, d), pieces, ["key"], "x").select("key", "pos", r(F.col("yq"), 3).alias("yq"))
+    return series.evaluate(series_rows(spark, d), pieces, ["key"], "x", ranges=spread(spark, d)).select("key", "pos", r(F.col("yq"), 3).alias("yq"))
 
 
 @query(
@@ -648,7 +652,7 @@ def cubic_spline(spark, d):
 def asof_previous(spark, d):
     e = table(spark, d, "events")
     p = e.where("event_type = 'purchase'").select("user_id", "ts", F.col("value").alias("last_value"))
-    return joins.asof_previous(e.select("event_id", "user_id", "ts"), p, "ts", ["user_id"], ["last_value"]).select("event_id", "last_value")
+    return joins.asof_previous(e.select("event_id", "user_id", "ts"), p, "ts", ["user_id"], ["last_value"], ranges=spread(spark, d)).select("event_id", "last_value")
 
 
 @query("SELECT i, j, round(sum(v), 4) AS v FROM (SELECT unnest([struct_pack(i := a, j := a, v := g), struct_pack(i := b, j := b, v := g), struct_pack(i := a, j := b, v := -g), struct_pack(i := b, j := a, v := -g)], recursive := true) FROM (SELECT l_suppkey AS a, l_partkey + 100000 AS b, l_quantity AS g FROM lineitem)) WHERE i <> 0 AND j <> 0 GROUP BY i, j")
