@@ -73,9 +73,14 @@ SEGMENTS = f"""segs AS (SELECT * FROM (SELECT event_id AS id, {HOURS} AS x1, val
 FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) WHERE x2 IS NOT NULL)"""
 
 
+_spread: dict[str, int] = {}
+
+
 def spread(spark: SparkSession, d: str) -> int:
-    """Ranges for ordered work on events: a bound from the table's size, which is in its files' heads."""
-    return ranges.ranges_for(table(spark, d, "events"))
+    """Ranges for ordered work on events: a bound from the table's size, which is in its files' heads, read once a folder."""
+    if d not in _spread:
+        _spread[d] = ranges.ranges_for(table(spark, d, "events"))
+    return _spread[d]
 
 
 def series_rows(spark: SparkSession, d: str) -> DataFrame:
