@@ -351,7 +351,7 @@ def _lattice(spark, d) -> DataFrame:
     return n.crossJoin(F.broadcast(at)).select("k", F.col("i").alias("id"), point(F.col("i") % 10, F.floor(F.col("i") / 10) * (1 + F.col("k") % 3)).alias("p"))  # a hundred rows
 
 
-@query("SELECT n_nationkey AS k, 162 AS triangles, 81.0 * (1 + n_nationkey % 3) AS area, true AS has_edge FROM nation")
+@query("SELECT n_nationkey AS k, 162 AS triangles, (81.0 * (1 + n_nationkey % 3))::DOUBLE AS area, true AS has_edge FROM nation")
 def lattice_triangles(spark, d):
     """Triangles over lattices with an edge across that no triangle would have by itself."""
     p = _lattice(spark, d)
@@ -366,13 +366,13 @@ def lattice_triangles(spark, d):
     return corners.groupBy("k").agg(F.count(F.lit(1)).cast("int").alias("triangles"), r(area).alias("area"), held.alias("has_edge"))
 
 
-@query("SELECT n_nationkey AS k, 217 AS shared FROM nation")
+@query("SELECT n_nationkey::BIGINT AS k, 225 AS shared FROM nation")
 def mesh_neighbours(spark, d):
-    """Pairs of triangles with a common side: three sides each, less the 36 at the border, two by two... (162 * 3 - 36) / 2."""
+    """Pairs of triangles with a common side: three sides each, less the 36 at the border, two by two, are (162 * 3 - 36) / 2."""
     t = mesh.triangulate(_lattice(spark, d), ["k"]).withColumn("tid", F.xxhash64("k", "a", "b", "c"))
     base = t.select(F.col("k") * 1000 + F.col("a"), F.col("k") * 1000 + F.col("b"), F.col("k") * 1000 + F.col("c"), "tid", "k").toDF("a", "b", "c", "tid", "k")
     pairs = mesh.neighbours(base.select("tid", "a", "b", "c"))
-    return pairs.select(F.floor(F.col("src") / 1000).cast("long").alias("k")).groupBy("k").agg((F.count(F.lit(1)) - 8).cast("int").alias("shared"))
+    return pairs.select(F.floor(F.col("src") / 1000).cast("long").alias("k")).groupBy("k").agg(F.count(F.lit(1)).cast("int").alias("shared"))
 
 
 @query(f"WITH {BOXES} SELECT id, 2 AS n, round((xmax - xmin) * (ymax - ymin), 4) AS area, round(sqrt(pow(xmax - xmin, 2) + pow(ymax - ymin, 2)) / 2, 4) AS radius FROM boxes")
@@ -385,7 +385,7 @@ def fan_measures(spark, d):
 OUTER, HOLE = [(0.0, 0.0), (10.0, 0.0), (10.0, 3.0), (4.0, 3.0), (4.0, 10.0), (0.0, 10.0)], [(1.0, 1.0), (1.0, 1.4), (3.0, 1.4), (3.0, 1.0)]
 
 
-@query("SELECT unnest(['chew', 'lens', 'ruppert']) AS method, 57.2 AS area, unnest([27.5, 30.0, 20.0]) AS least, true AS reached")
+@query("SELECT unnest(['chew', 'lens', 'ruppert']) AS method, 57.2::DOUBLE AS area, unnest([27.5, 30.0, 20.0]::DOUBLE[]) AS least, true AS reached")
 def refined_meshes(spark, d):
     """A bent outline with a hole, refined by each method to its limit."""
     rows = []
@@ -411,7 +411,7 @@ def angle_shares(spark, d):
     return rep.where("share > 0").select("bin", r(F.col("share"), 6).alias("share"))
 
 
-@query("SELECT n_nationkey AS nation, 125.0 AS area, true AS short, true AS wide FROM nation")
+@query("SELECT n_nationkey AS nation, 125.0::DOUBLE AS area, true AS short, true AS wide FROM nation")
 def mesh_flow(spark, d):
     """For every nation two squares, one within the other but apart from it, one of whose sides is drawn twice."""
     rows = []
@@ -489,7 +489,7 @@ def texts_made(spark, d):
     )
 
 
-@query("SELECT n_nationkey AS id, false AS singular, round(-((1 + n_nationkey % 3) * 3e-3 + (2 + n_nationkey % 5) * 1e-3), 9) AS delay, true AS settled, true AS kept, round(3e-3, 9) AS total_c FROM nation")
+@query("SELECT n_nationkey::BIGINT AS id, false AS singular, round(-((1 + n_nationkey % 3) * 3e-3 + (2 + n_nationkey % 5) * 1e-3), 9) AS delay, true AS settled, true AS kept, round(3e-3, 9) AS total_c FROM nation")
 def circuit_measures(spark, d):
     """Two resistors and two capacitors for each nation: the first moment is the sum of resistances to a capacitor times its
     capacity; the reduced circuit keeps it; a load's model holds all capacity."""
