@@ -56,3 +56,18 @@ def test_nearest_of_many_copies(spark):
     finally:
         joins._ringed = kept
     assert met[0][0] <= 20 and met[0][1] == 35
+
+
+def test_blocks_of_vectors_meet_once(spark, monkeypatch):
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    rnd = random.Random(4)
+    rows = [(k % 290, [rnd.choice([0.3, 1.0, 4.0]) * rnd.random() for _ in range(3 + (k % 20 == 0))]) for k in range(300)]
+    v = spark.createDataFrame(rows, "id long, v array<double>")
+    met = []
+    kept = DataFrame.mapInArrow
+    monkeypatch.setattr(DataFrame, "mapInArrow", lambda self, *rest: met.append(self.count()) or kept(self, *rest))
+    want = sorted((i, j) for (i, x), (j, y) in itertools.product(rows, rows) if i < j and len(x) == len(y) and sum((p - q) ** 2 for p, q in zip(x, y)) <= 0.25)
+    for other in (v, v.select("*")):
+        assert sorted((r.a_id, r.b_id) for r in joins.radius_vectors(v, other, 0.5, block=20).collect()) == want and want
+    assert met[0] < 0.7 * met[1]
