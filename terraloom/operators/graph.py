@@ -64,6 +64,7 @@ def reachable(edges: DataFrame, start: DataFrame, directed: bool = False) -> Dat
     step = edges.select("src", "dst")
     if not directed:
         step = step.unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+    step = scratch.write(step, "steps")  # read again every round
     seen = front = scratch.write(start.select("id").distinct(), "seen-0")
     k = 0
     while not front.isEmpty():

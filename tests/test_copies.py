@@ -71,3 +71,18 @@ def test_blocks_of_vectors_meet_once(spark, monkeypatch):
     for other in (v, v.select("*")):
         assert sorted((r.a_id, r.b_id) for r in joins.radius_vectors(v, other, 0.5, block=20).collect()) == want and want
     assert met[0] < 0.7 * met[1]
+
+
+def test_edges_are_made_once_for_all_rounds(spark, monkeypatch):
+    from terraloom.operators import graph
+
+    made = spark.sparkContext.accumulator(0)
+
+    def edges(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    chain = spark.createDataFrame([(k, k + 1) for k in range(6)], "src long, dst long").mapInArrow(edges, "src long, dst long")
+    assert sorted(r.id for r in graph.reachable(chain, spark.createDataFrame([(0,)], "id long")).collect()) == list(range(7))
+    assert made.value <= 12  # both ways
