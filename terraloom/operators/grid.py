@@ -88,10 +88,17 @@ def clip_half(points: Column, axis: str, bound: Column, upper: bool) -> Column:
 def ring_cells(df: DataFrame, ring: Column, sx: float, sy: float, ref: tuple[float, float] = (0.0, 0.0)) -> DataFrame:
     """As box_cells for rings (triangles, trapezoids, any simple ring): the ring clipped to each cell of its envelope.
 
-    Clipping of a concave ring may leave edges along the cell's border, which add no area.
+    Clipping of a concave ring may leave edges along the cell's border, which add no area. Equal rings are clipped once.
     """
+    (whole,) = fresh(df, "whole")
+    keyed = df.withColumn(whole, ring)
+    return keyed.join(_clipped(keyed.select(whole).distinct(), whole, sx, sy, ref), whole).select(*df.columns, "gx", "gy", "ratio")
+
+
+def _clipped(df: DataFrame, ring: str, sx: float, sy: float, ref: tuple[float, float]) -> DataFrame:
+    """df with a row a cell of each ring, clipped one by one: gx, gy and ratio."""
     own, around = fresh(df, "ring", "around")
-    held = df.withColumn(own, ring).withColumn(around, shapes.extent(ring)).where(F.col(around).isNotNull())
+    held = df.withColumn(own, F.col(ring)).withColumn(around, shapes.extent(F.col(ring))).where(F.col(around).isNotNull())
     wide = held.withColumn("gx", F.explode(F.sequence(F.floor((F.col(around)["xmin"] - ref[0]) / sx), F.floor((F.col(around)["xmax"] - ref[0]) / sx))))
     # A column of cells is cut once, and its cells from that.
     for axis, upper, bound in (("x", False, F.col("gx") * sx + ref[0]), ("x", True, (F.col("gx") + 1) * sx + ref[0])):
@@ -117,9 +124,9 @@ def map_to_grid(cells: DataFrame, blend: Column, size: tuple[int, int] | None =
 
 def density(shapes_df: DataFrame, ring: Column, is_hole: Column, sx: float, sy: float, ref: tuple[float, float] = (0.0, 0.0)) -> DataFrame:
     """Solids add the share of a cell they cover and holes take it off; overlaps count twice."""
-    (sign,) = fresh(shapes_df, "sign")
-    cells = ring_cells(shapes_df.withColumn(sign, F.when(is_hole, -1.0).otherwise(1.0)), ring, sx, sy, ref)
-    return map_to_grid(cells, F.sum(F.col(sign) * F.col("ratio")))
+    signed = shapes_df.select(ring.alias("whole"), F.when(is_hole, -1.0).otherwise(1.0).alias("sign"))
+    cells = _clipped(signed.groupBy("whole").agg(F.sum("sign").alias("sign")), "whole", sx, sy, ref)
+    return map_to_grid(cells, F.sum(F.col("sign") * F.col("ratio")))
 
 
 def box_density(df: DataFrame, box: Column, sx: float, sy: float, ref: tuple[float, float] = (0.0, 0.0)) -> DataFrame:

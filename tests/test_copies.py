@@ -86,3 +86,18 @@ def test_edges_are_made_once_for_all_rounds(spark, monkeypatch):
     chain = spark.createDataFrame([(k, k + 1) for k in range(6)], "src long, dst long").mapInArrow(edges, "src long, dst long")
     assert sorted(r.id for r in graph.reachable(chain, spark.createDataFrame([(0,)], "id long")).collect()) == list(range(7))
     assert made.value <= 12  # both ways
+
+
+def test_equal_rings_are_clipped_once(spark, monkeypatch):
+    from terraloom.functions.types import ring
+    from terraloom.operators import grid
+
+    clipped = []
+    kept = grid._clipped
+    monkeypatch.setattr(grid, "_clipped", lambda df, *rest: clipped.append(df.count()) or kept(df, *rest))
+    rows = spark.range(60).select("id", ring(point(F.col("id") % 3, 0), point(F.col("id") % 3 + 2, 0), point(F.col("id") % 3, 2)).alias("r"), (F.col("id") % 2 == 1).alias("hole"))
+    per = {r.id: r.s for r in grid.ring_cells(rows, F.col("r"), 1.0, 1.0).groupBy("id").agg(F.sum("ratio").alias("s")).collect()}
+    assert per == {k: 2.0 for k in range(60)}
+    solid = {(r.gx, r.gy): r.value for r in grid.density(rows.where("not hole or id < 2"), F.col("r"), F.col("hole"), 1.0, 1.0).collect()}
+    assert sum(solid.values()) == 2.0 * (30 - 1)
+    assert clipped == [3, 3]
