@@ -559,12 +559,15 @@ def neighbours(mesh: DataFrame) -> DataFrame:
 
 
 def locate(points: DataFrame, rows: DataFrame, cell: float) -> DataFrame:
-    """(id, tid): the triangle (tid, tri) that holds each point (id, p); the smallest of several."""
-    p = points.withColumn("cx", F.floor(F.col("p.x") / cell)).withColumn("cy", F.floor(F.col("p.y") / cell))
-    b = rows.withColumn("_b", shapes.triangle_extent(F.col("tri")))
+    """(id, tid): the triangle (tid, tri) that holds each point (id, p); the smallest of several. Equal points are asked once,
+    equal triangles met once."""
+    p = points.select("p").distinct().withColumn("cx", F.floor(F.col("p.x") / cell)).withColumn("cy", F.floor(F.col("p.y") / cell))
+    b = rows.groupBy("tri").agg(F.min("tid").alias("tid")).withColumn("_b", shapes.triangle_extent(F.col("tri")))
     for axis in "xy":
         b = b.withColumn(f"c{axis}", F.explode(F.sequence(F.floor(F.col(f"_b.{axis}min") / cell), F.floor(F.col(f"_b.{axis}max") / cell))))
-    return p.join(b, ["cx", "cy"]).where(shapes.triangle_contains(F.col("tri"), F.col("p"))).groupBy("id").agg(F.min("tid").alias("tid"))
+    met = p.join(b, ["cx", "cy"]).where(shapes.box_contains_point(F.col("_b"), F.col("p")))
+    held = met.where(shapes.triangle_contains(F.col("tri"), F.col("p"))).groupBy("p").agg(F.min("tid").alias("tid"))
+    return points.select("id", "p").join(held, "p").groupBy("id").agg(F.min("tid").alias("tid"))
 
 
 def edges_of(tris: Sequence[tuple[int, int, int]]) -> dict[tuple[int, int], int]:

@@ -101,3 +101,29 @@ def test_equal_rings_are_clipped_once(spark, monkeypatch):
     solid = {(r.gx, r.gy): r.value for r in grid.density(rows.where("not hole or id < 2"), F.col("r"), F.col("hole"), 1.0, 1.0).collect()}
     assert sum(solid.values()) == 2.0 * (30 - 1)
     assert clipped == [3, 3]
+
+
+def test_rays_end_where_triangles_do(spark, monkeypatch):
+    from terraloom.functions.types import point3, triangle
+
+    asked = []
+    kept = joins.line_cells
+    monkeypatch.setattr(joins, "line_cells", lambda x0, y0, x1, y1, cell: asked.append((x0, x1)) or kept(x0, y0, x1, y1, cell))
+    t = spark.range(300).select((299 - F.col("id")).alias("tri_id"), triangle(point3(F.col("id") % 30, 0, F.col("id") % 2), point3(F.col("id") % 30 + 1, 0, 1), point3(F.col("id") % 30, 1, 1)).alias("tri"))
+    rays = spark.range(40).select(F.col("id").alias("ray_id"), point3(F.col("id") % 4 + 0.25, 0.25, 9.0).alias("o"), point3(0.01, 0.0, -1.0).alias("d"))
+    lines, different = joins._alike(rays, t)
+    assert (lines.count(), different.count()) == (4, 30)
+    got = {r.ray_id: r.tri_id for r in joins.first_hits(rays, t).collect()}
+    # Ids grow from behind, so the smallest of the copies of triangle x is 29 - x.
+    assert got == {k: 29 - k % 4 for k in range(40)}
+    assert {r.ray_id for r in joins.any_hit(rays, t).collect()} == set(range(40))
+    assert asked
+
+
+def test_points_in_one_place_are_located_once(spark):
+    from terraloom.functions.types import triangle
+    from terraloom.operators import mesh
+
+    p = spark.range(50).select("id", point(F.col("id") % 2 * 9 + 0.5, 0.25).alias("p"))
+    t = spark.range(1, 40).select(F.col("id").alias("tid"), triangle(point(0, 0), point(F.when(F.col("id") > 3, 20.0).otherwise(2.0), 0), point(0, 2)).alias("tri"))
+    assert {r.id: r.tid for r in mesh.locate(p, t, 5.0).collect()} == {k: 1 if k % 2 == 0 else 4 for k in range(50)}
