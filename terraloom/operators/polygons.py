@@ -57,11 +57,11 @@ def boolean(df: DataFrame, keys: Sequence[str], operation: str, polygon: str = "
 def touching(parts: DataFrame, keys: Sequence[str], cell: float) -> DataFrame:
     """(a, b, a_polygon, b_polygon), a < b, of polygons (keys, id, polygon) with the same keys that touch; null keys are equal."""
     held = parts.select(F.xxhash64(F.lit(0), *keys).alias("key"), "id", "polygon", shapes.extent(F.col("polygon.outline")).alias("box")).where("box is not null")
-    held = joins._with_cells(held, F.col("box"), cell, "c")
-    a, b = (held.select("key", "cx", "cy", *[F.col(c).alias(f"{side}_{c}") for c in ("id", "polygon", "box")]) for side in "ab")
+    held = joins._with_cells(held.withColumn("plain", joins.is_box(F.col("polygon"), F.col("box"))), F.col("box"), cell, "c")
+    a, b = (held.select("key", "cx", "cy", *[F.col(c).alias(f"{side}_{c}") for c in ("id", "polygon", "box", "plain")]) for side in "ab")
     home = [F.floor(F.greatest(f"a_box.{c}min", f"b_box.{c}min") / cell) == F.col(f"c{c}") for c in "xy"]
     met = a.join(b, ["key", "cx", "cy"]).where((F.col("a_id") < F.col("b_id")) & home[0] & home[1] & shapes.box_collides(F.col("a_box"), F.col("b_box")))
-    return met.where(joins.polygons_touch(F.col("a_polygon"), F.col("b_polygon"))).select(F.col("a_id").alias("a"), F.col("b_id").alias("b"), "a_polygon", "b_polygon")
+    return met.where((F.col("a_plain") & F.col("b_plain")) | joins.polygons_touch(F.col("a_polygon"), F.col("b_polygon"))).select(F.col("a_id").alias("a"), F.col("b_id").alias("b"), "a_polygon", "b_polygon")
 
 
 def unite(df: DataFrame, keys: Sequence[str], polygon: str = "polygon", tile: float | None = None) -> DataFrame:
@@ -101,7 +101,8 @@ def shared_areas(df: DataFrame, prop: str, cell: float) -> DataFrame:
 def smallest_property(df: DataFrame, prop: str, cell: float) -> DataFrame:
     """df with every property replaced by the smallest of those whose polygons it touches, and so on; null ones stay."""
     scratch = Scratch(df.sparkSession, "smallest")
-    ids = scratch.write(df.where(F.col(prop).isNotNull()).select(F.col(prop).alias("prop"), "polygon", F.monotonically_increasing_id().alias("id")), "polygons")
+    # Copies of a polygon say no more than one does.
+    ids = scratch.write(df.where(F.col(prop).isNotNull()).select(F.col(prop).alias("prop"), "polygon").distinct().withColumn("id", F.monotonically_increasing_id()), "polygons")
     pairs = touching(ids, [], cell)
     a, b = ids.select(F.col("id").alias("a"), F.col("prop").alias("x")), ids.select(F.col("id").alias("b"), F.col("prop").alias("y"))
     edges = pairs.join(a, "a").join(b, "b").where("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b"))

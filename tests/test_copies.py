@@ -127,3 +127,20 @@ def test_points_in_one_place_are_located_once(spark):
     p = spark.range(50).select("id", point(F.col("id") % 2 * 9 + 0.5, 0.25).alias("p"))
     t = spark.range(1, 40).select(F.col("id").alias("tid"), triangle(point(0, 0), point(F.when(F.col("id") > 3, 20.0).otherwise(2.0), 0), point(0, 2)).alias("tri"))
     assert {r.id: r.tid for r in mesh.locate(p, t, 5.0).collect()} == {k: 1 if k % 2 == 0 else 4 for k in range(50)}
+
+
+def test_layers_of_copies_and_rectangles(spark, monkeypatch):
+    from terraloom.functions import shapes
+    from terraloom.functions.types import polygon
+    from terraloom.operators import polygons
+
+    rnd = random.Random(5)
+    rows = [(k, k % 3, float(rnd.randrange(8)), float(rnd.randrange(8)), 1.0 + k % 2) for k in range(60)] * 2
+    rows = [(i, *r[1:]) for i, r in enumerate(rows)]
+    df = spark.createDataFrame(rows, "id long, layer long, x double, y double, s double").select("id", "layer", polygon(shapes.box_ring(box("x", "y", F.col("x") + F.col("s"), F.col("y") + F.col("s")))).alias("polygon"))
+    layers = spark.createDataFrame([(1, 0)], "layer1 long, layer2 long")
+    want = sorted((p[0], q[0]) for p, q in itertools.product(rows, rows) if p[0] < q[0] and (p[1] == q[1] or {p[1], q[1]} == {0, 1}) and all(p[i] <= q[i] + q[4] and q[i] <= p[i] + p[4] for i in (2, 3)))
+    # Rectangles need no look at their edges.
+    monkeypatch.setattr(joins, "polygons_touch", lambda a, b: F.raise_error(F.lit("edges")).cast("boolean"))
+    assert sorted(map(tuple, joins.layered_connectivity(df, layers, 2.0).collect())) == want
+    assert polygons.smallest_property(df, "layer", 2.0).count() == len(rows)
