@@ -19,16 +19,43 @@ def _jump(parent: DataFrame) -> DataFrame:
     return parent.join(up, "p", "left").select("x", F.coalesce("up", "p").alias("p"))
 
 
+#: Edges that are few enough to finish with on the driver.
+FEW = 20_000
+
+
+def _roots(edges: list) -> list[tuple]:
+    """(x, p) for every vertex of the edges, p the smallest of its component."""
+    up: dict = {}
+
+    def root(x):
+        while up.setdefault(x, x) != x:
+            up[x] = x = up[up[x]]
+        return x
+
+    for a, b in edges:
+        a, b = root(a), root(b)
+        up[max(a, b)] = min(a, b)
+    return [(x, root(x)) for x in list(up)]
+
+
 def components(edges: DataFrame, scratch: Scratch, name: str = "components", rounds: int | None = None) -> DataFrame | None:
     """(x, p) for every vertex of edges (a, b), p the smallest vertex of its component; None without edges.
 
     With `rounds` the work stops early, and p is then some smaller vertex of the same component. A round maps every vertex
-    to the smallest around it and keeps the edges between what they were mapped to, of which there are far fewer.
+    to the smallest around it and keeps the edges between what they were mapped to, of which there are far fewer. The last FEW
+    edges between numbers are followed on the driver.
     """
     levels = []
     k = 0
     edges = scratch.write(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), f"{name}-edges")
-    while not edges.isEmpty() and (rounds is None or k < rounds):
+    numbers = set(dict(edges.dtypes).values()) <= {"bigint", "int"}
+    while rounds is None or k < rounds:
+        few = edges.limit(FEW + 1 if numbers else 1).collect()
+        if not few:
+            break
+        if numbers and len(few) <= FEW:
+            levels.append(edges.sparkSession.createDataFrame(_roots(few), f"x {dict(edges.dtypes)['a']}, p {dict(edges.dtypes)['a']}"))
+            break
         parent = scratch.write(_jump(_hook(edges)), f"{name}-parent-{k}")
         a, b = parent.select(F.col("x").alias("a"), F.col("p").alias("pa")), parent.select(F.col("x").alias("b"), F.col("p").alias("pb"))
         between = edges.join(a, "a").join(b, "b").select("pa", "pb")

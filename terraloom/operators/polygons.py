@@ -7,7 +7,7 @@ left of each tile.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import shapes
 from ..functions.types import POLYGON, fresh
+from ..functions.types import polygon as polygon_of
 from . import clip as clipper
 from . import joins
 from .graph import components
@@ -54,14 +55,16 @@ def boolean(df: DataFrame, keys: Sequence[str], operation: str, polygon: str = "
     return held.groupBy(*keys).applyInPandas(run, "".join(f"{k} {kinds[k]}, " for k in keys) + f"polygon {POLYGON}")
 
 
-def touching(parts: DataFrame, keys: Sequence[str], cell: float) -> DataFrame:
-    """(a, b, a_polygon, b_polygon), a < b, of polygons (keys, id, polygon) with the same keys that touch; null keys are equal."""
-    held = parts.select(F.xxhash64(F.lit(0), *keys).alias("key"), "id", "polygon", shapes.extent(F.col("polygon.outline")).alias("box")).where("box is not null")
+def touching(parts: DataFrame, keys: Sequence[str], cell: float, keep: Sequence[str] = ("polygon",)) -> DataFrame:
+    """(a, b, a_polygon, b_polygon), a < b, of polygons (keys, id, polygon) with the same keys that touch; null keys are equal. Other
+    columns may be kept, and the envelope (box) and whether a polygon is its own (plain)."""
+    held = parts.select(F.xxhash64(F.lit(0), *keys).alias("key"), "id", *sorted({"polygon", *keep} - {"box", "plain"}), shapes.extent(F.col("polygon.outline")).alias("box")).where("box is not null")
     held = joins._with_cells(held.withColumn("plain", joins.is_box(F.col("polygon"), F.col("box"))), F.col("box"), cell, "c")
-    a, b = (held.select("key", "cx", "cy", *[F.col(c).alias(f"{side}_{c}") for c in ("id", "polygon", "box", "plain")]) for side in "ab")
+    a, b = (held.select("key", "cx", "cy", *[F.col(c).alias(f"{side}_{c}") for c in sorted({"id", "box", "plain", "polygon", *keep})]) for side in "ab")
     home = [F.floor(F.greatest(f"a_box.{c}min", f"b_box.{c}min") / cell) == F.col(f"c{c}") for c in "xy"]
     met = a.join(b, ["key", "cx", "cy"]).where((F.col("a_id") < F.col("b_id")) & home[0] & home[1] & shapes.box_collides(F.col("a_box"), F.col("b_box")))
-    return met.where((F.col("a_plain") & F.col("b_plain")) | joins.polygons_touch(F.col("a_polygon"), F.col("b_polygon"))).select(F.col("a_id").alias("a"), F.col("b_id").alias("b"), "a_polygon", "b_polygon")
+    met = met.where((F.col("a_plain") & F.col("b_plain")) | joins.polygons_touch(F.col("a_polygon"), F.col("b_polygon")))
+    return met.select(F.col("a_id").alias("a"), F.col("b_id").alias("b"), *[f"{side}_{c}" for side in "ab" for c in keep])
 
 
 def unite(df: DataFrame, keys: Sequence[str], polygon: str = "polygon", tile: float | None = None) -> DataFrame:
@@ -82,20 +85,41 @@ def unite(df: DataFrame, keys: Sequence[str], polygon: str = "polygon", tile: fl
     return united.unionByName(chained.where(F.col(root).isNull()).select(*keys, "polygon"))
 
 
-def shared_areas(df: DataFrame, prop: str, cell: float) -> DataFrame:
-    """(low, high, polygon): what polygons of two properties have in common, by pair of polygons; low < high are the properties."""
-    ids = Scratch(df.sparkSession, "shared").write(df.select(F.col(prop).alias("prop"), "polygon", F.monotonically_increasing_id().alias("id")), "polygons")
-    kind = dict(ids.dtypes)["prop"]
-    props = [ids.select(F.col("id").alias(c), F.col("prop").alias(f"{c}_prop")) for c in "ab"]
-    pairs = touching(ids, [], cell).join(props[0], "a").join(props[1], "b").where("a_prop <> b_prop")
+def shared_areas(df: DataFrame, prop: str, cell: float, measure: Callable[[Column], Column] | None = None) -> DataFrame:
+    """(low, high, polygon): what polygons of two properties have in common, by pair of polygons; low < high are the properties.
+
+    Copies of a polygon meet others as one, and rectangles by their envelopes. What they have in common comes once a pair of
+    copies; with a measure of it (low, high, value, n) once, and n says for how many.
+    """
+    numbers = df.where(F.col(prop).isNotNull() & F.col("polygon").isNotNull()).select(F.col(prop).alias("prop"), "polygon").groupBy("polygon", "prop").agg(F.count(F.lit(1)).alias("n"))
+    held = numbers.groupBy("polygon").agg(F.collect_list(F.struct("prop", "n")).alias("props"))
+    ids = Scratch(df.sparkSession, "shared").write(held.withColumn("id", F.monotonically_increasing_id()), "polygons")
+    kind = dict(df.dtypes)[prop]
+    kept = ("polygon", "props", "box", "plain")
+    box = shapes.extent(F.col("polygon.outline"))
+    boxed = ids.withColumn("box", box).where("box is not null").withColumn("plain", joins.is_box(F.col("polygon"), F.col("box")))
+    alone = boxed.where(F.size("props") > 1).select(F.col("id").alias("a"), F.col("id").alias("b"), *[F.col(c).alias(f"{side}_{c}") for side in "ab" for c in kept])
+    pairs = touching(ids, [], cell, kept).unionByName(alone)
+    plain = F.col("a_plain") & F.col("b_plain")
 
     def run(frames):
         for frame in frames:
-            rows = [(low, high, _row(*p)) for low, high, a, b in zip(frame["low"], frame["high"], frame["a_polygon"], frame["b_polygon"]) for p in clipper.clip(_rings(a), _rings(b), "intersection")]
-            yield pd.DataFrame(rows, columns=["low", "high", "polygon"])
-
-    held = pairs.select(F.least("a_prop", "b_prop").alias("low"), F.greatest("a_prop", "b_prop").alias("high"), "a_polygon", "b_polygon")
-    return held.mapInPandas(run, f"low {kind}, high {kind}, polygon {POLYGON}")
+            rows = [(same, x, y, _row(*p)) for same, x, y, a, b in zip(frame["same"], frame["a_props"], frame["b_props"], frame["a_polygon"], frame["b_polygon"]) for p in clipper.clip(_rings(a), _rings(b), "intersection")]
+            yield pd.DataFrame(rows, columns=["same", "a_props", "b_props", "polygon"])
+
+    same, props = (F.col("a") == F.col("b")).alias("same"), f"array<struct<prop:{kind},n:bigint>>"
+    kinds = boxed.select("plain").distinct().collect()
+    common = shapes.box_intersection(F.col("a_box"), F.col("b_box"))
+    found = pairs.where(plain).select(same, "a_props", "b_props", common.alias("box")).where("box.xmin < box.xmax and box.ymin < box.ymax")
+    found = found.select("same", "a_props", "b_props", polygon_of(shapes.box_ring(F.col("box"))).alias("polygon"))
+    if not all(k.plain for k in kinds):
+        clipped = pairs.where(~plain).select(same, "a_props", "b_props", "a_polygon", "b_polygon").mapInPandas(run, f"same boolean, a_props {props}, b_props {props}, polygon {POLYGON}")
+        found = found.unionByName(clipped)
+    found, of = (found, "polygon") if measure is None else (found.withColumn("value", measure(F.col("polygon"))), "value")
+    each = found.select("same", of, "b_props", F.explode("a_props").alias("a")).select("same", of, "a", F.explode("b_props").alias("b"))
+    each = each.where(F.when(F.col("same"), F.col("a.prop") < F.col("b.prop")).otherwise(F.col("a.prop") != F.col("b.prop")))
+    each = each.select(F.least("a.prop", "b.prop").alias("low"), F.greatest("a.prop", "b.prop").alias("high"), of, (F.col("a.n") * F.col("b.n")).alias("n"))
+    return each if measure else each.select("low", "high", "polygon", F.explode(F.sequence(F.lit(1).cast("long"), "n"))).drop("col")
 
 
 def smallest_property(df: DataFrame, prop: str, cell: float) -> DataFrame:
@@ -103,9 +127,7 @@ def smallest_property(df: DataFrame, prop: str, cell: float) -> DataFrame:
     scratch = Scratch(df.sparkSession, "smallest")
     # Copies of a polygon say no more than one does.
     ids = scratch.write(df.where(F.col(prop).isNotNull()).select(F.col(prop).alias("prop"), "polygon").distinct().withColumn("id", F.monotonically_increasing_id()), "polygons")
-    pairs = touching(ids, [], cell)
-    a, b = ids.select(F.col("id").alias("a"), F.col("prop").alias("x")), ids.select(F.col("id").alias("b"), F.col("prop").alias("y"))
-    edges = pairs.join(a, "a").join(b, "b").where("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    edges = touching(ids, [], cell, ("prop",)).where("a_prop <> b_prop").select(F.col("a_prop").alias("a"), F.col("b_prop").alias("b"))
     labels = components(edges, scratch, "properties")
     if labels is None:
         return df

@@ -455,7 +455,7 @@ def job_counters(spark, d):
 @query(f"WITH {BOXES}, c AS (SELECT *, id % 3 AS p FROM boxes) SELECT least(a.p, b.p)::INTEGER AS low, greatest(a.p, b.p)::INTEGER AS high, round(sum((least(a.xmax, b.xmax) - greatest(a.xmin, b.xmin)) * (least(a.ymax, b.ymax) - greatest(a.ymin, b.ymin))), 3) AS area FROM c a JOIN c b ON a.id < b.id AND a.p <> b.p AND a.xmin < b.xmax AND b.xmin < a.xmax AND a.ymin < b.ymax AND b.ymin < a.ymax GROUP BY 1, 2")
 def shared_areas(spark, d):
     p = part_boxes(spark, d).select((F.col("id") % 3).cast("int").alias("p"), polygon(shapes.box_ring(F.col("box"))).alias("polygon"))
-    return polygons.shared_areas(p, "p", 5.0).groupBy("low", "high").agg(r(F.sum(shapes.polygon_area(F.col("polygon"))), 3).alias("area"))
+    return polygons.shared_areas(p, "p", 5.0, shapes.polygon_area).groupBy("low", "high").agg(r(F.sum(F.col("n") * F.col("value")), 3).alias("area"))
 
 
 @query(f"""WITH RECURSIVE {BOXES}, c AS (SELECT *, (id % 40)::BIGINT AS p FROM boxes), e AS MATERIALIZED (SELECT DISTINCT a.p AS x, b.p AS y FROM c a JOIN c b ON a.p <> b.p AND a.xmin <= b.xmax AND b.xmin <= a.xmax AND a.ymin <= b.ymax AND b.ymin <= a.ymax),
