@@ -95,10 +95,21 @@ def ring_cells(df: DataFrame, ring: Column, sx: float, sy: float, ref: tuple[flo
     return keyed.join(_clipped(keyed.select(whole).distinct(), whole, sx, sy, ref), whole).select(*df.columns, "gx", "gy", "ratio")
 
 
+def ring_totals(df: DataFrame, ring: Column, sx: float, sy: float, ref: tuple[float, float] = (0.0, 0.0), name: str = "ratio") -> DataFrame:
+    """df with the sum of the shares of each ring's cells; 0 for one without area. Equal rings are added up once."""
+    whole, own = fresh(df, "whole", "own")
+    keyed = df.withColumn(whole, ring)
+    totals = _clipped(keyed.select(whole).where(F.col(whole).isNotNull()).distinct(), whole, sx, sy, ref).groupBy(whole).agg(F.sum("ratio").alias(own))
+    total = F.when(F.col(whole).isNotNull(), F.coalesce(own, F.lit(0.0)))
+    return keyed.join(totals, whole, "left").select(*df.columns, total.alias(name))
+
+
 def _clipped(df: DataFrame, ring: str, sx: float, sy: float, ref: tuple[float, float]) -> DataFrame:
     """df with a row a cell of each ring, clipped one by one: gx, gy and ratio."""
     own, around = fresh(df, "ring", "around")
-    held = df.withColumn(own, F.col(ring)).withColumn(around, shapes.extent(F.col(ring))).where(F.col(around).isNotNull())
+    # Rings are few bytes and much work: their number of tasks is given, as it would be one or two by their size.
+    dealt = df.repartition(4 * df.sparkSession.sparkContext.defaultParallelism)
+    held = dealt.withColumn(own, F.col(ring)).withColumn(around, shapes.extent(F.col(ring))).where(F.col(around).isNotNull())
     wide = held.withColumn("gx", F.explode(F.sequence(F.floor((F.col(around)["xmin"] - ref[0]) / sx), F.floor((F.col(around)["xmax"] - ref[0]) / sx))))
     # A column of cells is cut once, and its cells from that.
     for axis, upper, bound in (("x", False, F.col("gx") * sx + ref[0]), ("x", True, (F.col("gx") + 1) * sx + ref[0])):
