@@ -38,23 +38,23 @@ def _roots(edges: list) -> list[tuple]:
     return [(x, root(x)) for x in list(up)]
 
 
-def components(edges: DataFrame, scratch: Scratch, name: str = "components", rounds: int | None = None) -> DataFrame | None:
+def components(edges: DataFrame, scratch: Scratch, name: str = "components", rounds: int | None = None, few: int = 0) -> DataFrame | None:
     """(x, p) for every vertex of edges (a, b), p the smallest vertex of its component; None without edges.
 
     With `rounds` the work stops early, and p is then some smaller vertex of the same component. A round maps every vertex
-    to the smallest around it and keeps the edges between what they were mapped to, of which there are far fewer. The last FEW
+    to the smallest around it and keeps the edges between what they were mapped to, of which there are far fewer. The last `few`
     edges between numbers are followed on the driver.
     """
     levels = []
     k = 0
     edges = scratch.write(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), f"{name}-edges")
-    numbers = set(dict(edges.dtypes).values()) <= {"bigint", "int"}
+    numbers = few > 0 and set(dict(edges.dtypes).values()) <= {"bigint", "int"}
     while rounds is None or k < rounds:
-        few = edges.limit(FEW + 1 if numbers else 1).collect()
-        if not few:
+        left = edges.limit(few + 1 if numbers else 1).collect()
+        if not left:
             break
-        if numbers and len(few) <= FEW:
-            levels.append(edges.sparkSession.createDataFrame(_roots(few), f"x {dict(edges.dtypes)['a']}, p {dict(edges.dtypes)['a']}"))
+        if numbers and len(left) <= few:
+            levels.append(edges.sparkSession.createDataFrame(_roots(left), f"x {dict(edges.dtypes)['a']}, p {dict(edges.dtypes)['a']}"))
             break
         parent = scratch.write(_jump(_hook(edges)), f"{name}-parent-{k}")
         a, b = parent.select(F.col("x").alias("a"), F.col("p").alias("pa")), parent.select(F.col("x").alias("b"), F.col("p").alias("pb"))
@@ -79,7 +79,7 @@ def _follow(labels: DataFrame, level: DataFrame) -> DataFrame:
 
 def connected_components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, component): the smallest id of each vertex's component; vertices (id) without edges are their own."""
-    labels = components(edges.select(F.col("src").alias("a"), F.col("dst").alias("b")), Scratch(edges.sparkSession, "graph"))
+    labels = components(edges.select(F.col("src").alias("a"), F.col("dst").alias("b")), Scratch(edges.sparkSession, "graph"), few=FEW)
     if labels is None:
         return vertices.select("id", F.col("id").alias("component"))
     return vertices.select("id").join(labels.withColumnRenamed("x", "id"), "id", "left").select("id", F.coalesce("p", "id").alias("component"))

@@ -18,7 +18,7 @@ from ..functions.types import POLYGON, fresh
 from ..functions.types import polygon as polygon_of
 from . import clip as clipper
 from . import joins
-from .graph import components
+from .graph import FEW, components
 from .scratch import Scratch
 
 
@@ -128,7 +128,7 @@ def smallest_property(df: DataFrame, prop: str, cell: float) -> DataFrame:
     # Copies of a polygon say no more than one does.
     ids = scratch.write(df.where(F.col(prop).isNotNull()).select(F.col(prop).alias("prop"), "polygon").distinct().withColumn("id", F.monotonically_increasing_id()), "polygons")
     edges = touching(ids, [], cell, ("prop",)).where("a_prop <> b_prop").select(F.col("a_prop").alias("a"), F.col("b_prop").alias("b"))
-    labels = components(edges, scratch, "properties")
+    labels = components(edges, scratch, "properties", few=FEW)
     if labels is None:
         return df
     (least,) = fresh(df, "least")
