@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,7 +55,9 @@ def components(edges: DataFrame, scratch: Scratch, name: str = "components", rou
         if not left:
             break
         if numbers and len(left) <= few:
-            levels.append(edges.sparkSession.createDataFrame(_roots(left), f"x {dict(edges.dtypes)['a']}, p {dict(edges.dtypes)['a']}"))
+            x, p = zip(*_roots(left))
+            kind = pa.int32() if dict(edges.dtypes)["a"] == "int" else pa.int64()
+            levels.append(edges.sparkSession.createDataFrame(pa.table({"x": pa.array(x, kind), "p": pa.array(p, kind)})))
             break
         parent = scratch.write(_jump(_hook(edges)), f"{name}-parent-{k}")
         a, b = parent.select(F.col("x").alias("a"), F.col("p").alias("pa")), parent.select(F.col("x").alias("b"), F.col("p").alias("pb"))

@@ -9,7 +9,9 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Sequence
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -123,11 +125,20 @@ def shared_areas(df: DataFrame, prop: str, cell: float, measure: Callable[[Colum
 
 
 def smallest_property(df: DataFrame, prop: str, cell: float) -> DataFrame:
-    """df with every property replaced by the smallest of those whose polygons it touches, and so on; null ones stay."""
+    """df with every property replaced by the smallest of those whose polygons it touches, and so on; null ones stay.
+
+    Rectangles meet by their envelopes, a cell at a time, of which no more is kept than joins its properties; other polygons meet
+    all as pairs.
+    """
     scratch = Scratch(df.sparkSession, "smallest")
-    # Copies of a polygon say no more than one does.
-    ids = scratch.write(df.where(F.col(prop).isNotNull()).select(F.col(prop).alias("prop"), "polygon").distinct().withColumn("id", F.monotonically_increasing_id()), "polygons")
-    edges = touching(ids, [], cell, ("prop",)).where("a_prop <> b_prop").select(F.col("a_prop").alias("a"), F.col("b_prop").alias("b"))
+    held = df.where(F.col(prop).isNotNull()).select(F.col(prop).alias("prop"), "polygon", shapes.extent(F.col("polygon.outline")).alias("box")).where("box is not null")
+    # Copies of a rectangle say no more than one does.
+    boxes = scratch.write(held.select("prop", "box", joins.is_box(F.col("polygon"), F.col("box")).alias("plain")).distinct(), "boxes")
+    edges = met_in_cells(boxes.where("plain").select("prop", "box"), cell)
+    if not boxes.where("not plain").isEmpty():
+        ids = scratch.write(held.select("prop", "polygon").distinct().withColumn("id", F.monotonically_increasing_id()), "polygons")
+        pairs = touching(ids, [], cell, ("prop", "plain")).where("not (a_plain and b_plain) and a_prop <> b_prop")
+        edges = edges.unionByName(pairs.select(F.col("a_prop").alias("a"), F.col("b_prop").alias("b")))
     labels = components(edges, scratch, "properties", few=FEW)
     if labels is None:
         return df
@@ -135,6 +146,41 @@ def smallest_property(df: DataFrame, prop: str, cell: float) -> DataFrame:
     return df.join(labels.select(F.col("x").alias(prop), F.col("p").alias(least)), prop, "left").withColumn(prop, F.coalesce(least, prop)).select(*df.columns)
 
 
+def met_in_cells(boxes: DataFrame, cell: float, block: int = 256) -> DataFrame:
+    """(a, b): properties joined as those are whose boxes (prop, box) touch, directly or by others in a cell; not every pair that does.
+
+    Two boxes that touch share a cell. There all boxes of a property start together, and what they meet goes on with all of its
+    property, so a box meets those that none has met so far; where most touch these are soon none.
+    """
+    kind = dict(boxes.dtypes)["prop"]
+
+    def joined(table: pa.Table) -> pa.Table:
+        codes = table.column("prop").combine_chunks().dictionary_encode()
+        code = codes.indices.to_numpy()
+        # To Spark NaN is the largest number, and equal to itself.
+        x0, y0, x1, y1 = (np.nan_to_num(table.column(c).to_numpy(), nan=np.inf, posinf=np.inf, neginf=-np.inf) for c in ("x0", "y0", "x1", "y1"))
+        first, other = [], []
+        left = np.argsort(code, kind="stable")
+        while len(left):
+            start = code[left[0]]
+            own = code[left] == start
+            front, left = left[own], left[~own]
+            while len(front) and len(left):
+                now, front = front[:block, None], front[block:]
+                hit = ((x0[now] <= x1[left]) & (x0[left] <= x1[now]) & (y0[now] <= y1[left]) & (y0[left] <= y1[now])).any(0)
+                if hit.any():
+                    found = np.unique(code[left[hit]])
+                    first.append(np.full(len(found), start)), other.append(found)
+                    met = np.isin(code[left], found)
+                    front, left = np.concatenate([front, left[met]]), left[~met]
+        a, b = (np.concatenate(c) if c else np.empty(0, np.int64) for c in (first, other))
+        return pa.table({"a": codes.dictionary.take(pa.array(a)), "b": codes.dictionary.take(pa.array(b))})
+
+    near = joins.dealt(joins._with_cells(boxes, F.col("box"), cell, "c"), "cx", "cy")
+    near = near.select("cx", "cy", "prop", *[F.col(f"box.{c}{f}").alias(f"{c}{k}") for k, f in enumerate(("min", "max")) for c in "xy"])
+    return near.groupBy("cx", "cy").applyInArrow(joined, f"a {kind}, b {kind}").distinct()
+
+
 def merge_by_property(df: DataFrame, prop: str, cell: float, min_area: float = 0.0, min_hole: float = 0.0, clean_first: bool = True) -> DataFrame:
     """(prop, polygon): polygons with the same property that touch become one; small ones and small holes go."""
     held = df.select(prop, F.col("polygon"))
